@@ -42,7 +42,9 @@ def average_precision(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("n_scores"),
         F.bool_and(is_finite("score")).alias("_ok"),
     )
-    pts = operating_points(hist.filter(is_finite("score")), keys, bins=bins)
+    # Non-finite scores only need a value to sort by: their model's result is NULL. A
+    # filter here would be pushed below the histogram and cost a second pass.
+    pts = operating_points(hist.withColumn("score", F.when(is_finite("score"), F.col("score")).otherwise(0.0)), keys, bins=bins)
     area = pts.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_area")
     )
@@ -79,16 +81,17 @@ def threshold_metrics(grid: DataFrame, keys: Sequence[str] = ("model",)) -> Data
     """
     keys = list(keys)
     gate = F.coalesce(F.col("pvalue_below").isNull() | (F.col("pvalue") < F.col("pvalue_below")), F.lit(False))
-    able = grid.filter(gate & is_finite("score"))
-    hist = score_histogram(able, keys)
-    ends = F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score")
-    extra = grid.select(*keys).distinct().select(*keys, ends, F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
-    every = grid.filter(F.col("emitted") & is_finite("score")).select(*keys, "score").distinct().select(
-        *keys, "score", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")
+    y = F.col("label") == 1
+    hist = grid.groupBy(*keys, "score").agg(
+        F.count_if(gate & y).alias("pos"), F.count_if(gate & ~y).alias("neg"), F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")
     )
-    hist = hist.unionByName(extra).unionByName(every).groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    totals = grid.groupBy(*keys).agg(
-        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")
+    totals = hist.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+    ends = totals.select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score")).select(
+        "*", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")
+    )
+    hist = (
+        hist.select(*keys, "score", "pos", "neg").filter(is_finite("score")).unionByName(ends)
+        .groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     pts = operating_points(hist, keys).join(totals, keys)
     return pts.select(

@@ -27,11 +27,11 @@ def evidence_flags(entities: DataFrame, lines: Mapping[str, DataFrame], *, entit
     return entities.join(flags, entity, "left").fillna(False, list(lines))
 
 
-def evidence_tier(
-    df: DataFrame, *, merge_first_two: bool = False, exclude: Sequence[str] = (), family: str = "family",
+def tier_columns(
+    *, merge_first_two: bool = False, exclude: Sequence[str] = (), family: str = "family",
     host_genes: str = "host_genes", viral_genes: str = "viral_genes", taxon: str = "taxon",
     coords: str = "coords", spacer: str = "spacer_id",
-) -> DataFrame:
+) -> dict[str, Column]:
     """Tier, category, evidence set and notes from flags e1a..e5 and context columns.
 
     Independent lines: E1 (E1a or E1b), E2, E3, E4, E5; optionally E1 and E2 count
@@ -71,10 +71,12 @@ def evidence_tier(
     )
     names = (("E1a", e1a), ("E1b", e1b), ("E2", e2), ("E3", e3), ("E4", e4), ("E5", e5))
     evidence = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in names]))
-    return df.select(
-        "*", n.alias("n_evidence"), tier.alias("tier"), category.alias("category"),
-        evidence.alias("evidence_lines"), notes.alias("notes"),
-    )
+    return {"n_evidence": n, "tier": tier, "category": category, "evidence_lines": evidence, "notes": notes}
+
+
+def evidence_tier(df: DataFrame, **options) -> DataFrame:
+    """Entities with tier, category, evidence set and notes; options as in ``tier_columns``."""
+    return df.select("*", *[c.alias(n) for n, c in tier_columns(**options).items()])
 
 
 def enrichment_ratio(
