@@ -1,4 +1,4 @@
 """Importing this module fills the catalog."""
 
-from scoreloom.catalog import scoring  # noqa: F401
+from scoreloom.catalog import labels, scoring  # noqa: F401
 from scoreloom.catalog.base import CATALOG  # noqa: F401

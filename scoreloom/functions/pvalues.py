@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.scalars import col
 
@@ -38,7 +39,7 @@ def binomial_two_sided(b: Column | str, c: Column | str) -> Column:
     return F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n.cast("double")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(chi-square with df degrees of freedom >= x)."""
 
@@ -93,7 +94,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided t-approximation p of a correlation r over n pairs."""
 
@@ -123,7 +124,7 @@ def _u_counts(m: int, n: int) -> list[int]:
     return table[m]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_term: pd.Series, side: pd.Series) -> pd.Series:
     """Rank-sum p-value: exact null for tie-free samples when the smaller holds at
     most 8, else the tie- and continuity-corrected normal. ``side`` is
@@ -151,7 +152,7 @@ def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_term: pd.Series,
     return pd.Series([one(*row) for row in zip(u, n1, n2, tie_term, side)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def signed_rank_p_greater(w_plus: pd.Series, n: pd.Series, tie_term: pd.Series, n_zero: pd.Series) -> pd.Series:
     """One-sided signed-rank p (positive shift): exact for n <= 50 without ties or
     zeros, else the normal approximation."""
@@ -181,7 +182,7 @@ def _log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1.0) - math.lgamma(k + 1.0) - math.lgamma(n - k + 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_less(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided Fisher exact p: chance of a table with a cell no larger than ``a``."""
 

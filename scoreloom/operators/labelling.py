@@ -80,21 +80,22 @@ def evidence_tier(df: DataFrame, **options) -> DataFrame:
 
 
 def enrichment_ratio(
-    first: DataFrame, second: DataFrame, *, entity: str = "entity_id", n_first: Column, n_second: Column,
+    first: DataFrame, second: DataFrame, sizes: DataFrame, *, entity: str = "entity_id", n_first: str, n_second: str,
     enriched: float = 10.0, low: float = 0.5, high: float = 2.0,
 ) -> DataFrame:
     """Full outer join of two coverage tables -> raw and library-normalised ratio and class.
 
-    ``first`` is the baseline library (depth in the denominator). Zero baseline
-    with signal is Infinity; both zero is 0.
+    ``first`` is the baseline library (depth in the denominator); ``sizes`` is the
+    one-row table of library sizes. Zero baseline with signal is Infinity; both zero is 0.
     """
     a = first.select(entity, F.col("depth").alias("depth_a"), F.col("length").alias("_la"))
     b = second.select(entity, F.col("depth").alias("depth_b"), F.col("length").alias("_lb"))
     j = a.join(b, entity, "full_outer").fillna(0, ["depth_a", "depth_b", "_la", "_lb"])
+    j = j.crossJoin(F.broadcast(sizes.select(n_first, n_second)))
     da, db = F.col("depth_a").cast("double"), F.col("depth_b").cast("double")
     special = F.when(db > 0, F.lit(INF)).otherwise(0.0)
     raw = F.when(da > 0, F.try_divide(db, da)).otherwise(special)
-    norm = F.when(da > 0, F.try_divide(db * n_first, da * n_second)).otherwise(special)
+    norm = F.when(da > 0, F.try_divide(db * F.col(n_first), da * F.col(n_second))).otherwise(special)
     out = j.select(
         entity, F.greatest("_la", "_lb").alias("length"), da.alias("depth_a"), db.alias("depth_b"),
         raw.alias("ratio_raw"), norm.alias("ratio"),
