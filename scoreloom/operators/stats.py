@@ -168,8 +168,8 @@ def exact_rank_permutation(groups: DataFrame, value: str, member: Column, *, key
         F.sort_array(F.collect_list(F.struct("_r", "_in"))).alias("_u"), F.count("*").cast("int").alias("n"),
         F.count_if("_in").cast("int").alias("k"), F.sum(F.when(F.col("_in"), F.col("_r")).otherwise(0.0)).alias("_obs"),
     )
-    size = F.when(F.col("n") <= max_n, F.col("n")).otherwise(F.raise_error(F.lit("too many units to enumerate")).cast("int"))
-    masks = packed.select("*", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), size) - 1)).alias("_m"))
+    top = F.expr(f"if(n <= {int(max_n)}, shiftleft(1, n), cast(raise_error('too many units to enumerate') AS INT)) - 1")
+    masks = packed.select("*", F.explode(F.sequence(F.lit(0), top)).alias("_m"))
     masks = masks.filter(F.bit_count("_m") == F.col("k"))
     total = F.expr("aggregate(sequence(0, n - 1), 0D, (acc, i) -> acc + if(shiftright(_m, i) & 1 = 1, _u[i]._r, 0D))")
     sums = masks.withColumn("_s", total)
