@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -235,17 +236,18 @@ def species_status(queries: DataFrame, best: DataFrame, *, query: str = "qseqid"
     return j.withColumn("status", status)
 
 
-def prefer_task(hits: DataFrame, keys: Sequence[str], *, species: str, coverage: str, tie: Sequence[str]) -> DataFrame:
-    """Best row per key over several search tasks: species-level first, then coverage."""
+def prefer_task(hits: DataFrame, keys: Sequence[str], *, species: str, largest: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """Best row per key over several search tasks: species-level first, then the
+    ``largest`` columns (coverage, score), then the tie columns."""
     rest = [c for c in hits.columns if c not in keys]
-    rank = F.struct((~F.col(species)).alias("_s"), (-F.col(coverage)).alias("_c"), *tie)
+    rank = F.struct((~F.col(species)).alias("_s"), *[(-F.col(c)).alias(f"_{i}") for i, c in enumerate(largest)], *tie)
     return hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_b")).select(*keys, "_b.*")
 
 
 def mixture_posterior(x: Column, params: Sequence[tuple[float, float, float]]) -> list[Column]:
     """Posterior of each (weight, mean, sd) component at x, in the order given."""
     logs = [
-        F.lit(__import__("math").log(w / s)) - (x - m) * (x - m) / (2.0 * s * s) for w, m, s in params
+        F.lit(math.log(w / s)) - (x - m) * (x - m) / (2.0 * s * s) for w, m, s in params
     ]
     top = F.greatest(*logs)
     exps = [F.exp(v - top) for v in logs]
