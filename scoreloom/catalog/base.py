@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.operators.decide import Rule, dense_calls
+from scoreloom.operators.partitioning import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -270,7 +271,7 @@ lab AS (SELECT e.entity_id, e.length, e.depth_a, e.depth_b, e.ratio, e.enrichmen
 # ------------------------------------------------------------------ alignments
 def hit_rows(spark: SparkSession, d: str) -> DataFrame:
     """Line items read as alignment hits: supplier = query, return flag = subject, days = positions."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"))
     start = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("bigint") + 1
     return li.select(
         F.col("l_suppkey").alias("qseqid"), F.col("l_returnflag").alias("sseqid"),

@@ -48,46 +48,50 @@ def tile_hits(
     subject coverage.
     """
     key = [query, subject]
+    slot = [*key, "_bin"]
     rank = F.struct((-F.col("bitscore")).alias("_s"), *tie)
-    body = F.struct("pident", "bitscore", "evalue", "sstart", "send", *tie)
-    parts = (
+    body = F.struct("pident", "bitscore", "evalue", "sstart", "send", "qlen", "slen")
+    pieces = (
         clip_to_bins(hits, F.least("qstart", "qend"), F.greatest("qstart", "qend"), width)
-        .groupBy(*key, "_bin", "_lo", "_hi")
-        .agg(F.min(F.struct(rank.alias("r"), body.alias("h"))).alias("_top"))
-        .repartition(*key, "_bin")
+        .groupBy(*slot, "_lo", "_hi")
+        .agg(F.min(F.struct(rank.alias("r"), body.alias("h"))).alias("t"))
     )
-    cuts = parts.select(*key, "_bin", F.explode(F.array(F.col("_lo"), F.col("_hi") + 1)).alias("_c")).distinct()
-    nxt = F.lead("_c").over(Window.partitionBy(*key, "_bin").orderBy("_c"))
-    segs = cuts.withColumn("_n", nxt).filter(F.col("_n").isNotNull())
-    p, s = parts.alias("p"), segs.alias("s")
-    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*key, "_bin")]
-    on += [F.col("p._lo") <= F.col("s._c"), F.col("p._hi") >= F.col("s._n") - 1]
-    won = (
-        s.join(p, on)
-        .groupBy(*[F.col(f"s.{k}").alias(k) for k in (*key, "_bin")], F.col("s._c").alias("_c"), F.col("s._n").alias("_n"))
-        .agg(F.min("p._top").alias("_top"))
+    # Best-first list of the distinct pieces of one bin, cut at every piece end; the
+    # first piece covering a segment owns it. List length is bounded by the width.
+    bins = pieces.groupBy(*slot).agg(
+        F.sort_array(F.collect_list(F.struct("t.r", "t.h", F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))).alias("_p")
     )
-    accepted = (
-        won.groupBy(*key, F.col("_top.h").alias("h"))
-        .agg(F.sum(F.col("_n") - F.col("_c")).alias("bases"))
-        .select(*key, "bases", "h.pident", "h.bitscore", "h.evalue", "h.sstart", "h.send")
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda x: F.array(x["lo"], x["hi"] + 1)))))
+    segments = F.expr(
+        "transform(sequence(0, size(_cuts) - 2), i -> named_struct("
+        "'top', get(filter(_p, x -> x.lo <= _cuts[i] AND x.hi >= _cuts[i + 1] - 1), 0), 'bases', _cuts[i + 1] - _cuts[i]))"
     )
-    totals = accepted.groupBy(*key).agg(
-        F.sum("bases").alias("covered_q"), F.sum(F.col("pident") * F.col("bases")).alias("_num"),
-        F.sum("bitscore").alias("total_bitscore"), F.min("evalue").alias("best_evalue"), F.count("*").alias("n_accepted"),
+    won = bins.withColumn("_cuts", cuts).select(*key, F.inline(segments)).filter(F.col("top").isNotNull())
+    accepted = won.groupBy(*key, F.col("top.r").alias("r"), F.col("top.h").alias("h")).agg(F.sum("bases").alias("bases"))
+    accepted = accepted.select(*key, "bases", "h.*")
+    # Subject coverage and totals in one pass: a hit's totals ride on its first bin.
+    spread = clip_to_bins(accepted, F.least("sstart", "send"), F.greatest("sstart", "send"), width)
+    first = F.col("_lo") == F.least("sstart", "send")
+    once = lambda c: F.sum(F.when(first, c).otherwise(0))
+    parts = spread.groupBy(*slot, "_lo").agg(
+        F.max("_hi").alias("_hi"), once(F.col("bases")).alias("_b"), once(F.col("pident") * F.col("bases")).alias("_num"),
+        once(F.col("bitscore")).alias("_bits"), F.min("evalue").alias("_ev"), once(F.lit(1)).alias("_n"),
+        F.max("qlen").alias("qlen"), F.max("slen").alias("slen"),
+    )
+    w = Window.partitionBy(*slot).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("_hi").over(w), F.lit(-(2**62)))
+    fresh = F.greatest(F.lit(0), F.col("_hi") - F.greatest(F.col("_lo") - 1, reach))
+    totals = parts.withColumn("_new", fresh).groupBy(*key).agg(
+        F.max("qlen").alias("qlen"), F.max("slen").alias("slen"), F.sum("_b").alias("covered_q"), F.sum("_new").alias("covered_s"),
+        F.sum("_n").alias("n_accepted"), F.sum("_num").alias("_num"), F.sum("_bits").alias("total_bitscore"), F.min("_ev").alias("best_evalue"),
     )
-    subj = union_length(accepted, key, F.least("sstart", "send"), F.greatest("sstart", "send"), name="covered_s", width=width)
-    lens = hits.groupBy(*key).agg(F.max("qlen").alias("qlen"), F.max("slen").alias("slen"))
     qf, sf = ratio(F.col("covered_q"), F.col("qlen")), ratio(F.col("covered_s"), F.col("slen"))
     ident = ratio(F.col("_num"), F.col("covered_q"))
-    return (
-        totals.join(subj, key).join(lens, key)
-        .select(
-            *key, "qlen", "slen", "covered_q", "covered_s", "n_accepted", ident.alias("weighted_identity"),
-            (qf * 100.0).alias("q_af"), (sf * 100.0).alias("s_af"),
-            (F.when(F.col("qlen") <= F.col("slen"), qf).otherwise(sf) * 100.0).alias("af_shorter"),
-            "total_bitscore", "best_evalue", (ident / 100.0 * F.col("covered_q")).alias("identical_bases"),
-        )
+    return totals.select(
+        *key, "qlen", "slen", "covered_q", "covered_s", "n_accepted", ident.alias("weighted_identity"),
+        (qf * 100.0).alias("q_af"), (sf * 100.0).alias("s_af"),
+        (F.when(F.col("qlen") <= F.col("slen"), qf).otherwise(sf) * 100.0).alias("af_shorter"),
+        "total_bitscore", "best_evalue", (ident / 100.0 * F.col("covered_q")).alias("identical_bases"),
     )
 
 

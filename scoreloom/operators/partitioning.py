@@ -1,0 +1,15 @@
+"""Input partitioning."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when it arrives in fewer splits than half of them.
+
+    Large inputs have thousands of splits and pass through untouched; a small table in
+    one row group would otherwise run all its per-row work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
