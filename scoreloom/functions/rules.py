@@ -218,3 +218,43 @@ def domain_class(
         .when(F.size(families) > 0, "Other Pfam domain")
         .otherwise("No Pfam domain")
     )
+
+
+def training_overlap(source: Column | str, accession: Column | str, panel: Column | str, cfg: Column) -> Column:
+    """Was a genome likely in a model's training data?
+
+    ``cfg`` is a struct with booleans: external_db, refseq, ncbi, genbank, uvig, partial.
+    """
+    s, a, p = col(source), col(accession), col(panel)
+    refseq = (s == "RefSeq") | a.startswith("NC_") | a.startswith("GCF_")
+    genbank = (s == "GenBank") | a.startswith("MW")
+    uvig = (s == "MetaVR_v5") | a.startswith("IMGVR_UViG")
+    yes, no, maybe = F.lit("likely_in_training"), F.lit("not_in_training"), F.lit("possible")
+    known = cfg["refseq"] | cfg["ncbi"] | cfg["genbank"]
+    return (
+        F.when(cfg["external_db"], "db_dependent")
+        .when(p == "novel", no)
+        .when(refseq, F.when(known, yes).when(cfg["partial"], maybe).otherwise(no))
+        .when(genbank, F.when(cfg["genbank"], yes).when(cfg["ncbi"], maybe).otherwise(no))
+        .when(uvig, F.when(cfg["uvig"], yes).otherwise(no))
+        .otherwise(maybe)
+    )
+
+
+def high_quality_candidate(quality, viral_genes, length, *, qualities=("Complete", "High-quality"), min_genes=5, min_length=10000) -> Column:
+    return col(quality).isin(*qualities) & (col(viral_genes) >= min_genes) & (col(length) >= min_length)
+
+
+def panel_eligible(novelty, quality, length, viral_genes, host_genes, provirus, *, min_length=10000, min_genes=5, max_host=0) -> Column:
+    """Novel, high quality, long and gene-rich, and either free of host genes or a provirus.
+    Text that is not a number makes a row ineligible."""
+    n = lambda c: F.coalesce(F.nullif(F.trim(col(c).cast("string")), F.lit("")), F.lit("0")).try_cast("bigint")
+    ok = (
+        (col(novelty) == "novel_below_95pct") & col(quality).isin("Complete", "High-quality")
+        & (n(length) >= min_length) & (n(viral_genes) >= min_genes) & ((n(host_genes) <= max_host) | (col(provirus) == "Yes"))
+    )
+    return F.coalesce(ok, F.lit(False))
+
+
+def homology_dependence(model: Column | str, dependent: tuple[str, ...]) -> Column:
+    return F.when(col(model).isin(*dependent), "marker/reference-dependent").otherwise("composition-based")
