@@ -142,7 +142,7 @@ def community_export(spark, d):
 )
 def sample_composition(spark, d):
     o = table(spark, d, "orders").withColumn("sample", F.date_format("o_orderdate", "yyyy-MM"))
-    p = o.groupBy("sample").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).fillna(0)
+    p = o.groupBy("sample").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).fillna(0)
     n = F.col("F") + F.col("O") + F.col("P")
     return p.select("sample", n.alias("n"), F.col("F").alias("n_f"), F.col("O").alias("n_o"), F.col("P").alias("n_p"), ratio(F.col("F"), n).alias("positive_fraction"))
 
@@ -298,7 +298,7 @@ def pooled_union(spark, d):
     b = li.filter(F.col("l_quantity") >= 49).select(F.col("l_orderkey").alias("entity_id"), F.lit(1).alias("src"))
     c = o.filter(F.col("o_totalprice") > 450000).select(F.col("o_orderkey").alias("entity_id"), F.lit(2).alias("src"))
     # Three sources fit in a bit mask, so no distinct rows are shuffled twice.
-    mask = F.bit_or(F.shiftleft(F.lit(1), 0) * 0 + F.expr("shiftleft(1, src)"))
+    mask = F.bit_or(F.expr("shiftleft(1, src)"))
     return a.unionByName(b).unionByName(c).groupBy("entity_id").agg(F.bit_count(mask).cast("bigint").alias("n_sources"))
 
 
@@ -535,7 +535,7 @@ def independent_call_check(spark, d):
 
 @register(
     "metric_range_check", "L8",
-    W + f""", m AS ({metric_sql('model, block')}) SELECT model, block, 'precision' AS metric, precision AS value, 0.2 AS lo, 0.6 AS hi FROM m WHERE NOT precision BETWEEN 0.2 AND 0.6 UNION ALL SELECT model, block, 'mcc', mcc, -0.1, 0.1 FROM m WHERE NOT mcc BETWEEN -0.1 AND 0.1""",
+    W + f""", m AS ({metric_sql('model, block')}) SELECT model, block, 'precision' AS metric, precision AS value, 0.2::DOUBLE AS lo, 0.6::DOUBLE AS hi FROM m WHERE NOT precision BETWEEN 0.2 AND 0.6 UNION ALL SELECT model, block, 'mcc', mcc, -0.1::DOUBLE, 0.1::DOUBLE FROM m WHERE NOT mcc BETWEEN -0.1 AND 0.1""",
     "value lo hi",
 )
 def metric_range_check(spark, d):

@@ -157,7 +157,7 @@ def entity_bootstrap_auprc_groups(spark, d):
 
 _ARM = f"""WITH_ARM"""
 _BCA = f", bca AS (SELECT model, block || '/' || arm AS block, arm, {COUNTS_SQL} FROM calls GROUP BY ALL)"
-_AIDX = f""", aidx AS (SELECT arm, block, row_number() OVER (PARTITION BY arm ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY arm) AS n FROM (SELECT DISTINCT arm, block FROM bca)),
+_AIDX = f""", aidx AS (SELECT arm, block, row_number() OVER (PARTITION BY arm ORDER BY substr(md5(concat_ws('|', arm, block)), 1, 3), arm, block) - 1 AS idx, count(*) OVER (PARTITION BY arm) AS n FROM (SELECT DISTINCT arm, block FROM bca)),
  aw AS (SELECT dr.arm, b, pos.block, count(*) AS w FROM (SELECT arm, b, {_draw(f"'{SEED}'", 'arm', 'b', 'idx')} % n AS p FROM aidx, range({REPS}) r(b)) dr JOIN aidx pos ON pos.idx = dr.p AND pos.arm = dr.arm GROUP BY ALL),
  arep AS (SELECT model, arm, b, sum(w) AS n, CAST(sum(w * tp) AS BIGINT) AS tp, CAST(sum(w * fp) AS BIGINT) AS fp, CAST(sum(w * tn) AS BIGINT) AS tn, CAST(sum(w * fn) AS BIGINT) AS fn, sum(w * m) / sum(w) AS mean_mcc
    FROM (SELECT *, {MCC_SQL} AS m FROM bca) JOIN aw USING (arm, block) GROUP BY ALL)"""
@@ -207,8 +207,8 @@ def estimand_replicates(spark, d):
     tot = K.arm_totals(reps, ("model", "b"), n_blocks=False)
     mean = lambda a: F.max(F.when(F.col("arm") == a, F.col("mean_mcc")))
     per = reps.groupBy("model", "b").agg(mean("low").alias("mean_l"), mean("high").alias("mean_h"))
-    pos = counts.agg((F.sum(F.col("tp") + F.col("fn")) / F.sum(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("_pi"))
-    return K.estimands(tot.crossJoin(F.broadcast(pos)), per, F.col("_pi"), ("model", "b"))
+    pos = counts.agg(F.sum(F.col("tp") + F.col("fn")) / F.sum(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).scalar()
+    return K.estimands(tot.withColumn("_pi", pos), per, F.col("_pi"), ("model", "b"))
 
 
 EST = ("pooled", "mean_per_sample", "prev_std_low", "prev_std_cohort")

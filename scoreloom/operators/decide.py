@@ -116,8 +116,10 @@ def fold_regions(
     ids = known.select(F.col(entity).alias("_id")).distinct()
     exact = ids.withColumnRenamed("_id", entity).withColumn("_exact", F.lit(True))
     parent = ids.withColumnRenamed("_id", "_stripped").withColumn("_parent", F.lit(True))
+    # One row per raw id before the lookups: repeated regions collapse map-side.
+    raw = predictions.groupBy(*group, entity).agg(F.max("score").alias("score"))
     folded = (
-        predictions.withColumn("_stripped", F.regexp_replace(F.col(entity), pattern, ""))
+        raw.withColumn("_stripped", F.regexp_replace(F.col(entity), pattern, ""))
         .join(exact, entity, "left")
         .join(parent, "_stripped", "left")
         .withColumn(

@@ -92,11 +92,11 @@ def enrichment_ratio(
     a = first.select(entity, F.col("depth").alias("depth_a"), F.col("length").alias("_la"))
     b = second.select(entity, F.col("depth").alias("depth_b"), F.col("length").alias("_lb"))
     j = a.join(b, entity, "full_outer").fillna(0, ["depth_a", "depth_b", "_la", "_lb"])
-    j = j.crossJoin(F.broadcast(sizes.select(n_first, n_second)))
+    n_a, n_b = sizes.select(n_first).scalar(), sizes.select(n_second).scalar()
     da, db = F.col("depth_a").cast("double"), F.col("depth_b").cast("double")
     special = F.when(db > 0, F.lit(INF)).otherwise(0.0)
     raw = F.when(da > 0, F.try_divide(db, da)).otherwise(special)
-    norm = F.when(da > 0, F.try_divide(db * F.col(n_first), da * F.col(n_second))).otherwise(special)
+    norm = F.when(da > 0, F.try_divide(db * n_a, da * n_b)).otherwise(special)
     out = j.select(
         entity, F.greatest("_la", "_lb").alias("length"), da.alias("depth_a"), db.alias("depth_b"),
         raw.alias("ratio_raw"), norm.alias("ratio"),

@@ -17,11 +17,12 @@ def running_totals(
     """Inclusive running sums of ``sums`` in the order of ``value`` within ``group``.
 
     Needs one row per (group, value), i.e. pre-aggregated input. A plain window
-    would sort a whole group in one task. Here each group is cut into value ranges
-    of equal width between its exact minimum and maximum; the range totals are
-    accumulated first (at most ``bins`` rows per group), and the row-level window
-    then runs inside one range with that offset added. Add a second entry to
-    ``bins`` to cut every range again between its own extremes when values cluster.
+    would sort a whole group in one task. Here values are cut into ranges of
+    equal width between the exact minimum and maximum; the range totals are
+    accumulated first (at most ``bins`` rows per group), and the row-level window then
+    runs inside one range with that offset added. Add a second entry to ``bins`` to cut
+    every range again between its own extremes when values cluster or groups differ in
+    scale.
     """
     group = list(group)
     key = list(group)
@@ -34,10 +35,16 @@ def running_totals(
     helper: list[str] = []
     for depth, n in enumerate(bins):
         b, lo, hi = f"_b{depth}", f"_lo{depth}", f"_hi{depth}"
-        extent = cur.groupBy(*key).agg(F.min(v).alias(lo), F.max(v).alias(hi))
+        if depth == 0:
+            # Any increasing function of the value will do, so the first cut uses the
+            # overall extremes: a scalar subquery, no join on a possibly huge group.
+            ends = cur.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("e")).scalar()
+            cur = cur.withColumn("_e", ends).withColumn(lo, F.col("_e.lo")).withColumn(hi, F.col("_e.hi")).drop("_e")
+        else:
+            cur = cur.join(cur.groupBy(*key).agg(F.min(v).alias(lo), F.max(v).alias(hi)), key)
         width = F.nullif((F.col(hi) - F.col(lo)).cast("double"), F.lit(0.0))
         slot = F.floor(F.coalesce((v - F.col(lo)) / width, F.lit(0.0)) * n)
-        cur = cur.join(extent, key).withColumn(b, F.least(slot, F.lit(n - 1))).drop(lo, hi)
+        cur = cur.withColumn(b, F.least(slot, F.lit(n - 1))).drop(lo, hi)
         totals = cur.groupBy(*key, b).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
         before = (
             Window.partitionBy(*key)
@@ -56,8 +63,10 @@ def running_totals(
     return out.drop(*helper, "_all")
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], *, name: str = "idx", digits: int = 3) -> DataFrame:
-    """0-based dense index plus the row count ``n``, without a global sort.
+def dense_index(
+    df: DataFrame, keys: Sequence[str], *, group: Sequence[str] = (), name: str = "idx", digits: int = 3
+) -> DataFrame:
+    """0-based dense index plus the row count ``n`` (per group), without a global sort.
 
     Rows are ordered by (leading md5 hex digits of the key, key): 16**digits even
     buckets whatever the key distribution, numbered inside their bucket and shifted
@@ -65,17 +74,18 @@ def dense_index(df: DataFrame, keys: Sequence[str], *, name: str = "idx", digits
     """
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     tagged = df.withColumn("_h", F.substring(F.md5(text), 1, digits))
-    sizes = tagged.groupBy("_h").agg(F.count("*").alias("_c"))
-    order = Window.orderBy("_h")  # at most 16**digits rows
+    slot = [*group, "_h"]
+    sizes = tagged.groupBy(*slot).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*group).orderBy("_h")  # at most 16**digits rows per group
     starts = sizes.select(
-        "_h",
+        *slot,
         F.coalesce(F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"),
         F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
     )
-    inside = Window.partitionBy("_h").orderBy(*keys)
+    inside = Window.partitionBy(*slot).orderBy(*keys)
     return (
         tagged.withColumn("_r", F.row_number().over(inside))
-        .join(starts, "_h")
+        .join(starts, slot)
         .withColumn(name, (F.col("_s") + F.col("_r") - 1).cast("bigint"))
         .drop("_h", "_r", "_s")
     )
@@ -179,8 +189,10 @@ def n50(lengths: DataFrame, length: str, *, group: Sequence[str] = ()) -> DataFr
     distinct lengths, not of rows)."""
     mass = lengths.groupBy(*group, length).agg((F.count("*") * F.col(length)).cast("bigint").alias("bp"))
     cum = running_totals(mass, group, length, ["bp"], descending=True)
-    total = mass.groupBy(*group).agg(F.sum("bp").alias("_total"))
-    joined = cum.join(total, list(group)) if group else cum.crossJoin(F.broadcast(total))
+    if group:
+        joined = cum.join(mass.groupBy(*group).agg(F.sum("bp").alias("_total")), list(group))
+    else:
+        joined = cum.withColumn("_total", mass.agg(F.sum("bp")).scalar())
     hit = joined.filter(F.col("cum_bp") * 2 >= F.col("_total"))
     return hit.groupBy(*group).agg(F.max(length).alias("n50"))
 

@@ -23,7 +23,10 @@ def tolerance_violations(got: DataFrame, want: DataFrame, keys: Sequence[str], v
 
 def total_violations(counts: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Confusion counts must add up to the label totals (n_pos, n_neg)."""
-    j = counts.join(totals, list(keys)) if keys else counts.crossJoin(F.broadcast(totals))
+    if keys:
+        j = counts.join(totals, list(keys))
+    else:
+        j = counts.withColumn("n_pos", totals.select("n_pos").scalar()).withColumn("n_neg", totals.select("n_neg").scalar())
     return j.filter((F.col("tp") + F.col("fn") != F.col("n_pos")) | (F.col("fp") + F.col("tn") != F.col("n_neg")))
 
 

@@ -28,14 +28,8 @@ def unit_weights(
     drawn separately. Each unit contributes its own draw slot per replicate, so the
     draws are generated where the units already are.
     """
-    if strata:
-        w = Window.partitionBy(*strata)
-        idx = units.withColumn("n", F.count("*").over(w)).withColumn(
-            "idx", (F.row_number().over(w.orderBy(*key)) - 1).cast("bigint")
-        )
-        salt = [F.col(s) for s in strata]
-    else:
-        idx, salt = dense_index(units, key), []
+    idx = dense_index(units, key, group=strata)
+    salt = [F.col(s) for s in strata]
     slots = idx.select(*strata, "n", "idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     draws = slots.select(*strata, "b", (hashed_uniform(seed, *salt, F.col("b"), F.col("idx")) % F.col("n")).alias("idx"))
     weights = draws.groupBy(*strata, "b", "idx").agg(F.count("*").alias(name))
@@ -126,14 +120,14 @@ def entity_draws_by_pattern(patterns: DataFrame, replicates: int, seed: int, *,
     order = Window.orderBy("label", "pattern")  # at most 2**(models+1) rows
     laid = patterns.withColumn("_e", F.sum("n_entities").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
     laid = laid.withColumn("_s", F.col("_e") - F.col("n_entities") + 1)
-    size = patterns.agg(F.sum("n_entities").alias("_n"))
+    size = patterns.agg(F.sum("n_entities")).scalar()
     slots = (
         _chunks(laid, "_s", "_e", chunk, [])
         .repartition(patterns.sparkSession.sparkContext.defaultParallelism)
         .select(F.explode(F.sequence("_lo", "_hi")).alias("i"))
         .select("i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     )
-    draws = slots.crossJoin(F.broadcast(size)).select("b", (hashed_uniform(seed, F.col("b"), F.col("i")) % F.col("_n")).alias("_pos"))
+    draws = slots.select("b", (hashed_uniform(seed, F.col("b"), F.col("i")) % size).alias("_pos"))
     homes = laid.select("label", "pattern", "_s", "_e", F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor(F.col("_e") / chunk))).alias("_c"))
     hit = draws.withColumn("_c", F.floor(F.col("_pos") / chunk)).join(homes, "_c").filter(F.col("_pos").between(F.col("_s"), F.col("_e")))
     return hit.groupBy("b", "label", "pattern").agg(F.count("*").alias("w"))
@@ -151,7 +145,7 @@ def multinomial_pattern_weights(patterns: DataFrame, replicates: int, seed: int,
         "cells", F.when(F.size("cells") <= n_cells, F.col("cells")).otherwise(F.raise_error(F.lit("too many outcome patterns")))
     )
     spark = patterns.sparkSession
-    reps = spark.range(replicates).select(F.col("id").cast("int").alias("b")).crossJoin(F.broadcast(packed))
+    reps = spark.range(replicates).select(F.col("id").cast("int").alias("b"), packed.scalar().alias("cells"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -200,7 +194,7 @@ def subsample_negatives(calls: DataFrame, ratios: Sequence[int], repeats: int, s
     repeat is sorted as a whole.
     """
     neg = calls.filter(F.col("label") == 0).select(entity).distinct()
-    n_pos = calls.filter(F.col("label") == 1).agg(F.count_distinct(entity).alias("n_pos"))
+    n_pos = calls.filter(F.col("label") == 1).agg(F.count_distinct(entity)).scalar()
     hashed = neg.select(entity, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).withColumn(
         "h", hashed_uniform(seed, F.col("rep"), F.col(entity))
     ).withColumn("slice", F.shiftright("h", 20))
@@ -209,8 +203,8 @@ def subsample_negatives(calls: DataFrame, ratios: Sequence[int], repeats: int, s
     starts = sizes.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).drop("c")
     rank = F.row_number().over(Window.partitionBy("rep", "slice").orderBy("h", entity)) + F.col("before")
     ranked = hashed.join(starts, ["rep", "slice"]).select("rep", entity, rank.alias("rank"))
-    targets = n_pos.select("n_pos", F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio"))
-    chosen = ranked.crossJoin(F.broadcast(targets)).filter(F.col("rank") <= F.col("ratio") * F.col("n_pos")).select("rep", "ratio", entity)
+    wanted = ranked.withColumn("n_pos", n_pos).withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in ratios])))
+    chosen = wanted.filter(F.col("rank") <= F.col("ratio") * F.col("n_pos")).select("rep", "ratio", entity)
     fp = (
         chosen.join(calls.filter(F.col("label") == 0).select(entity, "model", "call"), entity)
         .groupBy("ratio", "rep", "model")

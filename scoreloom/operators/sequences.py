@@ -54,7 +54,7 @@ def assembly_stats(lengths: DataFrame, length: str, *, group: Sequence[str] = ()
         *[F.count_if(F.col(length) >= t).alias(f"n_ge_{t}") for t in at_least],
     )
     half = n50(lengths, length, group=group)
-    return agg.join(half, list(group)) if group else agg.crossJoin(F.broadcast(half))
+    return agg.join(half, list(group)) if group else agg.withColumn("n50", half.scalar())
 
 
 def renumber(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "n") -> DataFrame:

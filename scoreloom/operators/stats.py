@@ -27,7 +27,10 @@ def cochran_q(correct: DataFrame, *, entity: str = "entity_id", keys: Sequence[s
         F.sum(F.col("t").cast("double") * F.col("t")).alias("st2"),
     )
     r = row_sums.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("l").cast("double") * F.col("l")).alias("sl2"))
-    j = c.join(r, keys) if keys else c.crossJoin(F.broadcast(r))
+    if keys:
+        j = c.join(r, keys)
+    else:
+        j = c.withColumn("n", r.select("n").scalar()).withColumn("sl2", r.select("sl2").scalar())
     num = (F.col("k") - 1) * (F.col("k") * F.col("st2") - F.col("st") * F.col("st"))
     den = F.col("k") * F.col("st") - F.col("sl2")
     return j.select(

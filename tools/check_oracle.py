@@ -25,7 +25,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
