@@ -51,7 +51,7 @@ def interval(
     reps: DataFrame, value: Column | str, keys: Sequence[str] = ("model",), *, level: float = 0.95, prefix: str = ""
 ) -> DataFrame:
     """Percentile interval and standard error over replicates, non-finite values dropped."""
-    lo = (1.0 - level) / 2.0
+    lo = round((1.0 - level) / 2.0, 12)
     v = F.col(value) if isinstance(value, str) else value
     vals = reps.withColumn("_v", v).filter(is_finite("_v"))
     q = F.percentile("_v", F.array(F.lit(lo), F.lit(1.0 - lo)))
