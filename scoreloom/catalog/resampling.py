@@ -13,12 +13,14 @@ from scoreloom.operators import resample as B
 from scoreloom.operators import stats as T
 from scoreloom.plans import contrast as K
 from scoreloom.plans import studies as ST
+from scoreloom.sources.scratch import settle
 
 REPS, SEED = 100, 12345
 
 
 def block_counts(spark, d, *extra):
-    return C.confusion(calls(spark, d), ("model", "block", *extra))
+    """Models x blocks counts, written once: everything after them is small."""
+    return settle(C.confusion(calls(spark, d), ("model", "block", *extra)))
 
 
 # Dense index in the operator's order, hashed draws and replicate counts, in SQL.
@@ -120,7 +122,7 @@ def outcome_patterns(spark, d):
     "lo hi se",
 )
 def entity_bootstrap_ci(spark, d):
-    pat = B.outcome_patterns(calls(spark, d), MODELS)
+    pat = settle(B.outcome_patterns(calls(spark, d), MODELS))
     reps = B.pattern_counts(B.entity_draws_by_pattern(pat, E_REPS, 42), MODELS, "w")
     return B.interval(reps.withColumn("mcc", M.mcc()), "mcc")
 
@@ -128,7 +130,7 @@ def entity_bootstrap_ci(spark, d):
 @register("entity_bootstrap_multinomial", "I1 I2")
 def entity_bootstrap_multinomial(spark, d):
     """Same bootstrap drawn per replicate from the pattern multinomial; cost independent of n."""
-    pat = B.outcome_patterns(calls(spark, d), MODELS)
+    pat = settle(B.outcome_patterns(calls(spark, d), MODELS))
     reps = B.pattern_counts(B.multinomial_pattern_weights(pat, 1000, 42), MODELS, "w")
     return B.interval(reps.withColumn("mcc", M.mcc()), "mcc")
 
@@ -167,7 +169,7 @@ _PI = lambda tpr, fpr, pi: f"""coalesce((({pi}) * ({tpr}) * (1 - ({pi})) * (1 -
 
 
 def arm_counts(spark, d):
-    return C.confusion(calls(spark, d).withColumn("block", F.concat_ws("/", "block", "arm")), ("model", "block", "arm"))
+    return settle(C.confusion(calls(spark, d).withColumn("block", F.concat_ws("/", "block", "arm")), ("model", "block", "arm")))
 
 
 def arm_replicates(spark, d):
@@ -267,7 +269,7 @@ _NEST = f""", np AS (SELECT block, label, string_agg(call::VARCHAR, '' ORDER BY
 
 @register("nested_block_bootstrap", "I8", W + _NEST + f" SELECT model, CAST(b AS INTEGER) AS b, {MCC_SQL} AS mcc FROM nrep", "mcc")
 def nested_block_bootstrap(spark, d):
-    cells = B.outcome_patterns(calls(spark, d), MODELS, extra=["block"])
+    cells = settle(B.outcome_patterns(calls(spark, d), MODELS, extra=["block"]))
     w = B.nested_block_weights(cells, "block", N_REPS, 99, cell=["label", "pattern"])
     return B.pattern_counts(w, MODELS, "w").select("model", "b", M.mcc().alias("mcc"))
 
@@ -306,7 +308,7 @@ def block_mean_bootstrap(spark, d):
 def cohort_counts(spark, d):
     """Two cohorts: orders before 1998 and from 1998 on."""
     c = calls(spark, d).withColumn("cohort", F.when(F.col("source") < "1998", "early").otherwise("late"))
-    return C.confusion(c, ("model", "block", "cohort"))
+    return settle(C.confusion(c, ("model", "block", "cohort")))
 
 
 def _cohort(name, seed):
@@ -473,7 +475,8 @@ _Q = """SELECT count(*) AS n, 4::BIGINT AS k, 3::BIGINT AS df, (3 * (4 * (SELECT
     "cochran_q", "H1", W + _COR + ", cs AS (SELECT model, sum(correct)::DOUBLE AS t FROM cor GROUP BY model), rs AS (SELECT entity_id, sum(correct)::DOUBLE AS l FROM cor GROUP BY entity_id) " + _Q, "q",
 )
 def cochran_q(spark, d):
-    return T.cochran_q(calls(spark, d).withColumn("correct", (F.col("call") == F.col("label")).cast("int")))
+    c = calls(spark, d).select("entity_id", "model", (F.col("call") == F.col("label")).cast("int").alias("correct"))
+    return T.cochran_q(c)
 
 
 @register("cochran_q_p_value", "H1 O2")
@@ -640,7 +643,7 @@ _CTX = f""", cx AS (SELECT model, stratum, round({MCC_SQL}, 9) AS v FROM (SELECT
 
 @register("context_correlation_matrix", "H10 C10", W + _CTX + " SELECT * FROM cc", "rho")
 def context_correlation_matrix(spark, d):
-    c = C.confusion(calls(spark, d), ("model", "stratum")).select("model", F.col("stratum").alias("context"), F.round(M.mcc(), 9).alias("v"))
+    c = settle(C.confusion(calls(spark, d), ("model", "stratum"))).select("model", F.col("stratum").alias("context"), F.round(M.mcc(), 9).alias("v"))
     return ST.context_correlations(c)
 
 

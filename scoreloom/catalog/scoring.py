@@ -27,7 +27,8 @@ register(
 
 @register("decision_calls", "B1 B2 C1", W + "SELECT entity_id, model, score, pvalue, emitted, call FROM calls", "score pvalue")
 def decision_calls(spark, d):
-    return calls(spark, d).select("entity_id", "model", "score", "pvalue", "emitted", "call")
+    c = D.dense_calls(truth(spark, d), predictions(spark, d), RULES, with_pvalue=True)
+    return c.select("entity_id", "model", "score", "pvalue", "emitted", "call")
 
 
 @register(

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import metrics as M
-from scoreloom.functions.scalars import is_finite, ratio
+from scoreloom.functions.scalars import at_least, is_finite, ratio
+from scoreloom.operators.decide import gate_open
 from scoreloom.operators.ordered import running_totals
+from scoreloom.sources.scratch import settle
 
 
 def score_histogram(scored: DataFrame, keys: Sequence[str] = ("model",), *, weight: str | None = None) -> DataFrame:
@@ -38,13 +40,12 @@ def average_precision(
     hist = score_histogram(scored, keys, weight=weight)
     if weight:
         hist = hist.filter(F.col("pos") + F.col("neg") > 0)
+    hist = settle(hist)
     info = hist.groupBy(*keys).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("n_scores"),
         F.bool_and(is_finite("score")).alias("_ok"),
     )
-    # Non-finite scores only need a value to sort by: their model's result is NULL. A
-    # filter here would be pushed below the histogram and cost a second pass.
-    pts = operating_points(hist.withColumn("score", F.when(is_finite("score"), F.col("score")).otherwise(0.0)), keys, bins=bins)
+    pts = operating_points(hist.filter(is_finite("score")), keys, bins=bins)
     area = pts.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_area")
     )
@@ -59,10 +60,11 @@ def average_precision(
 def pr_points(scored: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """PR curve at distinct reported finite scores plus the (recall 0, precision 1) start."""
     keys = list(keys)
-    rows = scored.filter(F.col("emitted") & is_finite("score"))
-    hist = score_histogram(rows, keys)
-    totals = scored.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("n_pos"))
-    pts = operating_points(hist, keys).join(totals, keys)
+    y = F.col("label") == 1
+    on = F.col("emitted") & is_finite("score")
+    every = settle(scored.groupBy(*keys, F.when(on, F.col("score")).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    totals = every.groupBy(*keys).agg(F.sum("pos").alias("n_pos"))
+    pts = operating_points(every.filter(F.col("score").isNotNull()), keys).join(totals, keys)
     curve = pts.select(
         *keys, F.col("score").alias("threshold"), ratio(F.col("cum_pos"), F.col("n_pos")).alias("recall"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
@@ -80,11 +82,11 @@ def threshold_metrics(grid: DataFrame, keys: Sequence[str] = ("model",)) -> Data
     One cumulative pass replaces a rescan per threshold.
     """
     keys = list(keys)
-    gate = F.coalesce(F.col("pvalue_below").isNull() | (F.col("pvalue") < F.col("pvalue_below")), F.lit(False))
+    gate = gate_open(grid)
     y = F.col("label") == 1
-    hist = grid.groupBy(*keys, "score").agg(
+    hist = settle(grid.groupBy(*keys, "score").agg(
         F.count_if(gate & y).alias("pos"), F.count_if(gate & ~y).alias("neg"), F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")
-    )
+    ))
     totals = hist.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     ends = totals.select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score")).select(
         "*", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")
@@ -124,30 +126,23 @@ def best_threshold(grid: DataFrame, defaults: DataFrame, keys: Sequence[str] = (
 def threshold_sweep(grid: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("model",)) -> DataFrame:
     """Metrics on a fixed grid of thresholds.
 
-    Entities collapse to distinct scores before they meet the grid, so the work on
-    the grid is thresholds x distinct scores, not thresholds x entities.
+    Every score becomes the number of thresholds it reaches; a model is then at most
+    thresholds + 1 counts, and each threshold sums the counts at or above it. One
+    aggregation over entities, no join, no entity x threshold rows.
     """
     keys = list(keys)
-    hist = score_histogram(grid.filter(is_finite("score")), keys)
-    totals = grid.groupBy(*keys).agg(
-        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")
-    )
-    # Index of the highest threshold a score reaches; counts at t are suffix sums.
     steps = sorted(float(t) for t in thresholds)
     slot = F.lit(0)
     for t in steps:
-        slot = slot + F.when(F.col("score") >= t, 1).otherwise(0)
-    per_slot = hist.withColumn("slot", slot).groupBy(*keys, "slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ladder = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("at"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)]))
-    cells = (
-        totals.select("*", ladder.alias("g")).select(*keys, "n_pos", "n_neg", "g.at", "g.threshold")
-        .join(per_slot, keys, "left")
-        .groupBy(*keys, "threshold", "n_pos", "n_neg")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("slot") >= F.col("at"), F.col("pos"))), F.lit(0)).alias("tp"),
-            F.coalesce(F.sum(F.when(F.col("slot") >= F.col("at"), F.col("neg"))), F.lit(0)).alias("fp"),
-        )
+        slot = slot + at_least("score", t).cast("int")
+    y = F.col("label") == 1
+    per = grid.groupBy(*keys, slot.alias("slot")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    packed = per.groupBy(*keys).agg(
+        F.collect_list(F.struct("slot", "pos", "neg")).alias("_c"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
     )
+    ladder = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("at"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)])).alias("g")
+    above = lambda c: F.expr(f"aggregate(filter(_c, x -> x.slot >= g.at), 0L, (a, x) -> a + x.{c})")
+    cells = packed.select("*", ladder).select(*keys, "g.threshold", "n_pos", "n_neg", above("pos").alias("tp"), above("neg").alias("fp"))
     return cells.select(
         *keys, "threshold", "tp", "fp", (F.col("n_neg") - F.col("fp")).alias("tn"), (F.col("n_pos") - F.col("tp")).alias("fn")
     ).select("*", M.precision().alias("precision"), M.recall().alias("recall"), M.mcc().alias("mcc"))

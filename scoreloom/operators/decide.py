@@ -30,82 +30,83 @@ def with_thresholds(rules: Sequence[Rule], override: float | dict[str, float] |
     return [Rule(r.model, float(pick(r)), r.pvalue_below, r.family, r.min_length) for r in rules]
 
 
-def rule_array(rules: Sequence[Rule]) -> Column:
-    """The rule set as one literal array; joins nothing and broadcasts nothing."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.model).alias("model"),
-                F.lit(float(r.threshold)).alias("threshold"),
-                F.lit(r.pvalue_below).cast("double").alias("pvalue_below"),
-                F.lit(r.family).alias("family"),
-            )
-            for r in rules
-        ]
-    )
+def gate_open(df: DataFrame) -> Column:
+    """Whether a row passes its model's p gate (rows of ungated models always do)."""
+    if "gate_ok" in df.columns:
+        return F.col("gate_ok")
+    return F.coalesce(F.col("pvalue_below").isNull() | (F.col("pvalue") < F.col("pvalue_below")), F.lit(False))
 
 
 def decide(df: DataFrame, *, require_present: bool = False, name: str = "call") -> DataFrame:
     """Add the 0/1 call: score >= threshold, and p below the gate where one is set.
 
-    Expects score, pvalue, emitted, threshold, pvalue_below. A missing score has
-    already become 0 (and p 1), so at threshold 0 it is called unless
-    ``require_present``.
+    Expects score, emitted, threshold and either gate_ok or pvalue + pvalue_below. A
+    missing score has already become 0 (and p 1), so at threshold 0 it is called
+    unless ``require_present``.
     """
-    ok = at_least("score", F.col("threshold"))
-    gate = F.col("pvalue_below").isNull() | (F.col("pvalue") < F.col("pvalue_below"))
-    ok = ok & F.coalesce(gate, F.lit(False))
+    ok = at_least("score", F.col("threshold")) & gate_open(df)
     if require_present:
         ok = ok & F.col("emitted")
     return df.withColumn(name, ok.cast("int"))
 
 
-def best_per_model(predictions: DataFrame, rules: Sequence[Rule], entity: str = "entity_id") -> DataFrame:
-    """One row per entity with a struct column per model (max score, lowest p on ties).
+def best_per_model(
+    predictions: DataFrame, rules: Sequence[Rule], entity: str = "entity_id", *, with_pvalue: bool = False
+) -> DataFrame:
+    """One row per entity with the best score of every model (lowest p on ties).
 
-    A conditional aggregate: partial results combine before the shuffle and the
-    state per entity is one struct per model, however many raw rows it has.
+    A conditional aggregate: partial results combine before the shuffle and the state
+    per entity is a few numbers per model, however many raw rows it has. Without the
+    p-values themselves the state is plain doubles (hash aggregation in generated
+    code): the best row passes the gate exactly when the best score among gated rows
+    equals the best score.
     """
-    pick = F.struct(F.col("score"), (-F.col("pvalue")).alias("neg_p"))
-    return predictions.groupBy(entity).agg(
-        *[F.max(F.when(F.col("model") == r.model, pick)).alias(f"_m{i}") for i, r in enumerate(rules)]
-    )
+    aggs = []
+    for i, r in enumerate(rules):
+        mine = F.col("model") == r.model
+        if with_pvalue:
+            aggs.append(F.max(F.when(mine, F.struct(F.col("score"), (-F.col("pvalue")).alias("neg_p")))).alias(f"_m{i}"))
+        else:
+            aggs.append(F.max(F.when(mine, F.col("score"))).alias(f"_s{i}"))
+            if r.pvalue_below is not None:
+                aggs.append(F.max(F.when(mine & (F.col("pvalue") < r.pvalue_below), F.col("score"))).alias(f"_g{i}"))
+    return predictions.groupBy(entity).agg(*aggs)
 
 
 def dense_grid(
-    truth: DataFrame, predictions: DataFrame, rules: Sequence[Rule], entity: str = "entity_id"
+    truth: DataFrame, predictions: DataFrame, rules: Sequence[Rule], entity: str = "entity_id", *, with_pvalue: bool = False
 ) -> DataFrame:
     """Every truth entity x every model, missing predictions filled (score 0, p 1).
 
-    Truth is joined once, on the entity, to the per-entity prediction structs and
-    only then expanded to models inside the same task: the shuffle carries each
-    truth row once instead of once per model.
+    Truth is joined once, on the entity, to the per-entity best scores and only then
+    expanded to models inside the same task: the shuffle carries each truth row once
+    instead of once per model.
     """
-    wide = best_per_model(predictions, rules, entity)
-    joined = truth.join(wide, entity, "left")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(r.model).alias("model"),
-                F.coalesce(F.col(f"_m{i}.score"), F.lit(0.0)).alias("score"),
-                F.coalesce(-F.col(f"_m{i}.neg_p"), F.lit(1.0)).alias("pvalue"),
-                F.col(f"_m{i}").isNotNull().alias("emitted"),
-                F.lit(float(r.threshold)).alias("threshold"),
-                F.lit(r.pvalue_below).cast("double").alias("pvalue_below"),
-                F.lit(r.family).alias("family"),
-            )
-            for i, r in enumerate(rules)
-        ]
-    )
-    return joined.select(*truth.columns, F.inline(cells))
+    joined = truth.join(best_per_model(predictions, rules, entity, with_pvalue=with_pvalue), entity, "left")
+    cells = []
+    for i, r in enumerate(rules):
+        common = [F.lit(float(r.threshold)).alias("threshold"), F.lit(r.family).alias("family")]
+        if with_pvalue:
+            best = F.col(f"_m{i}")
+            own = [
+                F.coalesce(best["score"], F.lit(0.0)).alias("score"), F.coalesce(-best["neg_p"], F.lit(1.0)).alias("pvalue"),
+                F.lit(r.pvalue_below).cast("double").alias("pvalue_below"), best.isNotNull().alias("emitted"),
+            ]
+        else:
+            best = F.col(f"_s{i}")
+            gate = F.lit(True) if r.pvalue_below is None else F.coalesce(F.col(f"_g{i}") == best, F.lit(False))
+            own = [F.coalesce(best, F.lit(0.0)).alias("score"), gate.alias("gate_ok"), best.isNotNull().alias("emitted")]
+        cells.append(F.struct(F.lit(r.model).alias("model"), *own, *common))
+    return joined.select(*truth.columns, F.inline(F.array(*cells)))
 
 
 def dense_calls(
     truth: DataFrame, predictions: DataFrame, rules: Sequence[Rule], *, entity: str = "entity_id",
-    require_present: bool = False,
+    require_present: bool = False, with_pvalue: bool = False,
 ) -> DataFrame:
     """Dense grid plus the decision."""
-    return decide(dense_grid(truth, predictions, rules, entity), require_present=require_present)
+    grid = dense_grid(truth, predictions, rules, entity, with_pvalue=with_pvalue)
+    return decide(grid, require_present=require_present)
 
 
 def fold_regions(

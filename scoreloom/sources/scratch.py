@@ -17,6 +17,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an aggregate that several later steps read, and continue from the file.
+
+    Without it each reader prunes the columns differently, no exchange is shared, and
+    the joins below the aggregate run once per reader. The file also survives lost
+    executors.
+    """
+    return materialise(df, scratch_dir(df.sparkSession) + "/table")
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Cut lineage by writing a table and reading it back."""
     df.write.mode("overwrite").parquet(path)

@@ -105,6 +105,13 @@ def brute_ap(y, s):
     return total
 
 
+def test_gate_follows_the_best_row(spark):
+    t, p = frames(spark, [("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x")], [("a", 0.9, 0.4), ("a", 0.6, 0.01), ("b", 0.9, 0.4), ("b", 0.9, 0.01), ("c", 0.9, None)])
+    for with_p in (False, True):
+        calls = D.dense_calls(t, p, [D.Rule("m", 0.5, 0.05)], with_pvalue=with_p)
+        assert {r["entity_id"]: r["call"] for r in calls.collect()} == {"a": 0, "b": 1, "c": 0}
+
+
 @pytest.mark.parametrize("bins", [(1,), (7,), (16, 8), (1024,)])
 def test_average_precision_random(spark, bins):
     rng = np.random.default_rng(3)
@@ -151,7 +158,7 @@ def test_best_threshold_default_wins_ties(spark):
 
 def test_dense_grid_merges_duplicates_by_maximum(spark):
     t, p = frames(spark, [("a", 1, "x")], [("a", 0.2, 0.5), ("a", 0.9, 0.4), ("a", 0.9, 0.01)])
-    r = D.dense_grid(t, p, [D.Rule("m")]).first()
+    r = D.dense_grid(t, p, [D.Rule("m")], with_pvalue=True).first()
     assert (r["score"], r["pvalue"], r["emitted"]) == (0.9, 0.01, True)
 
 
