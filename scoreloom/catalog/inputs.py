@@ -8,7 +8,7 @@ from scoreloom.functions import rules as R
 from scoreloom.functions import scalars as X
 from scoreloom.operators import decide as D
 from scoreloom.operators import ordered as O
-from scoreloom.operators import sequences as Q
+from scoreloom.operators.partitioning import spread
 from scoreloom.sources import biology as BIO
 from scoreloom.sources import predictions as P
 from scoreloom.sources import sinks as SK
@@ -134,7 +134,7 @@ _LET = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 
 def sequence_records(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     head = F.concat(F.lit("doc_"), s("doc_id"), F.lit(" label="), F.col("lang"), F.lit(" src="), F.col("source"))
     return docs.select(F.concat(F.lit("doc_"), s("doc_id")).alias("id"), head.alias("header"), seq.alias("seq"), F.length(seq).alias("length"))

@@ -12,29 +12,41 @@ from scoreloom.operators.ordered import n50
 
 
 def fragments(seqs: DataFrame, lengths: Sequence[int], *, seq_id: str = "id", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
-    """Adjacent non-overlapping fragments at every length; the short tail is dropped."""
-    sizes = F.explode(F.array(*[F.lit(n) for n in lengths])).alias("fragment_length")
-    base = seqs.select(seq_id, seq, *keep, F.length(seq).alias("source_length"), sizes)
-    base = base.filter(F.col("source_length") >= F.col("fragment_length"))
-    n = F.floor(F.col("source_length") / F.col("fragment_length")).cast("int")
-    rows = base.select("*", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    frag = F.substring(F.col(seq), ((F.col("i") - 1) * F.col("fragment_length") + 1).cast("int"), F.col("fragment_length"))
+    """Adjacent non-overlapping fragments at every length; the short tail is dropped.
+
+    A sequence is cut by one regular-expression pass per length. Taking substrings by
+    position would walk the sequence again from its start for every fragment.
+    """
+
+    def cut(n: int) -> Column:
+        pieces = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{{n}}}"), F.lit(0))
+        return F.transform(pieces, lambda x, i: F.struct(F.lit(n).alias("fragment_length"), (i + 1).alias("i"), x.alias("fragment")))
+
+    cuts = [cut(n) for n in lengths]
+    rows = seqs.select(seq_id, *keep, F.length(seq).alias("source_length"), F.inline(F.concat(*cuts)))
     return rows.select(
         F.format_string("%s_frag_%d_L%d", F.col(seq_id).cast("string"), "i", "fragment_length").alias("fragment_id"),
-        F.col(seq_id).alias("source"), *keep, "fragment_length", "source_length", "i", frag.alias("fragment"),
+        F.col(seq_id).alias("source"), *keep, "fragment_length", "source_length", "i", "fragment",
     )
 
 
 def windows(seqs: DataFrame, size: int, min_length: int, *, seq_id: str = "id", seq: str = "seq") -> DataFrame:
-    """Half-overlapping windows. Sequences below ``min_length`` are skipped, those that
-    fit one window stay whole, and no window is shorter than ``min_length``."""
+    """Half-overlapping windows of an even size. Sequences below ``min_length`` are
+    skipped, those that fit one window stay whole, and no window is shorter than
+    ``min_length``.
+
+    The sequence is cut once into half windows and neighbouring halves are joined.
+    """
+    if size % 2:
+        raise ValueError("window size must be even")
+    step = size // 2
     base = seqs.select(seq_id, seq, F.length(seq).alias("n")).filter(F.col("n") >= min_length)
-    last = F.greatest(F.col("n") - min_length, F.lit(0))
-    starts = F.when(F.col("n") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, F.lit(size // 2)))
-    rows = base.select("*", F.posexplode(starts).alias("w", "start"))
-    return rows.select(
-        F.col(seq_id).alias("parent"), "w", "start", F.least(F.lit(size), F.col("n") - F.col("start")).alias("window_length"),
-        F.substring(F.col(seq), F.col("start") + 1, F.lit(size)).alias("fragment"),
+    halves = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    last = F.when(F.col("n") <= size, 0).otherwise(F.floor((F.col("n") - min_length) / step).cast("int"))
+    rows = base.withColumn("_h", halves).withColumn("_w", F.sequence(F.lit(0), last))
+    piece = F.expr("transform(_w, w -> struct(w AS w, concat(_h[w], coalesce(get(_h, w + 1), '')) AS fragment))")
+    return rows.select(F.col(seq_id).alias("parent"), F.inline(piece)).select(
+        "parent", "w", (F.col("w") * step).alias("start"), F.length("fragment").alias("window_length"), "fragment"
     )
 
 

@@ -84,3 +84,16 @@ def test_spacer_evidence_rules(spark):
     df = spark.createDataFrame(rows, "spacer_id string, source string, target string, pident double, length bigint, qlen bigint, line_no int")
     got = {r["target"]: r["spacer_id"] for r in L.spacer_evidence(df, max_hits=3).collect()}
     assert got == {"B": "sp1"}
+
+
+@pytest.mark.parametrize("text, size, least", [("A" * 20, 8, 3), ("ACGTACGTAC", 4, 2), ("ACG", 4, 2), ("A", 4, 2), ("ACGTACGTACG", 4, 4)])
+def test_windows_and_fragments_against_a_loop(spark, text, size, least):
+    from scoreloom.operators import sequences as Q
+
+    df = spark.createDataFrame([("s", text)], "id string, seq string")
+    want = []
+    if len(text) >= least:
+        want = [(0, text)] if len(text) <= size else [(i, text[i:i + size]) for i in range(0, len(text) - least + 1, size // 2)]
+    assert sorted((r["start"], r["fragment"]) for r in Q.windows(df, size, least).collect()) == want
+    frags = sorted((r["fragment_length"], r["i"], r["fragment"]) for r in Q.fragments(df, (3, 4)).collect())
+    assert frags == sorted((n, i + 1, text[i * n:(i + 1) * n]) for n in (3, 4) for i in range(len(text) // n))
