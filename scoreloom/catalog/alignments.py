@@ -265,18 +265,18 @@ def mapping_labels(spark, d):
     "native_homolog_exclusion", "J12 D29 B30",
     HITS_SQL + """, f AS (SELECT * FROM hits WHERE pident >= 92 AND length >= 5), c AS (SELECT qseqid, sseqid, count(DISTINCT p) / 3000::DOUBLE * 100 AS cov FROM (SELECT qseqid, sseqid, unnest(range(qstart, qend + 1)) AS p FROM f) GROUP BY ALL),
     b AS (SELECT qseqid, sseqid, max(pident) AS best FROM f GROUP BY ALL)
-    SELECT sseqid AS background, count(*) FILTER (WHERE cov >= 50 AND best >= 95) AS n_excluded, coalesce(string_agg(qseqid::VARCHAR, ',' ORDER BY qseqid) FILTER (WHERE cov >= 50 AND best >= 95), '') AS excluded FROM c JOIN b USING (qseqid, sseqid) GROUP BY sseqid""",
+    SELECT sseqid AS background, qseqid AS genome, cov AS covered_pct, best, s.label FROM c JOIN b USING (qseqid, sseqid) JOIN (VALUES ('A', 'excluded_native'), ('N', 'excluded_native'), ('R', 'excluded_native')) s(x, label) ON x = sseqid WHERE cov >= 50 AND best >= 95""",
+    "covered_pct best",
 )
 def native_homolog_exclusion(spark, d):
-    """Per background: genomes largely covered by near-identical native sequence."""
+    """(background, genome) pairs whose genome is largely covered by near-identical native
+    sequence, with the label their contigs get."""
     h = hit_rows(spark, d).filter((F.col("pident") >= 92) & (F.col("length") >= 5))
     cov = I.union_length(h, ["qseqid", "sseqid"], F.col("qstart"), F.col("qend"))
     best = h.groupBy("qseqid", "sseqid").agg(F.max("pident").alias("best"))
-    j = cov.join(best, ["qseqid", "sseqid"])
-    bad = (F.col("covered") / 30.0 >= 50) & (F.col("best") >= 95)
-    # The list holds catalogue genomes (panel-sized), not hits.
-    ids = F.transform(F.sort_array(F.collect_list(F.when(bad, F.col("qseqid")))), lambda x: x.cast("string"))
-    return j.groupBy(F.col("sseqid").alias("background")).agg(F.count_if(bad).alias("n_excluded"), F.concat_ws(",", ids).alias("excluded"))
+    j = cov.join(best, ["qseqid", "sseqid"]).withColumn("covered_pct", ratio(F.col("covered"), F.lit(3000)) * 100.0)
+    high = j.filter(R.homology_risk("covered_pct", "best") == "HIGH")
+    return high.select(F.col("sseqid").alias("background"), F.col("qseqid").alias("genome"), "covered_pct", "best", F.lit("excluded_native").alias("label"))
 
 
 @register(

@@ -222,25 +222,30 @@ def taxon_domain_assignment(spark, d):
 
 
 def array_docs(spark, d):
-    """One nested JSON document per order: an array per line item with two spacers."""
+    """One nested JSON document per line item: two arrays of two spacers each."""
     li = table(spark, d, "lineitem")
-    q = F.col("l_quantity").cast("int")
+    q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     region = lambda kind, seq: F.struct(F.lit(kind).alias("Type"), seq.alias("Sequence"))
-    regions = F.array(region("DR", F.lit("GTT")), region("Spacer", F.repeat(F.lit("A"), q)), region("DR", F.lit("GTT")), region("Spacer", F.repeat(F.lit("C"), F.col("l_linenumber") * 5)))
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(
-        F.col("l_partkey").alias("Start"), (F.col("l_partkey") + q).alias("End"), (F.col("l_suppkey") % 5).cast("int").alias("Evidence_Level"), regions.alias("Regions")).alias("c"))
-    per = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["c"]).alias("Crisprs"))
-    doc = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("o"), s("l_orderkey")).alias("Id"), F.col("Crisprs"))).alias("Sequences")))
-    return per.select(doc.alias("json")).select(F.from_json("json", TX.CRISPR_SCHEMA).alias("j")).select("j.*")
+    rep = lambda base, n: F.repeat(F.lit(base), n)
 
+    def arr(level, one, two):
+        regions = F.array(region("DR", F.lit("GTT")), region("Spacer", one), region("DR", F.lit("GTT")), region("Spacer", two))
+        return F.struct(F.col("l_partkey").alias("Start"), (F.col("l_partkey") + q).alias("End"), level.cast("int").alias("Evidence_Level"), regions.alias("Regions"))
 
-_ARR = """WITH a AS (SELECT 'o' || l_orderkey AS contig_id, 'o' || l_orderkey || '_CRISPR_' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS array_id,
-   l_partkey AS start, l_partkey + CAST(l_quantity AS INTEGER) AS "end", CAST(l_suppkey % 5 AS INTEGER) AS evidence_level, CAST(l_quantity AS INTEGER) AS q, l_linenumber * 5 AS c FROM lineitem)"""
+    arrays = F.array(arr(F.col("l_suppkey") % 5, rep("A", q), rep("C", k * 5)), arr(k, rep("G", k * 6), rep("T", q)))
+    doc = F.to_json(F.struct(F.array(F.struct(_id().alias("Id"), arrays.alias("Crisprs"))).alias("Sequences")))
+    return li.select(doc.alias("json")).select(F.from_json("json", TX.CRISPR_SCHEMA).alias("j")).select("j.*")
+
+
+_ARR = """WITH i AS (SELECT concat_ws('_', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR) AS contig_id, l_partkey AS start, l_partkey + CAST(l_quantity AS INTEGER) AS "end",
+   CAST(l_suppkey % 5 AS INTEGER) AS lv, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS k FROM lineitem),
+ a AS (SELECT contig_id, contig_id || '_CRISPR_1' AS array_id, start, "end", lv AS evidence_level, q AS s1, k * 5 AS s2 FROM i
+   UNION ALL SELECT contig_id, contig_id || '_CRISPR_2', start, "end", k, k * 6, q FROM i)"""
 
 
 @register(
     "nested_array_scan", "A13 J10",
-    _ARR + """ SELECT contig_id, array_id, start, "end", CAST((q >= 25)::INT + (c >= 25)::INT AS INTEGER) AS n_spacers, CAST((q < 25)::INT + (c < 25)::INT AS INTEGER) AS n_spacers_skipped, evidence_level FROM a WHERE evidence_level >= 2""",
+    _ARR + """ SELECT contig_id, array_id, start, "end", CAST((s1 >= 25)::INT + (s2 >= 25)::INT AS INTEGER) AS n_spacers, CAST((s1 < 25)::INT + (s2 < 25)::INT AS INTEGER) AS n_spacers_skipped, evidence_level FROM a WHERE evidence_level >= 2""",
 )
 def nested_array_scan(spark, d):
     return TX.crispr_arrays(array_docs(spark, d))[0]
@@ -248,8 +253,8 @@ def nested_array_scan(spark, d):
 
 @register(
     "nested_spacer_scan", "A13 J10",
-    _ARR + """ SELECT array_id || '_spacer_' || n AS spacer_id, len FROM (SELECT array_id, 1 AS n, q AS len FROM a WHERE evidence_level >= 2 AND q >= 25
-      UNION ALL SELECT array_id, CASE WHEN q >= 25 THEN 2 ELSE 1 END, c FROM a WHERE evidence_level >= 2 AND c >= 25)""",
+    _ARR + """ SELECT array_id || '_spacer_' || n AS spacer_id, len FROM (SELECT array_id, 1 AS n, s1 AS len FROM a WHERE evidence_level >= 2 AND s1 >= 25
+      UNION ALL SELECT array_id, CASE WHEN s1 >= 25 THEN 2 ELSE 1 END, s2 FROM a WHERE evidence_level >= 2 AND s2 >= 25)""",
 )
 def nested_spacer_scan(spark, d):
     return TX.crispr_arrays(array_docs(spark, d))[1].select("spacer_id", F.length("sequence").alias("len"))
@@ -341,13 +346,13 @@ def metadata_rule_counts(spark, d):
 
 
 @register(
-    "member_map", "A20 L6", "SELECT o_custkey AS parent, count(*) AS n_members, count(DISTINCT o_orderpriority) AS n_distinct FROM orders GROUP BY ALL",
+    "member_map", "A20", "SELECT member, count(*) AS n_parents, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM (SELECT o_orderkey, o_orderpriority AS member FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P') GROUP BY member",
 )
 def member_map(spark, d):
-    o = table(spark, d, "orders")
-    meta = o.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), " , ").alias("members"))
-    m = TX.members(meta, "o_custkey", "members")
-    return m.groupBy("parent").agg(F.count("*").alias("n_members"), F.count_distinct("member").alias("n_distinct"))
+    """A comma-separated member column with blanks and empty entries -> (member, parent) rows."""
+    listed = F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" , "), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")))
+    m = TX.members(table(spark, d, "orders").select("o_orderkey", listed.alias("members")), "o_orderkey", "members")
+    return m.groupBy("member").agg(F.count("*").alias("n_parents"), F.sum("parent").alias("key_sum"))
 
 
 @register(

@@ -289,6 +289,15 @@ def class_ratio_subsampling(spark, d):
     return counts.withColumn("mcc", M.mcc()).groupBy("ratio", "model").agg(F.avg("mcc").alias("mean_mcc"), F.count("*").alias("repeats"))
 
 
+@register("class_ratio_subsampling_by_pattern", "I16")
+def class_ratio_subsampling_by_pattern(spark, d):
+    """The published setting (ratios 1 to 8, 200 repeats) at a cost independent of n."""
+    pat = settle(B.outcome_patterns(calls(spark, d), MODELS))
+    w = B.hypergeometric_pattern_weights(pat, (1, 2, 4, 8), 200, 5)
+    counts = B.pattern_counts(w, MODELS, "w", keys=["ratio", "rep"]).withColumn("mcc", M.mcc())
+    return counts.groupBy("ratio", "model").agg(F.avg("mcc").alias("mean_mcc"), F.count("*").alias("repeats"))
+
+
 @register(
     "block_mean_bootstrap", "I15 D42",
     WARM + """ SELECT l.model, CAST(l.b AS INTEGER) AS b, l.mean_mcc AS mean_low, h.mean_mcc AS mean_high, (l.mean_mcc - h.mean_mcc) / nullif(l.mean_mcc, 0) * 100 AS drop_pct

@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import col
+from scoreloom.sources.scratch import settle
+
+# A settled table of at most this many rows cannot overload one window task.
+SMALL_TABLE = 2_000_000
+
+
+def window_levels(settled: DataFrame) -> tuple[int, ...]:
+    """Range levels for ``running_totals`` of a written table: none when the whole table
+    is small (counted from the file footers), else two, so that a cluster of values
+    inside one range is cut again."""
+    return () if settled.count() <= SMALL_TABLE else (1024, 1024)
 
 
 def running_totals(
@@ -22,7 +33,7 @@ def running_totals(
     accumulated first (at most ``bins`` rows per group), and the row-level window then
     runs inside one range with that offset added. Add a second entry to ``bins`` to cut
     every range again between its own extremes when values cluster or groups differ in
-    scale.
+    scale; with no entry it is the plain window, for tables known to be small.
     """
     group = list(group)
     key = list(group)
@@ -135,8 +146,8 @@ def mid_ranks(df: DataFrame, value: str, *, group: Sequence[str] = (), name: str
 def mid_ranks_large(df: DataFrame, value: str, *, group: Sequence[str] = (), name: str = "mid_rank") -> DataFrame:
     """Average ranks of an unbounded group: distinct-value counts, distributed running
     totals, then one join back on the value."""
-    freq = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    cum = running_totals(freq, group, value, ["_c"], descending=False, prefix="_cum")
+    freq = settle(df.groupBy(*group, value).agg(F.count("*").alias("_c")))
+    cum = running_totals(freq, group, value, ["_c"], descending=False, prefix="_cum", bins=window_levels(freq))
     ranks = cum.select(*group, value, (F.col("_cum_c") - (F.col("_c") - 1) / 2.0).alias(name))
     return df.join(ranks, [*group, value])
 
@@ -187,8 +198,8 @@ def pareto_front(df: DataFrame, cost: str, gain: str, *, group: Sequence[str] =
 def n50(lengths: DataFrame, length: str, *, group: Sequence[str] = ()) -> DataFrame:
     """N50 per group: running totals over distinct lengths (bounded by the number of
     distinct lengths, not of rows)."""
-    mass = lengths.groupBy(*group, length).agg((F.count("*") * F.col(length)).cast("bigint").alias("bp"))
-    cum = running_totals(mass, group, length, ["bp"], descending=True)
+    mass = settle(lengths.groupBy(*group, length).agg((F.count("*") * F.col(length)).cast("bigint").alias("bp")))
+    cum = running_totals(mass, group, length, ["bp"], descending=True, bins=window_levels(mass))
     if group:
         joined = cum.join(mass.groupBy(*group).agg(F.sum("bp").alias("_total")), list(group))
     else:

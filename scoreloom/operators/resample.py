@@ -162,6 +162,40 @@ def multinomial_pattern_weights(patterns: DataFrame, replicates: int, seed: int,
     return reps.mapInPandas(draw, "b int, label int, pattern string, w bigint").filter("w > 0")
 
 
+def hypergeometric_pattern_weights(
+    patterns: DataFrame, ratios: Sequence[int], repeats: int, seed: int, *, n_cells: int = 4096
+) -> DataFrame:
+    """Class-ratio subsampling in O(patterns) per repeat.
+
+    Drawing negatives without replacement leaves multivariate hypergeometric counts
+    over their patterns; positives keep all their entities. Returns (ratio, rep, label,
+    pattern, w).
+    """
+    packed = patterns.agg(F.sort_array(F.collect_list(F.struct("label", "pattern", "n_entities"))).alias("cells")).withColumn(
+        "cells", F.when(F.size("cells") <= n_cells, F.col("cells")).otherwise(F.raise_error(F.lit("too many outcome patterns")))
+    )
+    reps = patterns.sparkSession.range(repeats).select(
+        F.col("id").cast("int").alias("rep"), F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio"), packed.scalar().alias("cells")
+    )
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for pdf in batches:
+            for rep, ratio, cells in zip(pdf["rep"], pdf["ratio"], pdf["cells"]):
+                label = np.array([c["label"] for c in cells])
+                n = np.array([c["n_entities"] for c in cells], dtype="int64")
+                want = min(int(n[label == 0].sum()), int(ratio) * int(n[label == 1].sum()))
+                w = n.copy()
+                rng = np.random.default_rng([seed, int(rep), int(ratio)])
+                w[label == 0] = rng.multivariate_hypergeometric(n[label == 0], want, method="marginals")
+                yield pd.DataFrame({
+                    "ratio": int(ratio), "rep": int(rep), "label": label, "pattern": [c["pattern"] for c in cells], "w": w,
+                }).astype({"ratio": "int32", "rep": "int32", "label": "int32", "w": "int64"})
+
+    return reps.mapInPandas(draw, "ratio int, rep int, label int, pattern string, w bigint").filter("w > 0")
+
+
 def permutation_ranks(pairs: DataFrame, permutations: int, seed: int, *, keys: Sequence[str], unit: str, x: str, y: str) -> DataFrame:
     """Replicate table (keys, b, x, y') with y shuffled over the units of each key by a
     hashed order. Units are blocks (samples), so groups are small by construction."""

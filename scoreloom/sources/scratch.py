@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's checkpoint directory; a local temporary
     folder only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return f"{base.rstrip('/')}/scoreloom-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

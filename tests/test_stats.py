@@ -165,6 +165,13 @@ def test_subsample_sizes(spark):
         assert r["fp"] + r["tn"] == 20 * r["ratio"] and r["tp"] + r["fn"] == 20
 
 
+def test_subsample_by_pattern_keeps_positives(spark):
+    pat = spark.createDataFrame([(1, "10", 30), (1, "00", 10), (0, "10", 500), (0, "01", 300)], "label int, pattern string, n_entities bigint")
+    w = B.hypergeometric_pattern_weights(pat, (1, 4), 5, 3)
+    for r in w.groupBy("ratio", "rep", "label").agg(F.sum("w").alias("n")).collect():
+        assert r["n"] == (40 if r["label"] == 1 else 40 * r["ratio"])
+
+
 def test_prevalence_standardisation(spark):
     df = spark.createDataFrame([(0.8, 0.1)], "t double, f double")
     got = df.select(M.mcc_at_prevalence(F.col("t"), F.col("f"), F.lit(0.5))).first()[0]
