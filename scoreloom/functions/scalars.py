@@ -22,18 +22,13 @@ def clean(c: Column | str) -> Column:
 
 
 def to_double(c: Column | str) -> Column:
-    """Tolerant text -> DOUBLE; ``nan``/``inf`` text becomes the IEEE value."""
-    t = F.trim(col(c))
-    return (
-        F.when(F.lower(t).isin("inf", "+inf", "infinity"), F.lit(float("inf")))
-        .when(F.lower(t).isin("-inf", "-infinity"), F.lit(float("-inf")))
-        .when(F.lower(t) == "nan", F.lit(float("nan")))
-        .otherwise(t.try_cast("double"))
-    )
+    """Tolerant text -> DOUBLE. The cast itself trims and reads nan/inf spellings; one
+    reference to the input keeps pushed-down filters from repeating the parse."""
+    return col(c).try_cast("double")
 
 
 def to_long(c: Column | str, default: int | None = None) -> Column:
-    v = F.trim(col(c)).try_cast("bigint")
+    v = col(c).try_cast("bigint")
     return v if default is None else F.coalesce(v, F.lit(default))
 
 
@@ -56,13 +51,12 @@ def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
 
 
 def softmax_share(logits: Sequence[Column], index: int) -> Column:
-    """Softmax probability of ``logits[index]``, shifted by the maximum."""
-    top = F.greatest(*logits)
-    exps = [F.exp(x - top) for x in logits]
-    total = exps[0]
-    for e in exps[1:]:
-        total = total + e
-    return exps[index] / total
+    """Softmax probability of ``logits[index]`` as 1 / sum(exp(x_j - x_i)). An overflowing
+    term gives 1/inf = 0, the right limit, so no shift by the maximum is needed."""
+    total = F.lit(0.0)
+    for x in logits:
+        total = total + F.exp(x - logits[index])
+    return 1.0 / total
 
 
 def unit_interval(c: Column | str) -> Column:

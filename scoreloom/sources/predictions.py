@@ -45,15 +45,17 @@ def deepvirfinder(df: DataFrame) -> DataFrame:
 
 
 def virfinder(lines: DataFrame) -> DataFrame:
-    """Tab-separated table or space-separated data-frame print with an index column."""
-    tab = F.split("value", r"\t")
-    gap = F.split(F.regexp_replace(F.trim("value"), '"', ""), r"\s+")
-    is_tab = F.size(tab) >= 4
-    name = F.when(is_tab, leading_token(F.get(tab, F.lit(0)))).otherwise(F.get(gap, F.lit(1)))
-    score = F.when(is_tab, F.get(tab, F.lit(2))).otherwise(F.element_at(gap, -2))
-    pval = F.when(is_tab, F.get(tab, F.lit(3))).otherwise(F.element_at(gap, -1))
-    rows = lines.filter((F.size(tab) >= 4) | (F.size(gap) >= 5))
-    return _out(rows, name, to_double(score), F.coalesce(to_double(pval), F.lit(1.0))).filter(F.col("entity_id") != "name")
+    """Tab-separated table or space-separated data-frame print with an index column.
+
+    The print is rewritten to the tabular layout (index dropped) and split once; the
+    generated row keeps later filters from re-splitting the line.
+    """
+    v = F.col("value")
+    printed = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(v, '"', "")), r"^\S+\s+", ""), r"\s+", "\t")
+    f = F.split(F.when(v.contains("\t"), v).otherwise(printed), r"\t")
+    cell = F.struct(F.get(f, F.lit(0)).alias("n"), F.get(f, F.lit(2)).alias("s"), F.get(f, F.lit(3)).alias("p"))
+    rows = lines.select(F.inline(F.array(cell))).filter(F.col("p").isNotNull() & (F.col("n") != "name"))
+    return _out(rows, leading_token("n"), to_double("s"), F.coalesce(to_double("p"), F.lit(1.0)))
 
 
 def pprmeta(df: DataFrame) -> DataFrame:
