@@ -67,11 +67,13 @@ def read_headerless(
 def parse_headerless(lines: DataFrame, columns: Sequence[tuple[str, str]], *, sep: str = "\t", min_fields: int | None = None) -> DataFrame:
     need = len(columns) if min_fields is None else min_fields
     pattern = r"\t" if sep == "\t" else sep
-    parts = lines.withColumn("_f", F.split("value", pattern, -1))
-    good = parts.filter((F.trim("value") != "") & ~F.col("value").startswith("#") & (F.size("_f") >= need))
-    field = lambda i: F.get("_f", F.lit(i))
     keep = [c for c in lines.columns if c != "value"]
-    return good.select(
+    rows = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    # The generated row holds the split line, so the field-count filter and the columns
+    # below share one split instead of having it pushed into each.
+    parts = rows.select(*keep, F.inline(F.array(F.struct(F.split("value", pattern, -1).alias("_f")))))
+    field = lambda i: F.get("_f", F.lit(i))
+    return parts.filter(F.size("_f") >= need).select(
         *keep, *[(_NUM[k](field(i)) if k in _NUM else F.trim(field(i))).alias(n) for i, (n, k) in enumerate(columns)]
     )
 
