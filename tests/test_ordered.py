@@ -106,3 +106,14 @@ def test_require_fails_the_job(spark):
     assert QC.require(df, F.col("x") > 0, "bad").count() == 2
     with pytest.raises(Exception, match="negative"):
         QC.require(df, F.col("x") > 1, "negative").collect()
+
+
+def test_scratch_uses_the_configured_folder():
+    from types import SimpleNamespace
+
+    from scoreloom.sources.scratch import scratch_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: "/shared/ckpt/" if key == "spark.checkpoint.dir" else default)
+    path = scratch_dir(SimpleNamespace(conf=conf))
+    assert path.startswith("/shared/ckpt/scoreloom-")
+    assert path != scratch_dir(SimpleNamespace(conf=conf))
