@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import lines, quality
+from scoreloom.llm import langid, lines, minhash, mixing, passages, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,28 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).drop("distance2")
+
+
+@query("op7_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), how=minhash.Near(shingle=3, per_cent=85))
+
+
+@query("op8_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(documents(spark, sf_dir))
+
+
+@query("op9_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digest(documents(spark, sf_dir))
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_languages(documents(spark, sf_dir))
+
+
+@query("op3_substring_dedup", passages.ORACLE)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digest(documents(spark, sf_dir))
