@@ -230,19 +230,17 @@ def judge(stats: DataFrame, group: list[str], how: Robust = Robust()) -> DataFra
     g = [f"_g{i}" for i in range(len(group))]
     keyed = stats.select("*", *[F.col(f"`{c}`").alias(k) for c, k in zip(group, g, strict=True)], *[v.alias(f"_x{i}") for i, v in enumerate(vector(F.col("_s")))],
                          base_failed(F.col("_s")).alias("base_failed"))
-    vectors = keyed.filter(~F.col("base_failed")).select(*g, *[f"_x{i}" for i in range(d)])
-    own = estimates(vectors, g, d, how)
-    overall = estimates(vectors.select(F.lit(0).alias("_all"), *[f"_x{i}" for i in range(d)]), ["_all"], d, how)
+    level = F.explode(F.array(F.struct(F.lit(1).alias("_lvl"), *g), F.struct(F.lit(0).alias("_lvl"), *[F.lit(None).cast(dict(keyed.dtypes)[k]).alias(k) for k in g])))
+    vectors = keyed.filter(~F.col("base_failed")).select(level.alias("_g"), *[f"_x{i}" for i in range(d)]).select("_g.*", *[f"_x{i}" for i in range(d)])
+    found = estimates(vectors, ["_lvl", *g], d, how).filter(F.col("_n") >= how.min_rows * how.share)
     params = [f"_m{i}" for i in range(d)] + [f"_l{i}_{j}" for i in range(d) for j in range(i + 1)]
-    enough = F.col("_n") >= how.min_rows * how.share
-    rows = keyed.withColumn("_all", F.lit(0)).alias("r").join(own.filter(enough).alias("p"), _on(g, "r", "p"), "left").select(
-        "r.*", F.struct(*[F.col(f"p.{c}") for c in params]).alias("_own"), F.col("p._n").isNotNull().alias("_has"))
-    rows = rows.alias("r").join(overall.filter(enough).alias("p"), "_all", "left").select(
-        "r.*", *[F.when(F.col("_has"), F.col(f"_own.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in params])
+    overall = found.filter("_lvl = 0").select(F.struct(*params)).scalar()
+    own = found.filter("_lvl = 1").select(*g, F.struct(*params).alias("_own"))
+    rows = keyed.alias("r").join(own.alias("p"), _on(g, "r", "p"), "left").select("r.*", F.coalesce("p._own", overall).alias("_p")).select("*", "_p.*")
     cut = chi2_tail(how.tail, d)
     return rows.withColumn("distance2", distance(d)).withColumn(
         "kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance2") <= cut, F.lit(True)))
-    ).drop(*params, *g, *[f"_x{i}" for i in range(d)], "_own", "_has", "_all")
+    ).drop(*params, *g, *[f"_x{i}" for i in range(d)], "_p")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group: tuple[str, ...] = ("lang", "source"), how: Robust = Robust()) -> DataFrame:
