@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import langid, lines, minhash, mixing, passages, pieces, quality
+from scoreloom.llm import langid, lines, minhash, mixing, passages, pieces, pii, quality, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_substring_dedup", passages.ORACLE)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_digest(documents(spark, sf_dir))
+
+
+@query("op5_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
+@query("op6_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
