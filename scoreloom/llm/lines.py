@@ -3,7 +3,8 @@
 Lines travel as 128-bit key hashes, never as text. Occurrences are range-partitioned by (hash, id, position)
 and sorted that way, so even a line that a third of all documents hold is spread over many ranges; each range
 streams its runs and reports one candidate first occurrence per key, and the few candidates of a key that
-crosses ranges meet in a small aggregate. Documents then receive a sparse bitmap, 64 lines a word, that names
+crosses ranges meet in a small aggregate. The hashes are written once before that, since ranges are chosen by a
+sample and the rows are used twice. Documents then receive a sparse bitmap, 64 lines a word, that names
 only words with a dropped line; the text is cut by its own bitmap at the end.
 
 Defined results: a null or empty text is one empty line; a row without id neither drops lines nor loses any;
@@ -17,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.columns import WS, ascii_lower, columns_of, let, whole
+from scoreloom.sources.scratch import settle
+
+#: A key's occurrences are dealt over so many join tasks; only repeated keys are copied for it.
+SALTS = 16
 
 
 def lines(text: str | Column) -> Column:
@@ -38,9 +43,10 @@ def key_hash(line: Column, least: int) -> Column:
 def dropped_bitmaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 10) -> DataFrame:
     """(_id, _t, dropped): for each row that loses lines, the words (number, bits) of its bitmap that are not
     zero. ``_t`` is the hash of the text, so that rows sharing an id keep their own bitmaps."""
-    occ = occurrences(docs, id_col, text, least).repartitionByRange(F.col("_h"), F.col("_g"), F.col("_id"), F.col("_p")).sortWithinPartitions("_h", "_g", "_id", "_p")
+    occ = settle(occurrences(docs, id_col, text, least)).repartitionByRange(F.col("_h"), F.col("_g"), F.col("_id"), F.col("_p")).sortWithinPartitions("_h", "_g", "_id", "_p")
     first = occ.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").select("_h", "_g", "_first")
-    late = occ.join(first, ["_h", "_g"]).filter("_id > _first").select("_id", "_t", F.shiftright("_p", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_p") % 64).alias("b"))
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    late = occ.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(first, ["_h", "_g", "_salt"]).filter("_id > _first").select("_id", "_t", F.shiftright("_p", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_p") % 64).alias("b"))
     return late.groupBy("_id", "_t", "w").agg(F.bit_or("b").alias("b")).groupBy("_id", "_t").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("dropped"))
 
 
