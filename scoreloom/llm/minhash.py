@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm import arrays as A
@@ -91,11 +91,11 @@ def signature(s: np.ndarray, how: Near) -> tuple[bytes, list[int], bytes]:
     return key, A.signed(bands).tolist(), np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-SIGNED = "id long, n long, key binary, bands array<long>, sketch binary"
+SIGNED = "id long, t long, n long, key binary, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, how: Near) -> DataFrame:
-    """``docs``: id, text."""
+    """``docs``: id, text. ``t`` is the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +107,10 @@ def signatures(docs: DataFrame, how: Near) -> DataFrame:
                 bands.append(b)
                 sketches.append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["id", "n", "key", "bands", "sketch"])
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["id", "t", "n", "key", "bands", "sketch"])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(run, SIGNED)
 
 
 def ties(classes: DataFrame) -> DataFrame:
@@ -199,17 +199,43 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, how: Nea
     return rows.groupBy("of", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Near = Near()) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row."""
-    source = columns_of(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+def decisions(source: DataFrame, how: Near) -> DataFrame:
+    """(id, t, n, key, group, component_id) of every row of ``source`` (id, text); key and group are null for rows
+    that take no part, and group is one value per group of linked texts."""
     signed = settle(signatures(source, how))
     classes = settle(signed.filter("n > 0 and id is not null").groupBy("key").agg(
         F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     edges = confirmed(source, classes, settle(components(ties(classes))), how)
     linked = settle(components(edges))
     least = linked.join(classes.select(F.col("key").alias("v"), "rep"), "v").groupBy("c").agg(F.min("rep").alias("component_id"))
-    by_class = classes.select("key", "rep").join(linked.join(least, "c").select(F.col("v").alias("key"), "component_id"), "key", "left").select(
-        "key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(by_class, "key", "left")
+    by_class = classes.select("key", "rep").join(linked.join(least, "c").select(F.col("v").alias("key"), F.col("c").alias("group"), "component_id"), "key", "left").select(
+        "key", F.coalesce("group", "key").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    return signed.select("id", "t", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(by_class, "key", "left")
+
+
+def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return columns_of(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Near = Near()) -> DataFrame:
+    """id, n_shingles, component_id, kept of every row."""
+    out = decisions(_source(docs, id_col, text), how)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Near = Near()) -> DataFrame:
+    """``docs`` with one row of each group: that of the least id. Rows without words or id all stay.
+
+    The rows to leave out are few: per group, all (id, class) but the first. A row is one of them if its id and
+    the hash of its text are; of several rows with the first id and class, one stays.
+    """
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t"))
+    known = settle(decisions(source, how).filter("group is not null").select(F.col("id").alias("_id"), F.col("t").alias("_t"), "group"))
+    first = known.groupBy("group").agg(F.min(F.struct("_id", "_t")).alias("f"))
+    lost = known.join(first, "group").filter(F.struct("_id", "_t") != F.col("f")).select("_id", "_t").distinct().withColumn("_gone", F.lit(True))
+    left = rows.join(lost, ["_id", "_t"], "left").filter("_gone is null")
+    has_words = F.col(f"_doc.`{text}`").rlike(r"[^\x20\x09-\x0D]") & F.col("_id").isNotNull()
+    nth = F.row_number().over(Window.partitionBy("_id", "_t").orderBy(F.xxhash64("_doc")))
+    return left.withColumn("_nth", nth).filter((F.col("_nth") == 1) | ~F.coalesce(has_words, F.lit(False))).select("_doc.*")

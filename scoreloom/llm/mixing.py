@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.arrays import mix as mix64
 from scoreloom.llm.arrays import stream
-from scoreloom.llm.columns import columns_of, word_count, words
+from scoreloom.llm.columns import columns_of, let, whole, word_count, words
 from scoreloom.sources.scratch import settle
 
 
@@ -178,19 +178,26 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", how: Mix = Mix()) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: one row for each time that words of a document are taken.
     A document taken whole keeps its text; one taken in part keeps the taken words, joined by single spaces."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), word_count(f"`{text}`").alias("size"), F.col(f"`{source}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = settle(rows)
-    sources = settle(plan(targets(rows.select("source", "size"), how), how))
-    placed = settle(streams(rows.filter("size > 0"), sources, how))
+    key = ["id", "_t", "source", "size"]
+    light = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(f"`{text}`")).alias("_t"), F.col(f"`{source}`").alias("source"), word_count(f"`{text}`").alias("size"))
+    light = settle(light)
+    sources = settle(plan(targets(light.select("source", "size"), how), how))
+    placed = streams(light.filter("size > 0"), sources, how)
     cut = pieces(placed.select("_s", "_at", "size"), block_uses(sources, how), how)
     runs = cut.groupBy("_s", "_at").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "whole", "part_hi"))).alias("_p"))
+    # Rows that agree in all of ``key`` are interchangeable: each takes one of the places that were given to them.
+    places = placed.join(runs, ["_s", "_at"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_at", "_p"))).alias("_places"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(f"`{text}`")).alias("_t"), F.col(f"`{source}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    nth = F.row_number().over(Window.partitionBy("id", "_t").orderBy("source", F.xxhash64("_doc"))) - F.rank().over(Window.partitionBy("id", "_t").orderBy("source"))
+    rows = rows.withColumn("_nth", nth).withColumnRenamed("id", "_i").withColumnRenamed("source", "_src").withColumnRenamed("_t", "_h")
+    met = rows.join(places, F.col("_i").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("_t")) & F.col("_src").eqNullSafe(F.col("source")))
+    each = met.select("_doc", "size", F.get("_places", F.col("_nth"))["_p"].alias("_p"))
     copies = [F.transform("_p", lambda x, k=k: F.struct(x["lo"].alias("lo"), F.when(x["whole"] >= k, x["hi"]).otherwise(x["lo"]).alias("hi"))) for k in range(1, how.most + 1)]
     copies.append(F.transform("_p", lambda x: F.struct(x["lo"].alias("lo"), F.greatest(F.least(x["part_hi"], x["hi"]), x["lo"]).alias("hi"))))
-    taken = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
-    each = placed.join(runs, ["_s", "_at"]).select("_doc", "size", F.explode(F.array(*copies)).alias("_c")).withColumn("_n", taken(F.col("_c"))).filter("_n > 0")
-    w = words(F.col(f"_doc.`{text}`"))
-    cut_text = F.array_join(F.flatten(F.transform(F.filter("_c", lambda x: x["hi"] > x["lo"]), lambda x: F.slice(F.col("_w"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), " ")
-    whole = each.filter("_n = size").select("_doc", F.col(f"_doc.`{text}`").alias("_text"))
-    partly = each.filter("_n < size").withColumn("_w", w).select("_doc", cut_text.alias("_text"))
+    taken = F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
+    each = each.select("_doc", "size", F.explode(F.array(*copies)).alias("_c")).withColumn("_n", taken).filter("_n > 0")
+    some = F.filter("_c", lambda x: x["hi"] > x["lo"])
+    part = let(words(F.col(f"_doc.`{text}`")), lambda w: F.array_join(F.flatten(F.transform(some, lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), " "))
+    out = each.withColumn("_text", F.when(F.col("_n") == F.col("size"), F.col(f"_doc.`{text}`")).otherwise(part))
     pick = {text: F.col("_text"), length: F.length("_text").cast(dict(docs.dtypes).get(length, "long"))}
-    return whole.union(partly).select(*[pick.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[pick.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.llm import arrays as A
 from scoreloom.llm.columns import columns_of
@@ -227,7 +228,7 @@ def with_ids(docs: DataFrame, text: str = "text", pieces: Pieces | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "ids"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
-    schema = rows.drop(text).schema.add("ids", "array<int>")
+    schema = rows.drop(text).schema.add("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, schema)
 
 

@@ -249,10 +249,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", g
     return judge(stats, list(group), how).select(F.col(id_col), *[F.col(f"_s.{c}").alias(c) for c in STATS], "base_failed", "kept", "distance2")
 
 
-def keep_good(docs: DataFrame, text: str = "text", group: tuple[str, ...] = ("lang", "source"), how: Robust = Robust()) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Texts are written once beside their
-    statistics, so neither is computed twice and no text is shuffled."""
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), *[F.col(f"`{c}`").alias(k) for c, k in zip((text, *group), ("_text", *[f"_k{i}" for i in range(len(group))]), strict=True)])
-    stats = settle(with_stats(rows, "_text").drop("_text"))
-    return judge(stats, [f"_k{i}" for i in range(len(group))], how).filter("kept").select("_doc.*")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group: tuple[str, ...] = ("lang", "source"), how: Robust = Robust()) -> DataFrame:
+    """The documents that the rules keep, with their own columns. A verdict depends on a row's text and group
+    alone, so it is looked up by id, text hash and group; equal rows share it."""
+    g = [f"_k{i}" for i in range(len(group))]
+    key = [F.col(f"`{id_col}`").alias("_i"), F.xxhash64(whole(f"`{text}`")).alias("_t"), *[F.col(f"`{c}`").alias(k) for c, k in zip(group, g, strict=True)]]
+    stats = settle(docs.select(*key, F.col(f"`{text}`").alias("_text")).withColumn("_s", text_stats("_text")).drop("_text"))
+    good = judge(stats, g, how).filter("kept").select("_i", "_t", *g).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *key)
+    return rows.alias("r").join(good.alias("p"), _on(["_i", "_t", *g], "r", "p"), "left_semi").select("_doc.*")
