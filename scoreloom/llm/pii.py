@@ -103,8 +103,8 @@ DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_AT = r"[\[({<]\s{0,3}(?:at|@|arroba|ät)\s{0,3}[\])}>]|(?<=[A-Za-z0-9])\s{1,3}(?:at|@|arroba)\s{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[-_](?:at|AT)[-_](?=[A-Za-z0-9])"
-_DOT = r"[\[({<]\s{0,3}(?:dot|\.|punto|punkt|point)\s{0,3}[\])}>]|(?<=[A-Za-z0-9])\s{1,3}(?:dot|punto|punkt|point)\s{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[-_](?:dot|DOT)[-_](?=[A-Za-z0-9])"
+_AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba|ät)\s{0,3}[\])}>]\s{0,3}|(?<=[A-Za-z0-9])\s{1,3}(?:at|@|arroba)\s{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[-_](?:at|AT)[-_](?=[A-Za-z0-9])"
+_DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punto|punkt|point)\s{0,3}[\])}>]\s{0,3}|(?<=[A-Za-z0-9])\s{1,3}(?:dot|punto|punkt|point)\s{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[-_](?:dot|DOT)[-_](?=[A-Za-z0-9])"
 DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 SPELLED = re.compile(rf"\b(?:{_WORD})\b(?:[\s,.-]{{0,3}}\b(?:double |triple )?(?:{_WORD})\b|[\s,.-]{{0,3}}[0-9]+)+", re.IGNORECASE)
 SPELLED_PLUS = re.compile(r"\bplus\s{1,3}\Z", re.IGNORECASE)
@@ -247,12 +247,13 @@ def redacted(t: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind."""
-    place = docs.columns.index(text)
+    names = docs.columns
+    place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
             cols[place] = pa.array([None if (t := x.as_py()) is None else redacted(t) for x in cols[place]], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -159,10 +159,11 @@ def descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             u, ls = [], []
             if end > 0:
                 m, worst = t.column("m").to_numpy(), t.column("worst").to_numpy()
-                x = matrix(t.column("vec").slice(0, int(cut[end])))
-                for a, b in zip(cut[:end], cut[1 : end + 1], strict=True):
+                vec = t.column("vec").combine_chunks().slice(0, int(cut[end]))
+                x = matrix(vec) if len(pc.unique(pc.list_value_length(vec))) == 1 else None  # lengths differ between neighbourhoods only
+                for a, b in zip(cut[:end].tolist(), cut[1 : end + 1].tolist(), strict=True):
                     if b - a > 1:
-                        i, o = meet(m[a:b], worst[a:b], x[a:b])
+                        i, o = meet(m[a:b], worst[a:b], x[a:b] if x is not None else matrix(vec.slice(a, b - a)))
                         u.append(i)
                         ls.append(o)
             out = [pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.concat_arrays(ls)], names=["u", "l"])] if u else []
