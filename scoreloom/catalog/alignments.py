@@ -35,7 +35,7 @@ def hit_tiling(spark, d):
 
 @register(
     "best_subject_per_query", "J6 E5",
-    _TILE + " SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY total_bitscore DESC, sseqid) AS rn FROM tile) WHERE rn = 1", _TD,
+    _TILE + " SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY round(identical_bases, 9) DESC, total_bitscore DESC, sseqid) AS rn FROM tile) WHERE rn = 1", _TD,
 )
 def best_subject_per_query(spark, d):
     return I.best_subject(tiles(spark, d))
@@ -104,7 +104,7 @@ def estimator_audit(spark, d):
     return n.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-_BEST = _TILE + """, best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY total_bitscore DESC, sseqid) AS rn FROM tile) WHERE rn = 1)"""
+_BEST = _TILE + """, best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY round(identical_bases, 9) DESC, total_bitscore DESC, sseqid) AS rn FROM tile) WHERE rn = 1)"""
 
 
 @register(

@@ -249,14 +249,16 @@ def libraries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def quality_context(spark: SparkSession, d: str) -> DataFrame:
+    """Quality and taxonomy of the orders that these tables list; open low-priority orders are in neither."""
     o = table(spark, d, "orders")
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
-    return o.select(
+    return o.filter((pr != "5-LOW") | (st == "F")).select(
         F.col("o_orderkey").alias("entity_id"), F.date_format("o_orderdate", "yyyy-MM").alias("block"),
         F.when(pr == "1-URGENT", "Complete").when(pr == "2-HIGH", "High-quality").when(pr == "3-MEDIUM", "Low-quality").otherwise("Not-determined").alias("quality"),
         F.when(st == "P", 1).otherwise(0).alias("viral_genes"), F.when(pr == "4-NOT SPECIFIED", 3).otherwise(0).alias("host_genes"),
         F.when((st == "F") & (pr == "5-LOW"), "Yes").otherwise("No").alias("provirus"), (st != "O").alias("classified"),
         F.when(st == "F", "Bacteria").when(st == "O", "unclassified").otherwise("Viruses").alias("domain"),
+        F.when(st == "F", "Escherichia coli (taxid 562)").when(st == "O", "unclassified").otherwise("Papillomaviridae").alias("taxon"),
     )
 
 
@@ -277,10 +279,13 @@ q AS (SELECT o_orderkey AS entity_id, strftime(o_orderdate, '%Y-%m') AS block,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'Complete' WHEN '2-HIGH' THEN 'High-quality' WHEN '3-MEDIUM' THEN 'Low-quality' ELSE 'Not-determined' END AS quality,
     CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS viral_genes, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 3 ELSE 0 END AS host_genes,
     CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'Yes' ELSE 'No' END AS provirus, o_orderstatus <> 'O' AS classified,
-    CASE o_orderstatus WHEN 'F' THEN 'Bacteria' WHEN 'O' THEN 'unclassified' ELSE 'Viruses' END AS domain FROM orders),
-lab AS (SELECT e.entity_id, e.length, e.depth_a, e.depth_b, e.ratio, e.enrichment_class, q.* EXCLUDE (entity_id),
-    (quality IN ('Medium-quality', 'High-quality', 'Complete') OR viral_genes >= 1 OR provirus = 'Yes') AS is_viral
-    FROM enriched e JOIN q ON e.entity_id = q.entity_id)"""
+    CASE o_orderstatus WHEN 'F' THEN 'Bacteria' WHEN 'O' THEN 'unclassified' ELSE 'Viruses' END AS domain,
+    CASE o_orderstatus WHEN 'F' THEN 'Escherichia coli (taxid 562)' WHEN 'O' THEN 'unclassified' ELSE 'Papillomaviridae' END AS taxon
+    FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderstatus = 'F'),
+lab AS (SELECT *, (quality IN ('Medium-quality', 'High-quality', 'Complete') OR viral_genes >= 1 OR provirus = 'Yes') AS is_viral
+  FROM (SELECT e.entity_id, e.length, e.depth_a, e.depth_b, e.ratio, e.enrichment_class, block, coalesce(quality, 'Not-determined') AS quality, coalesce(viral_genes, 0) AS viral_genes,
+      coalesce(host_genes, 0) AS host_genes, coalesce(provirus, 'No') AS provirus, coalesce(classified, false) AS classified, coalesce(domain, 'unknown') AS domain, coalesce(taxon, 'unclassified') AS taxon
+    FROM enriched e LEFT JOIN q ON e.entity_id = q.entity_id))"""
 
 
 # ------------------------------------------------------------------ alignments

@@ -96,7 +96,7 @@ def protein_best_hits(spark, d):
     z = F.lit("1")
     title = F.when(F.col("l_linestatus") == "F", "E6 protein [Human papillomavirus type 16]").otherwise("capsid [Lactobacillus phage LL-H]")
     li = table(spark, d, "lineitem")
-    v = tabs(s("l_suppkey"), F.col("l_returnflag"), s("l_discount"), q, z, z, z, q, z, q, s("l_tax"), s("l_extendedprice"), z, z, title)
+    v = tabs(s("l_suppkey"), F.col("l_returnflag"), s("l_discount"), q, z, z, z, q, z, q, s("l_tax"), s("l_extendedprice"), title)
     pos = F.concat(F.lpad(s("l_orderkey"), 12, "0"), F.lpad(s("l_partkey"), 10, "0"), s("l_linenumber"))
     rows = BIO.protein_hits(li.select(v.alias("value"), pos.alias("line_no")))
     best = BIO.best_protein_hit(rows, min_length=30)
@@ -119,15 +119,15 @@ def paf_scan(spark, d):
 
 @register(
     "ani_table_best", "A7 E5",
-    "SELECT query, ref, ani, af_shorter FROM (SELECT o_custkey::VARCHAR AS query, o_orderkey::VARCHAR AS ref, o_totalprice / 8192 AS ani, greatest(o_totalprice / 16384, 20.0) AS af_shorter, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 8192 DESC, o_orderkey::VARCHAR) AS rn FROM orders) WHERE rn = 1",
+    "SELECT query, ref, ani, af_shorter FROM (SELECT o_custkey::VARCHAR AS query, o_orderkey::VARCHAR AS ref, o_totalprice / 8192 AS ani, greatest(o_totalprice / 16384, 20.0) AS af_shorter, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 8192 DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1",
     "ani af_shorter",
 )
 def ani_table_best(spark, d):
     o = table(spark, d, "orders").select(
         F.concat(s("o_orderkey"), F.lit(" ref")).alias("Ref_name"), F.concat(s("o_custkey"), F.lit(" query")).alias("Query_name"),
-        (F.col("o_totalprice") / 8192).cast("string").alias("ANI"), (F.col("o_totalprice") / 16384).cast("string").alias("Align_fraction_ref"), F.lit("20.0").alias("Align_fraction_query"),
+        (F.col("o_totalprice") / 8192).cast("string").alias("ANI"), (F.col("o_totalprice") / 16384).cast("string").alias("Align_fraction_ref"), F.lit("20.0").alias("Align_fraction_query"), s("o_orderkey").alias("line_no"),
     )
-    return BIO.ani_best(o).select("query", "ref", "ani", "af_shorter")
+    return BIO.ani_best(o, order="line_no").select("query", "ref", "ani", "af_shorter")
 
 
 _LET = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
@@ -302,20 +302,17 @@ def coverage_table_scan(spark, d):
     return BIO.coverage_table(raw).select("entity_id", "length", "depth")
 
 
-_REPL = ("fam_R",)
-
-
 @register(
     "gene_family_map", "A16 J17 B20 E5",
-    """WITH f AS (SELECT l_suppkey, 'fam_' || l_returnflag || l_linestatus AS fam, max(l_extendedprice) AS sc FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL)
-    SELECT 'g' || l_suppkey AS gene, string_agg(fam, ';' ORDER BY sc DESC, fam) AS families, CASE WHEN bool_or(fam = 'fam_RO') THEN 'Plasmid replication / mobilisation' WHEN bool_or(fam LIKE 'fam_A%') THEN 'Phage-type domain' ELSE 'Other Pfam domain' END AS class FROM f GROUP BY l_suppkey""",
+    """WITH f AS (SELECT l_suppkey, 'fam_' || l_returnflag || l_linestatus AS fam, max(l_extendedprice) AS sc FROM lineitem GROUP BY ALL)
+    SELECT 'g' || l_suppkey AS gene, string_agg(fam, ';' ORDER BY sc DESC, fam DESC) AS families, CASE WHEN bool_or(fam = 'fam_RO') THEN 'Plasmid replication / mobilisation' WHEN bool_or(fam LIKE 'fam_A%') THEN 'Phage-type domain' ELSE 'Other Pfam domain' END AS class FROM f GROUP BY l_suppkey""",
 )
 def gene_family_map(spark, d):
     """Domain lines -> families per gene, best score first, and the gene's class."""
-    li = table(spark, d, "lineitem").filter(F.col("l_quantity") >= 45)
+    li = table(spark, d, "lineitem")
     fam = F.concat(F.lit("fam_"), F.col("l_returnflag"), F.col("l_linestatus"))
     z = F.lit("-")
-    v = F.concat_ws("   ", fam, F.lit("PF1"), F.lit("100"), F.concat(F.lit("g"), s("l_suppkey")), z, F.lit("300"), s("l_tax"), s("l_extendedprice"), z, z, z, z, z, z)
+    v = F.concat_ws("   ", fam, F.lit("PF1"), F.lit("100"), F.concat(F.lit("g"), s("l_suppkey")), z, F.lit("300"), s("l_tax"), F.lit("7.5"), z, F.lit("1"), F.lit("1"), z, z, s("l_extendedprice"), z, F.lit("1"), F.lit("90"))
     genes = BIO.gene_families(BIO.domain_hits(li.select(v.alias("value"))))
     cls = R.domain_class(F.col("families"), ("fam_RO",), (), "fam_A")
     return genes.select("gene", F.concat_ws(";", "families").alias("families"), cls.alias("class"))
@@ -326,7 +323,7 @@ def gene_family_map(spark, d):
     "SELECT p_partkey::VARCHAR AS name, p_retailprice AS identity, CAST(p_size AS BIGINT) AS shared_hashes FROM part WHERE p_size >= 25", "identity",
 )
 def screen_rows(spark, d):
-    v = tabs(s("p_retailprice"), F.concat(s("p_size"), F.lit("/50")), s("p_partkey"))
+    v = tabs(s("p_retailprice"), F.concat(s("p_size"), F.lit("/50")), F.lit("2"), F.lit("0"), s("p_partkey"), F.lit("comment"))
     r = BIO.screen_rows(table(spark, d, "part").select(v.alias("value")))
     return r.filter(F.col("shared_hashes") / F.col("total_hashes") >= 0.5).select("name", "identity", "shared_hashes")
 
@@ -406,8 +403,8 @@ _reader(
 )
 _reader(
     "reader_vibrant", "A22.8",
-    lambda li: P.vibrant_calls(li.filter("l_quantity > 40").select(F.when(F.col("l_linestatus") == "O", F.concat(F.lit(">"), s("l_orderkey"), F.lit(" phage"))).otherwise(s("l_orderkey")).alias("value"), (F.col("l_linestatus") == "O").alias("is_fasta"))),
-    "SELECT DISTINCT l_orderkey::VARCHAR AS entity_id, 1.0::DOUBLE AS score, NULL::DOUBLE AS pvalue FROM lineitem WHERE l_quantity > 40",
+    lambda li: P.vibrant_calls(li.select(F.when(F.col("l_linestatus") == "O", F.concat(F.lit(">"), s("l_orderkey"), F.lit(" phage"))).otherwise(s("l_orderkey")).alias("value"), (F.col("l_linestatus") == "O").alias("is_fasta"))),
+    "SELECT DISTINCT l_orderkey::VARCHAR AS entity_id, 1.0::DOUBLE AS score, NULL::DOUBLE AS pvalue FROM lineitem",
 )
 _reader(
     "reader_virsorter2", "A22.9",
@@ -415,7 +412,7 @@ _reader(
     "SELECT l_orderkey::VARCHAR AS entity_id, max(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_discount END) AS score, NULL::DOUBLE AS pvalue FROM lineitem GROUP BY 1",
 )
 _reader(
-    "reader_hvseeker", "A22.11", lambda li: P.hvseeker(li.select(_id().alias("contig_id"), s("l_tax").alias("score"))), _SEL("l_tax"),
+    "reader_hvseeker", "A22.11", lambda li: P.hvseeker(li.select(_id().alias("contig_id"), F.lit("900").alias("length"), s("l_tax").alias("viral_score"), F.lit("x").alias("prediction"))), _SEL("l_tax"),
 )
 _JG = ("l_discount", "l_tax", "l_quantity / 50", "l_linenumber / 7.0::DOUBLE")
 _reader(

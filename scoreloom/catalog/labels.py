@@ -33,7 +33,7 @@ _EV = "concat_ws(',', CASE WHEN e1a THEN 'E1a' END, CASE WHEN e1b THEN 'E1b' END
     TIERS_SQL + f""" SELECT entity_id, n_evidence, tier, category, {_EV} AS evidence,
     concat_ws('; ',
       CASE WHEN n_evidence = 0 AND host_genes > 0 AND viral_genes = 0 THEN 'checkv:' || viral_genes || '_viral_genes' END,
-      CASE WHEN n_evidence = 0 AND NOT (host_genes > 0 AND viral_genes = 0) AND taxon IS NOT NULL THEN 'kraken2:' || substr(taxon, 1, 60) END,
+      CASE WHEN n_evidence = 0 AND NOT (host_genes > 0 AND viral_genes = 0) AND taxon IS NOT NULL THEN 'kraken2:' || taxon END,
       CASE WHEN n_evidence = 0 AND taxon IS NULL AND host_genes = 0 AND viral_genes = 0 THEN 'no_gene_classification' END,
       CASE WHEN n_evidence > 0 AND e3 THEN 'phigaro:' || coords END,
       CASE WHEN n_evidence > 0 AND NOT e3 AND e1a AND family NOT IN ('phage', 'unknown') THEN 'family:' || family END,
@@ -239,7 +239,7 @@ def enrichment_ratios(spark, d):
 
 
 def labelled(spark, d):
-    return L.enrichment_label(enriched(spark, d).join(quality_context(spark, d), "entity_id"), domains=("Bacteria",))
+    return L.enrichment_label(L.with_context(enriched(spark, d), quality_context(spark, d)), domains=("Bacteria",))
 
 
 _SIG = "CASE WHEN quality IN ('Medium-quality', 'High-quality', 'Complete') THEN 'checkv_quality=' || quality WHEN viral_genes >= 1 THEN 'viral_genes=' || viral_genes WHEN provirus = 'Yes' THEN 'provirus=Yes' ELSE 'no_viral_signal' END"
@@ -248,17 +248,20 @@ _LABEL = """CASE WHEN enrichment_class = 'enriched' AND is_viral THEN 'TP'
   WHEN enrichment_class = 'background' AND NOT is_viral AND domain = 'Bacteria' THEN 'TN' ELSE 'excluded' END"""
 
 
+_R = lambda name, places: f"'{name}(R=' || CASE WHEN isinf(ratio) THEN 'inf' ELSE printf('%.{places}f', ratio) END || ')'"
+
+
 @register(
     "enrichment_labels", "J3 C4",
     LIBRARY_SQL + f""" SELECT entity_id, {_LABEL} AS label, CASE
-      WHEN enrichment_class = 'enriched' AND is_viral THEN 'enriched+' || {_SIG}
-      WHEN enrichment_class = 'enriched' AND viral_genes = 0 AND host_genes = 0 AND NOT classified THEN 'enriched+no_checkv+unclassified'
-      WHEN enrichment_class = 'enriched' AND host_genes > 0 AND viral_genes = 0 THEN 'enriched+host_genes=' || host_genes || '+no_viral'
-      WHEN enrichment_class = 'enriched' THEN 'enriched+ambiguous(' || {_SIG} || ')'
-      WHEN enrichment_class = 'background' AND NOT is_viral AND domain = 'Bacteria' THEN 'background+' || {_SIG}
-      WHEN enrichment_class = 'background' AND is_viral THEN 'background+viral_signal(' || {_SIG} || ')'
-      WHEN enrichment_class = 'background' THEN 'background+domain=' || domain
-      WHEN enrichment_class = 'moderate' THEN 'moderate_enrichment' ELSE 'depleted' END AS reason FROM lab""",
+      WHEN enrichment_class = 'enriched' AND is_viral THEN {_R('enriched', 1)} || '+' || {_SIG}
+      WHEN enrichment_class = 'enriched' AND viral_genes = 0 AND host_genes = 0 AND NOT classified THEN {_R('enriched', 1)} || '+no_checkv+unclassified'
+      WHEN enrichment_class = 'enriched' AND host_genes > 0 AND viral_genes = 0 THEN {_R('enriched', 1)} || '+host_genes=' || host_genes || '+no_viral'
+      WHEN enrichment_class = 'enriched' THEN {_R('enriched', 1)} || '+ambiguous(' || {_SIG} || ')'
+      WHEN enrichment_class = 'background' AND NOT is_viral AND domain = 'Bacteria' THEN {_R('background', 2)} || '+' || {_SIG} || '+kraken2=' || taxon
+      WHEN enrichment_class = 'background' AND is_viral THEN {_R('background', 2)} || '+viral_signal(' || {_SIG} || ')'
+      WHEN enrichment_class = 'background' THEN {_R('background', 2)} || '+domain=' || domain
+      WHEN enrichment_class = 'moderate' THEN {_R('moderate_enrichment', 2)} ELSE {_R('depleted', 2)} END AS reason FROM lab""",
 )
 def enrichment_labels(spark, d):
     return labelled(spark, d).select("entity_id", "label", "reason")

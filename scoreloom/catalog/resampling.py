@@ -151,13 +151,12 @@ def entity_bootstrap_auprc_groups(spark, d):
     """Paired difference of group-mean AUPRC; one weight table serves all models."""
     c = calls(spark, d).select("entity_id", "model", "family", "label", "score")
     w = B.unit_weights(table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id")), ["entity_id"], A_REPS, 7)
-    ap = V.average_precision(c.join(w, "entity_id"), ("b", "model", "family"), weight="w", bins=(256,))
+    ap = V.average_precision(c.join(w, "entity_id"), ("b", "model", "family"), weight="w")
     return ap.groupBy("b").agg(
         (F.avg(F.when(F.col("family") == "marker", F.col("auprc"))) - F.avg(F.when(F.col("family") == "composition", F.col("auprc")))).alias("diff")
     )
 
 
-_ARM = f"""WITH_ARM"""
 _BCA = f", bca AS (SELECT model, block || '/' || arm AS block, arm, {COUNTS_SQL} FROM calls GROUP BY ALL)"
 _AIDX = f""", aidx AS (SELECT arm, block, row_number() OVER (PARTITION BY arm ORDER BY substr(md5(concat_ws('|', arm, block)), 1, 3), arm, block) - 1 AS idx, count(*) OVER (PARTITION BY arm) AS n FROM (SELECT DISTINCT arm, block FROM bca)),
  aw AS (SELECT dr.arm, b, pos.block, count(*) AS w FROM (SELECT arm, b, {_draw(f"'{SEED}'", 'arm', 'b', 'idx')} % n AS p FROM aidx, range({REPS}) r(b)) dr JOIN aidx pos ON pos.idx = dr.p AND pos.arm = dr.arm GROUP BY ALL),

@@ -348,7 +348,7 @@ def average_precision(spark, d):
 )
 def average_precision_two_level(spark, d):
     """Same measure with ranges refined twice, the setting for clustered scores."""
-    return V.average_precision(calls(spark, d), bins=(64, 64)).select("model", "auprc")
+    return V.average_precision(calls(spark, d), ranges=64).select("model", "auprc")
 
 
 @register(

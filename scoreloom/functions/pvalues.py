@@ -110,18 +110,16 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def _u_counts(m: int, n: int) -> list[int]:
-    """Frequencies of the rank-sum statistic U for tie-free samples of sizes m, n."""
-    size = m * n + 1
-    table = [[0] * size for _ in range(m + 1)]
-    table[0][0] = 1
-    for v in range(1, m + n + 1):
-        for k in range(min(v, m), 0, -1):
-            prev = table[k - 1]
-            shift = v - k
-            cur = table[k]
-            for u in range(size - 1, shift - 1, -1):
-                cur[u] += prev[u - shift]
-    return table[m]
+    """Arrangements of two tie-free samples by U: the coefficients of the Gaussian binomial, as whole numbers."""
+    m, n = min(m, n), max(m, n)
+    top = m * n
+    c = [1] + [0] * top
+    for i in range(1, m + 1):
+        for u in range(top, n + i - 1, -1):
+            c[u] -= c[u - n - i]
+        for u in range(i, top + 1):
+            c[u] += c[u - i]
+    return c
 
 
 @F.pandas_udf(T.DoubleType())
@@ -134,7 +132,7 @@ def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_term: pd.Series,
         if v is None or math.isnan(v) or m < 1 or n < 1:
             return float("nan")
         m, n = int(m), int(n)
-        if t == 0 and min(m, n) <= 8 and m * n <= 4000:
+        if t == 0 and min(m, n) <= 8:
             freq = _u_counts(m, n)
             total = float(sum(freq))
             stat = v if s == "greater" else max(v, m * n - v)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import metrics as M
 from scoreloom.functions.scalars import at_least, is_finite, ratio
 from scoreloom.operators.decide import gate_open
-from scoreloom.operators.ordered import running_totals, window_levels
+from scoreloom.operators.ordered import running_totals
 from scoreloom.sources.scratch import settle
 
 
@@ -23,15 +23,14 @@ def score_histogram(scored: DataFrame, keys: Sequence[str] = ("model",), *, weig
     )
 
 
-def operating_points(hist: DataFrame, keys: Sequence[str] = ("model",), *, bins: Sequence[int] | None = None) -> DataFrame:
+def operating_points(hist: DataFrame, keys: Sequence[str] = ("model",), *, ranges: int = 256) -> DataFrame:
     """cum_pos / cum_neg at every distinct score, highest score first. ``hist`` is a
-    written table; the range levels follow from its size unless given."""
-    bins = window_levels(hist) if bins is None else bins
-    return running_totals(hist, keys, "score", ["pos", "neg"], descending=True, bins=bins)
+    written table."""
+    return running_totals(hist, keys, "score", ["pos", "neg"], descending=True, ranges=ranges)
 
 
 def average_precision(
-    scored: DataFrame, keys: Sequence[str] = ("model",), *, weight: str | None = None, bins: Sequence[int] | None = None,
+    scored: DataFrame, keys: Sequence[str] = ("model",), *, weight: str | None = None, ranges: int = 256,
 ) -> DataFrame:
     """AUPRC with ties collapsed: sum over distinct scores of delta-recall x precision.
 
@@ -47,8 +46,7 @@ def average_precision(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("n_scores"),
         F.bool_and(is_finite("score")).alias("_ok"),
     )
-    bins = window_levels(hist) if bins is None else bins
-    pts = operating_points(hist.filter(is_finite("score")), keys, bins=bins)
+    pts = operating_points(hist.filter(is_finite("score")), keys, ranges=ranges)
     area = pts.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_area")
     )
@@ -67,7 +65,7 @@ def pr_points(scored: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     on = F.col("emitted") & is_finite("score")
     every = settle(scored.groupBy(*keys, F.when(on, F.col("score")).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
     totals = every.groupBy(*keys).agg(F.sum("pos").alias("n_pos"))
-    pts = operating_points(every.filter(F.col("score").isNotNull()), keys, bins=window_levels(every)).join(totals, keys)
+    pts = operating_points(every.filter(F.col("score").isNotNull()), keys).join(totals, keys)
     curve = pts.select(
         *keys, F.col("score").alias("threshold"), ratio(F.col("cum_pos"), F.col("n_pos")).alias("recall"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
@@ -90,7 +88,6 @@ def threshold_metrics(grid: DataFrame, keys: Sequence[str] = ("model",)) -> Data
     hist = settle(grid.groupBy(*keys, "score").agg(
         F.count_if(gate & y).alias("pos"), F.count_if(gate & ~y).alias("neg"), F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")
     ))
-    bins = window_levels(hist)
     totals = hist.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     ends = totals.select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score")).select(
         "*", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")
@@ -99,7 +96,7 @@ def threshold_metrics(grid: DataFrame, keys: Sequence[str] = ("model",)) -> Data
         hist.select(*keys, "score", "pos", "neg").filter(is_finite("score")).unionByName(ends)
         .groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    pts = operating_points(hist, keys, bins=bins).join(totals, keys)
+    pts = operating_points(hist, keys).join(totals, keys)
     return pts.select(
         *keys, F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         (F.col("n_neg") - F.col("cum_neg")).alias("tn"), (F.col("n_pos") - F.col("cum_pos")).alias("fn"),

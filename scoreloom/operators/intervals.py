@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ratio
-from scoreloom.operators.ordered import best_per_key
 
 WIDTH = 256
 
@@ -96,8 +95,10 @@ def tile_hits(
 
 
 def best_subject(tiles: DataFrame, *, query: str = "qseqid", subject: str = "sseqid") -> DataFrame:
-    """Subject with the highest total accepted score per query."""
-    return best_per_key(tiles, [query], "total_bitscore", [subject])
+    """Subject with the most identical bases per query, then the highest total accepted score, then by name."""
+    rank = F.struct((-F.round("identical_bases", 9)).alias("i"), (-F.col("total_bitscore")).alias("s"), F.col(subject).alias("n"))
+    rows = F.struct(*[F.col(c) for c in tiles.columns])
+    return tiles.groupBy(query).agg(F.min_by(rows, rank).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in tiles.columns])
 
 
 def summed_identity(hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",)) -> DataFrame:

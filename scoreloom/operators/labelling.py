@@ -62,7 +62,7 @@ def tier_columns(
     notes = F.array_compact(
         F.array(
             F.when((n == 0) & by_genes, F.concat(F.lit("checkv:"), viral.cast("string"), F.lit("_viral_genes"))),
-            F.when((n == 0) & ~by_genes & by_taxon, F.concat(F.lit("kraken2:"), F.substring(taxon, 1, 60))),
+            F.when((n == 0) & ~by_genes & by_taxon, F.concat(F.lit("kraken2:"), F.col(taxon))),
             F.when((n == 0) & ~by_genes & ~by_taxon & (host == 0) & (viral == 0), "no_gene_classification"),
             F.when(hit & e3 & (F.col(coords) != ""), F.concat(F.lit("phigaro:"), F.col(coords))),
             F.when(hit & ~e3 & family_known, F.concat(F.lit("family:"), F.col(family))),
@@ -112,10 +112,19 @@ def enrichment_class(ratio: str, enriched: float = 10.0, low: float = 0.5, high:
     )
 
 
+#: What an entity counts as that a table does not list.
+NOT_LISTED = {"quality": "Not-determined", "viral_genes": 0, "host_genes": 0, "provirus": "No", "classified": False, "taxon": "unclassified", "domain": "unknown"}
+
+
+def with_context(entities: DataFrame, context: DataFrame, *, entity: str = "entity_id") -> DataFrame:
+    """Entities with quality, genes and taxonomy; those that the context lacks count as not listed."""
+    return entities.join(context, entity, "left").fillna({c: v for c, v in NOT_LISTED.items() if c in context.columns})
+
+
 def enrichment_label(df: DataFrame, *, domains: Sequence[str] = ("Bacteria", "Archaea"), klass: str = "enrichment_class") -> DataFrame:
     """TP / TN / dark_matter / excluded with a reason, from class, quality, genes and taxonomy.
 
-    Expects quality, viral_genes, host_genes, provirus, classified, domain.
+    Expects ratio, quality, viral_genes, host_genes, provirus, classified, taxon, domain.
     """
     k = F.col(klass)
     signal = R.quality_signal("quality", "viral_genes", "provirus")
@@ -129,16 +138,20 @@ def enrichment_label(df: DataFrame, *, domains: Sequence[str] = ("Bacteria", "Ar
         .when((k == "background") & negative, "TN")
         .otherwise("excluded")
     )
+    shown = lambda places: F.when(F.col("ratio") == INF, "inf").otherwise(F.call_function("format_number", F.col("ratio"), F.lit(f"0.{'0' * places}")))
+    at = lambda name, places: F.concat(F.lit(f"{name}(R="), shown(places), F.lit(")"))
+    plus = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    rich, plain = at("enriched", 1), at("background", 2)
     reason = (
-        F.when((k == "enriched") & viral, F.concat(F.lit("enriched+"), signal))
-        .when((k == "enriched") & unknown, "enriched+no_checkv+unclassified")
-        .when((k == "enriched") & host, F.concat(F.lit("enriched+host_genes="), F.col("host_genes").cast("string"), F.lit("+no_viral")))
-        .when(k == "enriched", F.concat(F.lit("enriched+ambiguous("), signal, F.lit(")")))
-        .when((k == "background") & negative, F.concat(F.lit("background+"), signal))
-        .when((k == "background") & viral, F.concat(F.lit("background+viral_signal("), signal, F.lit(")")))
-        .when(k == "background", F.concat(F.lit("background+domain="), F.col("domain")))
-        .when(k == "moderate", "moderate_enrichment")
-        .otherwise("depleted")
+        F.when((k == "enriched") & viral, plus(rich, "+", signal))
+        .when((k == "enriched") & unknown, plus(rich, "+no_checkv+unclassified"))
+        .when((k == "enriched") & host, plus(rich, "+host_genes=", F.col("host_genes").cast("string"), "+no_viral"))
+        .when(k == "enriched", plus(rich, "+ambiguous(", signal, ")"))
+        .when((k == "background") & negative, plus(plain, "+", signal, "+kraken2=", F.col("taxon")))
+        .when((k == "background") & viral, plus(plain, "+viral_signal(", signal, ")"))
+        .when(k == "background", plus(plain, "+domain=", F.col("domain")))
+        .when(k == "moderate", at("moderate_enrichment", 2))
+        .otherwise(at("depleted", 2))
     )
     return df.withColumn("label", label).withColumn("reason", reason)
 

@@ -10,68 +10,38 @@ from pyspark.sql import functions as F
 from scoreloom.functions.scalars import col
 from scoreloom.sources.scratch import settle
 
-# A settled table of at most this many rows cannot overload one window task.
-SMALL_TABLE = 2_000_000
-
-
-def window_levels(settled: DataFrame) -> tuple[int, ...]:
-    """Range levels for ``running_totals`` of a written table: none when the whole table
-    is small (counted from the file footers), else two, so that a cluster of values
-    inside one range is cut again."""
-    return () if settled.count() <= SMALL_TABLE else (1024, 1024)
-
 
 def running_totals(
-    df: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *, descending: bool = True,
-    bins: Sequence[int] = (1024,), prefix: str = "cum_",
+    df: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *, descending: bool = True, ranges: int = 256, prefix: str = "cum_",
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` in the order of ``value`` within ``group``.
 
-    Needs one row per (group, value), i.e. pre-aggregated input. A plain window
-    would sort a whole group in one task. Here values are cut into ranges of
-    equal width between the exact minimum and maximum; the range totals are
-    accumulated first (at most ``bins`` rows per group), and the row-level window then
-    runs inside one range with that offset added. Add a second entry to ``bins`` to cut
-    every range again between its own extremes when values cluster or groups differ in
-    scale; with no entry it is the plain window, for tables known to be small.
+    Needs one row per (group, value), i.e. pre-aggregated input. A plain window would sort a whole group in one
+    task. Here every group is cut at approximate quantiles of its values into ``ranges`` ranges of about as many
+    rows, whatever the values' scale; range totals are accumulated first (at most ``ranges`` rows per group), and
+    the row-level window then runs inside one range with that offset added. Results are exact wherever the cuts
+    fall. The cuts are written once, since all rows of a range must see the same ones.
     """
-    group = list(group)
     key = list(group)
-    if not key:
-        df, key = df.withColumn("_all", F.lit(0)), ["_all"]
     v = F.col(value)
-    order = v.desc() if descending else v.asc()
-    cur = df
-    offsets = {s: F.lit(0).cast("bigint") for s in sums}
-    helper: list[str] = []
-    for depth, n in enumerate(bins):
-        b, lo, hi = f"_b{depth}", f"_lo{depth}", f"_hi{depth}"
-        if depth == 0:
-            # Any increasing function of the value will do, so the first cut uses the
-            # overall extremes: a scalar subquery, no join on a possibly huge group.
-            ends = cur.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("e")).scalar()
-            cur = cur.withColumn("_e", ends).withColumn(lo, F.col("_e.lo")).withColumn(hi, F.col("_e.hi")).drop("_e")
-        else:
-            cur = cur.join(cur.groupBy(*key).agg(F.min(v).alias(lo), F.max(v).alias(hi)), key)
-        width = F.nullif((F.col(hi) - F.col(lo)).cast("double"), F.lit(0.0))
-        slot = F.floor(F.coalesce((v - F.col(lo)) / width, F.lit(0.0)) * n)
-        cur = cur.withColumn(b, F.least(slot, F.lit(n - 1))).drop(lo, hi)
-        totals = cur.groupBy(*key, b).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-        before = (
-            Window.partitionBy(*key)
-            .orderBy(F.col(b).desc() if descending else F.col(b).asc())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        totals = totals.select(
-            *key, b, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o{depth}_{s}") for s in sums]
-        )
-        cur = cur.join(totals, [*key, b])
-        key = [*key, b]
-        helper += [b, *[f"_o{depth}_{s}" for s in sums]]
-        offsets = {s: offsets[s] + F.col(f"_o{depth}_{s}") for s in sums}
-    inside = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cur.select("*", *[(offsets[s] + F.sum(s).over(inside)).alias(prefix + s) for s in sums])
-    return out.drop(*helper, "_all")
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(v, probs, F.lit(100 * ranges))))
+    step = 16
+    bounds = settle(df.groupBy(*key).agg(cuts.alias("_cuts"))).withColumn("_every", F.filter("_cuts", lambda x, i: i % step == step - 1))
+    if key:
+        cur = df.join(bounds, key)
+    else:
+        cur = df.withColumn("_pair", bounds.select(F.struct("_cuts", "_every")).scalar()).select(*df.columns, "_pair._cuts", "_pair._every")
+    coarse = F.size(F.filter("_every", lambda x: x < v))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_slot") * step + 1, F.lit(step)), lambda x: x < v))
+    cur = cur.withColumn("_slot", coarse).withColumn("_range", F.col("_slot") * step + fine).drop("_cuts", "_every", "_slot")
+    totals = cur.groupBy(*key, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    order = F.col("_range").desc() if descending else F.col("_range").asc()
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    inside = Window.partitionBy(*key, "_range").orderBy(v.desc() if descending else v.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cur.join(totals, [*key, "_range"]).select("*", *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(prefix + s) for s in sums])
+    return out.drop("_range", *[f"_o_{s}" for s in sums])
 
 
 def dense_index(
@@ -147,7 +117,7 @@ def mid_ranks_large(df: DataFrame, value: str, *, group: Sequence[str] = (), nam
     """Average ranks of an unbounded group: distinct-value counts, distributed running
     totals, then one join back on the value."""
     freq = settle(df.groupBy(*group, value).agg(F.count("*").alias("_c")))
-    cum = running_totals(freq, group, value, ["_c"], descending=False, prefix="_cum", bins=window_levels(freq))
+    cum = running_totals(freq, group, value, ["_c"], descending=False, prefix="_cum")
     ranks = cum.select(*group, value, (F.col("_cum_c") - (F.col("_c") - 1) / 2.0).alias(name))
     return df.join(ranks, [*group, value])
 
@@ -199,7 +169,7 @@ def n50(lengths: DataFrame, length: str, *, group: Sequence[str] = ()) -> DataFr
     """N50 per group: running totals over distinct lengths (bounded by the number of
     distinct lengths, not of rows)."""
     mass = settle(lengths.groupBy(*group, length).agg((F.count("*") * F.col(length)).cast("bigint").alias("bp")))
-    cum = running_totals(mass, group, length, ["bp"], descending=True, bins=window_levels(mass))
+    cum = running_totals(mass, group, length, ["bp"], descending=True)
     if group:
         joined = cum.join(mass.groupBy(*group).agg(F.sum("bp").alias("_total")), list(group))
     else:

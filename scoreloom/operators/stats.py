@@ -125,7 +125,10 @@ def signed_rank(pairs: DataFrame, diff: str, *, keys: Sequence[str] = ()) -> Dat
         F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("tie_term"),
     )
     total = base.groupBy(*g).agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), F.count_if(F.col("_a") == 0).alias("n_zero"))
-    return total.join(stat, g, "left").drop("_all")
+    if not keys:
+        one = stat.select(F.struct("w_plus", "n_nonzero", "tie_term")).scalar()
+        return total.drop("_all").withColumn("_s", one).select("n", "mean_diff", "n_zero", "_s.*")
+    return total.join(stat, g, "left")
 
 
 def fisher_table(counts: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:

@@ -17,7 +17,8 @@ HIT_COLUMNS = (
     ("gapopen", "bigint"), ("qstart", "bigint"), ("qend", "bigint"), ("sstart", "bigint"), ("send", "bigint"),
     ("evalue", "double"), ("bitscore", "double"), ("qlen", "bigint"), ("slen", "bigint"),
 )
-PROTEIN_HIT_COLUMNS = HIT_COLUMNS + (("stitle", "string"),)
+# Columns that all protein layouts share; the title follows them directly (13 columns) or after both lengths (15).
+PROTEIN_HIT_COLUMNS = HIT_COLUMNS[:12]
 PAF_COLUMNS = (
     ("query", "string"), ("qlen", "bigint"), ("qstart", "bigint"), ("qend", "bigint"), ("strand", "string"),
     ("target", "string"), ("tlen", "bigint"), ("tstart", "bigint"), ("tend", "bigint"), ("matches", "bigint"),
@@ -31,7 +32,13 @@ def hits(lines: DataFrame) -> DataFrame:
 
 
 def protein_hits(lines: DataFrame) -> DataFrame:
-    return parse_headerless(lines, PROTEIN_HIT_COLUMNS)
+    """Protein hit lines of 12 columns or more; the title is column 13, or column 15 where lengths stand before it."""
+    rows = parse_headerless(lines.withColumn("_v", F.col("value")), PROTEIN_HIT_COLUMNS)
+    f = F.split("_v", r"\t", -1)
+    long = F.size(f) >= 15
+    title = F.when(long, F.get(f, F.lit(14))).otherwise(F.coalesce(F.get(f, F.lit(12)), F.lit("")))
+    length = lambda i: F.when(long, to_long(F.get(f, F.lit(i))))
+    return rows.withColumns({"qlen": length(12), "slen": length(13), "stitle": F.trim(title)}).drop("_v")
 
 
 def best_protein_hit(rows: DataFrame, *, min_length: int = 50) -> DataFrame:
@@ -39,28 +46,32 @@ def best_protein_hit(rows: DataFrame, *, min_length: int = 50) -> DataFrame:
     return best_per_key(rows.filter(F.col("length") >= min_length), ["qseqid"], "bitscore", ["line_no"])
 
 
-def paf(lines: DataFrame) -> DataFrame:
-    """PAF lines -> typed rows. Identity is 100*(1 - de) from the ``de:f:`` tag, else
-    matches over block length; coordinates are 0-based half-open."""
+def paf(lines: DataFrame, *, identity: str = "tag") -> DataFrame:
+    """PAF lines -> typed rows; coordinates are 0-based half-open. Identity is 100*(1 - de) from the ``de:f:`` tag,
+    wherever it stands, else matches over block length; with ``identity="matches"`` always the latter."""
     base = parse_headerless(lines.withColumn("_v", F.col("value")), PAF_COLUMNS)
-    tags = F.slice(F.split("_v", r"\t"), 13, 100)
-    de = F.element_at(F.filter(tags, lambda t: t.startswith("de:f:")), 1)
-    de = F.when(F.exists(tags, lambda t: t.startswith("de:f:")), F.substring(F.get(F.filter(tags, lambda t: t.startswith("de:f:")), F.lit(0)), 6, 40).try_cast("double"))
-    ident = F.coalesce(100.0 * (1.0 - de), F.try_divide(F.col("matches") * 100.0, F.col("block").cast("double")))
+    ident = F.try_divide(F.col("matches") * 100.0, F.col("block").cast("double"))
+    if identity == "tag":
+        tag = F.get(F.filter(F.split("_v", r"\t"), lambda t, i: (i >= len(PAF_COLUMNS)) & t.startswith("de:f:")), F.lit(0))
+        ident = F.coalesce(100.0 * (1.0 - F.regexp_replace(tag, "^de:f:", "").try_cast("double")), ident)
+    elif identity != "matches":
+        raise ValueError("identity is tag or matches")
     cov = F.try_divide((F.col("qend") - F.col("qstart")) * 100.0, F.col("qlen").cast("double"))
     return base.withColumn("pident", ident).withColumn("coverage", cov).withColumn("aligned", F.col("tend") - F.col("tstart")).drop("_v")
 
 
-def ani_best(table: DataFrame) -> DataFrame:
-    """Best reference per query from an ANI table whose header names vary."""
+def ani_best(table: DataFrame, *, order: str | None = None) -> DataFrame:
+    """Best reference per query from an ANI table whose header names vary; of equal ones the first in the order of
+    the number column ``order`` (the file's, where given), then by name."""
+    place = {order: "bigint"} if order else {}
     rows = typed(
-        table, {"query": "string", "ref": "string", "ani": "double", "af_ref": "double", "af_query": "double"},
+        table, place | {"query": "string", "ref": "string", "ani": "double", "af_ref": "double", "af_query": "double"},
         {"query": ("Query_name", "Query_file"), "ref": ("Ref_name", "Ref_file"), "ani": ("ANI",),
          "af_ref": ("Align_fraction_ref",), "af_query": ("Align_fraction_query",)},
     )
     rows = rows.withColumn("query", leading_token("query")).withColumn("ref", leading_token("ref"))
     rows = rows.withColumn("af_shorter", F.greatest("af_ref", "af_query"))
-    return best_per_key(rows, ["query"], "ani", ["ref"])
+    return best_per_key(rows, ["query"], "ani", [*place, "ref"])
 
 
 def quality_table(df: DataFrame) -> DataFrame:
@@ -124,29 +135,29 @@ def depth_lines(lines: DataFrame) -> DataFrame:
 
 
 def domain_hits(lines: DataFrame) -> DataFrame:
-    """Whitespace-delimited domain table -> gene, family, e-value, score."""
+    """Whitespace-delimited domain table -> gene, family, e-value of the sequence, score of the domain (field 14)."""
     f = F.split(F.trim("value"), r"\s+")
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("_f", f)
     return rows.filter(F.size("_f") >= 14).select(
         F.get("_f", F.lit(3)).alias("gene"), F.get("_f", F.lit(0)).alias("family"),
-        to_double(F.get("_f", F.lit(6))).alias("evalue"), to_double(F.get("_f", F.lit(7))).alias("score"),
+        to_double(F.get("_f", F.lit(6))).alias("evalue"), to_double(F.get("_f", F.lit(13))).alias("score"),
     )
 
 
 def gene_families(rows: DataFrame) -> DataFrame:
-    """Families of each gene, best score first, first occurrence kept.
+    """Families of each gene, best score first and of equal scores the last name first.
 
     Duplicate (gene, family) rows collapse to their best score in a partial
     aggregate, so the per-gene list holds distinct families only.
     """
     best = rows.groupBy("gene", "family").agg(F.max("score").alias("score"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col("family").alias("family"))))
+    order = F.sort_array(F.collect_list(F.struct("score", "family")), asc=False)
     return best.groupBy("gene").agg(F.transform(order, lambda s: s["family"]).alias("families"))
 
 
 def screen_rows(lines: DataFrame) -> DataFrame:
-    """Containment screen rows: identity and X out of N shared hashes."""
-    rows = parse_headerless(lines, (("identity", "double"), ("shared", "string"), ("name", "string")))
+    """Containment screen rows (identity, X/N shared hashes, multiplicity, p-value, name)."""
+    rows = parse_headerless(lines, (("identity", "double"), ("shared", "string"), ("multiplicity", "double"), ("pvalue", "double"), ("name", "string")))
     part = lambda i: to_long(F.get(F.split("shared", "/"), F.lit(i)))
     return rows.withColumn("shared_hashes", part(0)).withColumn("total_hashes", part(1)).drop("shared")
 

@@ -117,7 +117,7 @@ def virsorter_headers(lines: DataFrame) -> DataFrame:
 
 
 def hvseeker(df: DataFrame) -> DataFrame:
-    return named_score(df, ("contig_id", "name"), "score")
+    return named_score(df, ("contig_id", "name"), "viral_score")
 
 
 def jaeger(df: DataFrame) -> DataFrame:

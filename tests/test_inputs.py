@@ -197,3 +197,56 @@ def test_incomplete_runs(spark):
     df = spark.createDataFrame([("b1", "x", 0, True), ("b1", "y", 1, True), ("b2", "x", 0, False)], "block string, model string, exit_code int, has_artifact boolean")
     got = {(r["block"], r["model"]): r["problem"] for r in QC.incomplete_runs(df, ["x", "y"]).collect()}
     assert got == {("b1", "y"): "failed", ("b2", "x"): "no_artifact", ("b2", "y"): "absent"}
+
+
+def lines(spark, *rows):
+    return spark.createDataFrame([(r, i) for i, r in enumerate(rows)], "value string, line_no long")
+
+
+def test_protein_hits_take_both_layouts(spark):
+    head = "q\ts\t91.5\t80\t3\t0\t1\t240\t5\t84\t1e-30\t155.5"
+    got = BIO.protein_hits(lines(spark, head + "\tcapsid protein [some phage]", head + "\t900\t400\tlong title", head)).orderBy("line_no").collect()
+    assert [r.stitle for r in got] == ["capsid protein [some phage]", "long title", ""]
+    assert [(r.qlen, r.slen, r.bitscore) for r in got] == [(None, None, 155.5), (900, 400, 155.5), (None, None, 155.5)]
+
+
+def test_paf_reads_every_tag(spark):
+    core = "q\t100\t0\t50\t+\tt\t500\t10\t60\t20\t50\t60"
+    far = core + "".join(f"\tx{i}:i:{i}" for i in range(120)) + "\tde:f:0.0100000000000000000000000000000000000000000001"
+    assert [r.pident for r in BIO.paf(lines(spark, far, core)).collect()] == [pytest.approx(99.0), pytest.approx(40.0)]
+    assert [r.pident for r in BIO.paf(lines(spark, far), identity="matches").collect()] == [pytest.approx(40.0)]
+
+
+def test_screen_rows_take_the_fifth_column(spark):
+    r = BIO.screen_rows(lines(spark, "0.99\t980/1000\t3\t0\tgenome.fna\tcomment")).first()
+    assert (r["name"], r.identity, r.shared_hashes, r.total_hashes) == ("genome.fna", 0.99, 980, 1000)
+
+
+def test_gene_families_by_domain_score(spark):
+    row = lambda fam, full, dom: f"{fam} PF1 100 gene_1 - 300 1e-9 {full} 0.1 1 2 1e-9 1e-8 {dom} 0.1 1 90"
+    rows = lines(spark, "# comment", row("A", 90.0, 10.0), row("B", 10.0, 50.0), row("C", 5.0, 50.0), row("B", 1.0, 2.0))
+    assert BIO.gene_families(BIO.domain_hits(rows)).first().families == ["C", "B", "A"]
+
+
+def test_window_classifier_column(spark):
+    raw = spark.createDataFrame([("c1", "900", "0.75", "viral", "x", "3")], "contig_id string, length string, viral_score string, prediction string, hvseeker_class string, num_fragments string")
+    assert scores(P.hvseeker(raw)) == {"c1": 0.75}
+
+
+def test_ani_ties_keep_the_first_line(spark):
+    df = spark.createDataFrame([("q", "zeta", "95", "80", "70", 1), ("q", "alpha", "95", "90", "60", 2)], "Query_name string, Ref_name string, ANI string, Align_fraction_ref string, Align_fraction_query string, line_no long")
+    assert BIO.ani_best(df, order="line_no").first()["ref"] == "zeta" and BIO.ani_best(df).first()["ref"] == "alpha"
+
+
+def test_best_subject_by_identical_bases(spark):
+    from scoreloom.operators import intervals as I
+
+    df = spark.createDataFrame([("q", "long", 180.0, 100.0), ("q", "scored", 100.0, 150.0), ("r", "b", 5.0, 1.0), ("r", "a", 5.0, 2.0)], "qseqid string, sseqid string, identical_bases double, total_bitscore double")
+    assert {r.qseqid: r.sseqid for r in I.best_subject(df).collect()} == {"q": "long", "r": "a"}
+
+
+def test_labels_of_entities_without_context(spark):
+    e = spark.createDataFrame([("x", 12.34, "enriched"), ("y", 1.005, "background"), ("z", float("inf"), "enriched")], "entity_id string, ratio double, enrichment_class string")
+    c = spark.createDataFrame([("z", "Complete", 1, 0, "No", True, "t", "Viruses")], "entity_id string, quality string, viral_genes int, host_genes int, provirus string, classified boolean, taxon string, domain string")
+    got = {r.entity_id: (r.label, r.reason) for r in L.enrichment_label(L.with_context(e, c)).collect()}
+    assert got == {"x": ("dark_matter", "enriched(R=12.3)+no_checkv+unclassified"), "y": ("excluded", f"background(R={1.005:.2f})+domain=unknown"), "z": ("TP", "enriched(R=inf)+checkv_quality=Complete")}

@@ -16,12 +16,12 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, v double, n bigint, i bigint")
 
 
-@pytest.mark.parametrize("bins", [(1,), (5,), (8, 4)])
+@pytest.mark.parametrize("ranges", [1, 5, 64])
 @pytest.mark.parametrize("descending", [True, False])
-def test_running_totals(spark, skewed, bins, descending):
+def test_running_totals(spark, skewed, ranges, descending):
     rows, df = skewed
     agg = df.groupBy("g", "v").agg(F.sum("n").alias("n"))
-    got = {(r["g"], r["v"]): r["cum_n"] for r in O.running_totals(agg, ["g"], "v", ["n"], descending=descending, bins=bins).collect()}
+    got = {(r["g"], r["v"]): r["cum_n"] for r in O.running_totals(agg, ["g"], "v", ["n"], descending=descending, ranges=ranges).collect()}
     for (g, v), c in got.items():
         want = sum(n for h, w, n, _ in rows if h == g and (w >= v if descending else w <= v))
         assert c == want
@@ -108,12 +108,30 @@ def test_require_fails_the_job(spark):
         QC.require(df, F.col("x") > 1, "negative").collect()
 
 
-def test_scratch_uses_the_configured_folder():
+def test_running_totals_over_many_decades(spark):
+    """Scores from 1e-300 to 1: no range may hold more than a few times its share."""
+    rng = np.random.default_rng(2)
+    x = np.unique(10.0 ** -rng.uniform(0, 300, 4000))
+    df = spark.createDataFrame([("g", float(v), 1) for v in x], "g string, v double, n bigint")
+    got = {r["v"]: r["cum_n"] for r in O.running_totals(df, ["g"], "v", ["n"], ranges=32).collect()}
+    assert got == {float(v): len(x) - i for i, v in enumerate(x)}
+    plain = {r["v"]: r["cum_n"] for r in O.running_totals(df.drop("g"), [], "v", ["n"], ranges=32, descending=False).collect()}
+    assert plain == {float(v): i + 1 for i, v in enumerate(x)}
+
+
+def test_scratch_uses_the_configured_folder(spark, tmp_path):
     from types import SimpleNamespace
 
     from scoreloom.sources.scratch import scratch_dir
 
-    conf = SimpleNamespace(get=lambda key, default=None: "/shared/ckpt/" if key == "spark.checkpoint.dir" else default)
-    path = scratch_dir(SimpleNamespace(conf=conf))
-    assert path.startswith("/shared/ckpt/scoreloom-")
-    assert path != scratch_dir(SimpleNamespace(conf=conf))
+    def session(setting, master="local[2]"):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: setting if key == "spark.checkpoint.dir" else default), sparkContext=sc)
+
+    base = f"{tmp_path}/ckpt"
+    path = scratch_dir(session(base + "/"))
+    assert path.startswith(f"{base}/scoreloom-") and path != scratch_dir(session(base))
+    assert scratch_dir(session(None)).startswith("/tmp/spark-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            scratch_dir(session(None, master))
