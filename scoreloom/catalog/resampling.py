@@ -15,7 +15,8 @@ from scoreloom.plans import contrast as K
 from scoreloom.plans import studies as ST
 from scoreloom.sources.scratch import settle
 
-REPS, SEED = 100, 12345
+# The published number of block replicates, and of permutations below.
+REPS, SEED = 2000, 12345
 
 
 def block_counts(spark, d, *extra):
@@ -299,7 +300,7 @@ def class_ratio_subsampling_by_pattern(spark, d):
 
 @register(
     "block_mean_bootstrap", "I15 D42",
-    WARM + """ SELECT l.model, CAST(l.b AS INTEGER) AS b, l.mean_mcc AS mean_low, h.mean_mcc AS mean_high, (l.mean_mcc - h.mean_mcc) / nullif(l.mean_mcc, 0) * 100 AS drop_pct
+    WARM + """ SELECT l.model, CAST(l.b AS INTEGER) AS b, l.mean_mcc AS mean_low, h.mean_mcc AS mean_high, (round(l.mean_mcc, 9) - round(h.mean_mcc, 9)) / nullif(round(l.mean_mcc, 9), 0) * 100 AS drop_pct
       FROM arep l JOIN arep h ON l.model = h.model AND l.b = h.b AND l.arm = 'low' AND h.arm = 'high'""",
     "mean_low mean_high drop_pct",
 )
@@ -309,7 +310,8 @@ def block_mean_bootstrap(spark, d):
     rows = rows.withColumn("m", M.mcc())
     mean = lambda a: F.sum(F.when(F.col("arm") == a, F.col("w") * F.col("m"))) / F.sum(F.when(F.col("arm") == a, F.col("w")))
     out = rows.groupBy("model", "b").agg(mean("low").alias("mean_low"), mean("high").alias("mean_high"))
-    return out.withColumn("drop_pct", ratio(F.col("mean_low") - F.col("mean_high"), F.col("mean_low"), None) * 100.0)
+    low, high = F.round("mean_low", 9), F.round("mean_high", 9)  # a mean of no effect may sum to a few 1e-18
+    return out.withColumn("drop_pct", ratio(low - high, low, None) * 100.0)
 
 
 # ----------------------------------------------------------- two cohorts, correlation
@@ -383,7 +385,7 @@ def cross_cohort_rates(spark, d):
     return x.groupBy("model_a", "model_b").agg(F.median("crossover").alias("median_crossover"), F.count("crossover").alias("n_crossing"))
 
 
-PERM = 50
+PERM = 10_000
 _BX = f""", bx AS (SELECT block, n_pos / n_all::DOUBLE AS x, round(mcc, 9) AS y, model FROM (SELECT block, model, tp + fn AS n_pos, tp + fp + tn + fn AS n_all, {MCC_SQL} AS mcc FROM bc))"""
 
 
@@ -443,7 +445,7 @@ def permutation_test(spark, d):
 @register(
     "correlation_battery", "I14",
     W + BC + _BX + f""", sc AS (SELECT 'all' AS scope, * FROM bx UNION ALL SELECT 'recent', * FROM bx WHERE block >= '1998-01'),
-    {_idx('block', 'bx', 'ci')}, cw AS (SELECT b, pos.block, count(*) AS w FROM (SELECT b, {_draw("'3'", 'b', 'idx')} % n AS p FROM ci, range(20) r(b)) dr JOIN ci pos ON pos.idx = dr.p GROUP BY ALL),
+    {_idx('block', 'bx', 'ci')}, cw AS (SELECT b, pos.block, count(*) AS w FROM (SELECT b, {_draw("'3'", 'b', 'idx')} % n AS p FROM ci, range({REPS}) r(b)) dr JOIN ci pos ON pos.idx = dr.p GROUP BY ALL),
     ex AS (SELECT scope, model, b, x, y FROM sc JOIN cw USING (block), range(CAST(w AS BIGINT))),
     rr AS (SELECT scope, model, b, {_SP} AS r FROM (SELECT scope, model, b, {_MID('scope, model, b', 'x')} AS rx, {_MID('scope, model, b', 'y')} AS ry FROM ex) GROUP BY ALL)
     SELECT scope, model, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM rr GROUP BY ALL""",
@@ -453,7 +455,7 @@ def correlation_battery(spark, d):
     """Spearman intervals over two scopes; drawn blocks are repeated by their weight."""
     xy = block_xy(spark, d)
     scopes = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("block") >= "1998-01", "recent"))))
-    w = B.unit_weights(xy.select("block").distinct(), ["block"], 20, 3)
+    w = B.unit_weights(xy.select("block").distinct(), ["block"], REPS, 3)
     rows = xy.withColumn("scope", scopes).join(w, "block").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
     rho = T.spearman(rows, "x", "y", ["scope", "model", "b"])
     return B.interval(rho, "r", ["scope", "model"]).select("scope", "model", "lo", "hi")

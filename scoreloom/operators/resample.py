@@ -133,67 +133,60 @@ def entity_draws_by_pattern(patterns: DataFrame, replicates: int, seed: int, *,
     return hit.groupBy("b", "label", "pattern").agg(F.count("*").alias("w"))
 
 
-def multinomial_pattern_weights(patterns: DataFrame, replicates: int, seed: int, *, n_cells: int = 4096) -> DataFrame:
+def _cells(patterns: DataFrame) -> list[tuple[int, str, int]]:
+    """The patterns as one list in fixed order: with m models there are at most 2**(m+1), however many entities."""
+    return [(r.label, r.pattern, r.n_entities) for r in patterns.select("label", "pattern", "n_entities").orderBy("label", "pattern").toLocalIterator()]
+
+
+def multinomial_pattern_weights(patterns: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Pattern weights of an entity bootstrap in O(patterns) per replicate.
 
-    The counts of a bootstrap sample over patterns are multinomial; each replicate
-    is one draw, generated from its own seeded stream inside a task. The cost does
-    not depend on the number of entities. Patterns travel as one array, whose
-    length is checked against ``n_cells``.
+    The counts of a bootstrap sample over patterns are multinomial; each replicate is one draw, generated from its
+    own seeded stream inside a task. The cost does not depend on the number of entities.
     """
-    packed = patterns.agg(F.sort_array(F.collect_list(F.struct("label", "pattern", "n_entities"))).alias("cells")).withColumn(
-        "cells", F.when(F.size("cells") <= n_cells, F.col("cells")).otherwise(F.raise_error(F.lit("too many outcome patterns")))
-    )
-    spark = patterns.sparkSession
-    reps = spark.range(replicates).select(F.col("id").cast("int").alias("b"), packed.scalar().alias("cells"))
+    cells = _cells(patterns)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        label, pattern, n = np.array([c[0] for c in cells], "int32"), np.array([c[1] for c in cells], object), np.array([c[2] for c in cells], "int64")
         for pdf in batches:
-            for b, cells in zip(pdf["b"], pdf["cells"]):
-                n = np.array([c["n_entities"] for c in cells], dtype="int64")
-                w = np.random.default_rng([seed, int(b)]).multinomial(int(n.sum()), n / n.sum())
-                yield pd.DataFrame({
-                    "b": int(b), "label": [int(c["label"]) for c in cells],
-                    "pattern": [c["pattern"] for c in cells], "w": w,
-                }).astype({"b": "int32", "label": "int32", "w": "int64"})
+            for b in pdf["b"]:
+                w = np.random.default_rng([seed, int(b)]).multinomial(int(n.sum()), n / n.sum()) if len(n) else n
+                some = w > 0
+                yield pd.DataFrame({"b": np.full(int(some.sum()), b, "int32"), "label": label[some], "pattern": pattern[some], "w": w[some]})
 
-    return reps.mapInPandas(draw, "b int, label int, pattern string, w bigint").filter("w > 0")
+    reps = patterns.sparkSession.range(replicates).select(F.col("id").cast("int").alias("b"))
+    return reps.mapInPandas(draw, "b int, label int, pattern string, w bigint")
 
 
-def hypergeometric_pattern_weights(
-    patterns: DataFrame, ratios: Sequence[int], repeats: int, seed: int, *, n_cells: int = 4096
-) -> DataFrame:
+def hypergeometric_pattern_weights(patterns: DataFrame, ratios: Sequence[int], repeats: int, seed: int) -> DataFrame:
     """Class-ratio subsampling in O(patterns) per repeat.
 
-    Drawing negatives without replacement leaves multivariate hypergeometric counts
-    over their patterns; positives keep all their entities. Returns (ratio, rep, label,
-    pattern, w).
+    Drawing negatives without replacement leaves multivariate hypergeometric counts over their patterns; positives
+    keep all their entities. Returns (ratio, rep, label, pattern, w).
     """
-    packed = patterns.agg(F.sort_array(F.collect_list(F.struct("label", "pattern", "n_entities"))).alias("cells")).withColumn(
-        "cells", F.when(F.size("cells") <= n_cells, F.col("cells")).otherwise(F.raise_error(F.lit("too many outcome patterns")))
-    )
-    reps = patterns.sparkSession.range(repeats).select(
-        F.col("id").cast("int").alias("rep"), F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio"), packed.scalar().alias("cells")
-    )
+    cells = _cells(patterns)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        label, pattern, n = np.array([c[0] for c in cells], "int32"), np.array([c[1] for c in cells], object), np.array([c[2] for c in cells], "int64")
         for pdf in batches:
-            for rep, ratio, cells in zip(pdf["rep"], pdf["ratio"], pdf["cells"]):
-                label = np.array([c["label"] for c in cells])
-                n = np.array([c["n_entities"] for c in cells], dtype="int64")
-                want = min(int(n[label == 0].sum()), int(ratio) * int(n[label == 1].sum()))
+            for rep, ratio in zip(pdf["rep"], pdf["ratio"]):
                 w = n.copy()
-                rng = np.random.default_rng([seed, int(rep), int(ratio)])
-                w[label == 0] = rng.multivariate_hypergeometric(n[label == 0], want, method="marginals")
-                yield pd.DataFrame({
-                    "ratio": int(ratio), "rep": int(rep), "label": label, "pattern": [c["pattern"] for c in cells], "w": w,
-                }).astype({"ratio": "int32", "rep": "int32", "label": "int32", "w": "int64"})
-
-    return reps.mapInPandas(draw, "ratio int, rep int, label int, pattern string, w bigint").filter("w > 0")
+                want = min(int(n[label == 0].sum()), int(ratio) * int(n[label == 1].sum()))
+                if want:
+                    rng = np.random.default_rng([seed, int(rep), int(ratio)])
+                    w[label == 0] = rng.multivariate_hypergeometric(n[label == 0], want, method="marginals")
+                else:
+                    w[label == 0] = 0
+                some = w > 0
+                k = int(some.sum())
+                yield pd.DataFrame({"ratio": np.full(k, ratio, "int32"), "rep": np.full(k, rep, "int32"), "label": label[some], "pattern": pattern[some], "w": w[some]})
+
+    reps = patterns.sparkSession.range(repeats).select(F.col("id").cast("int").alias("rep"), F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio"))
+    return reps.mapInPandas(draw, "ratio int, rep int, label int, pattern string, w bigint")
 
 
 def permutation_ranks(pairs: DataFrame, permutations: int, seed: int, *, keys: Sequence[str], unit: str, x: str, y: str) -> DataFrame:

@@ -194,3 +194,21 @@ def test_posterior_cut_published():
     params = [(0.6433109256708077, -1.9086893369323332, 0.45821077265412047), (0.3397291905293612, -0.22942237647973746, 0.48613248722018043), (0.016959883799831103, 2.1108486009922376, 1.1658027470981867)]
     cut = 10 ** ST.value_at_posterior(params, 0.95)
     assert cut == pytest.approx(37.94464989084466, rel=1e-3)
+
+
+def test_pattern_draws_with_more_patterns_than_any_limit(spark):
+    """Fourteen models: thousands of patterns; means of the drawn counts agree with the exact ones."""
+    from scoreloom.operators import resample as B
+
+    rng = np.random.default_rng(8)
+    seen = sorted({(int(rng.integers(2)), "".join(rng.choice(["0", "1"], 14))) for _ in range(7000)})
+    assert len(seen) > 4096
+    df = spark.createDataFrame([(a, b, int(rng.integers(1, 9))) for a, b in seen], "label int, pattern string, n_entities long")
+    total = df.agg(F.sum("n_entities")).first()[0]
+    drawn = B.multinomial_pattern_weights(df, 40, 1).groupBy("b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("pos")).collect()
+    share = df.agg(F.sum(F.col("n_entities") * F.col("label")) / F.sum("n_entities")).first()[0]
+    assert {r.n for r in drawn} == {total}
+    assert abs(np.mean([r.pos for r in drawn]) / total - share) < 5 * np.sqrt(share * (1 - share) / total / 40)
+    sub = B.hypergeometric_pattern_weights(df.withColumn("n_entities", F.when(F.col("label") == 1, 1).otherwise(F.col("n_entities") * 10)), (1, 2), 5, 1)
+    n_pos = sum(a for a, _ in seen)
+    assert {(r.ratio, r.n) for r in sub.filter("label = 0").groupBy("ratio", "rep").agg(F.sum("w").alias("n")).collect()} == {(1, n_pos), (2, 2 * n_pos)}
