@@ -481,6 +481,25 @@ _COR = ", cor AS (SELECT entity_id, model, label, CAST(call = label AS INTEGER)
 _Q = """SELECT count(*) AS n, 4::BIGINT AS k, 3::BIGINT AS df, (3 * (4 * (SELECT sum(t * t) FROM cs) - (SELECT sum(t) FROM cs) ** 2)) / (4 * (SELECT sum(t) FROM cs) - sum(l * l)::DOUBLE) AS q, 'ok' AS note FROM rs"""
 
 
+def _gamma_tail(a: str, x: str) -> str:
+    """Upper regularised incomplete gamma function by its series; beyond 700 the tail is nothing at six places."""
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 700 THEN 0.0 ELSE greatest(0.0, 1 - (SELECT sum(exp(({a} + gt.k) * ln({x}) - ({x}) - lgamma({a} + gt.k + 1.0))) FROM range(3000) gt(k))) END"
+
+
+def _normal_tail(z: str) -> str:
+    """P(Z >= z): the square of a normal variable is chi-square with one degree of freedom."""
+    return f"CASE WHEN {z} >= 0 THEN 0.5 * ({_gamma_tail('0.5', f'(({z}) ** 2 / 2)')}) ELSE 1 - 0.5 * ({_gamma_tail('0.5', f'(({z}) ** 2 / 2)')}) END"
+
+
+def _adjusted(rel: str, order: str) -> str:
+    """Benjamini-Hochberg over the rows of ``rel`` with a p_value."""
+    return f"""SELECT * EXCLUDE (rn, m), least(1.0, min(p_value * m / rn) OVER (ORDER BY p_value, {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj
+      FROM (SELECT *, row_number() OVER (ORDER BY p_value, {order}) AS rn, count(*) OVER () AS m FROM {rel})"""
+
+
+_TOT = ", cs AS (SELECT model, sum(correct)::DOUBLE AS t FROM cor GROUP BY model), rs AS (SELECT entity_id, sum(correct)::DOUBLE AS l FROM cor GROUP BY entity_id)"
+
+
 @register(
     "cochran_q", "H1", W + _COR + ", cs AS (SELECT model, sum(correct)::DOUBLE AS t FROM cor GROUP BY model), rs AS (SELECT entity_id, sum(correct)::DOUBLE AS l FROM cor GROUP BY entity_id) " + _Q, "q",
 )
@@ -489,7 +508,9 @@ def cochran_q(spark, d):
     return T.cochran_q(c)
 
 
-@register("cochran_q_p_value", "H1 O2")
+@register(
+    "cochran_q_p_value", "H1 O2", W + _COR + _TOT + f", qq AS ({_Q}) SELECT *, {_gamma_tail('1.5', '(q / 2)')} AS p_value FROM qq", "q p_value",
+)
 def cochran_q_p_value(spark, d):
     return T.cochran_p(cochran_q(spark, d))
 
@@ -516,7 +537,15 @@ def mcnemar_pairs(spark, d):
     return T.mcnemar(_pairs(spark, d), with_p=False).drop("p_exact")
 
 
-@register("mcnemar_p_values", "H2 O2 E9 E10")
+_EXACT = "least(1.0, 2.0 * (SELECT sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0))) FROM range(CAST(least(b, c) + 1 AS BIGINT)) t(i)) / 2.0 ** (b + c))"
+
+
+@register(
+    "mcnemar_p_values", "H2 O2 E9 E10",
+    W + _COR + _DISC.format(w="") + f""", mc AS ({_MCN}),
+    mp AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 WHEN b + c < 25 THEN {_EXACT} ELSE {_gamma_tail('0.5', '(statistic / 2)')} END AS p_value FROM mc) """ + _adjusted("mp", "model_a, model_b"),
+    "statistic p_value p_adj",
+)
 def mcnemar_p_values(spark, d):
     return O.adjust_bh(T.mcnemar(_pairs(spark, d)), tie=["model_a", "model_b"])
 
@@ -562,7 +591,17 @@ def fisher_table(spark, d):
     return T.fisher_table(cells, "a", "b", "c", "d")
 
 
-@register("fisher_p_value", "H4 O4")
+_LC = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - ({k}) + 1.0))"
+_FISHER = """SELECT *, a::DOUBLE * d / nullif(b::DOUBLE * c, 0) AS odds_ratio FROM (SELECT count(*) FILTER (WHERE family = 'composition' AND call = 1) AS a, count(*) FILTER (WHERE family = 'composition' AND call = 0) AS b,
+      count(*) FILTER (WHERE family = 'marker' AND call = 1) AS c, count(*) FILTER (WHERE family = 'marker' AND call = 0) AS d FROM calls WHERE label = 1)"""
+
+
+@register(
+    "fisher_p_value", "H4 O4",
+    W + f""", ft AS ({_FISHER}) SELECT *, least(1.0, (SELECT sum(exp({_LC('(a + c)', 'k')} + {_LC('(b + d)', '(a + b - k)')} - {_LC('(a + b + c + d)', '(a + b)')}))
+      FROM range(CAST(greatest(0, a - d) AS BIGINT), CAST(a + 1 AS BIGINT)) r(k))) AS p_less FROM ft""",
+    "odds_ratio p_less",
+)
 def fisher_p_value(spark, d):
     return fisher_table(spark, d).withColumn("p_less", P.fisher_less("a", "b", "c", "d"))
 
@@ -587,7 +626,18 @@ def rank_sum_between_arms(spark, d):
     return T.rank_sum(arm_block_metric(spark, d), "v", "arm", "low", "high")
 
 
-@register("rank_sum_p_values", "H5 O5")
+_RSUM = """SELECT model, count(*) FILTER (WHERE arm = 'low') AS n_a, count(*) FILTER (WHERE arm = 'high') AS n_b, median(v) FILTER (WHERE arm = 'low') AS median_a, median(v) FILTER (WHERE arm = 'high') AS median_b,
+      sum(r) FILTER (WHERE arm = 'low') - count(*) FILTER (WHERE arm = 'low') * (count(*) FILTER (WHERE arm = 'low') + 1) / 2.0 AS u,
+      median(v) FILTER (WHERE arm = 'low') - median(v) FILTER (WHERE arm = 'high') AS delta, sum(t * t - 1)::DOUBLE AS tie_term, 'ok' AS note
+      FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY v) + (count(*) OVER (PARTITION BY model, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model, v) AS t FROM am) GROUP BY model"""
+_RZ = "((greatest(u, n_a * n_b - u) - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - tie_term / ((n_a + n_b) * (n_a + n_b - 1.0)))))"
+
+
+@register(
+    "rank_sum_p_values", "H5 O5",
+    W + _ARMM + f", rs AS ({_RSUM}), rz AS (SELECT *, {_RZ} AS z FROM rs) SELECT * EXCLUDE (z), least(1.0, 2 * ({_normal_tail('z')})) AS p_value FROM rz",
+    "median_a median_b u delta tie_term p_value",
+)
 def rank_sum_p_values(spark, d):
     return T.rank_sum_p(rank_sum_between_arms(spark, d))
 
@@ -612,7 +662,16 @@ def signed_rank_groups(spark, d):
     return T.signed_rank(family_recall_diff(spark, d), "diff")
 
 
-@register("signed_rank_p_value", "H6 O5")
+_SRANK = """SELECT (SELECT count(*) FROM nz) AS n, (SELECT avg(diff) FROM nz) AS mean_diff, (SELECT count(*) FROM nz WHERE a = 0) AS n_zero, coalesce(sum(r) FILTER (WHERE diff > 0), 0) AS w_plus, count(*) AS n_nonzero, sum(t * t - 1)::DOUBLE AS tie_term FROM rk"""
+_SZ = "((w_plus - n_nonzero * (n_nonzero + 1) / 4.0) / sqrt(n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24.0 - tie_term / 48.0))"
+
+
+@register(
+    "signed_rank_p_value", "H6 O5",
+    W + _REC + f""", nz AS (SELECT diff, round(abs(diff), 12) AS a FROM df), rk AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY a) AS t FROM nz WHERE a > 0),
+    sr AS ({_SRANK}), sz AS (SELECT *, {_SZ} AS z FROM sr) SELECT * EXCLUDE (z), {_normal_tail('z')} AS p_greater FROM sz""",
+    "mean_diff w_plus tie_term p_greater",
+)
 def signed_rank_p_value(spark, d):
     return signed_rank_groups(spark, d).withColumn("p_greater", P.signed_rank_p_greater("w_plus", "n_nonzero", "tie_term", "n_zero"))
 
@@ -657,7 +716,11 @@ def context_correlation_matrix(spark, d):
     return ST.context_correlations(c)
 
 
-@register("context_correlation_p_values", "H10 O2 E9")
+# With the four models of these tables t has two degrees of freedom, and its two-sided tail is 1 - |rho|.
+@register(
+    "context_correlation_p_values", "H10 O2 E9",
+    W + _CTX + ", cp AS (SELECT *, 1 - abs(round(rho, 12)) AS p_value FROM cc) " + _adjusted("cp", "context_a, context_b"), "rho p_value p_adj",
+)
 def context_correlation_p_values(spark, d):
     m = context_correlation_matrix(spark, d).withColumn("p_value", P.correlation_p("rho", "n"))
     return O.adjust_bh(m, tie=["context_a", "context_b"])

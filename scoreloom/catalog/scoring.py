@@ -373,11 +373,6 @@ def pr_curve_points(spark, d):
     return V.pr_points(calls(spark, d))
 
 
-_THR = """, cand AS (SELECT DISTINCT model, score AS threshold FROM grid WHERE emitted UNION SELECT model, 0.0 FROM models UNION SELECT model, 1.0 FROM models),
- h AS (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM grid WHERE pvalue_below IS NULL OR pvalue < pvalue_below GROUP BY ALL),
- hc AS (SELECT model, coalesce(h.score, c.threshold) AS score, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, c.threshold IS NOT NULL AS is_cand
-        FROM h FULL OUTER JOIN (SELECT model AS cm, threshold FROM cand) c ON h.model = c.cm AND h.score = c.threshold, LATERAL (SELECT coalesce(h.model, c.cm) AS mm)),
- n AS (SELECT model, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg FROM grid GROUP BY model)"""
 _THR = """, cand AS (SELECT DISTINCT model, score FROM grid WHERE emitted UNION SELECT model, 0.0 FROM models UNION SELECT model, 1.0 FROM models),
  h AS (SELECT model, score, sum(pos) AS pos, sum(neg) AS neg FROM (
    SELECT model, score, CAST(label = 1 AS INTEGER) AS pos, CAST(label = 0 AS INTEGER) AS neg FROM grid WHERE pvalue_below IS NULL OR pvalue < pvalue_below

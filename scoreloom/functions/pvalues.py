@@ -17,12 +17,6 @@ from pyspark.sql import types as T
 from scoreloom.functions.scalars import col
 
 
-def log_factorial_sum(lo: Column, hi: Column) -> Column:
-    """sum of ln(i) for lo..hi (0 when empty)."""
-    seq = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(seq, F.lit(0.0), lambda acc, i: acc + F.ln(i.cast("double")))
-
-
 def binomial_two_sided(b: Column | str, c: Column | str) -> Column:
     """Exact two-sided p of b successes in b+c fair trials (callers keep b+c small)."""
     b, c = col(b).cast("bigint"), col(c).cast("bigint")

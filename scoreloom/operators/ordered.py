@@ -90,12 +90,6 @@ def best_per_key(
     )
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, *, name: str = "rank") -> DataFrame:
-    """First k rows per key (Catalyst pushes the limit below the shuffle as a group limit)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
-
-
 def top_k_wide(
     df: DataFrame, keys: Sequence[str], metric: str, label: Column, k: int, tie: str
 ) -> DataFrame:

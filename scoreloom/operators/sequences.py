@@ -69,11 +69,6 @@ def assembly_stats(lengths: DataFrame, length: str, *, group: Sequence[str] = ()
     return agg.join(half, list(group)) if group else agg.withColumn("n50", half.scalar())
 
 
-def renumber(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "n") -> DataFrame:
-    """1-based running number inside small groups (spacers of an array, panel rows)."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 def evaluable(length: Column | str, minimum: Column | int) -> Column:
     x = F.col(length) if isinstance(length, str) else length
     return F.when(x < minimum, "no").otherwise("yes")
