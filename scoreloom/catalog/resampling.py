@@ -680,15 +680,15 @@ def signed_rank_p_value(spark, d):
     "exact_group_permutation", "H7 K10",
     W + f""", pb AS (SELECT source, model, family, round(count(*) FILTER (WHERE call = 1) / count(*)::DOUBLE, 9) AS rec FROM calls WHERE label = 1 GROUP BY ALL),
     un AS (SELECT stratum AS s, model, family, round(count(*) FILTER (WHERE call = 1) / count(*)::DOUBLE, 9) AS rec FROM calls WHERE label = 1 GROUP BY ALL),
-    rk AS (SELECT model, family, s, rank() OVER (ORDER BY rec) + (count(*) OVER (PARTITION BY rec) - 1) / 2.0 AS r, family = 'marker' AS inn FROM un WHERE s IN ('1-URGENT', '2-HIGH')),
+    rk AS (SELECT model, family, s, rank() OVER (ORDER BY rec) + (count(*) OVER (PARTITION BY rec) - 1) / 2.0 AS r, family = 'marker' AS inn FROM un),
     us AS (SELECT row_number() OVER (ORDER BY r, inn) - 1 AS i, r, inn FROM rk),
-    mk AS (SELECT m, sum(r) AS s FROM range(256) t(m) JOIN us ON (m >> i) & 1 = 1 WHERE bit_count(m) = 4 GROUP BY m), ob AS (SELECT sum(r) AS o FROM us WHERE inn)
-    SELECT 'recall' AS metric, 4 AS n_first, 4 AS n_second, any_value(o) - 10 AS u, least(1.0, 2 * least(avg((s <= o + 1e-9)::INT), avg((s >= o - 1e-9)::INT))) AS p_two_sided, avg((s >= o - 1e-9)::INT) AS p_greater, avg((s <= o + 1e-9)::INT) AS p_less FROM mk, ob""",
+    mk AS (SELECT m, sum(r) AS s FROM (SELECT m FROM range(1048576) t(m) WHERE bit_count(m) = 10) JOIN us ON (m >> i) & 1 = 1 GROUP BY m), ob AS (SELECT sum(r) AS o FROM us WHERE inn)
+    SELECT 'recall' AS metric, 10 AS n_first, 10 AS n_second, any_value(o) - 55 AS u, least(1.0, 2 * least(avg((s <= o + 1e-9)::INT), avg((s >= o - 1e-9)::INT))) AS p_two_sided, avg((s >= o - 1e-9)::INT) AS p_greater, avg((s <= o + 1e-9)::INT) AS p_less FROM mk, ob""",
     "u p_two_sided p_greater p_less",
 )
 def exact_group_permutation(spark, d):
-    """Units are (model, stratum) recalls of two strata; marker models against composition models."""
-    pos = calls(spark, d).filter((F.col("label") == 1) & F.col("stratum").isin("1-URGENT", "2-HIGH"))
+    """Units are (model, stratum) recalls; marker models against composition models."""
+    pos = calls(spark, d).filter(F.col("label") == 1)
     per = pos.groupBy("stratum", "model", "family").agg(F.round(F.count_if(F.col("call") == 1) / F.count("*"), 9).alias("rec")).withColumn("metric", F.lit("recall"))
     return T.exact_rank_permutation(per, "rec", F.col("family") == "marker", keys=["metric"])
 

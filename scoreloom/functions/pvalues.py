@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -195,3 +196,24 @@ def fisher_less(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Se
         return min(1.0, total)
 
     return pd.Series([one(int(p), int(q), int(r), int(s)) for p, q, r, s in zip(a, b, c, d)], dtype="float64")
+
+
+@F.pandas_udf(T.StructType([T.StructField("p_less", T.DoubleType()), T.StructField("p_greater", T.DoubleType())]))
+def exact_rank_tails(ranks: pd.Series, k: pd.Series, observed: pd.Series) -> pd.DataFrame:
+    """Chances of a rank sum no larger and no smaller than observed, over all ways to choose ``k`` of the units.
+
+    Doubled mid-ranks are whole numbers, so ways are counted by (chosen units, sum), one unit after the other: ties
+    are kept and the cost grows with a power of the number of units, not with the number of assignments.
+    """
+
+    def one(r, m, o):
+        v = np.rint(np.asarray(r, float) * 2).astype(int)
+        ways = np.zeros((int(m) + 1, int(v.sum()) + 1))
+        ways[0, 0] = 1.0
+        for x in v:
+            ways[1:, x:] += ways[:-1, : ways.shape[1] - x].copy()
+        share, at = ways[-1] / ways[-1].sum(), np.arange(ways.shape[1]) / 2.0
+        return share[at <= o + 1e-9].sum(), share[at >= o - 1e-9].sum()
+
+    rows = [one(*x) for x in zip(ranks, k, observed)]
+    return pd.DataFrame({"p_less": [a for a, _ in rows], "p_greater": [b for _, b in rows]}, dtype="float64")

@@ -163,26 +163,15 @@ def lin_concordance(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = ())
     )
 
 
-def exact_rank_permutation(groups: DataFrame, value: str, member: Column, *, keys: Sequence[str], max_n: int = 20) -> DataFrame:
-    """Exact permutation null of the rank sum, ties kept, by enumerating assignments.
-
-    One row per unit (a model), so a key holds a handful of rows; the enumeration is
-    over bit masks of at most ``max_n`` units, refused beyond that.
-    """
+def exact_rank_permutation(groups: DataFrame, value: str, member: Column, *, keys: Sequence[str]) -> DataFrame:
+    """Exact permutation null of the rank sum, ties kept. One row per unit (a model), so a key holds a handful."""
     ranked = mid_ranks(groups, value, group=keys, name="_r").withColumn("_in", member)
     packed = ranked.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_r", "_in"))).alias("_u"), F.count("*").cast("int").alias("n"),
+        F.sort_array(F.collect_list("_r")).alias("_u"), F.count("*").cast("int").alias("n"),
         F.count_if("_in").cast("int").alias("k"), F.sum(F.when(F.col("_in"), F.col("_r")).otherwise(0.0)).alias("_obs"),
     )
-    top = F.expr(f"if(n <= {int(max_n)}, shiftleft(1, n), cast(raise_error('too many units to enumerate') AS INT)) - 1")
-    masks = packed.select("*", F.explode(F.sequence(F.lit(0), top)).alias("_m"))
-    masks = masks.filter(F.bit_count("_m") == F.col("k"))
-    total = F.expr("aggregate(sequence(0, n - 1), 0D, (acc, i) -> acc + if(shiftright(_m, i) & 1 = 1, _u[i]._r, 0D))")
-    sums = masks.withColumn("_s", total)
-    return sums.groupBy(*keys, "n", "k", "_obs").agg(
-        F.avg((F.col("_s") <= F.col("_obs") + 1e-9).cast("double")).alias("p_less"),
-        F.avg((F.col("_s") >= F.col("_obs") - 1e-9).cast("double")).alias("p_greater"),
-    ).select(
+    tails = packed.withColumn("_t", P.exact_rank_tails("_u", "k", "_obs")).select("*", "_t.*")
+    return tails.select(
         *keys, F.col("k").alias("n_first"), (F.col("n") - F.col("k")).alias("n_second"),
         (F.col("_obs") - F.col("k") * (F.col("k") + 1) / 2.0).alias("u"),
         F.least(F.lit(1.0), 2.0 * F.least("p_less", "p_greater")).alias("p_two_sided"), "p_greater", "p_less",
