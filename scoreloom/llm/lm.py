@@ -153,5 +153,6 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     good = columns_of(labels, id_col, quality, toxic).groupBy(F.col(id_col).alias("_id")).agg(
         ((F.max(quality) == 1) & (F.coalesce(F.max(toxic), F.lit(0)) == 0)).alias("_g"))
     rows = columns_of(docs, id_col, text)
-    known = rows.join(good, F.col(id_col) == F.col("_id"), "left").select(F.coalesce("_g", F.lit(False)).alias("good"), F.col(text).alias("text"))
+    # Labels grow with the corpus: they are never broadcast, and the plan is the same for every size.
+    known = rows.join(good.hint("merge"), F.col(id_col) == F.col("_id"), "left").select(F.coalesce("_g", F.lit(False)).alias("good"), F.col(text).alias("text"))
     return score(rows, fit(known, how), how, text, (id_col,))
