@@ -5,10 +5,12 @@
 2. Descent: the members of a node's neighbourhood (its list, a sample of the nodes that list it, and itself) are
    compared with each other where that neighbourhood meets, and pairs better than the end of a list enter it.
    Rounds go on until few lists change.
-3. Pairs at or above the threshold are edges. A list that is full of edges is saturated: it may have cut some off.
-   Its component is then enlarged to everything the component holds: members are compared block by block with
-   matrix products, which yields each node's number of links without a row per pair.
-4. Audit: a bounded sample of nodes is compared with all nodes of their labels, in blocks; while the links found
+3. Pairs at or above the threshold are edges. A list that is full of edges is saturated: it may have cut some off,
+   inside its component and outside. All members of a component with a saturated list are therefore compared with
+   every other node of the label that the triangle inequality cannot rule out, and components that meet are one.
+4. Inside a component members are compared block by block with matrix products, which yields each node's number of
+   links without a row per pair.
+5. Audit: a bounded sample of nodes is compared with all nodes of their labels, in blocks; while the links found
    fall short of the wanted recall, descent goes on with longer lists.
 
 All similarities are cosines in double precision. Vectors of different length are never compared.
@@ -223,6 +225,70 @@ def links(members: DataFrame, how: Descent) -> DataFrame:
     return rows.groupBy("of", "i", "j").applyInArrow(compare, "key long, links long").groupBy("key").agg(F.sum("links").alias("links"))
 
 
+def outside(crowd: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
+    """(a, b): an edge for each node that lies within the threshold of a part of another component of ``crowd``.
+
+    ``crowd``: key, component, label, dim, vec; ``nodes``: the same of every node. Members of a component are dealt
+    into balls of at most ``block`` nodes. A node whose angle to a ball's centre exceeds the radius and the
+    threshold's angle together has no edge into the ball; every other node is compared with the ball's members.
+    """
+    label_type, vec_type = dict(nodes.dtypes)["label"], dict(nodes.dtypes)["vec"]
+    reach = math.acos(how.threshold) + 1e-6
+    sizes = crowd.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / how.block).alias("balls"))
+    hosts = settle(crowd.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.col("balls")).cast("int")).drop("balls"))
+
+    def ball(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("vec"))
+        c = x.mean(axis=0)
+        c = c / np.linalg.norm(c) if c.any() else x[0]
+        return table.slice(0, 1).select(["component", "part", "label", "dim"]).append_column("centre", pa.array([c.tolist()], pa.list_(pa.float64()))).append_column(
+            "radius", pa.array([float(np.arccos(np.clip((x @ c).min(), -1, 1)))]))
+
+    balls = settle(hosts.groupBy("component", "part").applyInArrow(ball, f"component long, part int, label {label_type}, dim int, centre array<double>, radius double"))
+    pages = balls.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("pages"))
+    dealt = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / (4 * how.block)).cast("int").alias("chunks")).join(pages, ["label", "dim"])
+    met = nodes.join(dealt, ["label", "dim"]).select(
+        "label", "dim", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"), F.pmod(F.xxhash64("key", F.lit(8)), F.col("chunks")).cast("int").alias("chunk"),
+        "key", "component", F.lit(None).cast("int").alias("part"), F.lit(None).cast("double").alias("radius"), F.col("vec").cast("array<double>").alias("vec"))
+    met = met.union(balls.join(dealt, ["label", "dim"]).select(
+        "label", "dim", F.pmod(F.xxhash64("component", "part"), F.col("pages")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)),
+        F.lit(None).cast("long"), "component", "part", "radius", "centre"))
+
+    def reached(table: pa.Table) -> pa.Table:
+        host = table.column("part").is_valid()
+        n, b = table.filter(pc.invert(host)), table.filter(host)
+        if not len(n) or not len(b):
+            return pa.table({"key": pa.array([], pa.int64()), "component": pa.array([], pa.int64()), "part": pa.array([], pa.int32())})
+        far = np.arccos(np.clip(matrix(n.column("vec")) @ matrix(b.column("vec")).T, -1, 1)) > b.column("radius").to_numpy()[None, :] + reach
+        i, j = np.nonzero(~far & (n.column("component").to_numpy()[:, None] != b.column("component").to_numpy()[None, :]))
+        return pa.table({"key": n.column("key").take(pa.array(i)), "component": b.column("component").take(pa.array(j)), "part": b.column("part").take(pa.array(j))})
+
+    near = settle(met.groupBy("label", "dim", "page", "chunk").applyInArrow(reached, "key long, component long, part int"))
+    slices = near.groupBy("component", "part").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("slices"))
+    guests = near.join(slices, ["component", "part"]).join(nodes.select("key", "vec"), "key").select(
+        "component", "part", F.pmod(F.xxhash64("key", F.lit(9)), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("guest"), "key", "vec")
+    home = hosts.join(slices, ["component", "part"]).select("component", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("guest"), "key", "vec")
+    limit = how.threshold
+
+    def joined(table: pa.Table) -> pa.Table:
+        guest = table.column("guest")
+        g, h = table.filter(guest), table.filter(pc.invert(guest))
+        if not len(g) or not len(h):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        s = matrix(g.column("vec")) @ matrix(h.column("vec")).T
+        best = s.argmax(axis=1)
+        ok = np.flatnonzero(s[np.arange(len(s)), best] >= limit)
+        return pa.table({"a": g.column("key").take(pa.array(ok)), "b": h.column("key").take(pa.array(best[ok]))})
+
+    return guests.union(home).groupBy("component", "part", "slice").applyInArrow(joined, "a long, b long")
+
+
+def crowds(lists: DataFrame, tied: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(component): those with a saturated list, that is one of ``k`` edges."""
+    full = lists.filter((F.size("l") >= k) & (F.get("l", F.size("l") - 1)["s"] >= threshold - 1e-8)).select("u")
+    return full.join(tied, F.col("u") == F.col("v")).select(F.col("c").alias("component")).distinct()
+
+
 def true_links(nodes: DataFrame, how: Descent) -> DataFrame:
     """(key, true): links of a bounded sample of nodes, by comparison with all nodes."""
     picked = nodes.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(how.audit).select("key", "label", "dim", "vec").collect()
@@ -264,7 +330,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding
             lists = new.select("u", "l")
             if (new.agg(F.sum("changed")).first()[0] or 0) <= how.still * k * total:
                 break
-        tied = settle(components(edges_of(lists, how.threshold)))
+        edges = edges_of(lists, how.threshold)
+        tied = settle(components(edges))
+        crowded = settle(crowds(lists, tied, how.threshold, k))
+        if crowded.head(1):
+            placed = settle(nodes.join(tied, F.col("key") == F.col("v"), "left").select("key", F.coalesce("c", "key").alias("component"), "label", "dim", "vec"))
+            edges = settle(edges.union(outside(placed.join(crowded, "component"), placed, how)))
+            tied = settle(components(edges))
         members = tied.select(F.col("v").alias("key"), F.col("c").alias("component")).join(nodes, "key")
         counted = settle(links(members.select("key", "component", "copies", "vec"), how))
         seen = truth.join(counted, "key", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()

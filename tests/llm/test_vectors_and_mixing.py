@@ -90,6 +90,27 @@ def test_descent_finds_neighbours_that_leaves_missed(spark):
     assert sum(min(got[k], want[k]) for k in want) >= 0.95 * sum(want.values()) and all(got[k] <= want[k] for k in want)
 
 
+def apart(rng, centre, away):
+    """A unit vector whose cosine with ``centre`` is ``away``."""
+    u = centre / np.linalg.norm(centre)
+    w = rng.normal(size=len(u))
+    w -= (w @ u) * u
+    return away * u + np.sqrt(1 - away**2) * w / np.linalg.norm(w)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_saturated_lists_lose_no_neighbouring_group(spark, block):
+    """Two tight groups, each larger than a list, 0.95 apart: every list is full of its own group."""
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=16)
+    two = apart(rng, one, 0.95)
+    rows = [(1000 * g + i, [float(x) for x in apart(rng, c, 0.9995)], 0) for g, c in enumerate((one, two)) for i in range(60)]
+    rows += [(5000 + i, [float(x) for x in rng.normal(size=16)], i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in vectors.near_vectors(df, how=vectors.Descent(block=block, recall=0.0)).collect())
+    assert got == brute_vectors(rows, 0.93)
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
