@@ -10,8 +10,11 @@
    every other node of the label that the triangle inequality cannot rule out, and components that meet are one.
 4. Inside a component members are compared block by block with matrix products, which yields each node's number of
    links without a row per pair.
-5. Audit: a bounded sample of nodes is compared with all nodes of their labels, in blocks; while the links found
-   fall short of the wanted recall, descent goes on with longer lists.
+5. Audit: nodes drawn from each label are compared with all nodes of the label, in blocks. Recall is a mean over
+   sampled nodes that link with another node, each counting once; nodes of saturated components and others are
+   judged apart, and the lower mean counts. Labels short of the wanted recall, and labels whose sample, if not the
+   whole label, holds no such node, are open: descent goes on with longer lists and a larger sample. Labels still
+   open after the last try are compared as a whole, block by block.
 
 All similarities are cosines in double precision. Vectors of different length are never compared.
 
@@ -42,8 +45,9 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Descent:
-    """``leaf``: nodes a leaf holds at most. ``audit``: nodes compared with all others to measure recall; the only
-    bounded part, and only a measurement. ``block``: nodes of a component compared at once."""
+    """``leaf``: nodes a leaf holds at most. ``rounds``: rounds run at least; more follow while the lists change by
+    ``still`` or more. ``audit``: nodes of a label expected in the first sample, four times as many in each later try.
+    ``block``: nodes of a component compared at once."""
 
     threshold: float = 0.93
     neighbours: int = 10
@@ -190,8 +194,8 @@ def edges_of(lists: DataFrame, threshold: float) -> DataFrame:
     return lists.select("u", F.explode("l").alias("e")).filter(F.col("e.s") >= threshold - 1e-8).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
 
 
-def links(members: DataFrame, how: Descent) -> DataFrame:
-    """(key, links): exact links of each node within its component. ``members``: key, component, copies, vec."""
+def paired(members: DataFrame, how: Descent, *carried: str) -> DataFrame:
+    """Members dealt into pairs of blocks (of, i, j) of their component; small components share a bin."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     bins = max(1, math.ceil((sizes.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0) / how.block))
     part = F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks")).cast("int")
@@ -200,7 +204,13 @@ def links(members: DataFrame, how: Descent) -> DataFrame:
         F.col("component").alias("of"), F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j"),
         F.when(F.col("part") < o, 0).when(F.col("part") > o, 1).otherwise(2).alias("side")))
     placed = members.join(sizes, "component").withColumn("part", part)
-    rows = placed.select("key", "component", "copies", "vec", F.explode(F.when(F.col("blocks") == 1, small).otherwise(large)).alias("t")).select("key", "component", "copies", "vec", "t.*")
+    names = ["key", "component", *carried, "vec"]
+    return placed.select(*names, F.explode(F.when(F.col("blocks") == 1, small).otherwise(large)).alias("t")).select(*names, "t.*")
+
+
+def links(members: DataFrame, how: Descent) -> DataFrame:
+    """(key, links): exact links of each node within its component. ``members``: key, component, copies, vec."""
+    rows = paired(members, how, "copies")
     limit = how.threshold
 
     def compare(table: pa.Table) -> pa.Table:
@@ -225,6 +235,33 @@ def links(members: DataFrame, how: Descent) -> DataFrame:
     return rows.groupBy("of", "i", "j").applyInArrow(compare, "key long, links long").groupBy("key").agg(F.sum("links").alias("links"))
 
 
+def whole_edges(members: DataFrame, how: Descent) -> DataFrame:
+    """(a, b): edges that join just the nodes that all edges between members of one ``component`` join."""
+    limit = how.threshold
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, comp, side = (table.column(c).to_numpy() for c in ("key", "component", "side"))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for c in np.unique(comp):
+            at = np.flatnonzero(comp == c)
+            x = matrix(table.column("vec").take(pa.array(at)))
+            one, two = np.flatnonzero(side[at] != 1), np.flatnonzero(side[at] != 0)
+            s = (x[one] @ x[two].T) >= limit
+            root = np.arange(len(at))
+            while True:  # the least node that edges of this pair of blocks lead to
+                was = root.copy()
+                np.minimum.at(root, one, np.where(s, root[two][None, :], len(at)).min(axis=1, initial=len(at)))
+                np.minimum.at(root, two, np.where(s, root[one][:, None], len(at)).min(axis=0, initial=len(at)))
+                if (root == was).all():
+                    break
+            tied = np.flatnonzero(root != np.arange(len(at)))
+            a.append(key[at][tied])
+            b.append(key[at][root[tied]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    return paired(members, how).groupBy("of", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def outside(crowd: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
     """(a, b): an edge for each node that lies within the threshold of a part of another component of ``crowd``.
 
@@ -289,31 +326,52 @@ def crowds(lists: DataFrame, tied: DataFrame, threshold: float, k: int) -> DataF
     return full.join(tied, F.col("u") == F.col("v")).select(F.col("c").alias("component")).distinct()
 
 
-def true_links(nodes: DataFrame, how: Descent) -> DataFrame:
-    """(key, true): links of a bounded sample of nodes, by comparison with all nodes."""
-    picked = nodes.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(how.audit).select("key", "label", "dim", "vec").collect()
-    sample: dict[tuple, list] = {}
-    for r in picked:
-        sample.setdefault((r.label, r.dim), []).append((r.key, r.vec))
-    asked = {k: (np.array([i for i, _ in v]), matrix(pa.array([x for _, x in v], pa.list_(pa.float64())))) for k, v in sample.items()}
-    limit = how.threshold
+def true_links(nodes: DataFrame, sizes: DataFrame, how: Descent, wanted: int) -> DataFrame:
+    """(key, label, dim, true, linked): links of some ``wanted`` nodes of each label of ``sizes`` (label, dim, n), all
+    nodes of smaller labels, by comparison with all nodes of the label; whether another node is among them."""
+    chunk = F.pmod(F.xxhash64("key", F.lit(8)), F.col("chunks")).cast("int")
+    dealt = nodes.join(sizes.withColumn("chunks", F.ceil(F.col("n") / (4 * how.block)).cast("int")), ["label", "dim"])
+    asked = dealt.filter(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_003)) * F.col("n") < 1_000_003 * wanted)
+    names = ["label", "dim", "chunk", "asked", "key", "copies", "vec"]
+    rows = dealt.withColumn("chunk", chunk).withColumn("asked", F.lit(False)).select(*names).union(
+        asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asked", F.lit(True)).select(*names))
+    limit, block = how.threshold, how.block
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, dims, copies, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            key, n = [], []
-            for (label, dim), (q, x) in asked.items():
-                own = np.flatnonzero((dims == dim) & np.array([y == label for y in labels]))
-                if len(own):
-                    s = (matrix(batch.column(3).take(pa.array(own))) @ x.T) >= limit
-                    s |= keys[own][:, None] == q[None, :]
-                    key.append(q)
-                    n.append(copies[own] @ s)
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(n).astype(np.int64))], names=["key", "n"])
-
-    rows = nodes.select("label", "dim", "copies", "vec", "key").mapInArrow(run, "key long, n long")
-    return rows.groupBy("key").agg((F.sum("n") - 1).alias("true"))
+    def compare(table: pa.Table) -> pa.Table:
+        q, t = table.filter(table.column("asked")), table.filter(pc.invert(table.column("asked")))
+        key, copies = t.column("key").to_numpy(), t.column("copies").to_numpy()
+        true, linked = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+        if len(q) and len(t):
+            x = matrix(t.column("vec"))
+            for a in range(0, len(q), block):
+                some = q.slice(a, block)
+                own = some.column("key").to_numpy()[:, None] == key[None, :]
+                s = (matrix(some.column("vec")) @ x.T) >= limit
+                true[a : a + block], linked[a : a + block] = (s | own) @ copies, (s & ~own).any(axis=1)
+        return q.select(["key", "label", "dim"]).append_column("n", pa.array(true)).append_column("linked", pa.array(linked))
+
+    label_type = dict(nodes.dtypes)["label"]
+    found = rows.groupBy("label", "dim", "chunk").applyInArrow(compare, f"key long, label {label_type}, dim int, n long, linked boolean")
+    return found.groupBy("key", "label", "dim").agg((F.sum("n") - 1).alias("true"), F.max("linked").alias("linked"))
+
+
+def verdicts(truth: DataFrame, sizes: DataFrame, per: DataFrame, wanted: int) -> DataFrame:
+    """(label, dim, n, recall) of ``sizes``. ``per``: key, links, crowded. Recall is null where no sampled node links
+    with another one, and 1 if the sample was the whole label."""
+    part = F.least("true", "links") / F.col("true")
+    kinds = truth.filter("linked").join(per, "key").groupBy("label", "dim", "crowded").agg(F.avg(part).alias("recall"))
+    known = kinds.groupBy("label", "dim").agg(F.min("recall").alias("recall"))
+    return sizes.join(known, ["label", "dim"], "left").select("label", "dim", "n", F.coalesce("recall", F.when(F.col("n") <= wanted, 1.0)).alias("recall"))
+
+
+def settled(lists: DataFrame, nodes: DataFrame, k: int, total: int, how: Descent) -> DataFrame:
+    """Rounds of descent until few lists change."""
+    done = 0
+    while True:
+        new = settle(descend(lists, nodes, k))
+        lists, done = new.select("u", "l"), done + 1
+        if done >= how.rounds and (new.agg(F.sum("changed")).first()[0] or 0) <= how.still * k * total:
+            return lists
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", how: Descent = Descent()) -> DataFrame:
@@ -322,30 +380,38 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     rows = rows.withColumn("ok", usable(F.col("vec")) & F.col("label").isNotNull())
     nodes = settle(nodes_of(rows.filter("ok")))
     k, total = how.neighbours, nodes.count()
-    truth = settle(true_links(nodes, how))
+    open_ = settle(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
     lists = settle(start(nodes, how, k, seed=1))
+
+    def counts(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        tied = settle(components(edges))
+        members = tied.select(F.col("v").alias("key"), F.col("c").alias("component")).join(nodes, "key")
+        return tied, members, settle(links(members.select("key", "component", "copies", "vec"), how))
+
     for attempt in range(how.tries):
-        for _ in range(how.rounds):
-            new = settle(descend(lists, nodes, k))
-            lists = new.select("u", "l")
-            if (new.agg(F.sum("changed")).first()[0] or 0) <= how.still * k * total:
-                break
+        lists = settled(lists, nodes, k, total, how)
         edges = edges_of(lists, how.threshold)
-        tied = settle(components(edges))
-        crowded = settle(crowds(lists, tied, how.threshold, k))
+        near = settle(components(edges))
+        crowded = settle(crowds(lists, near, how.threshold, k))
+        placed = settle(nodes.join(near, F.col("key") == F.col("v"), "left").select("key", F.coalesce("c", "key").alias("component"), "label", "dim", "vec"))
         if crowded.head(1):
-            placed = settle(nodes.join(tied, F.col("key") == F.col("v"), "left").select("key", F.coalesce("c", "key").alias("component"), "label", "dim", "vec"))
             edges = settle(edges.union(outside(placed.join(crowded, "component"), placed, how)))
-            tied = settle(components(edges))
-        members = tied.select(F.col("v").alias("key"), F.col("c").alias("component")).join(nodes, "key")
-        counted = settle(links(members.select("key", "component", "copies", "vec"), how))
-        seen = truth.join(counted, "key", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-        recall = 1.0 if not seen[0] else seen[1] / seen[0]
-        log.info("recall of links %.4f after try %d", recall, attempt + 1)
-        if recall >= how.recall:
+        tied, members, counted = counts(edges)
+        wanted = how.audit * 4**attempt
+        crowd = placed.join(crowded.withColumn("crowded", F.lit(True)), "component", "left").select("key", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+        per = nodes.select("key", "copies").join(crowd, "key").join(counted, "key", "left").select("key", "crowded", F.coalesce("links", F.col("copies") - 1).alias("links"))
+        judged = settle(verdicts(true_links(nodes, open_, how, wanted), open_, per, wanted))
+        open_ = judged.filter(F.coalesce(F.col("recall") < how.recall, F.lit(True))).select("label", "dim", "n")
+        left, least_recall = judged.agg(F.count_if(F.coalesce(F.col("recall") < how.recall, F.lit(True))), F.min("recall")).first()
+        log.info("after try %d, %d labels open, least recall %s", attempt + 1, left, least_recall)
+        if not left:
             break
-        k *= 2
-        lists = settle(merged(lists.union(start(nodes, how, k, seed=attempt + 2)), k))
+        if attempt + 1 < how.tries:
+            k *= 2
+            lists = settle(merged(lists.union(start(nodes, how, k, seed=attempt + 2)), k))
+    else:
+        ids = nodes.join(open_, ["label", "dim"]).groupBy("label", "dim").agg(F.min("key").alias("component"))
+        tied, members, counted = counts(settle(edges.union(whole_edges(nodes.join(ids, ["label", "dim"]).select("key", "component", "vec"), how))))
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     per = nodes.select("key", "rep", "copies").join(tied.select(F.col("v").alias("key"), F.col("c").alias("component")), "key", "left").join(least, "component", "left").join(counted, "key", "left").select(
         "key", F.coalesce("links", F.col("copies") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -111,6 +111,28 @@ def test_saturated_lists_lose_no_neighbouring_group(spark, block):
     assert got == brute_vectors(rows, 0.93)
 
 
+def test_one_group_does_not_hide_lost_pairs(spark):
+    """The links of one tight group outnumber those of isolated pairs, which one tree of small leaves mostly misses."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    rows = [(i, [float(x) for x in apart(rng, centre, 0.9995)], 0) for i in range(80)]
+    for i in range(100):
+        v = rng.normal(size=16)
+        rows += [(1000 + 2 * i, [float(x) for x in v], 0), (1001 + 2 * i, [float(x) for x in apart(rng, v, 0.94)], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    how = vectors.Descent(trees=1, leaf=8, neighbours=2, rounds=1, still=1.0, tries=1)
+    got = Counter(tuple(r) for r in vectors.near_vectors(df, how=how).collect())
+    assert got == brute_vectors(rows, 0.93)
+
+
+def test_recall_without_sampled_links_is_unknown(spark):
+    sizes = spark.createDataFrame([(0, 2, 9), (1, 2, 9), (2, 2, 3)], "label int, dim int, n long")
+    truth = spark.createDataFrame([(1, 0, 2, 80, True), (2, 0, 2, 1, True), (3, 0, 2, 1, True), (4, 1, 2, 5, False), (5, 2, 2, 0, False)], "key long, label int, dim int, true long, linked boolean")
+    per = spark.createDataFrame([(1, 80, True), (2, 1, False), (3, 0, False), (4, 5, False), (5, 0, False)], "key long, links long, crowded boolean")
+    got = {r.label: r.recall for r in vectors.verdicts(truth, sizes, per, 4).collect()}
+    assert got == {0: 0.5, 1: None, 2: 1.0}
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
