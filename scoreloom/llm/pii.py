@@ -109,10 +109,11 @@ DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 SPELLED = re.compile(rf"\b(?:{_WORD})\b(?:[\s,.-]{{0,3}}\b(?:double |triple )?(?:{_WORD})\b|[\s,.-]{{0,3}}[0-9]+)+", re.IGNORECASE)
 SPELLED_PLUS = re.compile(r"\bplus\s{1,3}\Z", re.IGNORECASE)
 EACH = re.compile(rf"(?P<n>double |triple )?\b(?P<w>{_WORD})\b|(?P<d>[0-9])", re.IGNORECASE)
-# A disguise word, a spelled run or a look-alike may be present at all: found by a scan for rare literals.
-HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|ät|dot|\.|punto|punkt|point)\s{0,3}[\])}>]|\s(?:dot|punto|punkt|point)\s|[-_](?:at|dot)[-_]", re.IGNORECASE)
+# A disguise word, a spelled run or a look-alike may be present at all. Hints take in all that DISGUISE and SPELLED rewrite,
+# but for a spaced ``at`` without a domain behind it; a disguised domain has hints of its own.
+HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|ät|dot|\.|punto|punkt|point)\s{0,3}[\])}>]|\s(?:(?:dot|punto|punkt|point)\s|(?:at|@|arroba)\s{1,3}(?=[A-Za-z0-9-]++\.[A-Za-z0-9-]))|[-_](?:at|dot)[-_]", re.IGNORECASE)
 ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(LOOKALIKES)) + INVISIBLE + "]")
-SPELLED_HINT = re.compile(rf"\b(?:{_WORD})\b[\s,.-]{{1,3}}(?:double |triple )?\b(?:{_WORD})\b[\s,.-]{{1,3}}(?:double |triple )?\b(?:{_WORD})\b[\s,.-]{{1,3}}(?:double |triple )?\b(?:{_WORD})\b", re.IGNORECASE)
+SPELLED_HINT = re.compile(rf"\b(?:{_WORD})\b[\s,.-]{{0,3}}(?:\b(?:double |triple )?(?:{_WORD})\b|[0-9])", re.IGNORECASE)
 
 
 class Tape:

@@ -201,6 +201,19 @@ def test_disguised(t, kind, found):
     assert all(s in every[k] for k in plain for s in plain[k])
 
 
+@pytest.mark.parametrize(("found", "kind"), [
+    *[(f"jane{a}example.com", "email") for a in (" at ", " AT ", "  at  ", " @ ", " arroba ", "[at]", " (at) ", " {ät} ", "<@>", "-at-", "_AT_")],
+    *[(f"jane@example{d}com", "email") for d in (" dot ", " punto ", " punkt ", " point ", "[.]", " (dot) ", "-dot-", "_DOT_")],
+    ("+1 five five 5 oh one two 3 four seven eight", "phone"), ("+1 415 five 5 5 0132", "phone"), ("+49 four 3 triple one double five six 7 8 nine", "phone"),
+    ("4111 one 1 1 1 1111 one 1 1 1", "card"), ("one.two.3.4", "ip"), ("cuatro 111 1111 1111 1111", "card"),
+])
+def test_each_disguise_alone(found, kind):
+    """A rewrite needs no other hint beside it."""
+    for t in (f"write to {found}", f"{prose(5, 60)}; {found}, {prose(6, 60)}"):
+        _, every = pii.scan(t)
+        assert any(t[a:b] == found for a, b in every[kind]), (t, every)
+
+
 @pytest.mark.parametrize("t", ["We met at home and saw one, two, three of them.", "The dot at the end. Look at this: a point of view at noon", prose(3, 400), "one two three four five six seven eight"])
 def test_clean_prose_is_left_alone(t):
     assert not any(pii.scan(t)[1].values())
