@@ -192,7 +192,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("_nth", nth).withColumnRenamed("id", "_i").withColumnRenamed("source", "_src").withColumnRenamed("_t", "_h")
     met = rows.join(places, F.col("_i").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("_t")) & F.col("_src").eqNullSafe(F.col("source")))
     each = met.select("_doc", "size", F.get("_places", F.col("_nth"))["_p"].alias("_p"))
-    copies = [F.transform("_p", lambda x, k=k: F.struct(x["lo"].alias("lo"), F.when(x["whole"] >= k, x["hi"]).otherwise(x["lo"]).alias("hi"))) for k in range(1, how.most + 1)]
+
+    def nth_copy(k: int) -> Column:
+        return F.transform("_p", lambda x: F.struct(x["lo"].alias("lo"), F.when(x["whole"] >= k, x["hi"]).otherwise(x["lo"]).alias("hi")))
+
+    copies = [nth_copy(k) for k in range(1, how.most + 1)]
     copies.append(F.transform("_p", lambda x: F.struct(x["lo"].alias("lo"), F.greatest(F.least(x["part_hi"], x["hi"]), x["lo"]).alias("hi"))))
     taken = F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
     each = each.select("_doc", "size", F.explode(F.array(*copies)).alias("_c")).withColumn("_n", taken).filter("_n > 0")

@@ -190,8 +190,22 @@ def descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return both.groupBy("u").agg(best.alias("l"), F.max(F.when(F.col("old"), F.col("l"))).alias("was")).select("u", "l", F.size(F.array_except("l", "was")).alias("changed"))
 
 
-def edges_of(lists: DataFrame, threshold: float) -> DataFrame:
-    return lists.select("u", F.explode("l").alias("e")).filter(F.col("e.s") >= threshold - 1e-8).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
+def edges_of(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of the lists at or above the threshold. List values are rounded, so pairs next to the threshold
+    are computed again from their vectors."""
+    near = lists.select(F.col("u").alias("a"), F.explode("l").alias("e")).select("a", F.col("e.v").alias("b"), F.col("e.s").alias("s"))
+    close = near.filter(F.abs(F.col("s") - threshold) <= 1e-8).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = close.join(nodes.select(F.col("key").alias("a"), F.col("vec").alias("x")), "a").join(nodes.select(F.col("key").alias("b"), F.col("vec").alias("y")), "b").select("a", "b", "x", "y", F.size("x").alias("d"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(4).to_numpy()
+            for d in np.unique(dims):
+                part = batch.filter(pa.array(dims == d))
+                s = (matrix(part.column(2)) * matrix(part.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(list(part.filter(pa.array(s >= threshold)).columns[:2]), names=["a", "b"])
+
+    return near.filter(F.col("s") > threshold + 1e-8).select("a", "b").union(met.mapInArrow(judge, "a long, b long"))
 
 
 def paired(members: DataFrame, how: Descent, *carried: str) -> DataFrame:
@@ -390,7 +404,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding
 
     for attempt in range(how.tries):
         lists = settled(lists, nodes, k, total, how)
-        edges = edges_of(lists, how.threshold)
+        edges = settle(edges_of(lists, nodes, how.threshold))
         near = settle(components(edges))
         crowded = settle(crowds(lists, near, how.threshold, k))
         placed = settle(nodes.join(near, F.col("key") == F.col("v"), "left").select("key", F.coalesce("c", "key").alias("component"), "label", "dim", "vec"))

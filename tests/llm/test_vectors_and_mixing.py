@@ -74,6 +74,15 @@ def test_embeddings(spark, block):
     assert got == brute_vectors(rows, 0.93)
 
 
+def test_no_link_below_the_threshold(spark):
+    def turned(c):
+        return [c, (1 - c * c) ** 0.5, 0.0]
+
+    rows = [(1, [1.0, 0.0, 0.0], "a"), (2, turned(0.929999995), "a"), (3, [1.0, 0.0, 0.0], "b"), (4, turned(0.930000005), "b")]
+    out = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert [(out[i].n_links, out[i].component_id, out[i].kept) for i in (1, 2, 3, 4)] == [(0, 1, True), (0, 2, True), (1, 3, True), (1, 3, False)]
+
+
 def test_embeddings_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
