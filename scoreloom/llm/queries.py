@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import langid, lines, lm, minhash, mixing, passages, pieces, pii, quality, vectors
+from scoreloom.llm import langid, lines, lm, minhash, mixing, passages, pieces, pii, quality, tokalign, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,8 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lm_scoring")
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.alignment_digest(documents(spark, sf_dir))
