@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import langid, lines, lm, minhash, mixing, passages, pieces, pii, quality, runs, tokalign, vectors
+from scoreloom.llm import langid, lines, lm, minhash, mixing, passages, pieces, pii, quality, runs, secretscan, tokalign, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +81,11 @@ def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokalign.alignment_digest(documents(spark, sf_dir))
 
 
+@query("op11_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.find_secrets(documents(spark, sf_dir))
+
+
 @query("op12_periodic_runs")
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(documents(spark, sf_dir))
