@@ -70,7 +70,7 @@ _N50 = """, c AS (SELECT {g}len, sum(bp) OVER ({p}ORDER BY len DESC) AS cum, sum
 )
 def n50_by_group(spark, d):
     x = table(spark, d, "documents").select(F.col("source").alias("grp"), F.col("n_chars").alias("len"))
-    med = x.groupBy("grp").agg(F.median("len").alias("med"))
+    med = O.exact_quantiles(x, "len", [0.5], group=["grp"]).select("grp", F.col("quantiles")[0].alias("med"))
     return O.n50(x, "len", group=["grp"]).join(med, "grp")
 
 

@@ -438,8 +438,7 @@ def lin_concordance(spark, d):
 def permutation_test(spark, d):
     xy = O.mid_ranks(O.mid_ranks(block_xy(spark, d), "x", group=["model"], name="rx"), "y", group=["model"], name="ry")
     observed = T.pearson(xy, "rx", "ry", ["model"]).select("model", "r")
-    reps = B.permutation_ranks(xy, PERM, 11, keys=["model"], unit="block", x="rx", y="ry")
-    return B.permutation_p(observed, T.pearson(reps, "rx", "ry", ["model", "b"]).select("model", "b", "r"), "r", ["model"])
+    return B.permutation_p(observed, B.permuted_correlations(xy, PERM, 11, keys=["model"], unit="block", x="rx", y="ry"), "r", ["model"])
 
 
 @register(

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import metrics as M
 from scoreloom.functions.scalars import at_least, is_finite, ratio
 from scoreloom.operators.decide import gate_open
-from scoreloom.operators.ordered import running_totals
-from scoreloom.sources.scratch import settle
+from scoreloom.operators.ordered import laid_out, running_totals
 
 
 def score_histogram(scored: DataFrame, keys: Sequence[str] = ("model",), *, weight: str | None = None) -> DataFrame:
@@ -23,14 +22,14 @@ def score_histogram(scored: DataFrame, keys: Sequence[str] = ("model",), *, weig
     )
 
 
-def operating_points(hist: DataFrame, keys: Sequence[str] = ("model",), *, ranges: int = 256) -> DataFrame:
+def operating_points(hist: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """cum_pos / cum_neg at every distinct score, highest score first. ``hist`` is a
-    written table."""
-    return running_totals(hist, keys, "score", ["pos", "neg"], descending=True, ranges=ranges)
+    table that ``laid_out`` wrote."""
+    return running_totals(hist, keys, "score", ["pos", "neg"], descending=True)
 
 
 def average_precision(
-    scored: DataFrame, keys: Sequence[str] = ("model",), *, weight: str | None = None, ranges: int = 256,
+    scored: DataFrame, keys: Sequence[str] = ("model",), *, weight: str | None = None, ranges: int | None = None,
 ) -> DataFrame:
     """AUPRC with ties collapsed: sum over distinct scores of delta-recall x precision.
 
@@ -41,12 +40,12 @@ def average_precision(
     hist = score_histogram(scored, keys, weight=weight)
     if weight:
         hist = hist.filter(F.col("pos") + F.col("neg") > 0)
-    hist = settle(hist)
+    hist = laid_out(hist, keys, "score", ranges=ranges)
     info = hist.groupBy(*keys).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("n_scores"),
         F.bool_and(is_finite("score")).alias("_ok"),
     )
-    pts = operating_points(hist.filter(is_finite("score")), keys, ranges=ranges)
+    pts = operating_points(hist.filter(is_finite("score")), keys)
     area = pts.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_area")
     )
@@ -63,7 +62,8 @@ def pr_points(scored: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     keys = list(keys)
     y = F.col("label") == 1
     on = F.col("emitted") & is_finite("score")
-    every = settle(scored.groupBy(*keys, F.when(on, F.col("score")).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    every = scored.groupBy(*keys, F.when(on, F.col("score")).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    every = laid_out(every, keys, "score")
     totals = every.groupBy(*keys).agg(F.sum("pos").alias("n_pos"))
     pts = operating_points(every.filter(F.col("score").isNotNull()), keys).join(totals, keys)
     curve = pts.select(
@@ -85,18 +85,17 @@ def threshold_metrics(grid: DataFrame, keys: Sequence[str] = ("model",)) -> Data
     keys = list(keys)
     gate = gate_open(grid)
     y = F.col("label") == 1
-    hist = settle(grid.groupBy(*keys, "score").agg(
-        F.count_if(gate & y).alias("pos"), F.count_if(gate & ~y).alias("neg"), F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")
-    ))
-    totals = hist.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
-    ends = totals.select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score")).select(
-        "*", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")
+    hist = grid.groupBy(*keys, "score").agg(
+        F.count_if(gate & y).alias("pos"), F.count_if(gate & ~y).alias("neg"), F.count_if(y).alias("_tp"), F.count_if(~y).alias("_tn")
     )
-    hist = (
-        hist.select(*keys, "score", "pos", "neg").filter(is_finite("score")).unionByName(ends)
-        .groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    pts = operating_points(hist, keys).join(totals, keys)
+    # The ends ride on every score and fall together in one more aggregate of the histogram.
+    zero = F.lit(0).cast("bigint")
+    own = F.struct("score", "pos", "neg", "_tp", "_tn")
+    ends = [F.struct(F.lit(e).alias("score"), zero.alias("pos"), zero.alias("neg"), zero.alias("_tp"), zero.alias("_tn")) for e in (0.0, 1.0)]
+    hist = hist.select(*keys, F.inline(F.array(own, *ends))).groupBy(*keys, "score").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "_tp", "_tn")])
+    hist = laid_out(hist, keys, "score")
+    totals = hist.groupBy(*keys).agg(F.sum("_tp").alias("n_pos"), F.sum("_tn").alias("n_neg"))
+    pts = operating_points(hist.filter(is_finite("score")), keys).join(totals, keys)
     return pts.select(
         *keys, F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         (F.col("n_neg") - F.col("cum_neg")).alias("tn"), (F.col("n_pos") - F.col("cum_pos")).alias("fn"),

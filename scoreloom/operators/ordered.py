@@ -11,37 +11,54 @@ from scoreloom.functions.scalars import col
 from scoreloom.sources.scratch import settle
 
 
+def laid_out(df: DataFrame, group: Sequence[str], value: str, *, ranges: int | None = None) -> DataFrame:
+    """``df`` in an exchange by (group, value): ranges of about as many rows each, wherever the values lie, whose
+    numbers ``_p`` follow the order. Written once, since whatever reads it must see the same ranges."""
+    cols = [F.col(f"`{c}`") for c in (*group, value)]
+    dealt = df.repartitionByRange(ranges, *cols) if ranges else df.repartitionByRange(*cols)
+    return settle(dealt.withColumn("_p", F.spark_partition_id()))
+
+
 def running_totals(
-    df: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *, descending: bool = True, ranges: int = 256, prefix: str = "cum_",
+    df: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *, descending: bool = True, ranges: int | None = None, prefix: str = "cum_",
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` in the order of ``value`` within ``group``.
 
-    Needs one row per (group, value), i.e. pre-aggregated input. A plain window would sort a whole group in one
-    task. Here every group is cut at approximate quantiles of its values into ``ranges`` ranges of about as many
-    rows, whatever the values' scale; range totals are accumulated first (at most ``ranges`` rows per group), and
-    the row-level window then runs inside one range with that offset added. Results are exact wherever the cuts
-    fall. The cuts are written once, since all rows of a range must see the same ones.
+    Needs one row per (group, value), i.e. pre-aggregated input, or such a table as ``laid_out`` gives. A plain window
+    would sort a whole group in one task. Here a range exchange cuts all groups together into ranges of about as many
+    rows; the totals of a group's earlier ranges are its offset in a range (one row per group and range), and the
+    row-level window runs inside one range.
     """
     key = list(group)
-    v = F.col(value)
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
-    cuts = F.array_sort(F.array_distinct(F.percentile_approx(v, probs, F.lit(100 * ranges))))
-    step = 16
-    bounds = settle(df.groupBy(*key).agg(cuts.alias("_cuts"))).withColumn("_every", F.filter("_cuts", lambda x, i: i % step == step - 1))
-    if key:
-        cur = df.join(bounds, key)
-    else:
-        cur = df.withColumn("_pair", bounds.select(F.struct("_cuts", "_every")).scalar()).select(*df.columns, "_pair._cuts", "_pair._every")
-    coarse = F.size(F.filter("_every", lambda x: x < v))
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_slot") * step + 1, F.lit(step)), lambda x: x < v))
-    cur = cur.withColumn("_slot", coarse).withColumn("_range", F.col("_slot") * step + fine).drop("_cuts", "_every", "_slot")
-    totals = cur.groupBy(*key, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*key, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy(*key, "_range").orderBy(v.desc() if descending else v.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cur.join(totals, [*key, "_range"]).select("*", *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(prefix + s) for s in sums])
-    return out.drop("_range", *[f"_o_{s}" for s in sums])
+    rows = df if "_p" in df.columns else laid_out(df, group, value, ranges=ranges)
+    turn = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    part = [F.col(f"`{k}`") for k in key] or [F.lit(0)]
+    before = Window.partitionBy(*part).orderBy(turn("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*key, "_p").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = totals.select(*key, "_p", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    inside = Window.partitionBy(*key, "_p").orderBy(turn(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(totals, [*key, "_p"]).select("*", *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(prefix + s) for s in sums])
+    return out.drop("_p", *[f"_o_{s}" for s in sums])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
+    """Exact quantiles (linear between neighbours) of an unbounded group, as an array in the order of ``probs``.
+
+    Rows are counted per value, the counts accumulated over ranges, and each quantile picks the one or two values
+    whose places it lies between: no task holds a group. Null and NaN values do not count; without any, null.
+    """
+    key = list(group)
+    some = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    freq = laid_out(some.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c")), key, value)
+    cum = running_totals(freq, key, value, ["_c"], descending=False, prefix="_upto")
+    n = freq.groupBy(*key).agg(F.sum("_c").alias("_n"))
+    placed = cum.join(n, key) if key else cum.withColumn("_n", n.select("_n").scalar())
+    at = lambda k: F.max(F.when((F.col("_upto_c") > k) & (F.col("_upto_c") - F.col("_c") <= k), F.col(value).cast("double")))
+    place = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    ends = [c for i, x in enumerate(place) for c in (at(F.floor(x)).alias(f"_l{i}"), at(F.ceil(x)).alias(f"_h{i}"))]
+    found = placed.groupBy(*key, "_n").agg(*ends) if key else placed.groupBy("_n").agg(*ends)
+    line = lambda i, x: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (x - F.floor(x))
+    return found.select(*key, F.array(*[line(i, x) for i, x in enumerate(place)]).alias(name))
 
 
 def dense_index(
@@ -110,7 +127,7 @@ def mid_ranks(df: DataFrame, value: str, *, group: Sequence[str] = (), name: str
 def mid_ranks_large(df: DataFrame, value: str, *, group: Sequence[str] = (), name: str = "mid_rank") -> DataFrame:
     """Average ranks of an unbounded group: distinct-value counts, distributed running
     totals, then one join back on the value."""
-    freq = settle(df.groupBy(*group, value).agg(F.count("*").alias("_c")))
+    freq = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
     cum = running_totals(freq, group, value, ["_c"], descending=False, prefix="_cum")
     ranks = cum.select(*group, value, (F.col("_cum_c") - (F.col("_c") - 1) / 2.0).alias(name))
     return df.join(ranks, [*group, value])
@@ -162,7 +179,7 @@ def pareto_front(df: DataFrame, cost: str, gain: str, *, group: Sequence[str] =
 def n50(lengths: DataFrame, length: str, *, group: Sequence[str] = ()) -> DataFrame:
     """N50 per group: running totals over distinct lengths (bounded by the number of
     distinct lengths, not of rows)."""
-    mass = settle(lengths.groupBy(*group, length).agg((F.count("*") * F.col(length)).cast("bigint").alias("bp")))
+    mass = laid_out(lengths.groupBy(*group, length).agg((F.count("*") * F.col(length)).cast("bigint").alias("bp")), group, length)
     cum = running_totals(mass, group, length, ["bp"], descending=True)
     if group:
         joined = cum.join(mass.groupBy(*group).agg(F.sum("bp").alias("_total")), list(group))

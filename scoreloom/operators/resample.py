@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import metrics as M
-from scoreloom.functions.scalars import hashed_uniform, is_finite
+from scoreloom.functions.scalars import hashed_uniform, is_finite, ratio
 from scoreloom.operators.ordered import dense_index
+from scoreloom.sources.scratch import settle
 
 
 def unit_weights(
@@ -189,18 +190,32 @@ def hypergeometric_pattern_weights(patterns: DataFrame, ratios: Sequence[int], r
     return reps.mapInPandas(draw, "ratio int, rep int, label int, pattern string, w bigint")
 
 
-def permutation_ranks(pairs: DataFrame, permutations: int, seed: int, *, keys: Sequence[str], unit: str, x: str, y: str) -> DataFrame:
-    """Replicate table (keys, b, x, y') with y shuffled over the units of each key by a
-    hashed order. Units are blocks (samples), so groups are small by construction."""
-    w = Window.partitionBy(*keys).orderBy(unit)
-    base = pairs.withColumn("_i", F.row_number().over(w))
-    reps = base.select(*keys, unit, x, y, "_i", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("b"))
-    shuffled = reps.withColumn(
-        "_j", F.row_number().over(Window.partitionBy(*keys, "b").orderBy(hashed_uniform(seed, F.col("b"), F.col("_i")), "_i"))
-    )
-    left = shuffled.select(*keys, "b", "_i", x)
-    right = shuffled.select(*keys, "b", F.col("_j").alias("_i"), y)
-    return left.join(right, [*keys, "b", "_i"])
+def hashed_orders(sizes: DataFrame, permutations: int, seed: int, *, chunk: int = 250) -> DataFrame:
+    """(n, b, order): a permutation of 0 .. n-1 for each size and replicate, by the hash of (seed, b, place)."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(max(permutations - 1, 0) // chunk))).alias("_part")
+    reps = sizes.select("n").distinct().select("n", parts).repartition("n", "_part")
+    reps = reps.select("n", F.explode(F.sequence(F.col("_part") * chunk, F.least(F.col("_part") * chunk + chunk, F.lit(permutations)) - 1)).alias("b"))
+    places = reps.select("n", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("h", hashed_uniform(seed, F.col("b"), F.col("i")))
+    placed = places.groupBy("n", "b").agg(F.sort_array(F.collect_list(F.struct("h", "i"))).alias("_o"))
+    return placed.select("n", "b", F.transform("_o.i", lambda i: i - 1).alias("order"))
+
+
+def permuted_correlations(pairs: DataFrame, permutations: int, seed: int, *, keys: Sequence[str], unit: str, x: str, y: str) -> DataFrame:
+    """(keys, b, r): Pearson correlation of x with y shuffled over the units of each key.
+
+    Units are blocks (samples), so a key is one row with its values in arrays, and a replicate reads y in another
+    order. Keys with as many units share their orders: keys x permutations rows are made and none is joined with itself.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    square = lambda c: total(F.transform(c, lambda v: v * v))
+    rows = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(x).alias("x"), F.col(y).alias("y")))).alias("_r"))
+    rows = rows.select(*keys, F.size("_r").alias("n"), F.col("_r.x").cast("array<double>").alias("_x"), F.col("_r.y").cast("array<double>").alias("_y"))
+    rows = rows.select("*", (total("_x") / F.col("n")).alias("_mx"), (total("_y") / F.col("n")).alias("_my"))
+    rows = settle(rows.select(*keys, "n", F.transform("_x", lambda v: v - F.col("_mx")).alias("_x"), F.transform("_y", lambda v: v - F.col("_my")).alias("_y")))
+    dot = F.aggregate(F.zip_with("_x", "order", lambda v, i: v * F.get("_y", i)), F.lit(0.0), lambda a, v: a + v)
+    norm = F.sqrt(square("_x") * square("_y"))
+    each = hashed_orders(rows, permutations, seed).join(rows.withColumn("_norm", norm), "n")
+    return each.select(*keys, "b", ratio(dot, F.col("_norm"), None).alias("r"))
 
 
 def permutation_p(observed: DataFrame, replicates: DataFrame, stat: str, keys: Sequence[str], *, slack: float = 1e-12) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import metrics as M
 from scoreloom.functions import pvalues as P
 from scoreloom.functions.scalars import ratio
-from scoreloom.operators.ordered import mid_ranks
+from scoreloom.operators.ordered import exact_quantiles, mid_ranks
 
 
 def cochran_q(correct: DataFrame, *, entity: str = "entity_id", keys: Sequence[str] = (), value: str = "correct") -> DataFrame:
@@ -190,7 +190,7 @@ def prevalence_crossover(rates: DataFrame, grid: Sequence[float], *, keys: Seque
 def quantile_grid(df: DataFrame, value: str, *, step: float | None, anchor: float, probs=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Data-driven grid: quantiles rounded half-even to ``step`` (or to integers > 1),
     plus the anchor value, distinct."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q")).select(F.explode("_q").alias("_v"))
+    q = exact_quantiles(df, value, probs).select(F.explode("quantiles").alias("_v"))
     if step:
         vals = q.select((F.bround(F.col("_v") / step, 0) * step).cast("int").alias("grid_value"))
     else:
