@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from scoreloom.catalog.base import COUNTS_SQL, MCC_SQL, MODELS, W, calls, register, table
+from scoreloom.catalog.base import COUNTS_SQL, MCC_SQL, MODELS, RULES, W, calls, register, table
 from scoreloom.functions import metrics as M
 from scoreloom.functions import pvalues as P
 from scoreloom.functions.scalars import ratio
 from scoreloom.operators import confusion as C
 from scoreloom.operators import curves as V
 from scoreloom.operators import ordered as O
+from scoreloom.operators import replicates as R
 from scoreloom.operators import resample as B
 from scoreloom.operators import stats as T
 from scoreloom.plans import contrast as K
@@ -99,17 +100,49 @@ def margin_verdicts(spark, d):
     return ST.margin_verdict(B.paired_difference(reps), ["model_a", "model_b"], margin=0.02)
 
 
-_IDX_ALL = ", " + _idx("entity_id", "truth", "eidx")
-E_REPS = 10
+# Replicate vectors in SQL: the residues of keys and replicates, the uniform numbers, and Poisson variables by inversion.
+E_REPS = 1000
+_P = R.PRIME
+
+
+def _residues(seed, key, a="a", c="c"):
+    half = lambda i, n: f"('0x' || substr(md5(concat_ws('|', '{seed}', {key})), {i}, 8))::BIGINT % {_P} AS {n}"
+    return f"{half(1, a)}, {half(9, c)}"
+
+
+def _uniform(rel, keep, a="a", c="c"):
+    """Rows of ``rel`` x replicates with their uniform number u."""
+    return f"(SELECT {keep}, b, x4 * x % {_P} AS u FROM (SELECT *, x2 * x2 % {_P} AS x4 FROM (SELECT *, x * x % {_P} AS x2 FROM (SELECT {keep}, b, ({a} + {c} * r) % {_P} AS x FROM {rel}, rb))))"
+
+
+_steps = lambda mean: " + ".join(f"(u >= {t})::INTEGER" for t in R.STEPS[mean]) or "0"
+
+
+def _draws(seed):
+    """``ew``: entity_id, b, w of every draw; ``nw``: the same where blocks are drawn first."""
+    return f""", rb AS (SELECT b, ('0x' || substr(md5(concat_ws('|', '{seed}', 'b', b)), 1, 8))::BIGINT % {_P} AS r FROM range({E_REPS}) t(b)),
+ par AS (SELECT entity_id, block, {_residues(seed, 'entity_id')} FROM truth),
+ ew AS (SELECT entity_id, b, {_steps(1)} AS w FROM {_uniform('par', 'entity_id')} WHERE u >= {R.STEPS[1][0]}),
+ bpar AS (SELECT block, {_residues(seed, "'block', block")} FROM (SELECT DISTINCT block FROM truth)),
+ kb AS (SELECT block, b, {_steps(1)} AS k FROM {_uniform('bpar', 'block')} WHERE u >= {R.STEPS[1][0]}),
+ nw AS (SELECT entity_id, b, w FROM (SELECT entity_id, e.b, CASE k {' '.join(f"WHEN {k} THEN {_steps(k)}" for k in range(1, len(R.STEPS)))} END AS w
+   FROM {_uniform('par', 'entity_id, block')} e JOIN kb ON kb.block = e.block AND kb.b = e.b) WHERE w > 0)"""
+
+
+def _boot_counts(rel, mode):
+    pick = lambda c: f"CAST(coalesce(sum(w) FILTER (WHERE {c}), 0) AS BIGINT)"
+    return f"""SELECT '{mode}' AS mode, model, b, {pick('label = 1 AND call = 1')} AS tp, {pick('label = 0 AND call = 1')} AS fp, {pick('label = 0 AND call = 0')} AS tn, {pick('label = 1 AND call = 0')} AS fn
+      FROM {rel} JOIN (SELECT entity_id, model, label, call FROM calls) USING (entity_id) GROUP BY ALL"""
+
+
+def _boot_auprc(rel, mode):
+    return f"""SELECT '{mode}' AS mode, model, b, CASE WHEN count(*) <= 1 THEN NULL WHEN sum(pos) = 0 THEN 0 ELSE sum(pos * cp / (cp + cn)::DOUBLE) / sum(pos) END AS auprc
+      FROM (SELECT *, sum(pos) OVER w1 AS cp, sum(neg) OVER w1 AS cn FROM (SELECT b, model, score, coalesce(sum(w) FILTER (WHERE label = 1), 0) AS pos, coalesce(sum(w) FILTER (WHERE label = 0), 0) AS neg
+        FROM {rel} JOIN (SELECT entity_id, model, label, score FROM calls) USING (entity_id) GROUP BY ALL) WINDOW w1 AS (PARTITION BY b, model ORDER BY score DESC)) GROUP BY ALL"""
 
 
 _PATTERN = f""", pat AS (SELECT label, string_agg(call::VARCHAR, '' ORDER BY CASE model {' '.join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(MODELS))} END) AS pattern FROM calls GROUP BY entity_id, label),
- pc AS (SELECT label, pattern, count(*) AS n_entities FROM pat GROUP BY ALL),
- laid AS (SELECT *, sum(n_entities) OVER (ORDER BY label, pattern) - 1 AS e FROM pc),
- ew AS (SELECT b, label, pattern, count(*) AS w FROM (SELECT b, {_draw("'42'", 'b', 'i')} % (SELECT sum(n_entities) FROM pc) AS p FROM range((SELECT CAST(sum(n_entities) AS BIGINT) FROM pc)) s(i), range({E_REPS}) r(b)) dr
-        JOIN laid ON p <= e AND p > e - n_entities GROUP BY ALL),
- erep AS (SELECT model, b, {', '.join(f"CAST(coalesce(sum(w) FILTER (WHERE {c}), 0) AS BIGINT) AS {n}" for n, c in (('tp', "label = 1 AND call = '1'"), ('fp', "label = 0 AND call = '1'"), ('tn', "label = 0 AND call = '0'"), ('fn', "label = 1 AND call = '0'")))}
-   FROM (SELECT b, label, w, m.model, substr(pattern, m.i, 1) AS call FROM ew, (VALUES {', '.join(f"('{m}', {i + 1})" for i, m in enumerate(MODELS))}) m(model, i)) GROUP BY ALL)"""
+ pc AS (SELECT label, pattern, count(*) AS n_entities FROM pat GROUP BY ALL)"""
 
 
 @register("outcome_patterns", "D39 H2", W + _PATTERN + " SELECT * FROM pc")
@@ -117,15 +150,19 @@ def outcome_patterns(spark, d):
     return B.outcome_patterns(calls(spark, d), MODELS)
 
 
+def boot_counts(spark, d, seed, mode="naive"):
+    """(model, b) counts of the replicates: entities meet the weights through their pattern of calls only."""
+    rows = B.entity_patterns(calls(spark, d), MODELS, extra=["block"])
+    return B.pattern_counts(R.cell_replicates(rows, ["label", "pattern"], "entity_id", E_REPS, seed, mode=mode, block="block"), MODELS, "w")
+
+
 @register(
     "entity_bootstrap_ci", "I1 H17",
-    W + _PATTERN + f" SELECT model, quantile_cont(mcc, 0.025) AS lo, quantile_cont(mcc, 0.975) AS hi, stddev_samp(mcc) AS se, count(*) AS n_valid FROM (SELECT model, {MCC_SQL} AS mcc FROM erep) GROUP BY model",
+    W + _draws(42) + f", rep AS ({_boot_counts('ew', 'naive')}) SELECT model, quantile_cont(mcc, 0.025) AS lo, quantile_cont(mcc, 0.975) AS hi, stddev_samp(mcc) AS se, count(*) AS n_valid FROM (SELECT model, {MCC_SQL} AS mcc FROM rep) GROUP BY model",
     "lo hi se",
 )
 def entity_bootstrap_ci(spark, d):
-    pat = settle(B.outcome_patterns(calls(spark, d), MODELS))
-    reps = B.pattern_counts(B.entity_draws_by_pattern(pat, E_REPS, 42), MODELS, "w")
-    return B.interval(reps.withColumn("mcc", M.mcc()), "mcc")
+    return B.interval(boot_counts(spark, d, 42).withColumn("mcc", M.mcc()), "mcc")
 
 
 @register("entity_bootstrap_multinomial", "I1 I2")
@@ -136,26 +173,42 @@ def entity_bootstrap_multinomial(spark, d):
     return B.interval(reps.withColumn("mcc", M.mcc()), "mcc")
 
 
-A_REPS = 5
+def boot_auprc(spark, d, seed, modes=("naive",)):
+    c = calls(spark, d).select("entity_id", "model", "label", "score", "block")
+    return R.auprc_replicates(c, "model", "entity_id", E_REPS, seed, modes=modes, block="block")
+
+
+def family_delta(df, value, *keys):
+    """Mean of the marker models minus mean of the composition models."""
+    mean = lambda f: F.avg(F.when(F.col("model").isin(*[r.model for r in RULES if r.family == f]), F.col(value)))
+    return df.groupBy(*keys).agg((mean("marker") - mean("composition")).alias("diff"))
+
+
+_FAMILY = lambda v: f"avg({v}) FILTER (WHERE family = 'marker') - avg({v}) FILTER (WHERE family = 'composition')"
+_DIFFS = W + _draws(7) + f", ap AS ({_boot_auprc('ew', 'naive')}), df AS (SELECT b, {_FAMILY('auprc')} AS diff FROM ap JOIN models USING (model) GROUP BY b)"
+
+
+@register("entity_bootstrap_auprc_groups", "I3 I1", _DIFFS + " SELECT CAST(b AS INTEGER) AS b, diff FROM df", "diff")
+def entity_bootstrap_auprc_groups(spark, d):
+    """Paired difference of group-mean AUPRC in every replicate; all models see the same weights."""
+    return family_delta(boot_auprc(spark, d, 7), "auprc", "b")
+
+
+_POINT_AP = """SELECT model, sum(pos * cp / (cp + cn)::DOUBLE) / sum(pos) AS auprc FROM (SELECT *, sum(pos) OVER w1 AS cp, sum(neg) OVER w1 AS cn FROM (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+   FROM calls GROUP BY ALL) WINDOW w1 AS (PARTITION BY model ORDER BY score DESC)) GROUP BY model"""
 
 
 @register(
-    "entity_bootstrap_auprc_groups", "I3 I1",
-    W + _IDX_ALL + f""", ew AS (SELECT b, pos.entity_id, count(*) AS w FROM (SELECT b, {_draw("'7'", 'b', 'idx')} % n AS p FROM eidx, range({A_REPS}) r(b)) dr JOIN eidx pos ON pos.idx = dr.p GROUP BY ALL),
-    h AS (SELECT b, model, family, score, coalesce(sum(w) FILTER (WHERE label = 1), 0) AS pos, coalesce(sum(w) FILTER (WHERE label = 0), 0) AS neg FROM calls JOIN ew USING (entity_id) GROUP BY ALL),
-    c AS (SELECT *, sum(pos) OVER w1 AS cp, sum(neg) OVER w1 AS cn FROM h WINDOW w1 AS (PARTITION BY b, model ORDER BY score DESC)),
-    ap AS (SELECT b, model, family, sum(pos * cp / (cp + cn)::DOUBLE) / sum(pos) AS auprc FROM c GROUP BY ALL)
-    SELECT CAST(b AS INTEGER) AS b, avg(auprc) FILTER (WHERE family = 'marker') - avg(auprc) FILTER (WHERE family = 'composition') AS diff FROM ap GROUP BY b""",
-    "diff",
+    "auprc_group_verdict", "I3 I9",
+    _DIFFS + f""", pt AS (SELECT {_FAMILY('auprc')} AS point_delta FROM ({_POINT_AP}) JOIN models USING (model)), q AS (SELECT quantile_cont(diff, 0.025) AS ci_lo, quantile_cont(diff, 0.975) AS ci_hi, count(*) AS n_valid FROM df WHERE diff IS NOT NULL)
+    SELECT point_delta, ci_lo, ci_hi, n_valid, ci_lo > 0 OR ci_hi < 0 AS significant FROM pt, q""",
+    "point_delta ci_lo ci_hi",
 )
-def entity_bootstrap_auprc_groups(spark, d):
-    """Paired difference of group-mean AUPRC; one weight table serves all models."""
-    c = calls(spark, d).select("entity_id", "model", "family", "label", "score")
-    w = B.unit_weights(table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id")), ["entity_id"], A_REPS, 7)
-    ap = V.average_precision(c.join(w, "entity_id"), ("b", "model", "family"), weight="w")
-    return ap.groupBy("b").agg(
-        (F.avg(F.when(F.col("family") == "marker", F.col("auprc"))) - F.avg(F.when(F.col("family") == "composition", F.col("auprc")))).alias("diff")
-    )
+def auprc_group_verdict(spark, d):
+    """Point difference of group-mean AUPRC, its interval, and whether it excludes 0."""
+    point = family_delta(V.average_precision(calls(spark, d)), "auprc").select(F.col("diff").alias("point_delta"))
+    q = B.interval(family_delta(boot_auprc(spark, d, 7), "auprc", "b"), "diff", []).select(F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"), F.col("n_valid"))
+    return q.withColumn("point_delta", point.scalar()).withColumn("significant", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
 _BCA = f", bca AS (SELECT model, block || '/' || arm AS block, arm, {COUNTS_SQL} FROM calls GROUP BY ALL)"
@@ -254,24 +307,32 @@ def rate_contrast_bootstrap(spark, d):
     return agg.select("model", *[F.col(r)[i].alias(f"{r}_{s}") for r in RATE for i, s in enumerate(("lo", "hi"))])
 
 
-N_REPS = 5
-_NEST = f""", np AS (SELECT block, label, string_agg(call::VARCHAR, '' ORDER BY CASE model {' '.join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(MODELS))} END) AS pattern FROM calls GROUP BY entity_id, block, label),
- nc AS (SELECT block, label, pattern, count(*) AS n_entities FROM np GROUP BY ALL),
- nl AS (SELECT *, sum(n_entities) OVER (PARTITION BY block, label ORDER BY pattern) - 1 AS e, sum(n_entities) OVER (PARTITION BY block, label) AS nn FROM nc),
- {_idx('block', 'nc', 'nidx')},
- slots AS (SELECT b, s.idx AS slot, p.block FROM (SELECT b, idx, {_draw("'99'", 'b', 'idx')} % n AS p FROM nidx, range({N_REPS}) r(b)) s JOIN nidx p ON p.idx = s.p),
- cls AS (SELECT DISTINCT block, label, nn FROM nl),
- nd AS (SELECT b, block, label, {_draw("'99'", 'b', 'slot', 'label', 'i')} % nn AS p FROM (SELECT b, slot, s.block, label, nn, unnest(range(CAST(nn AS BIGINT))) AS i FROM slots s JOIN cls USING (block))),
- nw AS (SELECT b, nl.label, pattern, count(*) AS w FROM nd JOIN nl ON nl.block = nd.block AND nl.label = nd.label AND p <= e AND p > e - n_entities GROUP BY ALL),
- nrep AS (SELECT model, b, {', '.join(f"CAST(coalesce(sum(w) FILTER (WHERE {c}), 0) AS BIGINT) AS {n}" for n, c in (('tp', "label = 1 AND call = '1'"), ('fp', "label = 0 AND call = '1'"), ('tn', "label = 0 AND call = '0'"), ('fn', "label = 1 AND call = '0'")))}
-   FROM (SELECT b, label, w, m.model, substr(pattern, m.i, 1) AS call FROM nw, (VALUES {', '.join(f"('{m}', {i + 1})" for i, m in enumerate(MODELS))}) m(model, i)) GROUP BY ALL)"""
+@register("nested_block_bootstrap", "I8", W + _draws(99) + f", rep AS ({_boot_counts('nw', 'nested')}) SELECT model, CAST(b AS INTEGER) AS b, {MCC_SQL} AS mcc FROM rep", "mcc")
+def nested_block_bootstrap(spark, d):
+    """Blocks are drawn first, then the entities of each drawn block."""
+    return boot_counts(spark, d, 99, "nested").select("model", "b", M.mcc().alias("mcc"))
 
 
-@register("nested_block_bootstrap", "I8", W + _NEST + f" SELECT model, CAST(b AS INTEGER) AS b, {MCC_SQL} AS mcc FROM nrep", "mcc")
-def nested_block_bootstrap(spark, d):
-    cells = settle(B.outcome_patterns(calls(spark, d), MODELS, extra=["block"]))
-    w = B.nested_block_weights(cells, "block", N_REPS, 99, cell=["label", "pattern"])
-    return B.pattern_counts(w, MODELS, "w").select("model", "b", M.mcc().alias("mcc"))
+_NN = " UNION ALL ".join
+_Q2 = lambda v: f"quantile_cont({v}, 0.025) AS {v}_lo, quantile_cont({v}, 0.975) AS {v}_hi"
+
+
+@register(
+    "nested_and_naive_bootstrap", "I8 I3",
+    W + _draws(99) + f""", rep AS ({_NN([_boot_counts('nw', 'nested'), _boot_counts('ew', 'naive')])}), ap AS ({_NN([_boot_auprc('nw', 'nested'), _boot_auprc('ew', 'naive')])}),
+     pt AS (SELECT model, {MCC_SQL} AS mcc FROM (SELECT model, {COUNTS_SQL} FROM calls GROUP BY model)), pa AS ({_POINT_AP}),
+     cm AS (SELECT mode, model, {_Q2('mcc')} FROM (SELECT mode, model, {MCC_SQL} AS mcc FROM rep) GROUP BY ALL), ca AS (SELECT mode, model, {_Q2('auprc')} FROM ap GROUP BY ALL)
+    SELECT mode, model, mcc, mcc_lo, mcc_hi, auprc, auprc_lo, auprc_hi FROM cm JOIN ca USING (mode, model) JOIN pt USING (model) JOIN pa USING (model)""",
+    "mcc mcc_lo mcc_hi auprc auprc_lo auprc_hi",
+)
+def nested_and_naive_bootstrap(spark, d):
+    """Intervals of MCC and AUPRC where blocks are drawn first, beside those of a plain draw of entities."""
+    c = calls(spark, d)
+    point = C.confusion(c, ("model",)).select("model", M.mcc().alias("mcc")).join(V.average_precision(c).select("model", "auprc"), "model")
+    ends = lambda df, v: B.interval(df, v, ["mode", "model"]).select("mode", "model", F.col("lo").alias(f"{v}_lo"), F.col("hi").alias(f"{v}_hi"))
+    mcc = [boot_counts(spark, d, 99, m).select(F.lit(m).alias("mode"), "model", M.mcc().alias("mcc")) for m in R.MODES]
+    both = ends(mcc[0].union(mcc[1]), "mcc").join(ends(boot_auprc(spark, d, 99, R.MODES), "auprc"), ["mode", "model"])
+    return both.join(point, "model").select("mode", "model", *[x for v in ("mcc", "auprc") for x in (v, f"{v}_lo", f"{v}_hi")])
 
 
 @register(

@@ -77,16 +77,21 @@ def paired_difference(
     return rows.select(*keys, "b", F.inline(pairs))
 
 
+def entity_patterns(calls: DataFrame, models: Sequence[str], *, entity: str = "entity_id", extra: Sequence[str] = ()) -> DataFrame:
+    """One row per entity: label, ``extra`` and the calls of all models as a pattern."""
+    bits = [F.max(F.when(F.col("model") == m, F.col("call"))).alias(f"_c{i}") for i, m in enumerate(models)]
+    wide = calls.groupBy(entity, "label", *extra).agg(*bits)
+    text = F.concat(*[F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("string") for i in range(len(models))])
+    return wide.select(entity, "label", *extra, text.alias("pattern"))
+
+
 def outcome_patterns(calls: DataFrame, models: Sequence[str], *, entity: str = "entity_id", extra: Sequence[str] = ()) -> DataFrame:
     """Entities collapsed to (label, calls of all models) patterns with their count.
 
     Count metrics depend on an entity only through its pattern, so resampling
     entities equals resampling patterns with these multiplicities.
     """
-    bits = [F.max(F.when(F.col("model") == m, F.col("call"))).alias(f"_c{i}") for i, m in enumerate(models)]
-    wide = calls.groupBy(entity, "label", *extra).agg(*bits)
-    text = F.concat(*[F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("string") for i in range(len(models))])
-    return wide.groupBy("label", *extra, text.alias("pattern")).agg(F.count("*").alias("n_entities"))
+    return entity_patterns(calls, models, entity=entity, extra=extra).groupBy("label", *extra, "pattern").agg(F.count("*").alias("n_entities"))
 
 
 def pattern_counts(patterns: DataFrame, models: Sequence[str], weight: str, keys: Sequence[str] = ("b",)) -> DataFrame:
@@ -102,38 +107,6 @@ def pattern_counts(patterns: DataFrame, models: Sequence[str], weight: str, keys
     )
 
 
-def _chunks(df: DataFrame, lo: str, hi: str, size: int, keep: Sequence[str]) -> DataFrame:
-    """Rows lo..hi (inclusive) cut into pieces of at most ``size`` positions."""
-    piece = F.explode(F.sequence(F.col(lo), F.col(hi), F.lit(size).cast("bigint"))).alias("_lo")
-    return df.select(*keep, F.col(hi).alias("_last"), piece).select(
-        *keep, "_lo", F.least(F.col("_lo") + size - 1, F.col("_last")).alias("_hi")
-    )
-
-
-def entity_draws_by_pattern(patterns: DataFrame, replicates: int, seed: int, *, chunk: int = 10000) -> DataFrame:
-    """Pattern weights of an entity bootstrap, drawn entity by entity (hashed).
-
-    Patterns own consecutive ranges of entity positions; a draw belongs to the
-    pattern whose range it falls in. Draw slots are made in chunks from the ranges
-    themselves, and a draw finds its pattern by an equi-join on the position chunk,
-    so draws are counted per (replicate, pattern) before they are shuffled.
-    """
-    order = Window.orderBy("label", "pattern")  # at most 2**(models+1) rows
-    laid = patterns.withColumn("_e", F.sum("n_entities").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-    laid = laid.withColumn("_s", F.col("_e") - F.col("n_entities") + 1)
-    size = patterns.agg(F.sum("n_entities")).scalar()
-    slots = (
-        _chunks(laid, "_s", "_e", chunk, [])
-        .repartition(patterns.sparkSession.sparkContext.defaultParallelism)
-        .select(F.explode(F.sequence("_lo", "_hi")).alias("i"))
-        .select("i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    )
-    draws = slots.select("b", (hashed_uniform(seed, F.col("b"), F.col("i")) % size).alias("_pos"))
-    homes = laid.select("label", "pattern", "_s", "_e", F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor(F.col("_e") / chunk))).alias("_c"))
-    hit = draws.withColumn("_c", F.floor(F.col("_pos") / chunk)).join(homes, "_c").filter(F.col("_pos").between(F.col("_s"), F.col("_e")))
-    return hit.groupBy("b", "label", "pattern").agg(F.count("*").alias("w"))
-
-
 def _cells(patterns: DataFrame) -> list[tuple[int, str, int]]:
     """The patterns as one list in fixed order: with m models there are at most 2**(m+1), however many entities."""
     return [(r.label, r.pattern, r.n_entities) for r in patterns.select("label", "pattern", "n_entities").orderBy("label", "pattern").toLocalIterator()]
@@ -256,33 +229,3 @@ def subsample_negatives(calls: DataFrame, ratios: Sequence[int], repeats: int, s
         F.count_if(F.col("call") == 1).alias("tp"), F.count_if(F.col("call") == 0).alias("fn")
     )
     return fp.join(tp, "model").select("ratio", "rep", "model", *M.COUNTS)
-
-
-def nested_block_weights(
-    entities: DataFrame, block: str, replicates: int, seed: int, *, cell: Sequence[str]
-) -> DataFrame:
-    """Two-stage bootstrap: draw blocks, then within each drawn slot draw its positives
-    and negatives with replacement.
-
-    ``cell`` columns describe an entity as far as the statistic can tell (label and
-    call pattern); input is one row per (block, cell) with ``n_entities``. Returns
-    weights per (b, cell). Draws inside a slot pick positions in the class of that
-    block, mapped back to cells by their position range.
-    """
-    blocks = entities.select(block).distinct()
-    idx = dense_index(blocks, [block])
-    slots = idx.select("n", "idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = slots.select("b", F.col("idx").alias("slot"), (hashed_uniform(seed, F.col("b"), F.col("idx")) % F.col("n")).alias("idx"))
-    drawn = drawn.join(idx.select("idx", block), "idx").select("b", "slot", block)
-    part = Window.partitionBy(block, "label")
-    laid = entities.withColumn(
-        "_e", F.sum("n_entities").over(part.orderBy(*cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    ).withColumn("_s", F.col("_e") - F.col("n_entities") + 1).withColumn("_n", F.sum("n_entities").over(part))
-    pieces = _chunks(laid, "_s", "_e", 10000, [block, "label", "_n"])
-    pos = drawn.join(pieces, block).select("b", "slot", block, "label", "_n", F.explode(F.sequence("_lo", "_hi")).alias("_i"))
-    draws = pos.select(
-        "b", block, "label",
-        (hashed_uniform(seed, F.col("b"), F.col("slot"), F.col("label"), F.col("_i")) % F.col("_n")).alias("_p"),
-    )
-    joined = draws.join(laid.drop("_n"), [block, "label"]).filter(F.col("_p").between(F.col("_s"), F.col("_e")))
-    return joined.groupBy("b", *cell).agg(F.count("*").alias("w"))
