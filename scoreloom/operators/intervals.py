@@ -1,9 +1,9 @@
 """Interval algebra on alignment hits.
 
-Long or deeply covered (query, subject) pairs are cut into fixed position bins, so
-a pair holding a large share of all hits is spread over its bins. Inside a bin of
-width w there are at most w*(w+1)/2 distinct clipped intervals; duplicates are
-merged by a map-side aggregate before anything is gathered.
+Unions cut intervals at wide fixed bins, in which at most one row per starting position
+remains after a map-side merge; tiling cuts deeply covered (query, subject) pairs into
+bins that follow the number of hits. A pair holding a large share of all hits is spread
+over its bins in both.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import ratio
 
-WIDTH = 256
+WIDTH = 1 << 14
 
 
 def clip_to_bins(df: DataFrame, lo: Column, hi: Column, width: int = WIDTH) -> DataFrame:
@@ -36,38 +36,75 @@ def union_length(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column, *,
     return parts.withColumn("_new", fresh).groupBy(*keys).agg(F.sum("_new").alias(name))
 
 
+def _dyadic(first: Column, end: Column) -> Column:
+    """(level, place) of the aligned blocks of 2**level bins that make up the bins first .. end - 1."""
+    up = lambda x, k: F.ceil(x / F.pow(F.lit(2), k)).cast("bigint")
+    down = lambda x, k: F.floor(x / F.pow(F.lit(2), k)).cast("bigint")
+    node = lambda k, at: F.struct(k.cast("int").alias("level"), at.alias("place"))
+
+    def at_level(k: Column) -> Column:
+        lo, hi = up(first, k), down(end, k)
+        some = lo < hi
+        return F.array_compact(F.array(F.when(some & (lo % 2 == 1), node(k, lo)), F.when(some & (hi % 2 == 1), node(k, hi - 1))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2((end - first + 1).cast("double"))).cast("int")), at_level))
+
+
+def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *, deep: int = 64) -> DataFrame:
+    """(key, rank, bases): positions that each hit owns, the hit of least ``rank`` owning a position that several cover.
+
+    ``hits`` have key, rank columns, _lo and _hi. A sweep over elementary segments: end points cut a stretch into
+    segments, a hit is listed once for each segment that it spans, and the least rank of a segment owns it. A key with
+    at most ``deep`` hits is one stretch. Others are cut into bins so wide that about ``deep`` hits begin in each: a hit
+    enters its two outer bins clipped, and the bins between as few aligned blocks of bins, of which only the best hit
+    is kept before they are opened. So a bin holds about as many clipped hits as end points lie in it, and one hit that
+    spans it, however many hits and however long.
+    """
+    key, rank = list(key), list(rank)
+    many = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_lo").alias("_a"), F.max("_hi").alias("_z")).filter(F.col("_n") > deep)
+    width = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2((F.col("_z") - F.col("_a") + 1) * F.lit(float(deep)) / F.col("_n"))))).cast("bigint")
+    many = many.select(*key, width.alias("_w"))
+    bins = [F.floor(F.col(c) / F.col("_w")).cast("bigint") for c in ("_lo", "_hi")]
+    placed = hits.select(*key, *rank, "_lo", "_hi").join(many, key, "left").select("*", F.coalesce(bins[0], F.lit(0)).alias("_b"), F.coalesce(bins[1], F.lit(0)).alias("_e"))
+    piece = lambda b, lo, hi: F.struct(b.alias("_bin"), lo.alias("_lo"), hi.alias("_hi"))
+    b, e, w = F.col("_b"), F.col("_e"), F.col("_w")
+    ends = F.when(b == e, F.array(piece(b, F.col("_lo"), F.col("_hi")))).otherwise(F.array(piece(b, F.col("_lo"), (b + 1) * w - 1), piece(e, e * w, F.col("_hi"))))
+    clipped = placed.select(*key, *rank, F.inline(ends))
+    best = F.min(F.struct(*rank)).alias("_r")
+    long = hits.select(*key, *rank, "_lo", "_hi").join(many, key).select(*key, *rank, "_w", bins[0].alias("_b"), bins[1].alias("_e")).filter("_e - _b > 1")
+    blocks = long.select(*key, *rank, "_w", F.inline(_dyadic(b + 1, e))).groupBy(*key, "_w", "level", "place").agg(best)
+    size = F.pow(F.lit(2), F.col("level")).cast("bigint")
+    opened = blocks.select(*key, "_w", "_r", F.explode(F.sequence(F.col("place") * size, F.col("place") * size + size - 1)).alias("_bin"))
+    spanning = opened.select(*key, *[F.col(f"_r.{r}").alias(r) for r in rank], "_bin", (F.col("_bin") * w).alias("_lo"), (F.col("_bin") * w + w - 1).alias("_hi"))
+    # One exchange by bin; everything up to the owners of segments happens inside it.
+    slot = [*key, "_bin"]
+    pieces = clipped.unionByName(spanning).repartition(*[F.col(c) for c in slot]).groupBy(*slot, "_lo", "_hi").agg(best)
+    points = pieces.select(*slot, "_lo", "_hi", "_r", F.explode(F.array(F.col("_lo"), F.col("_hi") + 1)).alias("_at"))
+    points = points.withColumn("_i", F.dense_rank().over(Window.partitionBy(*slot).orderBy("_at")))
+    spans = points.groupBy(*slot, "_lo", "_hi", "_r").agg(F.min("_i").alias("_from"), F.max("_i").alias("_to"))
+    listed = spans.select("*", F.explode(F.sequence(F.col("_from") - 1, F.col("_to"))).alias("_seg"))
+    i, lo, hi = F.col("_seg"), F.col("_from"), F.col("_to")
+    start = F.when(i == lo, F.col("_lo")).when(i == hi, F.col("_hi") + 1)
+    end = F.when(i == hi - 1, F.col("_hi") + 1).when(i == lo - 1, F.col("_lo"))
+    owners = listed.groupBy(*slot, "_seg").agg(F.min(F.when((i >= lo) & (i < hi), F.col("_r"))).alias("_r"), F.max(start).alias("_s"), F.max(end).alias("_t")).filter("_r is not null")
+    return owners.groupBy(*key, *[F.col(f"_r.{r}").alias(r) for r in rank]).agg(F.sum(F.col("_t") - F.col("_s")).alias("bases"))
+
+
 def tile_hits(
-    hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",), width: int = WIDTH
+    hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",), deep: int = 64, width: int = WIDTH
 ) -> DataFrame:
     """Tiled coverage and identity per (query, subject).
 
     Every query position belongs to the highest-scoring hit covering it (file order
     on ties); identity is weighted by the positions won; a hit is accepted when it
     wins at least one position, and only accepted hits feed the totals and the
-    subject coverage.
+    subject coverage. ``tie`` names a hit within its pair.
     """
     key = [query, subject]
     slot = [*key, "_bin"]
-    rank = F.struct((-F.col("bitscore")).alias("_s"), *tie)
-    body = F.struct("pident", "bitscore", "evalue", "sstart", "send", "qlen", "slen")
-    pieces = (
-        clip_to_bins(hits, F.least("qstart", "qend"), F.greatest("qstart", "qend"), width)
-        .groupBy(*slot, "_lo", "_hi")
-        .agg(F.min(F.struct(rank.alias("r"), body.alias("h"))).alias("t"))
-    )
-    # Best-first list of the distinct pieces of one bin, cut at every piece end; the
-    # first piece covering a segment owns it. List length is bounded by the width.
-    bins = pieces.groupBy(*slot).agg(
-        F.sort_array(F.collect_list(F.struct("t.r", "t.h", F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))).alias("_p")
-    )
-    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda x: F.array(x["lo"], x["hi"] + 1)))))
-    segments = F.expr(
-        "transform(sequence(0, size(_cuts) - 2), i -> named_struct("
-        "'top', get(filter(_p, x -> x.lo <= _cuts[i] AND x.hi >= _cuts[i + 1] - 1), 0), 'bases', _cuts[i + 1] - _cuts[i]))"
-    )
-    won = bins.withColumn("_cuts", cuts).select(*key, F.inline(segments)).filter(F.col("top").isNotNull())
-    accepted = won.groupBy(*key, F.col("top.r").alias("r"), F.col("top.h").alias("h")).agg(F.sum("bases").alias("bases"))
-    accepted = accepted.select(*key, "bases", "h.*")
+    light = hits.select(*key, (-F.col("bitscore")).alias("_minus"), *tie, F.least("qstart", "qend").cast("bigint").alias("_lo"), F.greatest("qstart", "qend").cast("bigint").alias("_hi"))
+    won = owned_segments(light, key, ["_minus", *tie], deep=deep).drop("_minus")
+    accepted = won.join(hits.select(*key, *tie, "pident", "bitscore", "evalue", "sstart", "send", "qlen", "slen"), [*key, *tie])
     # Subject coverage and totals in one pass: a hit's totals ride on its first bin.
     spread = clip_to_bins(accepted, F.least("sstart", "send"), F.greatest("sstart", "send"), width)
     first = F.col("_lo") == F.least("sstart", "send")

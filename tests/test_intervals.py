@@ -16,7 +16,7 @@ def test_self_test_cases(spark):
         ("Q", "S2", 70.0, 1, 80, 1, 80, 1e-3, 60.0, 200, 500, 3), ("Q2", "S", 100.0, 1, 200, 1, 200, 0.0, 400.0, 200, 250, 4),
         ("Q2", "S", 88.0, 40, 120, 40, 120, 0.1, 120.0, 200, 250, 5),
     ]
-    t = I.tile_hits(spark.createDataFrame(rows, COLS), width=64)
+    t = I.tile_hits(spark.createDataFrame(rows, COLS), deep=1)
     got = {(r["qseqid"], r["sseqid"]): r for r in t.collect()}
     a = got["Q", "S1"]
     assert (a["covered_q"], a["q_af"], a["covered_s"]) == (150, 75.0, 150)
@@ -37,8 +37,8 @@ def greedy(hits):
     return len(owned), len(subj), sum(owned.values()) / len(owned), sum(h[8] for h in acc), min(h[7] for h in acc), len(acc)
 
 
-@pytest.mark.parametrize("width", [16, 100, 4096])
-def test_tiling_equals_greedy_on_skewed_pairs(spark, width):
+@pytest.mark.parametrize("deep", [2, 30, 10_000])
+def test_tiling_equals_greedy_on_skewed_pairs(spark, deep):
     rng = np.random.default_rng(11)
     rows = []
     for i in range(900):
@@ -48,7 +48,7 @@ def test_tiling_equals_greedy_on_skewed_pairs(spark, width):
         qs, qe = (a, a + n) if rng.random() < 0.8 else (a + n, a)
         ss, se = (s, s + n) if rng.random() < 0.5 else (s + n, s)
         rows.append(("q" if hot else f"q{i % 7}", "s" if hot else f"s{i % 3}", float(rng.integers(70, 101)), qs, qe, ss, se, float(rng.random()), float(rng.integers(1, 60)), 1000, 900, i))
-    got = {(r["qseqid"], r["sseqid"]): r for r in I.tile_hits(spark.createDataFrame(rows, COLS), width=width).collect()}
+    got = {(r["qseqid"], r["sseqid"]): r for r in I.tile_hits(spark.createDataFrame(rows, COLS), deep=deep, width=50).collect()}
     pairs = {}
     for r in rows:
         pairs.setdefault(r[:2], []).append(r)
@@ -60,6 +60,14 @@ def test_tiling_equals_greedy_on_skewed_pairs(spark, width):
         assert g["weighted_identity"] == pytest.approx(ident) and g["total_bitscore"] == pytest.approx(bits)
 
 
+def test_a_long_hit_over_many_short_ones(spark):
+    rows = [("q", "s", 80.0, 1, 100_000, 1, 100_000, 0.1, 30.0, 100_000, 100_000, 0)]
+    rows += [("q", "s", 90.0, 40 * i + 1, 40 * i + 20, 40 * i + 1, 40 * i + 20, 0.1, 50.0 if i % 2 else 10.0, 100_000, 100_000, i + 1) for i in range(2000)]
+    r = I.tile_hits(spark.createDataFrame(rows, COLS)).first()
+    assert (r["covered_q"], r["covered_s"], r["n_accepted"]) == (100_000, 100_000, 1001)
+    assert r["weighted_identity"] == pytest.approx((20_000 * 90 + 80_000 * 80) / 100_000)
+
+
 @pytest.mark.parametrize("width", [5, 50])
 def test_union_length(spark, width):
     rng = np.random.default_rng(2)
