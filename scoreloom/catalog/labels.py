@@ -66,7 +66,7 @@ _W = EVIDENCE_SQL + f", vt AS ({_VSQL})"
 
 @register("evidence_variants", "K4 J1", _W + " SELECT variant, tier, category, count(*) AS n FROM vt GROUP BY ALL")
 def evidence_variants(spark, d):
-    return sweeps.tier_variants(flags(spark, d), VARIANTS, keep=["entity_id"]).groupBy("variant", "tier", "category").agg(F.count("*").alias("n"))
+    return sweeps.tier_variant_counts(flags(spark, d), VARIANTS)
 
 
 # Calls of the scoring models over the tiered truth, in SQL.
@@ -85,6 +85,12 @@ def _calls(spark, d, truth):
     return D.dense_calls(truth, predictions(spark, d), RULES)
 
 
+def variant_labels(spark, d):
+    """(entity_id, labels): tiers 1 and 2 are positive, tier 0 negative, under each variant."""
+    tiers = [L.tier_columns(**opt)["tier"] for opt in VARIANTS.values()]
+    return flags(spark, d).select("entity_id", sweeps.label_vector([F.when(t.isin(1, 2), "TP").when(t == 0, "TN") for t in tiers]).alias("labels"))
+
+
 @register(
     "evidence_variant_ranks", "K4 E16",
     _W + _PRED + f""", m AS (SELECT *, {MCC_SQL} AS mcc FROM (SELECT model, variant, {COUNTS_SQL} FROM (SELECT b.model, variant, call, CAST(tier > 0 AS INTEGER) AS label FROM base b JOIN vt USING (entity_id) WHERE tier IN (0, 1, 2)) GROUP BY ALL)),
@@ -94,14 +100,8 @@ def _calls(spark, d, truth):
     "delta_no_e5 " + " ".join(f"mcc_{v}" for v in VARIANTS),
 )
 def evidence_variant_ranks(spark, d):
-    """Wide MCC and min-rank per label variant; variants expand inside the map task."""
-    f = flags(spark, d)
-    cells = []
-    for name, opt in VARIANTS.items():
-        tier = L.tier_columns(**opt)["tier"]
-        cells.append((name, F.when(tier.isin(1, 2), "TP").when(tier == 0, "TN")))
-    labelled = f.select("entity_id", *[c.alias(f"_v_{n}") for n, c in cells])
-    counts = sweeps.relabel_grid(_calls(spark, d, labelled), [(n, F.col(f"_v_{n}")) for n, _ in cells])
+    """Wide MCC and min-rank per label variant; an entity carries its labels under all variants as one short text."""
+    counts = sweeps.relabel_grid(_calls(spark, d, variant_labels(spark, d)), list(VARIANTS))
     ranked = O.rank_by(counts.withColumn("m9", F.round("mcc", 9)), "m9", group=["variant"], method="min")
     pick = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
     cols = []
@@ -120,10 +120,7 @@ def evidence_variant_ranks(spark, d):
 def label_rank_stability(spark, d):
     from pyspark.sql import Window
 
-    f = flags(spark, d)
-    tier = {n: L.tier_columns(**opt)["tier"] for n, opt in VARIANTS.items()}
-    labelled = f.select("entity_id", *[F.when(t.isin(1, 2), "TP").when(t == 0, "TN").alias(f"_v_{n}") for n, t in tier.items()])
-    counts = sweeps.relabel_grid(_calls(spark, d, labelled), [(n, F.col(f"_v_{n}")) for n in tier]).withColumn("m9", F.round("mcc", 9))
+    counts = sweeps.relabel_grid(_calls(spark, d, variant_labels(spark, d)), list(VARIANTS)).withColumn("m9", F.round("mcc", 9))
     ranked = O.rank_by(counts, "m9", group=["variant"], tie=["model"])
     std = F.max(F.when(F.col("variant") == "standard", F.col("m9"))).over(Window.partitionBy("model"))
     return ranked.select("model", "variant", "mcc", "rank", (F.col("m9") - std).alias("delta"))
@@ -279,13 +276,9 @@ def _grid_counts(spark, d):
     viral = R.quality_signal("quality", "viral_genes", "provirus") != "no_viral_signal"
     unknown = (F.col("viral_genes") == 0) & (F.col("host_genes") == 0) & ~F.col("classified")
     neg = ~viral & (F.col("domain") == "Bacteria")
-    t = t.withColumn("_viral", viral).withColumn("_unknown", unknown).withColumn("_neg", neg).drop("label")
-    rows = _calls(spark, d, t.select("entity_id", "ratio", "_viral", "_unknown", "_neg"))
-    variants = [
-        (f"R{h}_{lo}_{hi}", sweeps.enrichment_variant(h, lo, hi, viral=F.col("_viral"), unknown=F.col("_unknown"), negative=F.col("_neg")))
-        for h in HIGH for lo, hi in BANDS
-    ]
-    return sweeps.relabel_grid(rows, variants)
+    variants = {f"R{h}_{lo}_{hi}": sweeps.enrichment_variant(h, lo, hi, viral=viral, unknown=unknown, negative=neg) for h in HIGH for lo, hi in BANDS}
+    rows = t.select("entity_id", sweeps.label_vector(list(variants.values())).alias("labels"))
+    return sweeps.relabel_grid(_calls(spark, d, rows), list(variants))
 
 
 _GRIDM = LIBRARY_SQL + _PRED + f""", g AS ({_GRID}),

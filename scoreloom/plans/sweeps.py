@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import metrics as M
-from scoreloom.operators.confusion import concordance_metrics, count_exprs
+from scoreloom.operators.confusion import concordance_metrics
 from scoreloom.operators.labelling import recruitment_status, tier_columns
 
 
@@ -72,17 +72,24 @@ def recruitment_grid(
     return concordance_metrics(counts)
 
 
-def relabel_grid(calls: DataFrame, variants: Sequence[tuple[str, Column]], *, positive: str = "TP", negative: str = "TN", keys=("model",)) -> DataFrame:
+def label_vector(labels: Sequence[Column], *, positive: str = "TP", negative: str = "TN") -> Column:
+    """The labels of an entity under all variants as one short text: 2 positive, 1 negative, 0 neither."""
+    return F.concat(*[F.when(c == positive, "2").when(c == negative, "1").otherwise("0") for c in labels])
+
+
+def relabel_grid(calls: DataFrame, names: Sequence[str], *, vector: str = "labels", keys=("model",)) -> DataFrame:
     """Confusion counts per model under several label definitions at once.
 
-    Labels of all variants are computed on the row and expanded inside the map task;
-    partial aggregation leaves models x variants rows before the shuffle. Variants
-    with an empty class keep NULL metrics.
+    Entities with the same ``label_vector`` differ in their calls only: they are counted per (model, call, vector)
+    first, and the few vectors that occur are then read variant by variant. Variants with an empty class keep NULL
+    metrics.
     """
-    cells = F.inline(F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("_l")) for n, c in variants]))
-    rows = calls.select(*keys, "call", cells).filter(F.col("_l").isin(positive, negative))
-    rows = rows.withColumn("label", (F.col("_l") == positive).cast("int"))
-    counts = rows.groupBy(*keys, "variant").agg(*count_exprs())
+    vectors = calls.groupBy(*keys, "call", vector).agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.inline(F.array(*[F.struct(F.lit(n).alias("variant"), F.substring(vector, i + 1, 1).alias("_l")) for i, n in enumerate(names)]))
+    rows = vectors.select(*keys, "call", "_n", cells).filter(F.col("_l") != "0")
+    y, on = F.col("_l") == "2", F.col("call") == 1
+    pick = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    counts = rows.groupBy(*keys, "variant").agg(pick(y & on).alias("tp"), pick(~y & on).alias("fp"), pick(~y & ~on).alias("tn"), pick(y & ~on).alias("fn"))
     both = (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)
     return counts.select("*", *[F.when(both, c).alias(n) for n, c in (("precision", M.precision()), ("recall", M.recall()), ("f1", M.f1()), ("mcc", M.mcc()))])
 
@@ -99,8 +106,19 @@ def enrichment_variant(high: float, low: float, top: float, *, viral: Column, un
 def tier_variants(flags: DataFrame, variants: Mapping[str, dict], *, keep: Sequence[str]) -> DataFrame:
     """Tier per entity under several evidence rules, one row per (entity, variant),
     computed on the flags row without a second scan."""
+    return flags.select(*keep, F.inline(_tier_cells(variants)))
+
+
+def tier_variant_counts(flags: DataFrame, variants: Mapping[str, dict]) -> DataFrame:
+    """(variant, tier, category, n): entities are counted by their tiers under all variants together before these are
+    listed one by one."""
+    together = flags.groupBy(_tier_cells(variants).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    return together.select("_n", F.inline("_c")).groupBy("variant", "tier", "category").agg(F.sum("_n").alias("n"))
+
+
+def _tier_cells(variants: Mapping[str, dict]) -> Column:
     cells = []
     for name, options in variants.items():
         c = tier_columns(**options)
         cells.append(F.struct(F.lit(name).alias("variant"), *[c[k].alias(k) for k in ("tier", "n_evidence", "category")]))
-    return flags.select(*keep, F.inline(F.array(*cells)))
\ No newline at end of file
+    return F.array(*cells)
