@@ -28,7 +28,7 @@ from scoreloom.functions.scalars import is_finite
 from scoreloom.sources.scratch import settle
 
 PRIME = (1 << 31) - 1
-ROWS = 1024
+ROWS = 32  # rows whose vectors are made at once: these arrays stay in a processor's cache
 SPLIT = 100  # replicates that one task accumulates along a model's chunks
 
 
@@ -62,30 +62,38 @@ _ALL = np.array([k * PRIME + t for k, s in enumerate(STEPS) for t in s], np.int6
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    """A residue, or the prime itself for 0."""
-    x = (x & PRIME) + (x >> 31)
-    return (x & PRIME) + (x >> 31)
+    """Residues in place; the prime itself may stand for 0."""
+    for _ in range(2):
+        high = x >> 31
+        x &= PRIME
+        x += high
+    return x
 
 
 def uniforms(a: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Entities x replicates residues."""
-    x = _fold(a[:, None] + c[:, None] * r[None, :])
+    x = np.multiply.outer(c, r)
+    x += a[:, None]
+    _fold(x)
     y = _fold(x * x)
-    y = _fold(_fold(y * y) * x)
+    y *= y
+    _fold(y)
+    y *= x
+    _fold(y)
     y[y == PRIME] = 0
     return y
 
 
 def plain_weights(u: np.ndarray) -> np.ndarray:
-    w = np.zeros(u.shape, np.int64)
-    for t in STEPS[1]:
+    w = (u >= STEPS[1][0]).view(np.int8)
+    for t in STEPS[1][1:]:
         w += u >= t
     return w
 
 
 def nested_weights(u: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Weights under block weights ``blocks`` of the same shape."""
-    return np.searchsorted(_ALL, blocks * PRIME + u, side="right") - _FROM[blocks]
+    return np.searchsorted(_ALL, blocks * np.int64(PRIME) + u, side="right") - _FROM[blocks]
 
 
 MODES = ("naive", "nested")
@@ -121,7 +129,7 @@ def cell_replicates(entities: DataFrame, cells: Sequence[str], entity: str, repl
                 order = np.argsort(own, kind="stable")
                 first = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) > 0]))
                 a, c, ka, kc = (part.column(i).to_numpy()[order] for i in range(1, 5))
-                per = np.add.reduceat(weights(mode, uniforms(a, c, r), ka, kc, r), first, axis=0)
+                per = np.add.reduceat(weights(mode, uniforms(a, c, r), ka, kc, r), first, axis=0, dtype=np.int64)
                 for name, w in zip(names.dictionary.to_pylist(), per, strict=True):
                     sums[name] = sums[name] + w if name in sums else w
         for name, w in sums.items():
@@ -196,7 +204,7 @@ class Chunk:
             end = min(y, z + ROWS)
             p = self.pos[z:end]
             for m, w in self.drawn(z, end, modes, r).items():
-                out[m] = (out[m][0] + w[p].sum(axis=0), out[m][1] + w[~p].sum(axis=0))
+                out[m] = (out[m][0] + w[p].sum(axis=0, dtype=np.int64), out[m][1] + w[~p].sum(axis=0, dtype=np.int64))
         return out
 
 
@@ -283,7 +291,7 @@ def auprc_replicates(
                     ends = np.flatnonzero(np.append(c.score[x:y - 1] != c.score[x + 1 : y], c.score[y - 1] != c.score[y]))
                     p = c.pos[x:y]
                     for m, w in c.drawn(x, y, modes, r).items():
-                        cp, cn = now[m][0] + np.cumsum(w * p[:, None], axis=0), now[m][1] + np.cumsum(w * ~p[:, None], axis=0)
+                        cp, cn = now[m][0] + np.cumsum(w * p[:, None], axis=0, dtype=np.float64), now[m][1] + np.cumsum(w * ~p[:, None], axis=0, dtype=np.float64)
                         now[m] = [cp[-1], cn[-1]]
                         if len(ends):
                             ep, en = cp[ends], cn[ends]
