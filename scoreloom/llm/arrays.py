@@ -75,12 +75,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offs
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of whole texts of about SLICE bytes."""
+def slices(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of runs of whole texts of about ``size`` bytes, SLICE if not given."""
+    size = size or SLICE
     data, offs = buffers(texts)
     n, a = len(offs) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 

@@ -44,13 +44,15 @@ FOLDER = "/opt/tokenizers"
 @dataclass(frozen=True)
 class Pairing:
     """``a``: a byte-level BPE file; ``b``: a piece model with a space mark and byte pieces. ``piece``: merged ends a
-    piece holds. ``heavy``: bound on the number of broadcast pairs. ``block``: pairs written out at once."""
+    piece holds. ``heavy``: bound on the number of broadcast pairs. ``block``: pairs written out at once. ``text``: bytes
+    of whole texts encoded at once."""
 
     a: str = f"{FOLDER}/byte_bpe_50k.json"
     b: str = f"{FOLDER}/piece_bpe_32k.model"
     piece: int = 1 << 16
     heavy: int = 100_000
-    block: int = 1 << 22
+    block: int = 1 << 20
+    text: int = 1_000_000
 
 
 class Spelling:
@@ -239,7 +241,7 @@ def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
 def runs_of(batches: Iterator[pa.RecordBatch], how: Pairing) -> Iterator[tuple[pa.RecordBatch, Encoded]]:
     """Whole texts of the last column, encoded some megabytes at a time."""
     for batch in batches:
-        for x, y, _, _ in slices(batch.column(batch.num_columns - 1)):
+        for x, y, _, _ in slices(batch.column(batch.num_columns - 1), how.text):
             part = batch.slice(x, y - x)
             yield part, Encoded([t or "" for t in part.column(batch.num_columns - 1).to_pylist()], how)
 
