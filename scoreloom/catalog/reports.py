@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scoreloom.catalog.base import COUNTS_SQL, M_DOUBLES, MCC_SQL, MODELS, RULES, W, calls, metric_sql, predictions, register, table, truth
+from scoreloom.catalog.base import COUNTS_SQL, LIBRARY_SQL, M_DOUBLES, MCC_SQL, MODELS, RULES, W, calls, metric_sql, predictions, register, table, truth
 from scoreloom.catalog.inputs import sequence_records
+from scoreloom.catalog.labels import _LABEL, _PRED, labelled
 from scoreloom.functions import metrics as M
 from scoreloom.functions import rules as R
 from scoreloom.functions.scalars import ratio
@@ -12,6 +13,7 @@ from scoreloom.operators import composition as K
 from scoreloom.operators import confusion as C
 from scoreloom.operators import decide as D
 from scoreloom.operators import labelling as L
+from scoreloom.operators import mixture as X
 from scoreloom.operators import ordered as O
 from scoreloom.operators import quality as QC
 from scoreloom.operators import selection as SEL
@@ -20,6 +22,8 @@ from scoreloom.operators import setops as S
 from scoreloom.operators import stats as T
 from scoreloom.plans import publish as PB
 from scoreloom.plans import studies as ST
+from scoreloom.plans import sweeps
+from scoreloom.sources.scratch import settle
 
 s = lambda c: F.col(c).cast("string")
 _SEQ = "WITH sq AS (SELECT 'doc_' || doc_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq, lang FROM documents)"
@@ -549,37 +553,93 @@ def _values(spark, d):
     return li.select(F.log10(F.col("l_extendedprice") * F.when(F.col("l_returnflag") == "R", 100.0).when(F.col("l_returnflag") == "A", 0.01).otherwise(1.0)).alias("x"))
 
 
-@register("mixture_fit", "H14 H15")
-def mixture_fit(spark, d):
-    """Three-component mixture on a log ratio: parameters, BIC and the 95% posterior point."""
-    fit = ST.fit_mixture(_values(spark, d), "x", k=3, seeds=range(3), max_iter=100)
-    cut = ST.value_at_posterior(fit["params"], 0.95, lo=-3.0, hi=9.0)
-    rows = [(i, *p, fit["log_likelihood"], fit["bic"], fit["n"], cut) for i, p in enumerate(fit["params"])]
-    return spark.createDataFrame(rows, "component int, weight double, mean double, sd double, log_likelihood double, bic double, n bigint, cut double")
+_EM_STARTS, _EM_SEED = 10, 17
+_C = range(3)
+
+
+def _em_sql(values: str) -> str:
+    """CTEs hx, em and fit: EM over the histogram of ``values`` (column x) from the same starts, round by round."""
+    per = lambda f, sep=", ": sep.join(f(i) for i in _C)
+    quantile = lambda q: f"(SELECT arg_min(xb, bin) FILTER (WHERE cum >= {q!r} * nn) FROM hx, tot)"
+    first = " UNION ALL ".join(f"SELECT {s} AS s, {', '.join(f'{quantile(q)} AS m{i}' for i, q in enumerate(X.start_places(s, 3, _EM_SEED)))}" for s in range(_EM_STARTS))
+    logs = per(lambda i: f"ln(w{i}) - 0.5 * ln(2 * pi() * v{i}) - (xb - m{i}) * (xb - m{i}) / (2 * v{i}) AS l{i}")
+    top = "greatest(l0, l1, l2)"
+    shares = lambda rel, keep: f"SELECT {keep}, n, sx, sxx, {per(lambda i: f'exp(l{i} - top) / tot_ AS r{i}')}, top + ln(tot_) AS lse FROM (SELECT *, {per(lambda i: f'exp(l{i} - top)', ' + ')} AS tot_ FROM (SELECT *, {top} AS top FROM (SELECT {keep}, n, sx, sxx, {logs} FROM {rel}, hx)))"
+    return f"""hb AS (SELECT floor(x / {X.WIDTH!r})::BIGINT AS bin, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx FROM {values} WHERE isfinite(x) GROUP BY 1),
+ hx AS (SELECT *, sx / n AS xb, sum(n) OVER (ORDER BY bin) AS cum FROM hb), tot AS (SELECT sum(n) AS nn, greatest(sum(sxx) / sum(n) - (sum(sx) / sum(n)) ** 2, {X.FLOOR!r}) AS var FROM hx),
+ em AS (SELECT s, 0 AS it, {per(lambda i: f'1 / 3.0::DOUBLE AS w{i}')}, {per(lambda i: f'm{i}')}, {per(lambda i: f'var / 9 AS v{i}')}, -1e300::DOUBLE AS ll, false AS done FROM ({first}), tot
+  UNION ALL SELECT s, it + 1, {per(lambda i: f'n{i} / nn')}, {per(lambda i: f's{i} / n{i}')}, {per(lambda i: f'greatest((q{i} - 2 * (s{i} / n{i}) * s{i}) / n{i} + (s{i} / n{i}) * (s{i} / n{i}), 0) + {X.FLOOR!r}')}, now, abs(now - ll) < 1e-3
+   FROM (SELECT s, it, ll, sum(n * lse) / any_value(nn) AS now, any_value(nn) AS nn, {per(lambda i: f'sum(n * r{i}) AS n{i}, sum(sx * r{i}) AS s{i}, sum(sxx * r{i}) AS q{i}')} FROM ({shares('em', 's, it, ll, done')}), tot WHERE NOT done AND it < 500 GROUP BY s, it, ll)),
+ fin AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY s ORDER BY it DESC) = 1),
+ lk AS (SELECT s, sum(n * lse) AS log_likelihood FROM ({shares('fin', 's')}) GROUP BY s),
+ fit AS (SELECT fin.*, log_likelihood, nn FROM fin JOIN lk USING (s), tot QUALIFY row_number() OVER (ORDER BY log_likelihood DESC, s) = 1),
+ comp AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS component, w AS weight, m AS mean, sqrt(v) AS sd FROM ({' UNION ALL '.join(f'SELECT w{i} AS w, m{i} AS m, v{i} AS v FROM fit' for i in _C)})),
+ flat AS (SELECT {per(lambda i: ', '.join(f'max({c}) FILTER (WHERE component = {i}) AS {c}{i}' for c in ('weight', 'mean', 'sd')))} FROM comp)"""
+
 
+_LOGS = lambda x: ", ".join(f"ln(weight{i} / sd{i}) - ({x} - mean{i}) * ({x} - mean{i}) / (2.0 * sd{i} * sd{i}) AS l{i}" for i in _C)
+_POST = lambda i: "(" + f"exp(l{i} - greatest(l0, l1, l2))" + ") / (" + " + ".join(f"exp(l{j} - greatest(l0, l1, l2))" for j in _C) + ")"
 
-PARAMS = ((0.3, -0.5, 0.2), (0.4, 0.0, 0.15), (0.3, 0.7, 0.3))
-_POST = lambda i: "(" + f"exp(l{i} - greatest(l0, l1, l2))" + ") / (" + " + ".join(f"exp(l{j} - greatest(l0, l1, l2))" for j in range(3)) + ")"
 
+@register(
+    "mixture_fit", "H14 H15",
+    "WITH RECURSIVE vals AS (SELECT log10(l_extendedprice * CASE l_returnflag WHEN 'R' THEN 100.0::DOUBLE WHEN 'A' THEN 0.01::DOUBLE ELSE 1.0::DOUBLE END) AS x FROM lineitem), " + _em_sql("vals") + f""",
+     bis AS (SELECT 0 AS step, -3.0::DOUBLE AS lo, 9.0::DOUBLE AS hi UNION ALL SELECT step + 1, CASE WHEN p < 0.95 THEN 0.5 * (lo + hi) ELSE lo END, CASE WHEN p < 0.95 THEN hi ELSE 0.5 * (lo + hi) END
+       FROM (SELECT *, {_POST(2)} AS p FROM (SELECT step, lo, hi, {_LOGS('(0.5 * (lo + hi))')} FROM bis, flat WHERE step < 80)))
+    SELECT component, weight, mean, sd, log_likelihood, -2 * log_likelihood + 8 * ln(nn) AS bic, CAST(nn AS BIGINT) AS n, 0.5 * (lo + hi) AS cut FROM comp, fit, bis WHERE step = 80""",
+    "weight mean sd log_likelihood bic cut",
+)
+def mixture_fit(spark, d):
+    """Three-component mixture on a log ratio, ten starts of up to 500 rounds: parameters, BIC and the 95% posterior point."""
+    fit = ST.with_cut(X.best_mixture(_values(spark, d), "x", starts=_EM_STARTS, seed=_EM_SEED), 0.95, lo=-3.0, hi=9.0)
+    parts = F.posexplode(F.arrays_zip("weight", "mean", "sd")).alias("component", "_c")
+    return fit.select("*", parts).select("component", "_c.weight", "_c.mean", "_c.sd", "log_likelihood", "bic", "n", "cut")
 
-def _mix_sql():
-    import math
 
-    from scoreloom.catalog.base import LIBRARY_SQL
+P_HIGH, P_MIDDLE = 0.9, 0.6
+_MIX = LIBRARY_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", vals AS (SELECT log10(ratio) AS x FROM lab WHERE ratio > 0 AND isfinite(ratio)), " + _em_sql("vals") + f""",
+    lx AS (SELECT *, CASE WHEN ratio > 0 AND isfinite(ratio) THEN log10(ratio) ELSE 0 END AS x FROM lab), lo AS (SELECT lx.*, {_LOGS('x')} FROM lx, flat),
+    po AS (SELECT *, CASE WHEN ratio = 0 THEN 0 WHEN isinf(ratio) THEN 1 ELSE {_POST(2)} END AS p_high, CASE WHEN ratio = 0 OR isinf(ratio) THEN 0 ELSE {_POST(1)} END AS p_middle FROM lo),
+    mx AS (SELECT *, {_LABEL} AS label, CASE WHEN p_high > {P_HIGH} AND is_viral THEN 'TP' WHEN p_high > {P_HIGH} AND viral_genes = 0 AND host_genes = 0 AND NOT classified THEN 'dark_matter' WHEN p_high > {P_HIGH} THEN 'excluded'
+      WHEN p_middle > {P_MIDDLE} AND NOT is_viral AND domain = 'Bacteria' THEN 'TN' ELSE 'excluded' END AS mixture_label FROM po)"""
 
-    logs = ", ".join(f"{math.log(w / sd)!r}::DOUBLE - (x - {m}::DOUBLE) * (x - {m}::DOUBLE) / {2.0 * sd * sd!r}::DOUBLE AS l{i}" for i, (w, m, sd) in enumerate(PARAMS))
-    return LIBRARY_SQL + f""", lx AS (SELECT *, CASE WHEN ratio > 0 AND isfinite(ratio) THEN log10(ratio) ELSE 0 END AS x FROM lab), lo AS (SELECT *, {logs} FROM lx),
-    po AS (SELECT *, CASE WHEN ratio = 0 THEN 0 WHEN isinf(ratio) THEN 1 ELSE {_POST(2)} END AS p_high, CASE WHEN ratio = 0 OR isinf(ratio) THEN 0 ELSE {_POST(1)} END AS p_middle FROM lo)
-    SELECT entity_id, p_high, p_middle, CASE WHEN p_high > 0.9 AND is_viral THEN 'TP' WHEN p_high > 0.9 AND viral_genes = 0 AND host_genes = 0 AND NOT classified THEN 'dark_matter' WHEN p_high > 0.9 THEN 'excluded'
-      WHEN p_middle > 0.6 AND NOT is_viral AND domain = 'Bacteria' THEN 'TN' ELSE 'excluded' END AS mixture_label FROM po"""
 
+def mixture_labelled(spark, d):
+    """Entities with their label by thresholds and by the mixture fitted to their own ratios."""
+    t = settle(labelled(spark, d))
+    logs = t.select(F.when(F.col("ratio") > 0, F.log10("ratio")).alias("x"))
+    fit = X.best_mixture(logs, "x", starts=_EM_STARTS, seed=_EM_SEED)
+    t = t.withColumn("_fit", fit.select(F.struct("weight", "mean", "sd")).scalar())
+    params = [tuple(F.col(f"_fit.{c}")[i] for c in ("weight", "mean", "sd")) for i in _C]
+    return L.mixture_label(t, params, p_high=P_HIGH, p_middle=P_MIDDLE, domains=("Bacteria",)).drop("_fit")
 
-@register("mixture_relabelling", "K3 H15", _mix_sql(), "p_high p_middle")
+
+@register("mixture_relabelling", "K3 H15", _MIX + " SELECT entity_id, p_high, p_middle, mixture_label FROM mx", "p_high p_middle")
 def mixture_relabelling(spark, d):
-    from scoreloom.catalog.labels import labelled
+    return mixture_labelled(spark, d).select("entity_id", "p_high", "p_middle", "mixture_label")
+
+
+@register("mixture_label_changes", "K3 H15", _MIX + " SELECT label AS before, mixture_label AS after, count(*) AS n FROM mx GROUP BY ALL")
+def mixture_label_changes(spark, d):
+    return mixture_labelled(spark, d).groupBy(F.col("label").alias("before"), F.col("mixture_label").alias("after")).agg(F.count("*").alias("n"))
 
-    out = L.mixture_label(labelled(spark, d), PARAMS, p_high=0.9, p_middle=0.6, domains=("Bacteria",))
-    return out.select("entity_id", "p_high", "p_middle", "mixture_label")
+
+@register(
+    "mixture_rank_changes", "K3 E16",
+    _MIX + _PRED + f""", two AS (SELECT entity_id, 'thresholds' AS variant, label AS lab FROM mx UNION ALL SELECT entity_id, 'mixture', mixture_label FROM mx),
+      m AS (SELECT *, {MCC_SQL} AS mcc FROM (SELECT model, variant, {COUNTS_SQL} FROM (SELECT b.model, variant, call, CAST(lab = 'TP' AS INTEGER) AS label FROM base b JOIN two USING (entity_id) WHERE lab IN ('TP', 'TN')) GROUP BY ALL)),
+      rk AS (SELECT *, CAST(rank() OVER (PARTITION BY variant ORDER BY round(mcc, 9) DESC) AS INTEGER) AS rank FROM m)
+    SELECT model, max(mcc) FILTER (WHERE variant = 'thresholds') AS mcc_thresholds, max(mcc) FILTER (WHERE variant = 'mixture') AS mcc_mixture, max(rank) FILTER (WHERE variant = 'thresholds') AS rank_thresholds, max(rank) FILTER (WHERE variant = 'mixture') AS rank_mixture FROM rk GROUP BY model""",
+    "mcc_thresholds mcc_mixture",
+)
+def mixture_rank_changes(spark, d):
+    """MCC and rank of every model under both labellings."""
+    names = ("thresholds", "mixture")
+    rows = mixture_labelled(spark, d).select("entity_id", sweeps.label_vector([F.col("label"), F.col("mixture_label")]).alias("labels"))
+    counts = sweeps.relabel_grid(D.dense_calls(rows, predictions(spark, d), RULES), names).fillna(0.0, ["mcc"]).withColumn("m9", F.round("mcc", 9))
+    ranked = O.rank_by(counts, "m9", group=["variant"], method="min")
+    pick = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
+    return ranked.groupBy("model").agg(*[pick(v, "mcc").alias(f"mcc_{v}") for v in names], *[pick(v, "rank").alias(f"rank_{v}") for v in names])
 
 
 # --------------------------------------------------------------- real labels on documents

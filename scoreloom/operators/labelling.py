@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -257,11 +256,10 @@ def prefer_task(hits: DataFrame, keys: Sequence[str], *, species: str, largest:
     return hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_b")).select(*keys, "_b.*")
 
 
-def mixture_posterior(x: Column, params: Sequence[tuple[float, float, float]]) -> list[Column]:
-    """Posterior of each (weight, mean, sd) component at x, in the order given."""
-    logs = [
-        F.lit(math.log(w / s)) - (x - m) * (x - m) / (2.0 * s * s) for w, m, s in params
-    ]
+def mixture_posterior(x: Column, params: Sequence[tuple]) -> list[Column]:
+    """Posterior of each (weight, mean, sd) component at x, in the order given. Parameters are numbers or columns."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    logs = [F.log(lit(w) / lit(s)) - (x - lit(m)) * (x - lit(m)) / (lit(s) * lit(s) * 2.0) for w, m, s in params]
     top = F.greatest(*logs)
     exps = [F.exp(v - top) for v in logs]
     total = sum(exps[1:], exps[0])

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.scalars import is_finite
 from scoreloom.operators import stats as T
 from scoreloom.operators.resample import interval
 
@@ -67,36 +64,6 @@ def context_correlations(values: DataFrame, *, model: str = "model", context: st
     return T.spearman(rows, "x", "y", ["context_a", "context_b"]).withColumnRenamed("r", "rho")
 
 
-def fit_mixture(df: DataFrame, value: str, *, k: int = 3, seeds: Sequence[int] = range(10), max_iter: int = 500, tol: float = 1e-3):
-    """One-dimensional Gaussian mixture: several seeds, best log-likelihood kept.
-
-    Returns (weight, mean, sd) sorted by mean, the log-likelihood, row count and BIC.
-    Only k triples per seed come back to the driver; fitting runs on the cluster over
-    a cached column.
-    """
-    finite = df.filter(is_finite(value)).select(F.col(value).cast("double").alias("_x"))
-    data = VectorAssembler(inputCols=["_x"], outputCol="features").transform(finite).select("features").persist()
-    try:
-        n = data.count()
-        best = None
-        for seed in seeds:
-            model = GaussianMixture(k=k, seed=int(seed), maxIter=max_iter, tol=tol).fit(data)
-            ll = model.summary.logLikelihood
-            if best is None or ll > best[0]:
-                rows = model.gaussiansDF.collect()
-                params = sorted(
-                    ((float(w), float(r["mean"][0]), float(r["cov"].toArray()[0][0]) ** 0.5) for w, r in zip(model.weights, rows)),
-                    key=lambda p: p[1],
-                )
-                best = (ll, params)
-    finally:
-        data.unpersist()
-    import math
-
-    ll, params = best
-    return {"params": params, "log_likelihood": ll, "n": n, "bic": -2.0 * ll + (3 * k - 1) * math.log(n)}
-
-
 def value_at_posterior(params: Sequence[tuple[float, float, float]], target: float, *, lo: float = -3.0, hi: float = 4.0, steps: int = 80) -> float:
     """x where the posterior of the highest component reaches ``target`` (bisection on
     the k fitted triples)."""
@@ -112,3 +79,14 @@ def value_at_posterior(params: Sequence[tuple[float, float, float]], target: flo
         mid = 0.5 * (lo + hi)
         lo, hi = (mid, hi) if top(mid) < target else (lo, mid)
     return 0.5 * (lo + hi)
+
+
+def with_cut(fit: DataFrame, target: float, *, lo: float, hi: float) -> DataFrame:
+    """A fitted mixture (one row) with the value at which its highest component reaches a posterior."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(cut=[value_at_posterior(list(zip(r.weight, r.mean, r.sd, strict=True)), target, lo=lo, hi=hi) for r in pdf.itertuples()])
+
+    return fit.select("weight", "mean", "sd", "log_likelihood", "bic", "n").mapInPandas(
+        run, "weight array<double>, mean array<double>, sd array<double>, log_likelihood double, bic double, n long, cut double")

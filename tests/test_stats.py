@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import metrics as M
 from scoreloom.functions import pvalues as P
+from scoreloom.operators import mixture as X
 from scoreloom.operators import replicates as R
 from scoreloom.operators import resample as B
 from scoreloom.operators import stats as T
@@ -180,14 +181,41 @@ def test_prevalence_standardisation(spark):
     assert got == pytest.approx((tp * tn - fp * fn) / math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
 
 
+def plain_em(x, means, k=3, max_iter=500, tol=1e-3):
+    """EM on the values themselves."""
+    w, m, v, old = np.full(k, 1 / k), np.array(means), np.full(k, (x.std() / k) ** 2), -np.inf
+    for _ in range(max_iter):
+        logs = np.log(w) - 0.5 * np.log(2 * np.pi * v) - (x[:, None] - m) ** 2 / (2 * v)
+        lse = np.logaddexp.reduce(logs, axis=1)
+        r = np.exp(logs - lse[:, None])
+        n = r.sum(axis=0)
+        w, m = n / len(x), (r * x[:, None]).sum(axis=0) / n
+        v = (r * (x[:, None] - m) ** 2).sum(axis=0) / n + 1e-6
+        if abs(lse.mean() - old) < tol:
+            break
+        old = lse.mean()
+    return w, m, v**0.5
+
+
 def test_mixture_recovers_components(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(-2, 0.3, 600), rng.normal(0, 0.3, 300), rng.normal(2, 0.4, 150)])
-    fit = ST.fit_mixture(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", k=3, seeds=range(3), max_iter=100)
-    means = [m for _, m, _ in fit["params"]]
-    assert means == pytest.approx([-2, 0, 2], abs=0.15) and fit["n"] == 1050
-    cut = ST.value_at_posterior(fit["params"], 0.95)
-    assert 0.5 < cut < 2.0
+    fits = X.mixture_starts(X.histogram(spark.createDataFrame([(float(v),) for v in [*x, float("inf")]], "x double"), "x"), k=3, starts=4).collect()
+    assert len(fits) == 4 and {f["n"] for f in fits} == {1050}
+    best = max(fits, key=lambda f: f["log_likelihood"])
+    assert best["mean"] == pytest.approx([-2, 0, 2], abs=0.15) and best["converged"]
+    first = best["first"]
+    for have, want in zip((best["weight"], best["mean"], best["sd"]), plain_em(x, first), strict=True):
+        assert have == pytest.approx(np.array(want)[np.argsort(plain_em(x, first)[1])], abs=2e-3)
+    fit = X.best_mixture(spark.createDataFrame([(float(v),) for v in x], "x double"), "x").first()
+    assert 0.5 < ST.value_at_posterior(list(zip(fit["weight"], fit["mean"], fit["sd"])), 0.95) < 2.0
+    assert fit["bic"] == pytest.approx(-2 * fit["log_likelihood"] + 8 * np.log(1050))
+
+
+def test_mixture_of_nothing_and_of_one_value(spark):
+    assert X.best_mixture(spark.createDataFrame([], "x double"), "x").count() == 0
+    one = X.best_mixture(spark.createDataFrame([(1.5,)] * 9, "x double"), "x").first()
+    assert one["mean"] == pytest.approx([1.5] * 3) and sum(one["weight"]) == pytest.approx(1)
 
 
 def test_posterior_cut_published():
@@ -199,9 +227,6 @@ def test_posterior_cut_published():
 
 def test_pattern_draws_with_more_patterns_than_any_limit(spark):
     """Fourteen models: thousands of patterns; means of the drawn counts agree with the exact ones."""
-    from scoreloom.operators import replicates as R
-from scoreloom.operators import resample as B
-
     rng = np.random.default_rng(8)
     seen = sorted({(int(rng.integers(2)), "".join(rng.choice(["0", "1"], 14))) for _ in range(7000)})
     assert len(seen) > 4096
