@@ -525,15 +525,17 @@ def separator_restore(spark, d):
 
 @register(
     "genome_categories", "B18",
-    """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'gardnerella_phage' WHEN p_type = 'SMALL' THEN 'negative_control' WHEN p_type = 'LARGE' THEN 'herpesvirus' WHEN p_type = 'MEDIUM' THEN 'anellovirus' WHEN p_brand = 'Brand#1' THEN 'negative_control' ELSE 'unknown' END AS category FROM part""",
+    """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'gardnerella_phage' WHEN p_type = 'SMALL' THEN 'negative_control' WHEN p_type = 'MEDIUM' THEN 'anellovirus' ELSE 'unknown' END AS category,
+      CASE WHEN p_type = 'PROMO' THEN 'gardnerella_phage' WHEN p_type = 'SMALL' THEN 'unknown' WHEN p_type = 'LARGE' THEN 'herpesvirus' WHEN p_type = 'MEDIUM' THEN 'unknown' WHEN p_brand = 'Brand#1' THEN 'negative_control' ELSE 'unknown' END AS target_category FROM part""",
 )
 def genome_categories(spark, d):
+    """Category by description (source sequences) and by accession (mapping targets)."""
     t = F.col("p_type")
     sid = (
         F.when(t == "PROMO", "Gardnerella_phage_vB").when(t == "SMALL", "Lactobacillus_crispatus_ref").when(t == "LARGE", "NC_001806.2")
-        .when(t == "MEDIUM", "Torque teno mini").when(F.col("p_brand") == "Brand#1", "NZ_CP0001.1").otherwise("XX_000.1")
+        .when(t == "MEDIUM", "TTV-like mini").when(F.col("p_brand") == "Brand#1", "NZ_CP0001.1").otherwise("XX_000.1")
     )
-    return table(spark, d, "part").select("p_partkey", R.genome_category(sid).alias("category"))
+    return table(spark, d, "part").select("p_partkey", R.genome_category(sid).alias("category"), R.target_category(sid).alias("target_category"))
 
 
 @register(

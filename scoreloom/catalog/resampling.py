@@ -431,19 +431,49 @@ def prevalence_crossover(spark, d):
     return T.prevalence_crossover(pairs, GRID, keys=["model_a", "model_b"])
 
 
+def cohort_replicates(spark, d):
+    """(model, cohort, b) counts: both cohorts' blocks drawn under one replicate number; b = -1 is the cohort itself."""
+    counts = cohort_counts(spark, d)
+    blocks = counts.select("cohort", "block").distinct()
+    w = B.unit_weights(blocks, ["cohort", "block"], REPS, SEED, strata=["cohort"]).select("cohort", "block", "b", "w")
+    whole = blocks.select("cohort", "block", F.lit(-1).alias("b"), F.lit(1).cast("bigint").alias("w"))
+    return B.block_replicates(counts, w.unionByName(whole), ["cohort", "block"], ("model", "cohort"))
+
+
+_COH = W + f""", cb AS (SELECT model, block, CASE WHEN source < '1998' THEN 'early' ELSE 'late' END AS cohort, {COUNTS_SQL} FROM calls GROUP BY ALL),
+ cix AS (SELECT cohort, block, row_number() OVER (PARTITION BY cohort ORDER BY substr(md5(concat_ws('|', cohort, block)), 1, 3), cohort, block) - 1 AS idx, count(*) OVER (PARTITION BY cohort) AS n FROM (SELECT DISTINCT cohort, block FROM cb)),
+ cwt AS (SELECT dr.cohort, b, pos.block, count(*) AS w FROM (SELECT cohort, b, {_draw(f"'{SEED}'", 'cohort', 'b', 'idx')} % n AS p FROM cix, range({REPS}) r(b)) dr JOIN cix pos ON pos.idx = dr.p AND pos.cohort = dr.cohort GROUP BY ALL),
+ crp AS (SELECT model, cohort, b, CAST(sum(w * tp) AS BIGINT) AS tp, CAST(sum(w * fp) AS BIGINT) AS fp, CAST(sum(w * tn) AS BIGINT) AS tn, CAST(sum(w * fn) AS BIGINT) AS fn FROM cb JOIN (SELECT * FROM cwt UNION ALL SELECT cohort, -1, block, 1 FROM cix) USING (cohort, block) GROUP BY ALL),
+ crt AS (SELECT model, cohort, b, tp / nullif(tp + fn, 0)::DOUBLE AS tpr, fp / nullif(fp + tn, 0)::DOUBLE AS fpr, (tp + fn) / (tp + fp + tn + fn)::DOUBLE AS share, {MCC_SQL} AS mcc FROM crp)"""
+_SPREAD = [f"{c}_{n}" for n in ("early", "late") for c in ("tpr", "fpr")] + ["mcc_carried", "delta_carried"]
+
+
 @register(
     "cross_cohort_rates", "I11 H13",
-    _TWO + f""", er AS (SELECT model, b, sum(w * tp) / sum(w * (tp + fn))::DOUBLE AS tpr, sum(w * fp) / sum(w * (fp + tn))::DOUBLE AS fpr FROM ec JOIN ew USING (block) GROUP BY ALL),
-    cr AS (SELECT a.b, a.model AS model_a, z.model AS model_b, min(pi) FILTER (WHERE {_PI('a.tpr', 'a.fpr', 'pi')} - {_PI('z.tpr', 'z.fpr', 'pi')} >= 0) AS x FROM er a JOIN er z ON a.b = z.b AND a.model < z.model CROSS JOIN (VALUES {_G}) g(pi) GROUP BY ALL)
-    SELECT model_a, model_b, quantile_cont(x, 0.5) AS median_crossover, count(x) AS n_crossing FROM cr GROUP BY ALL""",
-    "median_crossover",
+    _COH + f""", xo AS (SELECT a.cohort, a.b, a.model AS model_a, z.model AS model_b, min(pi) FILTER (WHERE {_PI('a.tpr', 'a.fpr', 'pi')} - {_PI('z.tpr', 'z.fpr', 'pi')} >= 0) AS x FROM crt a JOIN crt z ON a.b = z.b AND a.cohort = z.cohort AND a.model < z.model CROSS JOIN (VALUES {_G}) g(pi) GROUP BY ALL)
+    SELECT cohort, model_a, model_b, max(x) FILTER (WHERE b < 0) AS crossover, quantile_cont(x, 0.025) FILTER (WHERE b >= 0) AS lo, quantile_cont(x, 0.975) FILTER (WHERE b >= 0) AS hi, count(x) FILTER (WHERE b >= 0) AS n_crossing FROM xo GROUP BY ALL""",
+    "crossover lo hi",
 )
 def cross_cohort_rates(spark, d):
-    part = cohort_counts(spark, d).filter(F.col("cohort") == "early")
-    w = B.unit_weights(part.select("block").distinct(), ["block"], REPS, 1)
-    reps = B.block_replicates(part, w, ["block"]).select("model", "b", M.recall(empty=None).alias("tpr"), M.fpr().alias("fpr"))
-    x = T.prevalence_crossover(ST.model_pairs(reps, ["tpr", "fpr"], keys=["b"]), GRID, keys=["b", "model_a", "model_b"])
-    return x.groupBy("model_a", "model_b").agg(F.median("crossover").alias("median_crossover"), F.count("crossover").alias("n_crossing"))
+    """Positive share at which one model's MCC reaches another's, under each cohort's own error rates."""
+    reps = cohort_replicates(spark, d).select("cohort", "model", "b", M.recall(empty=None).alias("tpr"), M.fpr().alias("fpr"))
+    x = T.prevalence_crossover(ST.model_pairs(reps, ["tpr", "fpr"], keys=["cohort", "b"]), GRID, keys=["cohort", "b", "model_a", "model_b"])
+    drawn = F.when(F.col("b") >= 0, F.col("crossover"))
+    q = F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975)))
+    return x.groupBy("cohort", "model_a", "model_b").agg(F.max(F.when(F.col("b") < 0, F.col("crossover"))).alias("crossover"), q[0].alias("lo"), q[1].alias("hi"), F.count(drawn).alias("n_crossing"))
+
+
+@register(
+    "carried_cohort_rates", "I11 H12",
+    _COH + f""", met AS (SELECT e.model, e.b, {', '.join(f'{s}.{c} AS {c}_{n}' for s, n in (('e', 'early'), ('l', 'late')) for c in ('tpr', 'fpr', 'share', 'mcc'))}, {_PI('l.tpr', 'l.fpr', 'e.share')} AS mcc_carried FROM crt e JOIN crt l ON e.model = l.model AND e.b = l.b AND e.cohort = 'early' AND l.cohort = 'late'),
+     dm AS (SELECT *, mcc_carried - mcc_early AS delta_carried FROM met),
+     agg AS (SELECT model, {', '.join(f'max({c}) FILTER (WHERE b < 0) AS {c}' for c in [*(f'{c}_{n}' for n in ('early', 'late') for c in ('share', 'mcc')), *_SPREAD])}, {', '.join(f'quantile_cont({c}, {q}) FILTER (WHERE b >= 0) AS {c}_{e}' for c in _SPREAD for e, q in (('lo', 0.025), ('hi', 0.975)))} FROM dm GROUP BY model)
+    SELECT *, delta_carried_lo > 0 OR delta_carried_hi < 0 AS excludes_0 FROM agg""",
+    " ".join([*(f"{c}_{n}" for n in ("early", "late") for c in ("share", "mcc")), *[x for c in _SPREAD for x in (c, f"{c}_lo", f"{c}_hi")]]),
+)
+def carried_cohort_rates(spark, d):
+    """How much of the cohorts' difference in MCC is their positive share: late rates at the early share, with intervals."""
+    return ST.carried_rates(cohort_replicates(spark, d), "early", "late")
 
 
 PERM = 10_000

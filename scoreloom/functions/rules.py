@@ -33,13 +33,14 @@ CATEGORY_KEYWORDS = (
     (("torque",), "anellovirus"),
     (("teno",), "anellovirus"),
     (("anello",), "anellovirus"),
-    (("ttv",), "anellovirus"),
     (("gardnerella", "phage"), "gardnerella_phage"),
     (("lactobacillus", "phage"), "lactobacillus_phage"),
     (("megasphaera", "phage"), "megasphaera_phage"),
     (("fannyhessea", "phage"), "fannyhessea_phage"),
     (("sneathia", "phage"), "sneathia_phage"),
 )
+# A further word that counts in descriptions, not in accessions.
+DESCRIPTION_KEYWORDS = ((("ttv",), "anellovirus"),)
 # Genera whose plain (non-phage) sequences are negative controls.
 CONTROL_GENERA = ("lactobacillus", "gardnerella", "megasphaera", "fannyhessea", "atopobium", "sneathia")
 # Accession -> category, used only when the words do not decide.
@@ -72,22 +73,20 @@ def family_of_title(
     return F.coalesce(found, F.when(contains_any(low, generic), generic_class), F.lit("unknown"))
 
 
-def genome_category(
-    seq_id: Column | str, words=CATEGORY_KEYWORDS, controls=CONTROL_GENERA, accessions=ACCESSION_CATEGORY,
-    control_prefix: str | None = "NZ_",
-) -> Column:
-    """Category by words in the id, then control genus, then accession table, then prefix."""
+def genome_category(seq_id: Column | str, words=(*CATEGORY_KEYWORDS, *DESCRIPTION_KEYWORDS), controls=CONTROL_GENERA) -> Column:
+    """Category of a source sequence by words in its description, then by control genus."""
+    low = F.lower(col(seq_id))
+    return F.coalesce(first_keyword(low, words, None), F.when(contains_any(low, controls), "negative_control"), F.lit("unknown"))
+
+
+def target_category(seq_id: Column | str, words=CATEGORY_KEYWORDS, accessions=ACCESSION_CATEGORY, control_prefix: str = "NZ_") -> Column:
+    """Category of a mapping target, known by its accession: words in the id, then whole ids and accessions without
+    version, then the prefix of assembled bacterial sequences. A control genus alone decides nothing."""
     raw = col(seq_id)
-    low = F.lower(raw)
-    by_word = first_keyword(low, words, None)
-    by_genus = F.when(contains_any(low, controls), "negative_control")
     accession = F.substring_index(raw, ".", 1)
     table = F.create_map(*[F.lit(x) for kv in accessions.items() for x in kv])
-    by_accession = F.coalesce(table[raw], table[accession])
-    out = F.coalesce(by_word, by_genus, by_accession)
-    if control_prefix:
-        out = F.coalesce(out, F.when(accession.startswith(control_prefix), "negative_control"))
-    return F.coalesce(out, F.lit("unknown"))
+    prefix = F.when(accession.startswith(control_prefix), "negative_control")
+    return F.coalesce(first_keyword(F.lower(raw), words, None), table[raw], table[accession], prefix, F.lit("unknown"))
 
 
 def is_viral_taxon(name: Column | str, words=VIRAL_TAXON_WORDS) -> Column:

@@ -194,7 +194,7 @@ def mapping_labels(
         .when(F.col("_p").isNotNull(), "viral").when(F.col("_n").isNotNull(), "bacterial").otherwise("background")
     )
     pick = F.coalesce("_p", "_n")
-    cat = category if category is not None else R.genome_category("_p.target")
+    cat = category if category is not None else R.target_category("_p.target")
     return j.select(
         *entities.columns, label.alias("label"), F.coalesce(pick["target"], F.lit("-")).alias("source"),
         F.when(F.col("_p").isNotNull(), cat).when(F.col("_n").isNotNull(), "negative_control").otherwise("-").alias("source_category"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions import metrics as M
 from scoreloom.operators import stats as T
 from scoreloom.operators.resample import interval
 
@@ -53,6 +54,29 @@ def two_cohort_rho(first: DataFrame, second: DataFrame, first_point: DataFrame,
     return interval(rho, "r", ["scope"])
 
 
+def carried_rates(reps: DataFrame, first: str, second: str, *, cohort: str = "cohort", level: float = 0.95) -> DataFrame:
+    """Per model: error rates and MCC of two cohorts, and the second cohort's MCC at the first one's positive share.
+
+    ``reps``: model, cohort, b and confusion counts, b = -1 being the cohort itself; both cohorts share the replicate
+    number, so each replicate's rates are carried to the share of the same replicate. One aggregate brings the two
+    cohorts of a model together, another the replicates.
+    """
+    side = lambda name, c: F.max(F.when(F.col(cohort) == name, F.col(c)))
+    share = (F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+    rates = reps.select("model", cohort, "b", M.recall(empty=None).alias("tpr"), M.fpr().alias("fpr"), share.alias("share"), M.mcc().alias("mcc"))
+    met = rates.groupBy("model", "b").agg(*[side(n, c).alias(f"{c}_{n}") for n in (first, second) for c in ("tpr", "fpr", "share", "mcc")])
+    carried = M.mcc_at_prevalence(F.col(f"tpr_{second}"), F.col(f"fpr_{second}"), F.col(f"share_{first}"))
+    met = met.withColumn("mcc_carried", carried).withColumn("delta_carried", F.col("mcc_carried") - F.col(f"mcc_{first}"))
+    tail = round((1.0 - level) / 2.0, 12)
+    point = lambda c: F.max(F.when(F.col("b") < 0, F.col(c))).alias(c)
+    ends = lambda c: F.percentile(F.when(F.col("b") >= 0, F.col(c)), F.array(F.lit(tail), F.lit(1.0 - tail))).alias(f"_{c}")
+    spread = [f"{c}_{n}" for n in (first, second) for c in ("tpr", "fpr")] + ["mcc_carried", "delta_carried"]
+    plain = [f"{c}_{n}" for n in (first, second) for c in ("share", "mcc")]
+    out = met.groupBy("model").agg(*[point(c) for c in spread + plain], *[ends(c) for c in spread])
+    excludes = (F.col("_delta_carried")[0] > 0) | (F.col("_delta_carried")[1] < 0)
+    return out.select("model", *plain, *[x for c in spread for x in (F.col(c), F.col(f"_{c}")[0].alias(f"{c}_lo"), F.col(f"_{c}")[1].alias(f"{c}_hi"))], excludes.alias("excludes_0"))
+
+
 def context_correlations(values: DataFrame, *, model: str = "model", context: str = "context", value: str = "v") -> DataFrame:
     """Spearman between every pair of contexts over the models they share."""
     packed = values.groupBy(model).agg(F.sort_array(F.collect_list(F.struct(F.col(context).alias("c"), F.col(value).alias("v")))).alias("_r"))

@@ -250,3 +250,13 @@ def test_labels_of_entities_without_context(spark):
     c = spark.createDataFrame([("z", "Complete", 1, 0, "No", True, "t", "Viruses")], "entity_id string, quality string, viral_genes int, host_genes int, provirus string, classified boolean, taxon string, domain string")
     got = {r.entity_id: (r.label, r.reason) for r in L.enrichment_label(L.with_context(e, c)).collect()}
     assert got == {"x": ("dark_matter", "enriched(R=12.3)+no_checkv+unclassified"), "y": ("excluded", f"background(R={1.005:.2f})+domain=unknown"), "z": ("TP", "enriched(R=inf)+checkv_quality=Complete")}
+
+
+def test_categories_by_description_and_by_accession(spark):
+    ids = ["Lactobacillus_iners_1", "NC_014644.1", "CP072197.1", "NZ_ABC.1", "IMGVR_UViG_2636415511_000001", "lactobacillus phage x", "HSV-1 strain", "TTV 3", "Sneathia phage", "NC_011801", "zz"]
+    got = {r["i"]: (r["a"], r["b"]) for r in spark.createDataFrame([(i,) for i in ids], "i string").select("i", R.genome_category("i").alias("a"), R.target_category("i").alias("b")).collect()}
+    assert got == {
+        "Lactobacillus_iners_1": ("negative_control", "unknown"), "NC_014644.1": ("unknown", "negative_control"), "CP072197.1": ("unknown", "negative_control"), "NZ_ABC.1": ("unknown", "negative_control"),
+        "IMGVR_UViG_2636415511_000001": ("unknown", "sneathia_phage"), "lactobacillus phage x": ("lactobacillus_phage",) * 2, "HSV-1 strain": ("herpesvirus",) * 2, "TTV 3": ("anellovirus", "unknown"),
+        "Sneathia phage": ("sneathia_phage",) * 2, "NC_011801": ("unknown", "lactobacillus_phage"), "zz": ("unknown", "unknown"),
+    }
