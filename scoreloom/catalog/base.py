@@ -168,6 +168,12 @@ def metric_sql(keys: str, source: str = "calls", where: str = "TRUE") -> str:
     return f"SELECT *, {METRICS_SQL} FROM (SELECT {keys}, {COUNTS_SQL} FROM {source} WHERE {where} GROUP BY ALL)"
 
 
+def auprc_sql(keys: str, source: str) -> str:
+    """Tie-collapsed AUPRC over ``keys`` of ``source`` (score, label)."""
+    return f"""SELECT {keys}, CASE WHEN count(*) <= 1 THEN NULL WHEN sum(pos) = 0 THEN 0 ELSE sum(pos * cp / (cp + cn)::DOUBLE) / sum(pos) END AS auprc FROM (SELECT *, sum(pos) OVER w1 AS cp, sum(neg) OVER w1 AS cn
+      FROM (SELECT {keys}, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM {source} GROUP BY ALL) WINDOW w1 AS (PARTITION BY {keys} ORDER BY score DESC)) GROUP BY ALL"""
+
+
 # ------------------------------------------------------------- evidence tables
 def evidence_lines(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Six evidence line tables over orders and line items."""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scoreloom.catalog.base import (
-    COUNTS_SQL, EVIDENCE_SQL, LIBRARY_SQL, MCC_SQL, N_STD, RULES, TIERS_SQL, evidence_context, evidence_lines, libraries, predictions,
+    COUNTS_SQL, EVIDENCE_SQL, LIBRARY_SQL, M_DOUBLES, MCC_SQL, N_STD, RULES, TIERS_SQL, auprc_sql, evidence_context, evidence_lines, libraries, metric_sql, predictions,
     quality_context, register, table, tier_sql,
 )
 from scoreloom.functions import metrics as M
@@ -14,7 +14,7 @@ from scoreloom.operators import labelling as L
 from scoreloom.operators import ordered as O
 from scoreloom.operators import setops as S
 from scoreloom.operators import stats as T
-from scoreloom.plans import sweeps
+from scoreloom.plans import benchmark, sweeps
 
 
 def flags(spark, d):
@@ -77,7 +77,7 @@ raw AS (SELECT l_orderkey AS entity_id, 'disc' AS model, l_discount * 10.0::DOUB
   UNION ALL SELECT l_orderkey, 'tax', l_tax * 12.5::DOUBLE, NULL FROM lineitem),
 topp AS (SELECT entity_id, model, max(score) AS score FROM raw GROUP BY ALL),
 pred AS (SELECT t.entity_id, t.model, t.score, min(r.pvalue) AS pvalue FROM topp t JOIN raw r ON t.entity_id = r.entity_id AND t.model = r.model AND t.score = r.score GROUP BY ALL),
-base AS (SELECT o_orderkey AS entity_id, m.model, CAST(coalesce(p.score, 0) >= threshold AND (pvalue_below IS NULL OR coalesce(p.pvalue, 1) < pvalue_below) AS INTEGER) AS call
+base AS (SELECT o_orderkey AS entity_id, m.model, coalesce(p.score, 0) AS score, CAST(coalesce(p.score, 0) >= threshold AND (pvalue_below IS NULL OR coalesce(p.pvalue, 1) < pvalue_below) AS INTEGER) AS call
   FROM orders CROSS JOIN models m LEFT JOIN pred p ON p.entity_id = o_orderkey AND p.model = m.model)"""
 
 
@@ -179,23 +179,24 @@ def truth_flow_counts(spark, d):
     )
 
 
+_DEFS = """, df AS (SELECT b.model, call, score, CAST(tier > 0 AS INTEGER) AS label, unnest(['all', CASE WHEN tier = 0 OR e3 OR e4 OR e5 THEN 'orthogonal' END, CASE WHEN tier = 0 OR NOT (e3 OR e4 OR e5) THEN 'homology' END]) AS definition
+  FROM base b JOIN tiers USING (entity_id) WHERE tier IN (0, 1, 2)), dd AS (SELECT * FROM df WHERE definition IS NOT NULL)"""
+
+
 @register(
     "orthogonal_truth_metrics", "K7",
-    TIERS_SQL + _PRED + f""" SELECT *, {MCC_SQL} AS mcc FROM (SELECT model, definition, {COUNTS_SQL} FROM (
-      SELECT b.model, call, CAST(tier > 0 AS INTEGER) AS label, 'all' AS definition FROM base b JOIN tiers USING (entity_id) WHERE tier IN (0, 1, 2)
-      UNION ALL SELECT b.model, call, CAST(tier > 0 AS INTEGER), 'orthogonal' FROM base b JOIN tiers USING (entity_id) WHERE tier = 0 OR tier IN (1, 2) AND (e3 OR e4 OR e5)
-      UNION ALL SELECT b.model, call, CAST(tier > 0 AS INTEGER), 'homology' FROM base b JOIN tiers USING (entity_id) WHERE tier = 0 OR tier IN (1, 2) AND NOT (e3 OR e4 OR e5)) GROUP BY ALL)""",
-    "mcc",
+    TIERS_SQL + _PRED + _DEFS + f""" SELECT m.*, auprc, CAST(rank() OVER (PARTITION BY definition ORDER BY round(mcc, 9) DESC) AS INTEGER) AS rank_mcc, CAST(rank() OVER (PARTITION BY definition ORDER BY round(auprc, 9) DESC) AS INTEGER) AS rank_auprc
+      FROM ({metric_sql('model, definition', 'dd')}) m JOIN ({auprc_sql('model, definition', 'dd')}) USING (model, definition)""",
+    M_DOUBLES + " auprc",
 )
 def orthogonal_truth_metrics(spark, d):
-    """Rescoring against positives with orthogonal support only and homology only."""
+    """Rescoring and ranks against positives with orthogonal support only and homology only."""
     orth = F.arrays_overlap("evidence_lines", F.array(F.lit("E3"), F.lit("E4"), F.lit("E5")))
     t = tiers(spark, d).filter(F.col("tier").isin(0, 1, 2)).select(
         "entity_id", (F.col("tier") > 0).cast("int").alias("label"),
         F.array_compact(F.array(F.lit("all"), F.when((F.col("tier") == 0) | orth, "orthogonal"), F.when((F.col("tier") == 0) | ~orth, "homology"))).alias("defs"),
     )
-    rows = _calls(spark, d, t).select("model", "label", "call", F.explode("defs").alias("definition"))
-    return C.confusion(rows, ("model", "definition")).withColumn("mcc", M.mcc())
+    return benchmark.full_metrics(_calls(spark, d, t).select("model", "label", "call", "score", F.explode("defs").alias("definition")), ("definition",))
 
 
 @register(
@@ -221,6 +222,20 @@ def composition_pooled_benchmark(spark, d):
     return pooled_benchmark(flags(spark, d), predictions(spark, d), RULES, block="block")
 
 
+_FULL = ", po AS (SELECT b.model, call, score, CAST(tier > 0 AS INTEGER) AS label FROM base b JOIN tiers USING (entity_id) WHERE tier IN (0, 1, 2))"
+
+
+@register(
+    "pooled_benchmark_table", "J16 E1",
+    TIERS_SQL + _PRED + _FULL + f""" SELECT m.*, auprc, CAST(rank() OVER (ORDER BY round(mcc, 9) DESC) AS INTEGER) AS rank_mcc, CAST(rank() OVER (ORDER BY round(auprc, 9) DESC) AS INTEGER) AS rank_auprc FROM ({metric_sql('model', 'po')}) m JOIN ({auprc_sql('model', 'po')}) USING (model)""",
+    M_DOUBLES + " auprc",
+)
+def pooled_benchmark_table(spark, d):
+    """The pooled table: all metrics, AUPRC and ranks per model over tiered truth."""
+    t = tiers(spark, d).filter(F.col("tier").isin(0, 1, 2)).select("entity_id", (F.col("tier") > 0).cast("int").alias("label"))
+    return benchmark.full_metrics(_calls(spark, d, t))
+
+
 # ------------------------------------------------------------------ enrichment
 def enriched(spark, d):
     a, b, size = libraries(spark, d)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scoreloom.catalog.base import COUNTS_SQL, LIBRARY_SQL, M_DOUBLES, MCC_SQL, MODELS, RULES, W, calls, metric_sql, predictions, register, table, truth
+from scoreloom.catalog.base import COUNTS_SQL, LIBRARY_SQL, M_DOUBLES, MCC_SQL, MODELS, RULES, W, auprc_sql, calls, metric_sql, predictions, register, table, truth
 from scoreloom.catalog.inputs import sequence_records
 from scoreloom.catalog.labels import _LABEL, _PRED, labelled
 from scoreloom.functions import metrics as M
@@ -23,6 +23,7 @@ from scoreloom.operators import stats as T
 from scoreloom.plans import publish as PB
 from scoreloom.plans import studies as ST
 from scoreloom.plans import sweeps
+from scoreloom.plans.benchmark import full_metrics
 from scoreloom.sources.scratch import settle
 
 s = lambda c: F.col(c).cast("string")
@@ -423,11 +424,11 @@ def template_ordered_table(spark, d):
 
 @register(
     "background_coverage_metrics", "K11 D42",
-    W + metric_sql("model, source, arm"), M_DOUBLES,
+    W + f" SELECT m.*, auprc FROM ({metric_sql('model, source, arm')}) m JOIN ({auprc_sql('model, source, arm', 'calls')}) USING (model, source, arm)", M_DOUBLES + " auprc",
 )
 def background_coverage_metrics(spark, d):
-    """Metrics per (background, coverage) for every model."""
-    return C.metric_table(calls(spark, d), ("model", "source", "arm"))
+    """Metrics and AUPRC per (background, coverage) for every model."""
+    return full_metrics(calls(spark, d), ("source", "arm")).drop("rank_mcc", "rank_auprc")
 
 
 @register(

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import metrics as M
-from scoreloom.operators.confusion import concordance_metrics, confusion
+from scoreloom.operators.confusion import concordance_metrics, confusion, metric_table
+from scoreloom.operators.curves import average_precision
 from scoreloom.operators.decide import Rule, dense_calls
 from scoreloom.operators.labelling import evidence_tier
+from scoreloom.operators.ordered import rank_by
 
 
 def pooled_benchmark(
@@ -30,6 +32,15 @@ def pooled_benchmark(
     return both.withColumn("mcc", M.mcc())
 
 
+def full_metrics(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Counts, all metrics, AUPRC and the ranks by MCC and AUPRC of every model, within ``keys``."""
+    by = ("model", *keys)
+    both = metric_table(calls, by).join(average_precision(calls, by).select(*by, "auprc"), list(by))
+    for m in ("mcc", "auprc"):
+        both = rank_by(both.withColumn("_m", F.round(m, 9)), "_m", group=keys, method="min", name=f"rank_{m}").drop("_m")
+    return both
+
+
 def concordance_grains(calls: DataFrame, category: str, block: str, *, status: str = "status") -> DataFrame:
     """Concordance per model, per (model, category) and per (model, block).
 
