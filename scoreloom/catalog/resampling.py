@@ -335,18 +335,24 @@ def nested_and_naive_bootstrap(spark, d):
     return both.join(point, "model").select("mode", "model", *[x for v in ("mcc", "auprc") for x in (v, f"{v}_lo", f"{v}_hi")])
 
 
+RATIOS, S_REPS, S_SEED = (1, 2, 4, 8), 200, 5
+
+
 @register(
     "class_ratio_subsampling", "I16",
-    W + f""", neg AS (SELECT DISTINCT entity_id FROM truth WHERE label = 0), hs AS (SELECT rep, entity_id, row_number() OVER (PARTITION BY rep ORDER BY {_draw("'5'", 'rep', 'entity_id')}, entity_id) AS rk FROM neg, range(5) r(rep)),
-    np AS (SELECT count(*) AS n_pos FROM truth WHERE label = 1),
-    pick AS (SELECT rep, ratio, entity_id FROM hs, np, (VALUES (1), (2)) v(ratio) WHERE rk <= ratio * n_pos),
+    W + f""", rb AS (SELECT b, ('0x' || substr(md5(concat_ws('|', '{S_SEED}', 'b', b)), 1, 8))::BIGINT % {_P} AS r FROM range({S_REPS}) t(b)), par AS (SELECT entity_id, {_residues(S_SEED, 'entity_id')} FROM truth WHERE label = 0),
+    hs AS (SELECT b AS rep, entity_id, row_number() OVER (PARTITION BY b ORDER BY u, a, c) AS rk FROM {_uniform('par', 'entity_id, a, c')}), np AS (SELECT count(*) AS n_pos FROM truth WHERE label = 1),
+    pick AS (SELECT rep, ratio, entity_id FROM hs, np, (VALUES {', '.join(f'({x})' for x in RATIOS)}) v(ratio) WHERE rk <= ratio * n_pos),
     f AS (SELECT ratio, rep, model, count(*) FILTER (WHERE call = 1) AS fp, count(*) FILTER (WHERE call = 0) AS tn FROM pick JOIN calls USING (entity_id) GROUP BY ALL),
     p AS (SELECT model, count(*) FILTER (WHERE call = 1) AS tp, count(*) FILTER (WHERE call = 0) AS fn FROM calls WHERE label = 1 GROUP BY model)
     SELECT ratio, model, avg(mcc) AS mean_mcc, count(*) AS repeats FROM (SELECT ratio, rep, model, {MCC_SQL} AS mcc FROM f JOIN p USING (model)) GROUP BY ALL""",
     "mean_mcc",
 )
 def class_ratio_subsampling(spark, d):
-    counts = B.subsample_negatives(calls(spark, d), (1, 2), 5, 5)
+    """The published setting: ratios 1 to 8, 200 repeats."""
+    rows = B.entity_patterns(calls(spark, d), MODELS)
+    w = R.subsampled_cells(rows, ["label", "pattern"], "entity_id", RATIOS, S_REPS, S_SEED)
+    counts = B.pattern_counts(w, MODELS, "w", keys=["ratio", "rep"])
     return counts.withColumn("mcc", M.mcc()).groupBy("ratio", "model").agg(F.avg("mcc").alias("mean_mcc"), F.count("*").alias("repeats"))
 
 

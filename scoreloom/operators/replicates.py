@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import is_finite
@@ -142,6 +142,80 @@ def cell_replicates(entities: DataFrame, cells: Sequence[str], entity: str, repl
     return summed.select(F.from_json("_cell", schema).alias("_s"), "b", "w").select("_s.*", "b", "w")
 
 
+BUCKETS = 1024
+
+
+def subsampled_cells(entities: DataFrame, cells: Sequence[str], entity: str, ratios: Sequence[int], repeats: int, seed: int, *, label: str = "label") -> DataFrame:
+    """(cells, ratio, rep, w): all positives, and ratio x positives of the negatives drawn without replacement.
+
+    The negatives of least uniform number are the sample (ties by key). A repeat's numbers are counted in ``BUCKETS``
+    buckets, which tells the bucket of the last one drawn. Negatives in earlier buckets are counted per cell inside the
+    task; only those of that bucket, a thousandth of them, are ranked. One row per entity comes in. The driver sees the
+    bucket counts' cuts: repeats x ratios rows.
+    """
+    ratios = sorted(ratios)
+    r = replicate_numbers(seed, repeats)
+    shift = 31 - int(math.log2(BUCKETS))
+    text = F.to_json(F.struct(*cells))
+    rows = entities.select(text.alias("_cell"), label, *_numbers(entities, seed, entity, None)[:2])
+    negatives = rows.filter(F.col(label) == 0).drop(label)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(repeats * BUCKETS, np.int64)
+        for batch in batches:
+            for x in range(0, len(batch), ROWS):
+                a, c = (batch.column(i).to_numpy()[x : x + ROWS] for i in (1, 2))
+                total += np.bincount(((uniforms(a, c, r) >> shift) + np.arange(repeats) * BUCKETS).ravel(), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((some // BUCKETS).astype(np.int32)), pa.array((some % BUCKETS).astype(np.int32)), pa.array(total[some])], names=["rep", "bucket", "n"])
+
+    held = negatives.mapInArrow(count, "rep int, bucket int, n long").groupBy("rep", "bucket").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("rep").orderBy("bucket"))
+    n_pos = rows.agg(F.count_if(F.col(label) == 1)).scalar()
+    wanted = held.withColumn("_upto", upto).withColumn("_pos", n_pos).select("rep", "bucket", "n", "_upto", F.inline(F.array(*[F.struct(F.lit(i).alias("j"), (F.lit(x) * F.col("_pos")).alias("k")) for i, x in enumerate(ratios)])))
+    last = wanted.filter((F.col("_upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("_upto"))).select("rep", "j", "bucket", (F.col("k") - F.col("_upto") + F.col("n")).alias("need"))
+    cuts = settle(last)
+    cut = np.full((len(ratios), repeats), BUCKETS)  # without a cut, all negatives are drawn
+    for x in cuts.toLocalIterator():
+        cut[x["j"], x["rep"]] = x["bucket"]
+    if not entities.agg(F.count_if(F.col(label) == 1)).first()[0]:
+        cut[:] = -1
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        shape = ["_cell", "j", "rep", "w", "u", "a", "c"]
+        for batch in batches:
+            for x in range(0, len(batch), ROWS):
+                part = batch.slice(x, ROWS)
+                names = part.column(0).to_pylist()
+                a, c = (part.column(i).to_numpy() for i in (1, 2))
+                u = uniforms(a, c, r)
+                bucket = u >> shift
+                own: dict[str, list[int]] = {}
+                for i, name in enumerate(names):
+                    own.setdefault(name, []).append(i)
+                for name, at in own.items():
+                    got = np.stack([(bucket[at] < cut[j]).sum(axis=0) for j in range(len(ratios))])
+                    sums[name] = sums[name] + got if name in sums else got
+                j, i, b = np.nonzero(bucket[None, :, :] == cut[:, None, :])
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.ones(len(i), np.int64)), pa.array(u[i, b]), pa.array(a[i]), pa.array(c[i])], names=shape)
+        for name, got in sums.items():
+            j, b = np.nonzero(got)
+            none = pa.nulls(len(j), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(j), pa.string()), pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(got[j, b]), none, none, none], names=shape)
+
+    drawn = negatives.mapInArrow(draw, "_cell string, j int, rep int, w long, u long, a long, c long")
+    rank = F.row_number().over(Window.partitionBy("rep", "j").orderBy("u", "a", "c"))
+    edge = drawn.filter("u is not null").withColumn("_r", rank).join(cuts.select("rep", "j", "need"), ["rep", "j"]).filter("_r <= need").select("_cell", "j", "rep", "w")
+    each = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
+    positives = rows.filter(F.col(label) == 1).groupBy("_cell").agg(F.count(F.lit(1)).alias("w")).select("_cell", F.explode(F.array(*[F.lit(j) for j in range(len(ratios))])).alias("j"), "w").select("_cell", "j", each, "w")
+    both = drawn.filter("u is null").select("_cell", "j", "rep", "w").union(edge).groupBy("_cell", "j", "rep").agg(F.sum("w").alias("w")).unionByName(positives)
+    types = dict(entities.dtypes)
+    out = both.select(F.from_json("_cell", ", ".join(f"{c} {types[c]}" for c in cells)).alias("_s"), F.get(F.array(*[F.lit(x) for x in ratios]), F.col("j")).alias("ratio"), "rep", "w")
+    return out.select("_s.*", "ratio", "rep", "w")
+
+
 _LONGS = pa.int64()
 _CHUNK = "chunk long, {k}, score array<double>, pos array<boolean>, a array<long>, c array<long>, ka array<long>, kc array<long>"
 

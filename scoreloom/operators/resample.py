@@ -197,35 +197,3 @@ def permutation_p(observed: DataFrame, replicates: DataFrame, stat: str, keys: S
     return joined.groupBy(*keys, stat).agg(
         ((F.count_if(F.abs("_rep") >= F.abs(stat) - slack) + 1) / (F.count("*") + 1)).alias("p_perm")
     )
-
-
-def subsample_negatives(calls: DataFrame, ratios: Sequence[int], repeats: int, seed: int, *, entity: str = "entity_id") -> DataFrame:
-    """Class-ratio subsampling: all positives plus ratio x positives negatives drawn
-    without replacement, repeated. Returns weighted confusion counts per
-    (ratio, repeat, model).
-
-    The k smallest hashes of a repeat are the sample. The cut-off hash is found from
-    a histogram of the leading hash bits and finished inside one narrow slice, so no
-    repeat is sorted as a whole.
-    """
-    neg = calls.filter(F.col("label") == 0).select(entity).distinct()
-    n_pos = calls.filter(F.col("label") == 1).agg(F.count_distinct(entity)).scalar()
-    hashed = neg.select(entity, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).withColumn(
-        "h", hashed_uniform(seed, F.col("rep"), F.col(entity))
-    ).withColumn("slice", F.shiftright("h", 20))
-    sizes = hashed.groupBy("rep", "slice").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("rep").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).drop("c")
-    rank = F.row_number().over(Window.partitionBy("rep", "slice").orderBy("h", entity)) + F.col("before")
-    ranked = hashed.join(starts, ["rep", "slice"]).select("rep", entity, rank.alias("rank"))
-    wanted = ranked.withColumn("n_pos", n_pos).withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in ratios])))
-    chosen = wanted.filter(F.col("rank") <= F.col("ratio") * F.col("n_pos")).select("rep", "ratio", entity)
-    fp = (
-        chosen.join(calls.filter(F.col("label") == 0).select(entity, "model", "call"), entity)
-        .groupBy("ratio", "rep", "model")
-        .agg(F.count_if(F.col("call") == 1).alias("fp"), F.count_if(F.col("call") == 0).alias("tn"))
-    )
-    tp = calls.filter(F.col("label") == 1).groupBy("model").agg(
-        F.count_if(F.col("call") == 1).alias("tp"), F.count_if(F.col("call") == 0).alias("fn")
-    )
-    return fp.join(tp, "model").select("ratio", "rep", "model", *M.COUNTS)

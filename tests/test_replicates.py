@@ -96,3 +96,20 @@ def test_weights_are_poisson():
     assert (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.003)
     per = np.corrcoef(w[:60])
     assert np.abs(per - np.eye(60)).max() < 0.25 and w.sum(axis=0).std() == pytest.approx(2000**0.5, rel=0.12)
+
+
+@pytest.mark.parametrize("n_pos", [0, 20, 200])
+def test_subsample_without_replacement(spark, n_pos):
+    rows = [(i, int(i < n_pos), "01"[i % 2]) for i in range(500)]
+    df = spark.createDataFrame(rows, "entity_id long, label int, pattern string").repartition(4)
+    got = {(x["label"], x["pattern"], x["ratio"], x["rep"]): x["w"] for x in R.subsampled_cells(df, ["label", "pattern"], "entity_id", (1, 2, 4), 7, 3).collect()}
+    want = defaultdict(int)
+    for rep in range(7):
+        r = int(hashlib.md5(f"3|b|{rep}".encode()).hexdigest()[:8], 16) % R.PRIME
+        order = sorted((pow(a + c * r, 5, R.PRIME), a, c, p) for e, y, p in rows if not y for a, c in [residues(3, e)])
+        for ratio in (1, 2, 4):
+            for *_, p in order[: ratio * n_pos]:
+                want[0, p, ratio, rep] += 1
+            for e, y, p in rows:
+                want[1, p, ratio, rep] += y
+    assert got == {k: v for k, v in want.items() if v}

@@ -160,13 +160,6 @@ def test_permutation_p_counts_the_observed(spark):
     assert B.permutation_p(obs, reps, "r", ["model"]).first()["p_perm"] == pytest.approx(3 / 5)
 
 
-def test_subsample_sizes(spark):
-    rows = [(i, m, int(i < 20), int(i % 2)) for i in range(300) for m in ("a", "b")]
-    df = spark.createDataFrame(rows, "entity_id bigint, model string, label int, call int")
-    for r in B.subsample_negatives(df, (1, 4), 6, 9).collect():
-        assert r["fp"] + r["tn"] == 20 * r["ratio"] and r["tp"] + r["fn"] == 20
-
-
 def test_subsample_by_pattern_keeps_positives(spark):
     pat = spark.createDataFrame([(1, "10", 30), (1, "00", 10), (0, "10", 500), (0, "01", 300)], "label int, pattern string, n_entities bigint")
     w = B.hypergeometric_pattern_weights(pat, (1, 4), 5, 3)
