@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import rules as R
 from scoreloom.functions.scalars import is_finite
+from scoreloom.sources.scratch import settle
 
 INF = float("inf")
 
@@ -204,22 +205,26 @@ def mapping_labels(
 
 def spacer_evidence(
     hits: DataFrame, *, min_length: int = 25, min_identity: float = 95.0, min_coverage: float = 95.0, max_hits: int = 50,
-    tie: Sequence[str] = ("line_no",),
+    tie: Sequence[str] = ("line_no",), heaviest: int = 10_000,
 ) -> DataFrame:
     """Spacer hits on other entities, promiscuous spacers dropped, best hit per target.
 
-    Hit counts per spacer come from an aggregate joined back (a hot spacer is one
-    count row, not one sorted window partition).
+    Hits are counted per spacer, in the map tasks first. A spacer with more than 1/``heaviest`` of all hits is one of at
+    most ``heaviest``: these are broadcast and their rows go where they are read. What is left is joined by spacer, where
+    none has more than that part of the rows.
     """
     cov = F.try_divide(F.col("length") * 100.0, F.col("qlen"))
     kept = hits.withColumn("coverage", F.coalesce(cov, F.lit(0.0))).filter(
         (F.col("qlen") >= min_length) & (F.col("target") != F.col("source"))
         & (F.col("pident") >= min_identity) & (F.col("coverage") >= min_coverage)
     )
-    fine = kept.groupBy("spacer_id").agg(F.count("*").alias("n_hits")).filter(F.col("n_hits") <= max_hits)
+    counts = settle(kept.groupBy("spacer_id").agg(F.count("*").alias("n_hits")))
+    every = counts.agg(F.coalesce(F.sum("n_hits"), F.lit(0))).scalar()
+    hot = counts.filter((F.col("n_hits") > max_hits) & (F.col("n_hits") > every / heaviest)).select("spacer_id")
+    fine = counts.filter(F.col("n_hits") <= max_hits).select("spacer_id")
     rank = F.struct((-F.col("pident")).alias("_k"), *tie)
     return (
-        kept.join(fine.select("spacer_id"), "spacer_id", "left_semi")
+        kept.join(F.broadcast(hot), "spacer_id", "left_anti").join(fine, "spacer_id", "left_semi")
         .groupBy("target")
         .agg(F.min_by(F.struct("spacer_id", "source", "pident", "coverage"), rank).alias("h"))
         .select("target", "h.*")

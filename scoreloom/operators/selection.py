@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def one_per_sample(df: DataFrame, sample: str, order: Sequence[Column]) -> DataFrame:
@@ -21,22 +22,36 @@ def quota_selection(
     """Greedy selection: one row per sample, classes filled in order up to their quota,
     later classes skipping samples already used. Rows are numbered in selection order.
 
-    The greedy scan takes the first row of every unused sample until the quota is
-    full, which is exactly the quota's smallest per-sample best rows, so each pass is
-    an aggregate plus a top-k.
+    Candidates are read once. Each (sample, class) keeps its best row, an aggregate; a class can lose at most as many
+    samples to earlier classes as these may take, so its best rows up to the sum of the quotas so far decide. These few
+    rows, bounded by the quotas, are folded in order inside one row.
     """
-    chosen = None
-    for stage, (name, quota) in enumerate(quotas):
-        pool = candidates.filter(F.col(klass) == name)
-        if chosen is not None:
-            pool = pool.join(F.broadcast(chosen.select(sample)), sample, "left_anti")
-        best = one_per_sample(pool, sample, order).orderBy(*order).limit(quota)
-        best = best.withColumn("_stage", F.lit(stage))
-        chosen = best if chosen is None else chosen.unionByName(best)
-    w = Window.orderBy("_stage", *order)  # at most the sum of the quotas
-    return chosen.withColumn("panel_no", F.row_number().over(w)).withColumn(
-        "panel_id", F.concat(F.lit(id_prefix), F.lpad(F.col("panel_no").cast("string"), 3, "0"))
-    ).drop("_stage")
+    names = [n for n, _ in quotas]
+    stage = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(klass)).cast("int") - 1
+    upto = [sum(q for _, q in quotas[: i + 1]) for i in range(len(quotas))]
+    at = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
+    rank = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    whole = F.struct(*candidates.columns)
+    best = candidates.filter(F.col(klass).isin(*names)).groupBy(sample, stage.alias("_stage")).agg(F.min_by(whole, rank).alias("_row"), F.min(rank).alias("_rank"))
+    place = F.row_number().over(Window.partitionBy("_stage").orderBy("_rank", sample))
+    few = best.withColumn("_place", place).filter(F.col("_place") <= at(upto, F.col("_stage")))
+    line = few.agg(F.sort_array(F.collect_list(F.struct("_stage", "_place", F.col(sample).alias("_sample"), "_row"))).alias("_line"))
+    kinds = {f.name: f.dataType for f in few.schema.fields}
+    start = F.struct(
+        F.array().cast(T.ArrayType(kinds[sample])).alias("used"), F.array(*[F.lit(0) for _ in names]).alias("n"),
+        F.array().cast(T.ArrayType(T.StructType([T.StructField("_stage", T.IntegerType()), T.StructField("_row", kinds["_row"])]))).alias("out"))
+
+    def admit(acc: Column, x: Column) -> Column:
+        fits = ~F.array_contains(acc["used"], x["_sample"]) & (F.get(acc["n"], x["_stage"]) < at([q for _, q in quotas], x["_stage"]))
+        more = F.struct(
+            F.concat(acc["used"], F.array(x["_sample"])).alias("used"), F.transform(acc["n"], lambda v, i: v + (i == x["_stage"]).cast("int")).alias("n"),
+            F.concat(acc["out"], F.array(F.struct(x["_stage"].alias("_stage"), x["_row"].alias("_row")))).alias("out"))
+        return F.when(fits, more).otherwise(acc)
+
+    chosen = line.select(F.posexplode(F.aggregate("_line", start, admit)["out"]).alias("_i", "_c"))
+    number = (F.col("_i") + 1).alias("panel_no")
+    label = F.concat(F.lit(id_prefix), F.lpad((F.col("_i") + 1).cast("string"), 3, "0")).alias("panel_id")
+    return chosen.select(*[F.col(f"_c._row.{c}").alias(c) for c in candidates.columns], number, label)
 
 
 def balanced_draw(
