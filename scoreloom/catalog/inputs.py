@@ -9,6 +9,7 @@ from scoreloom.functions import scalars as X
 from scoreloom.operators import decide as D
 from scoreloom.operators import ordered as O
 from scoreloom.sources import biology as BIO
+from scoreloom.sources import files as FI
 from scoreloom.sources import predictions as P
 from scoreloom.sources import sinks as SK
 from scoreloom.sources import text as TX
@@ -487,6 +488,75 @@ def run_selection(spark, d):
     return TX.select_run(files, pick)
 
 
+def array_files(spark, d):
+    """One JSON document per 50 suppliers of a nation, written over many lines below the sample's folder; every seventh
+    is cut off, as by a run that stopped."""
+    sup = table(spark, d, "supplier")
+    sample, part = F.col("s_nationkey"), F.floor(F.col("s_suppkey") / 50)
+    region = lambda kind, base, n: F.struct(F.lit(kind).alias("Type"), F.repeat(F.lit(base), n).alias("Sequence"))
+    arr = lambda level, one, two: F.struct(F.col("s_suppkey").alias("Start"), (F.col("s_suppkey") + 100).alias("End"), level.cast("int").alias("Evidence_Level"), F.array(region("DR", "GTT", F.lit(3)), region("Spacer", "A", one), region("Spacer", "C", two)).alias("Regions"))
+    k = F.col("s_suppkey").cast("int")
+    arrays = F.array(arr(k % 5, 20 + k % 11, 30 + k % 3), arr(4 - k % 5, 10 + k % 40, 24 + k % 2))
+    docs = sup.groupBy(sample.alias("sample"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("s"), F.lpad(s("s_suppkey"), 10, "0")).alias("Id"), arrays.alias("Crisprs")))).alias("Sequences"))
+    text = F.to_json(F.struct("Sequences"), {"pretty": "true"})
+    cut = F.when((F.col("sample") + F.col("part")) % 7 == 3, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text)
+    path = scratch_dir(spark) + "/arrays"
+    docs.select("sample", "part", cut.alias("value")).repartition("sample", "part").write.partitionBy("sample", "part").text(path)
+    return FI.read_documents(spark, path, TX.CRISPR_SCHEMA, glob="*.txt", tags={"sample": r"/sample=(\d+)/", "part": r"/part=(\d+)/"})
+
+
+_AF = """WITH f AS (SELECT s_nationkey AS sample, s_suppkey // 50 AS part, s_suppkey AS k, 's' || lpad(s_suppkey::VARCHAR, 10, '0') AS contig_id, (s_nationkey + s_suppkey // 50) % 7 = 3 AS bad FROM supplier),
+ a AS (SELECT sample, contig_id, contig_id || '_CRISPR_1' AS array_id, k AS start, k % 5 AS lv, 20 + k % 11 AS s1, 30 + k % 3 AS s2 FROM f WHERE NOT bad UNION ALL SELECT sample, contig_id, contig_id || '_CRISPR_2', k, 4 - k % 5, 10 + k % 40, 24 + k % 2 FROM f WHERE NOT bad)"""
+
+
+@register(
+    "nested_array_files", "A13 A23 J10",
+    _AF + " SELECT sample::VARCHAR AS sample, array_id, start, CAST((s1 >= 25)::INT + (s2 >= 25)::INT AS INTEGER) AS n_spacers, CAST((s1 < 25)::INT + (s2 < 25)::INT AS INTEGER) AS n_spacers_skipped, CAST(lv AS INTEGER) AS evidence_level FROM a WHERE lv >= 2",
+)
+def nested_array_files(spark, d):
+    """Arrays of real files, found at any depth, with the sample that their folder names."""
+    arrays, _ = TX.crispr_arrays(array_files(spark, d).filter("_corrupt is null"), keep=("sample",))
+    return arrays.select("sample", "array_id", "start", "n_spacers", "n_spacers_skipped", "evidence_level")
+
+
+@register("corrupt_array_files", "A13 L4", _AF + " SELECT sample::VARCHAR AS sample, part::VARCHAR AS part FROM f WHERE bad GROUP BY ALL")
+def corrupt_array_files(spark, d):
+    """Files that hold no whole document."""
+    bad = array_files(spark, d).filter("_corrupt is not null and (Sequences is null or size(Sequences) >= 0)")  # the reader wants a data column too
+    return bad.select("sample", "part").distinct()
+
+
+KINDS = (("combined_text", "kind=combined_text"), ("combined_sequences", "kind=combined_sequences"), ("sequences", "kind=sequences"))
+
+
+@register(
+    "discovered_outputs", "A23 A24",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey // 200 AS g FROM customer), r AS (SELECT k, g, unnest([1, 2]) AS run, unnest([k, CASE WHEN g % 4 = 1 AND k % 5 = 0 THEN NULL ELSE k END]) AS line FROM c),
+    f AS (SELECT g, run, count(line) AS n_lines, sha256(string_agg(line::VARCHAR || chr(10), '' ORDER BY line)) AS digest FROM r GROUP BY ALL)
+    SELECT g::VARCHAR AS sample, CASE g % 3 WHEN 0 THEN 'combined_text' WHEN 1 THEN 'combined_sequences' ELSE 'sequences' END AS kind, CASE WHEN g % 4 = 1 THEN '2' ELSE '1' END AS run, digest AS sha256, sum(n_lines)::BIGINT AS n_lines
+    FROM f WHERE run = CASE WHEN g % 4 = 1 THEN 2 ELSE 1 END GROUP BY ALL""",
+)
+def discovered_outputs(spark, d):
+    """Outputs of two runs per sample below nested folders: the best kind that a sample has, then the run on record, else
+    one of two that agree. Chosen files are read with the folder they lie in."""
+    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 200).alias("g"))
+    kinds = F.array(*[F.when(F.col("g") % 3 <= i, F.lit(n)) for i, (n, _) in enumerate(KINDS)])
+    lines = cust.select("k", "g", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"), F.explode(F.array_compact(kinds)).alias("kind"))
+    lines = lines.filter(~((F.col("run") == 2) & (F.col("g") % 4 == 1) & (F.col("k") % 5 == 0)))
+    path = scratch_dir(spark) + "/runs"
+    ready = lines.repartition("g", "run", "kind").sortWithinPartitions("g", "run", "kind", "k")
+    ready.select(F.col("g").alias("sample"), "run", "kind", s("k").alias("value")).write.partitionBy("sample", "run", "kind").text(path)
+    files = FI.found(spark, path, glob="*.txt", digest=True).withColumn("sample", F.regexp_extract("folder", r"sample=(\d+)", 1))
+    kept = cust.filter((F.col("g") % 4 == 1) & (F.col("k") % 5 != 0)).groupBy("g").agg(F.sort_array(F.collect_list("k")).alias("_k"))
+    content = F.array_join(F.transform("_k", lambda v: F.concat(v.cast("string"), F.lit("\n"))), "")
+    record = kept.select("g", F.sha2(content, 256).alias("sha256"), F.explode(F.array(*[F.lit(n) for n, _ in KINDS])).alias("kind"))
+    record = record.select(F.concat(F.lit("sample="), s("g"), F.lit("/run=2/kind="), F.col("kind")).alias("path"), "sha256")
+    chosen = FI.chosen_outputs(files, KINDS, "sample", record)
+    rows = spark.read.schema("value STRING").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    per = rows.groupBy(F.regexp_extract("_metadata.file_path", r"(sample=\d+/run=\d+/kind=\w+)/", 1).alias("folder")).agg(F.count("*").alias("n_lines"))
+    return chosen.join(per, "folder").select("sample", "kind", F.regexp_extract("folder", r"run=(\d+)", 1).alias("run"), "sha256", "n_lines")
+
+
 @register(
     "per_label_id_lists", "A26", "SELECT o_orderstatus AS label, o_orderkey::VARCHAR AS value FROM orders",
 )

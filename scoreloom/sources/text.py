@@ -141,9 +141,9 @@ def first_nonempty(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
 
 
 def select_run(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """One output file per group from (grp, path, content): the manifest's pick (digest
+    """One output file per group from (grp, path, content or sha256): the manifest's pick (digest
     must match), else any one when all contents agree, else an error."""
-    hashed = files.withColumn("sha256", F.sha2("content", 256)).drop("content")
+    hashed = files if "sha256" in files.columns else files.withColumn("sha256", F.sha2("content", 256)).drop("content")
     if manifest is None:
         joined = hashed.withColumn("_want", F.lit(None).cast("string"))
     else:
@@ -192,14 +192,14 @@ CRISPR_SCHEMA = T.StructType([
 ])
 
 
-def crispr_arrays(docs: DataFrame, *, min_level: int = 2, min_spacer: int = 25) -> tuple[DataFrame, DataFrame]:
+def crispr_arrays(docs: DataFrame, *, min_level: int = 2, min_spacer: int = 25, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Nested array JSON (parsed with CRISPR_SCHEMA) -> (arrays, spacers).
 
     Low-evidence arrays are dropped; short spacers are dropped and the kept ones are
     renumbered inside their array, with array functions on the row they came in.
     """
-    seqs = docs.select(F.explode("Sequences").alias("s"))
-    arr = seqs.select(F.col("s.Id").alias("contig_id"), F.posexplode("s.Crisprs").alias("i", "c"))
+    seqs = docs.select(*keep, F.explode("Sequences").alias("s"))
+    arr = seqs.select(*keep, F.col("s.Id").alias("contig_id"), F.posexplode("s.Crisprs").alias("i", "c"))
     arr = arr.withColumn("array_id", F.concat("contig_id", F.lit("_CRISPR_"), (F.col("i") + 1).cast("string")))
     arr = arr.filter(F.coalesce("c.Evidence_Level", F.lit(0)) >= min_level)
     spc = F.filter("c.Regions", lambda r: (r["Type"] == "Spacer") & (F.coalesce(F.length(r["Sequence"]), F.lit(0)) > 0))
@@ -207,11 +207,12 @@ def crispr_arrays(docs: DataFrame, *, min_level: int = 2, min_spacer: int = 25)
         "array<struct<Type:string,Sequence:string>>")))
     arr = arr.withColumn("_kept", F.filter("_all", lambda r: F.length(r["Sequence"]) >= min_spacer))
     arrays = arr.select(
-        "contig_id", "array_id", F.col("c.Start").alias("start"), F.col("c.End").alias("end"),
+        *keep, "contig_id", "array_id", F.col("c.Start").alias("start"), F.col("c.End").alias("end"),
         F.size("_kept").alias("n_spacers"), (F.size("_all") - F.size("_kept")).alias("n_spacers_skipped"),
         F.col("c.Evidence_Level").alias("evidence_level"),
     )
-    spacers = arr.select("contig_id", "array_id", F.posexplode("_kept").alias("p", "r")).select(
+    spacers = arr.select(*keep, "contig_id", "array_id", F.posexplode("_kept").alias("p", "r")).select(
+        *keep,
         F.concat("array_id", F.lit("_spacer_"), (F.col("p") + 1).cast("string")).alias("spacer_id"),
         F.col("r.Sequence").alias("sequence"), "contig_id", "array_id",
     )

@@ -260,3 +260,35 @@ def test_categories_by_description_and_by_accession(spark):
         "IMGVR_UViG_2636415511_000001": ("unknown", "sneathia_phage"), "lactobacillus phage x": ("lactobacillus_phage",) * 2, "HSV-1 strain": ("herpesvirus",) * 2, "TTV 3": ("anellovirus", "unknown"),
         "Sneathia phage": ("sneathia_phage",) * 2, "NC_011801": ("unknown", "lactobacillus_phage"), "zz": ("unknown", "unknown"),
     }
+
+
+def test_files_at_any_depth(spark, tmp_path):
+    from scoreloom.sources import files as FI
+    from scoreloom.sources import text as TX
+
+    def put(way, content):
+        p = tmp_path / "root" / way
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(content)
+
+    put("a/x/run1/s.best.txt", "one\n")
+    put("a/x/run2/s.best.txt", "one\n")
+    put("a/x/run1/s.plain.fna", ">z\n")
+    put("b/s.plain.fna", ">q\n")
+    put("b/notes.md", "no")
+    root = str(tmp_path / "root")
+    files = FI.found(spark, root, digest=True).withColumn("sample", F.substring_index("folder", "/", 1)).withColumn("way", F.concat_ws("/", "folder", "file"))
+    assert {(r["folder"], r["file"], r["length"]) for r in files.collect()} >= {("a/x/run1", "s.best.txt", 4), ("b", "notes.md", 2)}
+    first = FI.first_kind(files, (("best", r"\.best\.txt$"), ("plain", r"\.fna$")), "sample", path="way")
+    assert {(r["sample"], r["kind"], r["way"]) for r in first.collect()} == {("a", "best", "a/x/run1/s.best.txt"), ("a", "best", "a/x/run2/s.best.txt"), ("b", "plain", "b/s.plain.fna")}
+    pick = FI.chosen_outputs(files.filter("file = 's.best.txt'"), (("run", "run"),), "sample").collect()
+    assert [(r["sample"], r["folder"]) for r in pick] == [("a", "a/x/run1")]
+    put("a/x/run2/s.best.txt", "two\n")
+    spark.catalog.clearCache()
+    with pytest.raises(Exception, match="conflicting runs"):
+        FI.chosen_outputs(FI.found(spark, root, glob="*.best.txt", digest=True).withColumn("sample", F.lit("a")), (("run", "run"),), "sample").collect()
+
+    put("j/good/1.json", '{\n "Sequences": [\n  {"Id": "c", "Crisprs": []}\n ]\n}')
+    put("j/bad/2.json", '{\n "Sequences": [\n  {"Id": "c", ')
+    docs = FI.read_documents(spark, root, TX.CRISPR_SCHEMA, glob="*.json", tags={"sample": r"/j/(\w+)/"}).select("sample", "Sequences", "_corrupt").collect()
+    assert {(r["sample"], r["_corrupt"] is None) for r in docs} == {("good", True), ("bad", False)}
