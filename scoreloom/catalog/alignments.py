@@ -121,6 +121,23 @@ def catalogue_classification(spark, d):
     return out.join(sp, "qseqid").select("qseqid", "status", "species_status", F.coalesce("sseqid", F.lit("")).alias("subject"))
 
 
+@register(
+    "panel_classification", "J7 A7",
+    _BEST + """, sk AS (SELECT * FROM (SELECT o_custkey % 150 AS q, 'g' || o_orderkey AS ref, o_totalprice / 5200 AS ani, greatest(o_totalprice / 5400, 20.0::DOUBLE) AS fr, row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_totalprice / 5200 DESC, o_orderkey) AS rn FROM orders WHERE o_totalprice < 500000 AND o_custkey % 150 < 60) WHERE rn = 1)
+    SELECT s_suppkey AS qseqid, CASE WHEN coalesce(ani >= 94.5 AND fr >= 90, false) OR coalesce(weighted_identity >= 94.5 AND af_shorter >= 90, false) THEN 'species' WHEN sseqid IS NOT NULL OR ref IS NOT NULL THEN 'relative' ELSE 'absent' END AS status,
+      CASE WHEN ani >= 94.5 AND fr >= 90 THEN 'whole_genome' WHEN weighted_identity >= 94.5 AND af_shorter >= 90 THEN 'hits' END AS species_by, coalesce(sseqid, ref, '') AS match, ani, fr AS ani_fraction, weighted_identity, af_shorter AS hit_fraction
+    FROM supplier LEFT JOIN best ON qseqid = s_suppkey LEFT JOIN sk ON q = s_suppkey""",
+    "ani ani_fraction weighted_identity hit_fraction",
+)
+def panel_classification(spark, d):
+    """Species by whole-genome identity or by hits, whichever shows it."""
+    o = table(spark, d, "orders").filter("o_totalprice < 500000 and o_custkey % 150 < 60").select((F.col("o_custkey") % 150).alias("query"), F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("ref"), "o_orderkey",
+        (F.col("o_totalprice") / 5200).alias("ani"), F.greatest(F.col("o_totalprice") / 5400, F.lit(20.0)).alias("af_shorter"))
+    ani = O.best_per_key(o, ["query"], "ani", ["o_orderkey"])
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("qseqid"))
+    return L.panel_status(q, I.best_subject(tiles(spark, d)), ani, identity=94.5, fraction=90.0)
+
+
 @register(
     "catalogue_metadata_chain", "C5 J7",
     _BEST + """ SELECT qseqid, sseqid, n_name, r_name FROM best JOIN supplier ON s_suppkey = qseqid LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""",
@@ -279,6 +296,29 @@ def native_homolog_exclusion(spark, d):
     return high.select(F.col("sseqid").alias("background"), F.col("qseqid").alias("genome"), "covered_pct", "best", F.lit("excluded_native").alias("label"))
 
 
+_BG = lambda c: f"CASE {c} WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'N' ELSE 'R' END"
+
+
+@register(
+    "native_exclusion_relabelling", "J12 J11",
+    HITS_SQL + f""", f AS (SELECT * FROM hits WHERE pident >= 92 AND length >= 5), c AS (SELECT qseqid, sseqid, count(DISTINCT p) / 3000::DOUBLE * 100 AS cov FROM (SELECT qseqid, sseqid, unnest(range(qstart, qend + 1)) AS p FROM f) GROUP BY ALL),
+    b AS (SELECT qseqid, sseqid, max(pident) AS best FROM f GROUP BY ALL), ex AS (SELECT sseqid AS background, qseqid AS genome FROM c JOIN b USING (qseqid, sseqid) WHERE cov >= 50 AND best >= 95),
+    h AS (SELECT l_orderkey AS entity_id, l_suppkey AS target, row_number() OVER (PARTITION BY l_orderkey ORDER BY 100.0::DOUBLE - 100.0::DOUBLE * l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem WHERE 100.0::DOUBLE - 100.0::DOUBLE * l_discount >= 95 AND l_quantity * 2 >= 60),
+    lb AS (SELECT {_BG('o_orderpriority')} AS background, target FROM orders LEFT JOIN h ON entity_id = o_orderkey AND rn = 1)
+    SELECT lb.background, CASE WHEN target IS NULL THEN 'background' WHEN genome IS NOT NULL THEN 'excluded_chimeric_risk' ELSE 'viral' END AS label, count(*) AS n FROM lb LEFT JOIN ex ON ex.background = lb.background AND genome = target GROUP BY ALL""",
+)
+def native_exclusion_relabelling(spark, d):
+    """Contigs labelled by mapping, then again without the genomes that their background holds natively."""
+    line = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_linenumber", "l_partkey", "l_suppkey")])
+    hits = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("entity_id"), F.col("l_suppkey").cast("string").alias("target"), (100.0 - 100.0 * F.col("l_discount")).alias("pident"), (F.col("l_quantity") * 2).alias("coverage"), line.alias("line_no"))
+    pr = F.col("o_orderpriority")
+    ents = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.when(pr == "1-URGENT", "A").when(pr == "2-HIGH", "N").otherwise("R").alias("background"))
+    labels = L.mapping_labels(ents, hits, hits.filter("false"), min_coverage=60.0)
+    native = native_homolog_exclusion(spark, d).select("background", F.col("genome").cast("string").alias("genome"))
+    return L.exclude_native(labels, native).groupBy("background", "label").agg(F.count("*").alias("n"))
+
+
 @register(
     "depth_breadth", "D28 A15",
     """WITH g AS (SELECT l_suppkey AS contig, count(*) FILTER (WHERE l_quantity > 10) AS cb, sum(CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END)::DOUBLE AS s FROM lineitem GROUP BY 1)

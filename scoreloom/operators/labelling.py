@@ -253,6 +253,26 @@ def species_status(queries: DataFrame, best: DataFrame, *, query: str = "qseqid"
     return j.withColumn("status", status)
 
 
+def panel_status(queries: DataFrame, best: DataFrame, ani: DataFrame, *, query: str = "qseqid", identity: float = 95.0, fraction: float = 85.0) -> DataFrame:
+    """species / relative / absent from two searches: the whole-genome table (query, ref, ani, af_shorter) and the best
+    subject of the hits. Either may show the species; the match is the hits' subject, else the table's reference."""
+    hit = best.select(query, F.col("sseqid").alias("_hit"), "weighted_identity", F.col("af_shorter").alias("_fraction"))
+    whole = ani.select(F.col("query").alias(query), F.col("ref").alias("_ref"), "ani", F.col("af_shorter").alias("ani_fraction"))
+    j = queries.join(hit, query, "left").join(whole, query, "left")
+    near = lambda i, f: F.coalesce((F.col(i) >= identity) & (F.col(f) >= fraction), F.lit(False))
+    status = F.when(near("ani", "ani_fraction") | near("weighted_identity", "_fraction"), "species").when(F.col("_hit").isNotNull() | F.col("_ref").isNotNull(), "relative").otherwise("absent")
+    shown = F.when(near("ani", "ani_fraction"), "whole_genome").when(near("weighted_identity", "_fraction"), "hits")
+    return j.select(*queries.columns, status.alias("status"), shown.alias("species_by"), F.coalesce("_hit", "_ref", F.lit("")).alias("match"), "ani", "ani_fraction", "weighted_identity", F.col("_fraction").alias("hit_fraction"))
+
+
+def exclude_native(labels: DataFrame, exclusions: DataFrame, *, background: str = "background", source: str = "source", genome: str = "genome") -> DataFrame:
+    """Labels again after the genomes that a background holds natively are known: a viral label that rests on such a
+    genome becomes excluded_chimeric_risk."""
+    native = exclusions.select(F.col(background), F.col(genome).alias(source)).distinct().withColumn("_native", F.lit(True))
+    hit = (F.col("label") == "viral") & F.col("_native").isNotNull()
+    return labels.join(native, [background, source], "left").withColumn("label", F.when(hit, "excluded_chimeric_risk").otherwise(F.col("label"))).select(*labels.columns)
+
+
 def prefer_task(hits: DataFrame, keys: Sequence[str], *, species: str, largest: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """Best row per key over several search tasks: species-level first, then the
     ``largest`` columns (coverage, score), then the tie columns."""
