@@ -672,6 +672,20 @@ def group_mcnemar(spark, d):
     return per.agg(F.count("*").alias("n"), F.count_if((F.col("m") == 1) & (F.col("s") == 0)).alias("b"), F.count_if((F.col("m") == 0) & (F.col("s") == 1)).alias("c"))
 
 
+@register(
+    "group_mcnemar_test", "H3 D38",
+    W + f""", g AS (SELECT entity_id, label, coalesce(max(call) FILTER (WHERE family = 'marker'), 0) AS m, coalesce(max(call) FILTER (WHERE family = 'composition'), 0) AS s FROM calls JOIN (SELECT model AS gm, family AS gf FROM models) ON gm = model WHERE stratum IN ('1-URGENT', '2-HIGH') GROUP BY ALL),
+    a AS (SELECT count(*) FILTER (WHERE label = 1) AS n_positive, count(*) FILTER (WHERE label = 0) AS n_negative, count(*) FILTER (WHERE label = 1 AND m = 1) / count(*) FILTER (WHERE label = 1)::DOUBLE AS recall_first, count(*) FILTER (WHERE label = 1 AND s = 1) / count(*) FILTER (WHERE label = 1)::DOUBLE AS recall_second,
+      count(*) FILTER (WHERE m = label AND s <> label) AS b, count(*) FILTER (WHERE m <> label AND s = label) AS c FROM g),
+    t AS (SELECT *, (abs(b - c) - 1) * (abs(b - c) - 1) / (b + c)::DOUBLE AS st FROM a)
+    SELECT n_positive, n_negative, recall_first, recall_second, b, c, 'chi2_corrected' AS test, st AS statistic, {_gamma_tail('0.5', '(st / 2)')} AS p_value, 'ok' AS note FROM t""",
+    "recall_first recall_second statistic p_value",
+)
+def group_mcnemar_test(spark, d):
+    """Marker against composition models on two strata, positives and negatives, with test and minimum."""
+    return T.group_mcnemar(calls(spark, d).filter(F.col("stratum").isin("1-URGENT", "2-HIGH")), "family", "marker", "composition")
+
+
 @register(
     "fisher_table", "H4",
     W + """ SELECT *, a::DOUBLE * d / nullif(b::DOUBLE * c, 0) AS odds_ratio FROM (SELECT count(*) FILTER (WHERE family = 'composition' AND call = 1) AS a, count(*) FILTER (WHERE family = 'composition' AND call = 0) AS b,

@@ -85,6 +85,28 @@ def mcnemar(pairs: DataFrame, *, exact_below: int = 25, with_p: bool = True) ->
     return out.withColumn("p_value", F.coalesce("p_exact", chi)).drop("p_exact")
 
 
+def group_mcnemar(
+    calls: DataFrame, group: str, first: str, second: str, *, entity: str = "entity_id", min_positive: int = 5, exact_below: int = 25
+) -> DataFrame:
+    """McNemar between two groups of models, a group calling what any of its models calls.
+
+    One aggregate per entity, one over all. Fewer than ``min_positive`` positives give no test; the statistic is the
+    first discordant count where the exact test is used, as it is in binomial tests.
+    """
+    on = lambda g: F.max(F.when(F.col(group) == g, F.col("call")))
+    per = calls.groupBy(entity, "label").agg(F.coalesce(on(first), F.lit(0)).alias("_a"), F.coalesce(on(second), F.lit(0)).alias("_b"))
+    y, right_a, right_b = F.col("label") == 1, F.col("_a") == F.col("label"), F.col("_b") == F.col("label")
+    agg = per.agg(
+        F.count_if(y).alias("n_positive"), F.count_if(~y).alias("n_negative"), F.count_if(y & right_a).alias("_ra"), F.count_if(y & right_b).alias("_rb"),
+        F.count_if(right_a & ~right_b).alias("b"), F.count_if(~right_a & right_b).alias("c"))
+    agg = agg.select("n_positive", "n_negative", ratio(F.col("_ra"), F.col("n_positive")).alias("recall_first"), ratio(F.col("_rb"), F.col("n_positive")).alias("recall_second"), "b", "c")
+    out = mcnemar(agg, exact_below=exact_below)
+    few = F.col("n_positive") < min_positive
+    stat = F.when(F.col("test") == "exact_binomial", F.col("b").cast("double")).when(F.col("test") == "no_discordant", 0.0).otherwise(F.col("statistic"))
+    note = F.when(few, "too_few_positives").when(F.col("test") == "no_discordant", "no_discordant_pairs").otherwise("ok")
+    return out.select("n_positive", "n_negative", "recall_first", "recall_second", "b", "c", F.when(~few, F.col("test")).alias("test"), F.when(~few, stat).alias("statistic"), F.when(~few, F.col("p_value")).alias("p_value"), note.alias("note"))
+
+
 def rank_sum(df: DataFrame, value: str, group: str, first: str, second: str, *, keys: Sequence[str] = ("model",),
              min_n: int = 2) -> DataFrame:
     """Rank-sum U of ``first`` vs ``second`` per key with medians and the tie term.

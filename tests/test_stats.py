@@ -232,3 +232,19 @@ def test_pattern_draws_with_more_patterns_than_any_limit(spark):
     sub = B.hypergeometric_pattern_weights(df.withColumn("n_entities", F.when(F.col("label") == 1, 1).otherwise(F.col("n_entities") * 10)), (1, 2), 5, 1)
     n_pos = sum(a for a, _ in seen)
     assert {(r.ratio, r.n) for r in sub.filter("label = 0").groupBy("ratio", "rep").agg(F.sum("w").alias("n")).collect()} == {(1, n_pos), (2, 2 * n_pos)}
+
+
+def test_group_mcnemar_minimum_and_tests(spark):
+    def run(rows):
+        df = spark.createDataFrame([(i, y, f, c) for i, (y, a, b) in enumerate(rows) for f, c in (("m", a), ("s", b))], "entity_id int, label int, family string, call int")
+        return T.group_mcnemar(df, "family", "m", "s").first()
+
+    few = run([(1, 1, 0)] * 4 + [(0, 0, 1)] * 9)
+    assert (few["note"], few["p_value"], few["test"]) == ("too_few_positives", None, None)
+    exact = run([(1, 1, 0)] * 6 + [(0, 1, 0)] * 2)
+    assert (exact["b"], exact["c"], exact["statistic"], exact["test"]) == (6, 2, 6.0, "exact_binomial") and exact["p_value"] == pytest.approx(0.2890625)
+    assert (exact["recall_first"], exact["recall_second"]) == (1.0, 0.0)
+    none = run([(1, 1, 1)] * 6)
+    assert (none["statistic"], none["p_value"], none["note"]) == (0.0, 1.0, "no_discordant_pairs")
+    many = run([(1, 1, 0)] * 30 + [(1, 0, 1)] * 10)
+    assert many["test"] == "chi2_corrected" and many["statistic"] == pytest.approx(19**2 / 40)
