@@ -68,6 +68,58 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+MASK = (1 << 64) - 1
+
+
+def brute_mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & MASK
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & MASK
+    return h ^ h >> 31
+
+
+def brute_grams(text, how):
+    """Buckets of a text's n-grams, by hand: letters, one space for each run of others behind a letter, one at the end."""
+    seq, before = [], False
+    for c in (text or "").lower():
+        if c.isalpha() or before:
+            seq.append(ord(c) if c.isalpha() else 32)
+        before = c.isalpha()
+    seq = [brute_mix(v + 1_000_003) for v in [*seq, 32]]
+    out = []
+    for n in how.orders:
+        mult = [int(x) | 1 for x in arrays.stream(500 + n, n)]
+        out += [brute_mix(sum(v * m for v, m in zip(seq[i : i + n], mult, strict=True)) & MASK) % how.buckets for i in range(len(seq) - n + 1)]
+    return out
+
+
+def test_language_by_hand(docs, odd_texts):
+    how = langid.Bayes(buckets=1 << 9)
+    rows = [(i, prose(i, 40, "etaoin" if i % 3 else "uvwxyzé"), "xx" if i % 3 else "yy") for i in range(40)] + [(100 + i, t, "zz" if i % 2 else "xx") for i, t in enumerate(["Ab1 c", "--", "", None, "ÀB\x00c", "\U0001f600 a", "a" * 900])]
+    known = docs([r for r in rows]).select("lang", "text")
+    model = langid.fit(known, how)
+    n, texts = {}, Counter()
+    for _, t, lang in rows:
+        if t is not None:
+            texts[lang] += 1
+            n.setdefault(lang, np.full(how.buckets, how.smoothing))
+            np.add.at(n[lang], brute_grams(t, how), 1)
+    names = sorted(n)
+    assert model.languages == tuple(names)
+    matrix = np.stack([np.log(n[x] / n[x].sum()) for x in names], axis=1)
+    prior = np.log(np.array([texts[x] for x in names]) / sum(texts.values()))
+    assert np.allclose(model.matrix, matrix) and np.allclose(model.prior, prior)
+    asked = [*rows, *((1000 + i, r[1], None) for i, r in enumerate(odd_texts) if len(r[1] or "") < 1000)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs([(i, t, lang) for i, t, lang in asked]), model, how, keep=("doc_id",)).collect()}
+    for i, t, _ in asked:
+        total = prior + matrix[brute_grams(t, how)].sum(axis=0)
+        post = np.exp(total - total.max())
+        letters = any(c.isalpha() for c in t or "")
+        want = (names[int(total.argmax())], float(post.max() / post.sum())) if letters else ("und", 0.0)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1]), (i, t)
+
+
 def test_language_odd_inputs(docs, odd_texts):
     rows = langid.held_out_languages(docs([*odd_texts, (20, "123 456"), (21, "abc", None)])).collect()
     assert len(rows) == len(odd_texts) + 2

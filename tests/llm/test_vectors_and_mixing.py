@@ -240,6 +240,11 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in minhash.near_duplicates(cut).filter("kept").collect()}
     mixed = settle(steps["source_mixing"](spark, one, SF))
     assert mixed.columns == names
+    words = Counter()
+    for r in mixed.collect():
+        words[r.doc_id] += len(r.text.encode().split())
+    want = {r.doc_id: r.taken for r in mixing.mix_sizes(one).filter("taken > 0").collect()}
+    assert +words == want
     last = steps["sentencepiece"](spark, mixed, SF)
     assert last.count() == mixed.count() and last.filter("n_ids <= 0").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == mixed.count()
