@@ -50,7 +50,7 @@ def _dyadic(first: Column, end: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2((end - first + 1).cast("double"))).cast("int")), at_level))
 
 
-def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *, deep: int = 8) -> DataFrame:
+def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *, deep: int = 16) -> DataFrame:
     """(key, rank, bases): positions that each hit owns, the hit of least ``rank`` owning a position that several cover.
 
     ``hits`` have key, rank columns, _lo and _hi. A sweep over elementary segments: end points cut a stretch into
@@ -72,8 +72,6 @@ def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *,
     clipped = placed.select(*key, *rank, F.inline(ends))
     best = F.min(F.struct(*rank)).alias("_r")
     long = hits.select(*key, *rank, "_lo", "_hi").join(many, key).select(*key, *rank, "_w", bins[0].alias("_b"), bins[1].alias("_e")).filter("_e - _b > 1")
-    # Hits that begin in one bin meet before they are taken apart: their blocks are much the same and combine in the task.
-    long = long.repartition(*[F.col(c) for c in (*key, "_b")])
     blocks = long.select(*key, *rank, "_w", F.inline(_dyadic(b + 1, e))).groupBy(*key, "_w", "level", "place").agg(best)
     size = F.pow(F.lit(2), F.col("level")).cast("bigint")
     opened = blocks.select(*key, "_w", "_r", F.explode(F.sequence(F.col("place") * size, F.col("place") * size + size - 1)).alias("_bin"))
@@ -93,7 +91,7 @@ def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *,
 
 
 def tile_hits(
-    hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",), deep: int = 8, width: int = WIDTH
+    hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",), deep: int = 16, width: int = WIDTH
 ) -> DataFrame:
     """Tiled coverage and identity per (query, subject).
 
