@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreloom.functions.scalars import is_finite
 from scoreloom.operators.decide import Rule, dense_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +27,18 @@ CATALOG: dict[str, Entry] = {}
 PLACES = 6
 
 
+def to_places(value: Column, places: int = PLACES) -> Column:
+    """Rounded as the oracle does: a double is scaled, rounded to a whole number and scaled back. Spark's own ``round`` goes by
+    the decimal digits of the unscaled double and takes some ties the other way (0.0640625: 0.064063, here 0.064062)."""
+    scaled = value * 10.0**places
+    return F.when(is_finite(scaled), F.round(scaled) / 10.0**places).otherwise(value)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, so summation order cannot show in a comparison."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), PLACES).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+            to_places(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
