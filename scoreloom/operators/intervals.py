@@ -8,10 +8,14 @@ over its bins in both.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.scalars import ratio
 
@@ -45,53 +49,117 @@ def _dyadic(first: Column, end: Column) -> Column:
     def at_level(k: Column) -> Column:
         lo, hi = up(first, k), down(end, k)
         some = lo < hi
-        return F.array_compact(F.array(F.when(some & (lo % 2 == 1), node(k, lo)), F.when(some & (hi % 2 == 1), node(k, hi - 1))))
+        return F.array_compact(F.array(F.when(some & (F.pmod(lo, F.lit(2)) == 1), node(k, lo)), F.when(some & (F.pmod(hi, F.lit(2)) == 1), node(k, hi - 1))))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2((end - first + 1).cast("double"))).cast("int")), at_level))
 
 
-def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *, deep: int = 16) -> DataFrame:
+def _owned(table: pa.Table, slot: Sequence[str]) -> np.ndarray:
+    """Positions that each piece (_lo, _hi) owns. Pieces come slot by slot, the least rank first.
+
+    End points cut a slot into elementary segments. A piece marks the two blocks of 2**level segments that make up its
+    span, level by level from above; a mark goes down to both halves of its block where no lesser one is. What is left at
+    single segments are their owners: work and memory follow the pieces, not their overlaps.
+    """
+    k = len(table)
+    lo, hi = (table.column(c).to_numpy() for c in ("_lo", "_hi"))
+    own_slot = np.zeros(k, np.int64)
+    own_slot[_turns(table, slot)] = 1
+    own_slot = np.cumsum(own_slot)
+    at, of = np.concatenate([lo, hi + 1]), np.concatenate([own_slot, own_slot])
+    order = np.lexsort((at, of))
+    fresh = np.concatenate([[True], (np.diff(at[order]) != 0) | (np.diff(of[order]) != 0)])
+    place = np.empty(2 * k, np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    start, end = place[:k], place[k:]
+    points = at[order][fresh]
+    level = np.frexp((end - start).astype(np.float64))[1] - 1
+    owner = np.full(len(points), k)
+    for j in range(int(level.max()), -1, -1):
+        mine = np.flatnonzero(level == j)
+        np.minimum.at(owner, start[mine], mine)
+        np.minimum.at(owner, end[mine] - (1 << j), mine)
+        if j:
+            half = 1 << (j - 1)
+            lower = owner.copy()
+            lower[half:] = np.minimum(lower[half:], owner[:-half])
+            owner = lower
+    held = np.flatnonzero(owner < k)
+    bases = np.zeros(k, np.int64)
+    np.add.at(bases, owner[held], points[held + 1] - points[held])
+    return bases
+
+
+def _turns(rows: pa.RecordBatch | pa.Table, slot: Sequence[str]) -> np.ndarray:
+    """Rows whose slot is not that of the row before."""
+    new = np.zeros(len(rows) - 1, bool)
+    for c in slot:
+        new |= pc.not_equal(rows.column(c).slice(1), rows.column(c).slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new) + 1
+
+
+def owned_segments(hits: DataFrame, key: Sequence[str], rank: Sequence[str], *, deep: int = 1024) -> DataFrame:
     """(key, rank, bases): positions that each hit owns, the hit of least ``rank`` owning a position that several cover.
 
-    ``hits`` have key, rank columns, _lo and _hi. A sweep over elementary segments: end points cut a stretch into
-    segments, a hit is listed once for each segment that it spans, and the least rank of a segment owns it. A key with
-    at most ``deep`` hits is one stretch. Others are cut into bins so wide that about ``deep`` hits begin in each: a hit
-    enters its two outer bins clipped, and the bins between as few aligned blocks of bins, of which only the best hit
-    is kept before they are opened. So a bin holds about as many clipped hits as end points lie in it, and one hit that
-    spans it, however many hits and however long.
+    ``hits`` have key, rank columns, _lo and _hi; keys hold no null. A key with at most ``deep`` hits is one stretch. Others
+    are cut into bins so wide that about ``deep`` hits begin in each: a hit enters its two outer bins clipped, and the bins
+    between as few aligned blocks of bins, of which only the best hit is kept before they are opened. So a bin holds about
+    as many clipped hits as end points lie in it, and one hit that spans it, however many hits and however long. One
+    exchange brings bins together; tasks sort them (the sort spills) and read them in batches.
     """
     key, rank = list(key), list(rank)
+    hits = hits.dropna(subset=[*key, "_lo", "_hi"]).select(*key, *rank, "_lo", "_hi")
     many = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_lo").alias("_a"), F.max("_hi").alias("_z")).filter(F.col("_n") > deep)
     width = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2((F.col("_z") - F.col("_a") + 1) * F.lit(float(deep)) / F.col("_n"))))).cast("bigint")
     many = many.select(*key, width.alias("_w"))
     bins = [F.floor(F.col(c) / F.col("_w")).cast("bigint") for c in ("_lo", "_hi")]
-    placed = hits.select(*key, *rank, "_lo", "_hi").join(many, key, "left").select("*", F.coalesce(bins[0], F.lit(0)).alias("_b"), F.coalesce(bins[1], F.lit(0)).alias("_e"))
+    placed = hits.join(many, key, "left").select("*", F.coalesce(bins[0], F.lit(0)).alias("_b"), F.coalesce(bins[1], F.lit(0)).alias("_e"))
     piece = lambda b, lo, hi: F.struct(b.alias("_bin"), lo.alias("_lo"), hi.alias("_hi"))
     b, e, w = F.col("_b"), F.col("_e"), F.col("_w")
     ends = F.when(b == e, F.array(piece(b, F.col("_lo"), F.col("_hi")))).otherwise(F.array(piece(b, F.col("_lo"), (b + 1) * w - 1), piece(e, e * w, F.col("_hi"))))
     clipped = placed.select(*key, *rank, F.inline(ends))
     best = F.min(F.struct(*rank)).alias("_r")
-    long = hits.select(*key, *rank, "_lo", "_hi").join(many, key).select(*key, *rank, "_w", bins[0].alias("_b"), bins[1].alias("_e")).filter("_e - _b > 1")
+    long = hits.join(many, key).select(*key, *rank, "_w", bins[0].alias("_b"), bins[1].alias("_e")).filter("_e - _b > 1")
     blocks = long.select(*key, *rank, "_w", F.inline(_dyadic(b + 1, e))).groupBy(*key, "_w", "level", "place").agg(best)
     size = F.pow(F.lit(2), F.col("level")).cast("bigint")
     opened = blocks.select(*key, "_w", "_r", F.explode(F.sequence(F.col("place") * size, F.col("place") * size + size - 1)).alias("_bin"))
     spanning = opened.select(*key, *[F.col(f"_r.{r}").alias(r) for r in rank], "_bin", (F.col("_bin") * w).alias("_lo"), (F.col("_bin") * w + w - 1).alias("_hi"))
-    # One exchange by bin; everything up to the owners of segments happens inside it.
     slot = [*key, "_bin"]
-    pieces = clipped.unionByName(spanning).repartition(*[F.col(c) for c in slot]).groupBy(*slot, "_lo", "_hi").agg(best)
-    points = pieces.select(*slot, "_lo", "_hi", "_r", F.explode(F.array(F.col("_lo"), F.col("_hi") + 1)).alias("_at"))
-    points = points.withColumn("_i", F.dense_rank().over(Window.partitionBy(*slot).orderBy("_at")))
-    spans = points.groupBy(*slot, "_lo", "_hi", "_r").agg(F.min("_i").alias("_from"), F.max("_i").alias("_to"))
-    listed = spans.select("*", F.explode(F.sequence(F.col("_from") - 1, F.col("_to"))).alias("_seg"))
-    i, lo, hi = F.col("_seg"), F.col("_from"), F.col("_to")
-    start = F.when(i == lo, F.col("_lo")).when(i == hi, F.col("_hi") + 1)
-    end = F.when(i == hi - 1, F.col("_hi") + 1).when(i == lo - 1, F.col("_lo"))
-    owners = listed.groupBy(*slot, "_seg").agg(F.min(F.when((i >= lo) & (i < hi), F.col("_r"))).alias("_r"), F.max(start).alias("_s"), F.max(end).alias("_t")).filter("_r is not null")
-    return owners.groupBy(*key, *[F.col(f"_r.{r}").alias(r) for r in rank]).agg(F.sum(F.col("_t") - F.col("_s")).alias("bases"))
+    pieces = clipped.unionByName(spanning).repartition(*[F.col(c) for c in slot]).sortWithinPartitions(*slot, *rank)
+    out = [*key, *rank, "bases"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last slot, which may go on
+
+        def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows)
+            bases = _owned(table, slot)
+            won = table.append_column("bases", pa.array(bases)).select(out).filter(pa.array(bases > 0))
+            yield from won.to_batches()
+
+        first = lambda batch, i: [batch.column(c)[i].as_py() for c in slot]
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held and first(held[-1], len(held[-1]) - 1) != first(batch, 0):
+                yield from close(held)
+                held = []
+            turns = _turns(batch, slot)
+            if len(turns):
+                yield from close([*held, batch.slice(0, turns[-1])])
+                held = [batch.slice(turns[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from close(held)
+
+    kinds = {f.name: f for f in pieces.schema.fields}
+    owners = pieces.mapInArrow(sweep, T.StructType([kinds[c] for c in out[:-1]]).add("bases", "long"))
+    return owners.groupBy(*key, *rank).agg(F.sum("bases").alias("bases"))
 
 
 def tile_hits(
-    hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",), deep: int = 16, width: int = WIDTH
+    hits: DataFrame, *, query: str = "qseqid", subject: str = "sseqid", tie: Sequence[str] = ("line_no",), deep: int = 1024, width: int = WIDTH
 ) -> DataFrame:
     """Tiled coverage and identity per (query, subject).
 

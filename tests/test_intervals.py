@@ -105,3 +105,52 @@ def test_windows_and_fragments_against_a_loop(spark, text, size, least):
     assert sorted((r["start"], r["fragment"]) for r in Q.windows(df, size, least).collect()) == want
     frags = sorted((r["fragment_length"], r["i"], r["fragment"]) for r in Q.fragments(df, (3, 4)).collect())
     assert frags == sorted((n, i + 1, text[i * n:(i + 1) * n]) for n in (3, 4) for i in range(len(text) // n))
+
+
+def _rows_of_nodes(plan):
+    """Rows that the operators of an executed plan gave out."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        yield from _rows_of_nodes(plan.executedPlan())
+        return
+    if name.endswith("QueryStage"):
+        yield from _rows_of_nodes(plan.plan())
+        return
+    n = plan.metrics().get("numOutputRows")
+    if n.isDefined():
+        yield n.get().value()
+    for i in range(plan.children().size()):
+        yield from _rows_of_nodes(plan.children().apply(i))
+
+
+def test_overlaps_are_not_listed_one_by_one(spark):
+    # 1,500 nested hits: every one overlaps all others.
+    n = 1500
+    rows = [("q", "s", i, n - i, n + i) for i in range(n)]
+    df = spark.createDataFrame(rows, "qseqid string, sseqid string, k int, _lo long, _hi long")
+    out = I.owned_segments(df, ["qseqid", "sseqid"], ["k"], deep=10_000)
+    got = {r["k"]: r["bases"] for r in out.collect()}
+    assert got == {0: 1} | {i: 2 for i in range(1, n)}
+    assert max(_rows_of_nodes(out._jdf.queryExecution().executedPlan())) <= 20 * n
+
+
+@pytest.mark.parametrize("batch", ["1", "7", "10000"])
+def test_slots_spread_over_batches(spark, batch):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 4)), i, int(a), int(a + n)) for i, (a, n) in enumerate(zip(rng.integers(-300, 300, 400), rng.integers(0, 90, 400)))]
+    want = {}
+    for q in range(4):
+        taken = set()
+        for r in (x for x in rows if x[0] == q):
+            new = set(range(r[2], r[3] + 1)) - taken
+            taken |= new
+            if new:
+                want[q, r[1]] = len(new)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame([*rows, (None, 900, 1, 5), (1, 901, None, 5)], "q int, k int, _lo long, _hi long")
+        for deep in (8, 1024):
+            assert {(r["q"], r["k"]): r["bases"] for r in I.owned_segments(df, ["q"], ["k"], deep=deep).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
