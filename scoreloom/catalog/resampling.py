@@ -173,8 +173,12 @@ def entity_bootstrap_multinomial(spark, d):
     return B.interval(reps.withColumn("mcc", M.mcc()), "mcc")
 
 
-def boot_auprc(spark, d, seed, modes=("naive",)):
-    c = calls(spark, d).select("entity_id", "model", "label", "score", "block")
+def settled_calls(spark, d):
+    """The calls written once: sampling for ranges, chunks, checks and point values all read them."""
+    return settle(calls(spark, d).select("entity_id", "model", "label", "score", "call", "block"))
+
+
+def boot_auprc(c, seed, modes=("naive",)):
     return R.auprc_replicates(c, "model", "entity_id", E_REPS, seed, modes=modes, block="block")
 
 
@@ -191,7 +195,7 @@ _DIFFS = W + _draws(7) + f", ap AS ({_boot_auprc('ew', 'naive')}), df AS (SELECT
 @register("entity_bootstrap_auprc_groups", "I3 I1", _DIFFS + " SELECT CAST(b AS INTEGER) AS b, diff FROM df", "diff")
 def entity_bootstrap_auprc_groups(spark, d):
     """Paired difference of group-mean AUPRC in every replicate; all models see the same weights."""
-    return family_delta(boot_auprc(spark, d, 7), "auprc", "b")
+    return family_delta(boot_auprc(settled_calls(spark, d), 7), "auprc", "b")
 
 
 _POINT_AP = """SELECT model, sum(pos * cp / (cp + cn)::DOUBLE) / sum(pos) AS auprc FROM (SELECT *, sum(pos) OVER w1 AS cp, sum(neg) OVER w1 AS cn FROM (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
@@ -206,8 +210,9 @@ _POINT_AP = """SELECT model, sum(pos * cp / (cp + cn)::DOUBLE) / sum(pos) AS aup
 )
 def auprc_group_verdict(spark, d):
     """Point difference of group-mean AUPRC, its interval, and whether it excludes 0."""
-    point = family_delta(V.average_precision(calls(spark, d)), "auprc").select(F.col("diff").alias("point_delta"))
-    q = B.interval(family_delta(boot_auprc(spark, d, 7), "auprc", "b"), "diff", []).select(F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"), F.col("n_valid"))
+    c = settled_calls(spark, d)
+    point = family_delta(V.average_precision(c), "auprc").select(F.col("diff").alias("point_delta"))
+    q = B.interval(family_delta(boot_auprc(c, 7), "auprc", "b"), "diff", []).select(F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"), F.col("n_valid"))
     return q.withColumn("point_delta", point.scalar()).withColumn("significant", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
@@ -327,11 +332,12 @@ _Q2 = lambda v: f"quantile_cont({v}, 0.025) AS {v}_lo, quantile_cont({v}, 0.975)
 )
 def nested_and_naive_bootstrap(spark, d):
     """Intervals of MCC and AUPRC where blocks are drawn first, beside those of a plain draw of entities."""
-    c = calls(spark, d)
+    c = settled_calls(spark, d)
     point = C.confusion(c, ("model",)).select("model", M.mcc().alias("mcc")).join(V.average_precision(c).select("model", "auprc"), "model")
+    rows = B.entity_patterns(c, MODELS, extra=["block"])
+    counts = B.pattern_counts(R.cell_replicates_by_mode(rows, ["label", "pattern"], "entity_id", E_REPS, 99, block="block"), MODELS, "w", keys=["mode", "b"])
     ends = lambda df, v: B.interval(df, v, ["mode", "model"]).select("mode", "model", F.col("lo").alias(f"{v}_lo"), F.col("hi").alias(f"{v}_hi"))
-    mcc = [boot_counts(spark, d, 99, m).select(F.lit(m).alias("mode"), "model", M.mcc().alias("mcc")) for m in R.MODES]
-    both = ends(mcc[0].union(mcc[1]), "mcc").join(ends(boot_auprc(spark, d, 99, R.MODES), "auprc"), ["mode", "model"])
+    both = ends(counts.withColumn("mcc", M.mcc()), "mcc").join(ends(boot_auprc(c, 99, R.MODES), "auprc"), ["mode", "model"])
     return both.join(point, "model").select("mode", "model", *[x for v in ("mcc", "auprc") for x in (v, f"{v}_lo", f"{v}_hi")])
 
 

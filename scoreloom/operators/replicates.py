@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,51 +60,92 @@ MOST = len(poisson_steps(1.0))
 STEPS = [poisson_steps(float(k)) if k else [] for k in range(MOST + 1)]
 _FROM = np.concatenate([[0], np.cumsum([len(s) for s in STEPS])])
 _ALL = np.array([k * PRIME + t for k, s in enumerate(STEPS) for t in s], np.int64)
+_BITS, _OPEN = 12, 255  # residues are looked up by their highest bits; where a step lies inside, _OPEN
+_LOOKUP = np.zeros(((MOST + 1) << _BITS), np.uint8)
+for _k, _s in enumerate(STEPS):
+    _edges = np.arange((1 << _BITS) + 1, dtype=np.int64) << (31 - _BITS)
+    _low, _high = (np.searchsorted(_s, x, side="right") for x in (_edges[:-1], _edges[1:] - 1))
+    _LOOKUP[_k << _BITS : (_k + 1) << _BITS] = np.where(_low == _high, _low, _OPEN)
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
-    """Residues in place; the prime itself may stand for 0."""
-    for _ in range(2):
-        high = x >> 31
-        x &= PRIME
-        x += high
-    return x
+@lru_cache(maxsize=8)
+def _powers(numbers: bytes) -> np.ndarray:
+    """Powers 0 to 5 of the replicate numbers, as exact doubles."""
+    r = np.frombuffer(numbers, np.int64)
+    out = [np.ones(len(r), np.int64)]
+    for _ in range(5):
+        out.append(out[-1] * r % PRIME)
+    return np.array(out, np.float64)
 
 
 def uniforms(a: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Entities x replicates residues."""
-    x = np.multiply.outer(c, r)
-    x += a[:, None]
-    _fold(x)
-    y = _fold(x * x)
-    y *= y
-    _fold(y)
-    y *= x
-    _fold(y)
-    y[y == PRIME] = 0
-    return y
+    """Entities x replicates residues.
+
+    The fifth power of a + c r is a sum of six products, of numbers of the entity and powers of r: two matrix products, of
+    the numbers' upper and lower halves. All sums stay below 2**53, where doubles are exact.
+    """
+    pa_, pc_ = [np.ones(len(a), np.int64)], [np.ones(len(a), np.int64)]
+    for _ in range(5):
+        pa_.append(pa_[-1] * a % PRIME)
+        pc_.append(pc_[-1] * c % PRIME)
+    own = np.array([math.comb(5, j) * pa_[5 - j] % PRIME * pc_[j] % PRIME for j in range(6)]).T
+    powers = _powers(np.ascontiguousarray(r, np.int64).tobytes())
+    x = (own >> 16).astype(np.float64) @ powers
+    t = np.multiply(x, 1.0 / PRIME)
+    np.floor(t, out=t)
+    t *= PRIME
+    x -= t
+    x *= 65536.0
+    x += (own & 65535).astype(np.float64) @ powers
+    np.multiply(x, 1.0 / PRIME, out=t)
+    np.floor(t, out=t)
+    t *= PRIME
+    x -= t
+    u = x.astype(np.int32)
+    if u.size and u.max() == PRIME:  # stands for 0
+        u[u == PRIME] = 0
+    return u
 
 
 def plain_weights(u: np.ndarray) -> np.ndarray:
-    w = (u >= STEPS[1][0]).view(np.int8)
-    for t in STEPS[1][1:]:
-        w += u >= t
+    w = (u >= np.int32(STEPS[1][0])).view(np.uint8)
+    for t in STEPS[1][1:3]:
+        w += u >= np.int32(t)
+    rare = np.flatnonzero(u >= np.int32(STEPS[1][3]))
+    w.reshape(-1)[rare] = np.searchsorted(STEPS[1], u.reshape(-1)[rare], side="right")
     return w
 
 
 def nested_weights(u: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Weights under block weights ``blocks`` of the same shape."""
-    return np.searchsorted(_ALL, blocks * np.int64(PRIME) + u, side="right") - _FROM[blocks]
+    place = blocks.astype(np.int32)
+    place <<= _BITS
+    place |= u >> np.int32(31 - _BITS)
+    w = _LOOKUP[place]
+    rare = np.flatnonzero(w == _OPEN)
+    k = blocks.reshape(-1)[rare]
+    w.reshape(-1)[rare] = np.searchsorted(_ALL, k * np.int64(PRIME) + u.reshape(-1)[rare], side="right") - _FROM[k]
+    return w
 
 
 MODES = ("naive", "nested")
+KNOWN = 4096  # blocks whose weights a task keeps
 
 
-def weights(mode: str, u: np.ndarray, ka: np.ndarray, kc: np.ndarray, r: np.ndarray) -> np.ndarray:
+def weights(mode: str, u: np.ndarray, ka: np.ndarray, kc: np.ndarray, r: np.ndarray, known: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
+    """``known`` keeps weights of blocks from call to call."""
     if mode == "naive":
         return plain_weights(u)
-    keys, own = np.unique(np.stack([ka, kc]), axis=1, return_inverse=True)
-    return nested_weights(u, plain_weights(uniforms(keys[0], keys[1], r))[own.reshape(-1)])
+    known = {} if known is None else known
+    keys = list(zip(ka.tolist(), kc.tolist(), strict=True))
+    new = [k for k in dict.fromkeys(keys) if k not in known]
+    if new:
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = list(dict.fromkeys(keys))
+        n = np.array(new, np.int64)
+        known.update(zip(new, plain_weights(uniforms(n[:, 0], n[:, 1], r)), strict=True))
+    return nested_weights(u, np.stack([known[k] for k in keys]))
 
 
 def _numbers(df: DataFrame, seed: int, entity: str, block: str | None) -> list[Column]:
@@ -115,31 +157,44 @@ def _numbers(df: DataFrame, seed: int, entity: str, block: str | None) -> list[C
 def cell_replicates(entities: DataFrame, cells: Sequence[str], entity: str, replicates: int, seed: int, *, mode: str = "naive", block: str | None = None) -> DataFrame:
     """(cells, b, w): summed weights of the entities of each cell. One row per entity comes in; a statistic can depend on
     an entity through its cell only, so cells are few (label and the calls of all models)."""
+    return cell_replicates_by_mode(entities, cells, entity, replicates, seed, modes=(mode,), block=block).drop("mode")
+
+
+def cell_replicates_by_mode(entities: DataFrame, cells: Sequence[str], entity: str, replicates: int, seed: int, *, modes: Sequence[str] = MODES, block: str | None = None) -> DataFrame:
+    """(mode, cells, b, w): several forms of the draw from the same uniform numbers, in one pass."""
+    modes = tuple(modes)
     r = replicate_numbers(seed, replicates)
     text = F.to_json(F.struct(*cells))
     rows = entities.select(text.alias("_cell"), *_numbers(entities, seed, entity, block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        known: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            own = names.indices.to_numpy()
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            a, c, ka, kc = (batch.column(i).to_numpy()[order] for i in range(1, 5))
+            total = {m: np.zeros((len(names.dictionary), replicates), np.int64) for m in modes}
             for x in range(0, len(batch), ROWS):
-                part = batch.slice(x, ROWS)
-                names = part.column(0).dictionary_encode()
-                own = names.indices.to_numpy()
-                order = np.argsort(own, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) > 0]))
-                a, c, ka, kc = (part.column(i).to_numpy()[order] for i in range(1, 5))
-                per = np.add.reduceat(weights(mode, uniforms(a, c, r), ka, kc, r), first, axis=0, dtype=np.int64)
-                for name, w in zip(names.dictionary.to_pylist(), per, strict=True):
-                    sums[name] = sums[name] + w if name in sums else w
-        for name, w in sums.items():
+                part = slice(x, x + ROWS)
+                first = np.flatnonzero(np.concatenate([[True], np.diff(own[part]) > 0]))
+                u = uniforms(a[part], c[part], r)
+                for m in modes:
+                    w = weights(m, u, ka[part], kc[part], r, known)
+                    total[m][own[part][first]] += np.add.reduceat(w, first, axis=0, dtype=np.int64)
+            for m in modes:
+                for name, w in zip(names.dictionary.to_pylist(), total[m], strict=True):
+                    sums[m, name] = sums[m, name] + w if (m, name) in sums else w
+        for (m, name), w in sums.items():
             some = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(w[some])], names=["_cell", "b", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(some), pa.string()), pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(w[some])], names=["mode", "_cell", "b", "w"])
 
     types = dict(entities.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in cells)
-    summed = rows.mapInArrow(run, "_cell string, b int, w long").groupBy("_cell", "b").agg(F.sum("w").alias("w"))
-    return summed.select(F.from_json("_cell", schema).alias("_s"), "b", "w").select("_s.*", "b", "w")
+    summed = rows.mapInArrow(run, "mode string, _cell string, b int, w long").groupBy("mode", "_cell", "b").agg(F.sum("w").alias("w"))
+    return summed.select("mode", F.from_json("_cell", schema).alias("_s"), "b", "w").select("mode", "_s.*", "b", "w")
 
 
 BUCKETS = 1024
@@ -199,7 +254,7 @@ def subsampled_cells(entities: DataFrame, cells: Sequence[str], entity: str, rat
                     sums[name] = sums[name] + got if name in sums else got
                 j, i, b = np.nonzero(bucket[None, :, :] == cut[:, None, :])
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.ones(len(i), np.int64)), pa.array(u[i, b]), pa.array(a[i]), pa.array(c[i])], names=shape)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.ones(len(i), np.int64)), pa.array(u[i, b].astype(np.int64)), pa.array(a[i]), pa.array(c[i])], names=shape)
         for name, got in sums.items():
             j, b = np.nonzero(got)
             none = pa.nulls(len(j), pa.int64())
@@ -267,21 +322,68 @@ class Chunk:
         self.first = int(turns[0]) if len(turns) else len(self.score)  # end of the first score
         self.last = int(turns[-1]) if len(turns) else len(self.score)  # start of the last score, if another one
 
-    def drawn(self, x: int, y: int, modes: Sequence[str], r: np.ndarray) -> dict[str, np.ndarray]:
+    def drawn(self, x: int, y: int, modes: Sequence[str], r: np.ndarray, known: dict[tuple[int, int], np.ndarray]) -> dict[str, np.ndarray]:
         u = uniforms(self.a[x:y], self.c[x:y], r)
-        return {m: weights(m, u, self.ka[x:y], self.kc[x:y], r) for m in modes}
+        return {m: weights(m, u, self.ka[x:y], self.kc[x:y], r, known) for m in modes}
 
-    def total(self, x: int, y: int, modes: Sequence[str], r: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """Positive and negative weights of rows x to y."""
-        out = {m: (np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)) for m in modes}
+    def total(self, x: int, y: int, modes: Sequence[str], r: np.ndarray, known: dict[tuple[int, int], np.ndarray]) -> dict[str, np.ndarray]:
+        """Positive and negative weights of rows x to y, as two rows."""
+        out = {m: np.zeros((2, len(r)), np.int64) for m in modes}
         for z in range(x, y, ROWS):
             end = min(y, z + ROWS)
-            p = self.pos[z:end]
-            for m, w in self.drawn(z, end, modes, r).items():
-                out[m] = (out[m][0] + w[p].sum(axis=0, dtype=np.int64), out[m][1] + w[~p].sum(axis=0, dtype=np.int64))
+            sides = np.array([self.pos[z:end], ~self.pos[z:end]], np.float32)
+            for m, w in self.drawn(z, end, modes, r, known).items():
+                out[m] += (sides @ w.astype(np.float32)).astype(np.int64)
         return out
 
 
+class Descent:
+    """Counts above the current row of a chunk in every replicate, and the contributions of complete scores so far."""
+
+    def __init__(self, pos: np.ndarray, neg: np.ndarray):
+        self.pos, self.all = pos, pos + neg  # above, complete scores only
+        self.open_pos, self.open_all = np.zeros_like(pos), np.zeros_like(pos)  # of the score that is not complete
+        self.area, self.drawn = np.zeros_like(pos), np.zeros_like(pos)
+
+    def take(self, w: np.ndarray, positive: np.ndarray, ends: np.ndarray) -> None:
+        """The next rows' weights; ``ends`` are the rows that complete a score."""
+        w = w.astype(np.float64)
+        if not len(ends):
+            self.open_pos, self.open_all = self.open_pos + w[positive].sum(axis=0), self.open_all + w.sum(axis=0)
+            return
+        n, rest = len(ends), ends[-1] + 1 < len(w)
+        if n == len(w):
+            some, gp = np.flatnonzero(positive), w[positive]
+            if len(some) and some[0] == 0:
+                gp[0] += self.open_pos
+            elif self.open_pos.any():
+                some, gp = np.append(0, some), np.vstack([self.open_pos, gp])
+            here = w
+        else:
+            starts = np.concatenate([[0], ends[: n if rest else n - 1] + 1])
+            here, gp = np.add.reduceat(w, starts, axis=0), np.add.reduceat(w * positive[:, None], starts, axis=0)
+            gp[0] += self.open_pos
+            after = (gp[n], here[n]) if rest else None
+            some = np.arange(n)
+            here, gp = here[:n], gp[:n]
+        here[0] += self.open_all
+        zero = np.zeros_like(self.pos)
+        self.open_pos, self.open_all = after if rest else (zero, zero)
+        self.drawn = self.drawn + np.count_nonzero(here, axis=0)
+        here[0] += self.all
+        upto = np.cumsum(here, axis=0)
+        self.all = upto[-1]
+        if len(some):
+            # A score without positive weight adds nothing; where there is some, the count is at least that.
+            cp = gp.copy()
+            cp[0] += self.pos
+            cp = np.cumsum(cp, axis=0)
+            self.pos = cp[-1]
+            gp *= cp
+            gp /= np.maximum(upto if len(some) == n else upto[some], 1.0)
+            self.area = self.area + gp.sum(axis=0)
+
+
 def auprc_replicates(
     scored: DataFrame, key: str, entity: str, replicates: int, seed: int, *, modes: Sequence[str] = ("naive",), block: str | None = None, chunk: int = 1 << 16
 ) -> DataFrame:
@@ -299,11 +401,12 @@ def auprc_replicates(
     arrays = "fp array<long>, fn array<long>, ip array<long>, inn array<long>, lp array<long>, ln array<long>"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for i in range(len(batch)):
                 c = Chunk(batch, i)
                 n = len(c.score)
-                first, inner, last = (c.total(x, y, modes, r) for x, y in ((0, c.first), (c.first, c.last), (c.last, n)))
+                first, inner, last = (c.total(x, y, modes, r, known) for x, y in ((0, c.first), (c.first, c.last), (c.last, n)))
                 rows = [(m, part, x, y) for m in modes for part, (x, y) in enumerate(parts)]
                 cols = [[first[m][0][x:y], first[m][1][x:y], inner[m][0][x:y], inner[m][1][x:y], last[m][0][x:y], last[m][1][x:y]] for m, _, x, y in rows]
                 yield pa.RecordBatch.from_arrays(
@@ -351,6 +454,7 @@ def auprc_replicates(
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[np.ndarray]] = {}
+        known: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for i in range(len(batch)):
                 c, k = Chunk(batch, i), batch.column(1)[i].as_py()
@@ -358,22 +462,15 @@ def auprc_replicates(
                 for x in batch.column(batch.schema.get_field_index("above"))[i].as_py():
                     start[x["mode"]][0] += x["x"]
                     start[x["mode"]][1] += x["y"]
-                now = {m: [np.array(v) for v in s] for m, s in start.items()}  # counts so far
-                done = {m: list(v) for m, v in now.items()}  # counts down to the last score that is complete
+                state = {m: Descent(np.array(s[0]), np.array(s[1])) for m, s in start.items()}
                 for x in range(c.first, c.last, ROWS):
                     y = min(c.last, x + ROWS)
                     ends = np.flatnonzero(np.append(c.score[x:y - 1] != c.score[x + 1 : y], c.score[y - 1] != c.score[y]))
-                    p = c.pos[x:y]
-                    for m, w in c.drawn(x, y, modes, r).items():
-                        cp, cn = now[m][0] + np.cumsum(w * p[:, None], axis=0, dtype=np.float64), now[m][1] + np.cumsum(w * ~p[:, None], axis=0, dtype=np.float64)
-                        now[m] = [cp[-1], cn[-1]]
-                        if len(ends):
-                            ep, en = cp[ends], cn[ends]
-                            gp, gn = np.diff(ep, axis=0, prepend=done[m][0][None, :]), np.diff(en, axis=0, prepend=done[m][1][None, :])
-                            area = np.divide(gp * ep, ep + en, out=np.zeros_like(ep), where=(ep + en) > 0).sum(axis=0)
-                            old = sums.get((m, k), [0.0, 0.0])
-                            sums[m, k] = [old[0] + area, old[1] + ((gp + gn) > 0).sum(axis=0)]
-                            done[m] = [ep[-1], en[-1]]
+                    for m, w in c.drawn(x, y, modes, r, known).items():
+                        state[m].take(w, c.pos[x:y], ends)
+                for m, s in state.items():
+                    old = sums.get((m, k), [0.0, 0.0])
+                    sums[m, k] = [old[0] + s.area, old[1] + s.drawn]
         for (m, k), (area, drawn) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([m] * len(r), pa.string()), pa.array([k] * len(r), batch.schema.field(1).type), pa.array(np.arange(len(r), dtype=np.int32)), pa.array(area), pa.array(np.zeros(len(r))), pa.array(drawn.astype(float))],
                                              names=["mode", key, "b", "area", "n_pos", "drawn"])

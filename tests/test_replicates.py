@@ -113,3 +113,23 @@ def test_subsample_without_replacement(spark, n_pos):
             for e, y, p in rows:
                 want[1, p, ratio, rep] += y
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_lookups_at_every_step_and_residues_near_the_prime():
+    at = np.array([t + d for s in R.STEPS for t in s for d in (-1, 0, 1) if 0 <= t + d < R.PRIME] + [0, R.PRIME - 1], np.int32)[None, :]
+    for k, steps in enumerate(R.STEPS):
+        assert (R.nested_weights(at, np.full(at.shape, k, np.uint8))[0] == [sum(u >= t for t in steps) for u in at[0].tolist()]).all()
+    a, c = np.array([0, 0, 1, R.PRIME - 1, R.PRIME - 1]), np.array([0, 1, R.PRIME - 1, 0, R.PRIME - 1])
+    r = np.array([0, 1, 2, R.PRIME - 1, R.PRIME - 2])
+    assert R.uniforms(a, c, r).tolist() == [[pow(int(x) + int(y) * int(z), 5, R.PRIME) for z in r] for x, y in zip(a, c, strict=True)]
+
+
+def test_weights_of_a_block_are_made_once(monkeypatch):
+    made = []
+    real = R.uniforms
+    monkeypatch.setattr(R, "uniforms", lambda a, c, r: made.append(len(a)) or real(a, c, r))
+    r, known = R.replicate_numbers(1, 50), {}
+    u = real(np.arange(8), np.arange(8), r)
+    first = R.weights("nested", u, np.array([5, 5, 6, 6, 5, 6, 5, 5]), np.array([1, 1, 2, 2, 1, 2, 1, 1]), r, known)
+    again = R.weights("nested", u, np.array([5, 5, 6, 6, 5, 6, 5, 5]), np.array([1, 1, 2, 2, 1, 2, 1, 1]), r, known)
+    assert made == [2] and (first == again).all()
