@@ -56,13 +56,14 @@ def baseline_changes(new: DataFrame, old: DataFrame, keys: Sequence[str], value:
 
 
 def partition_violations(members: DataFrame, known: DataFrame, *, member: str = "member", parent: str = "parent") -> DataFrame:
-    """Members with several parents and parents that are not known."""
+    """Members with several parents and parents that are not known. Both sides of the check for unknown parents are reduced
+    to distinct parents first: a parent that many rows name is one row there, not one task."""
     multi = (
         members.groupBy(member).agg(F.count_distinct(parent).alias("n_parents")).filter(F.col("n_parents") > 1)
         .select(F.col(member).cast("string").alias("id"), F.lit("several_parents").alias("problem"))
     )
     orphan = (
-        members.select(parent).distinct().join(known.select(parent), parent, "left_anti")
+        members.select(parent).distinct().join(known.select(parent).distinct(), parent, "left_anti")
         .select(F.col(parent).cast("string").alias("id"), F.lit("unknown_parent").alias("problem"))
     )
     return multi.unionByName(orphan)
