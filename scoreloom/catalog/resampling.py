@@ -356,7 +356,7 @@ RATIOS, S_REPS, S_SEED = (1, 2, 4, 8), 200, 5
 )
 def class_ratio_subsampling(spark, d):
     """The published setting: ratios 1 to 8, 200 repeats."""
-    rows = B.entity_patterns(calls(spark, d), MODELS)
+    rows = settle(B.entity_patterns(calls(spark, d), MODELS))
     w = R.subsampled_cells(rows, ["label", "pattern"], "entity_id", RATIOS, S_REPS, S_SEED)
     counts = B.pattern_counts(w, MODELS, "w", keys=["ratio", "rep"])
     return counts.withColumn("mcc", M.mcc()).groupBy("ratio", "model").agg(F.avg("mcc").alias("mean_mcc"), F.count("*").alias("repeats"))

@@ -260,7 +260,7 @@ def subsampled_cells(entities: DataFrame, cells: Sequence[str], entity: str, rat
             none = pa.nulls(len(j), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(j), pa.string()), pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(got[j, b]), none, none, none], names=shape)
 
-    drawn = negatives.mapInArrow(draw, "_cell string, j int, rep int, w long, u long, a long, c long")
+    drawn = settle(negatives.mapInArrow(draw, "_cell string, j int, rep int, w long, u long, a long, c long"))
     rank = F.row_number().over(Window.partitionBy("rep", "j").orderBy("u", "a", "c"))
     edge = drawn.filter("u is not null").withColumn("_r", rank).join(cuts.select("rep", "j", "need"), ["rep", "j"]).filter("_r <= need").select("_cell", "j", "rep", "w")
     each = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")

@@ -133,3 +133,25 @@ def test_weights_of_a_block_are_made_once(monkeypatch):
     first = R.weights("nested", u, np.array([5, 5, 6, 6, 5, 6, 5, 5]), np.array([1, 1, 2, 2, 1, 2, 1, 1]), r, known)
     again = R.weights("nested", u, np.array([5, 5, 6, 6, 5, 6, 5, 5]), np.array([1, 1, 2, 2, 1, 2, 1, 1]), r, known)
     assert made == [2] and (first == again).all()
+
+
+def test_class_ratios_read_the_predictions_once(spark, monkeypatch):
+    from scoreloom.catalog import resampling
+
+    read = spark.sparkContext.accumulator(0)
+    real = resampling.calls
+
+    def counted(s, d):
+        df = real(s, d)
+
+        def count(batches):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(count, df.schema)
+
+    monkeypatch.setattr(resampling, "calls", counted)
+    d = "/root/testdata/sf0.001"
+    resampling.class_ratio_subsampling(spark, d).collect()
+    assert read.value == real(spark, d).count()
