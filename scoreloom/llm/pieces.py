@@ -6,9 +6,9 @@ a point where a space follows another character, or touches a line feed, so the
 chain of its words' best paths; ``load`` verifies both facts for the table at hand.
 
 ``word_paths`` states this with DataFrame operations on a table of words, the fold being a higher-order
-aggregate. ``encode`` does the same join and fold on the distinct words of each Arrow batch, in columns: there
-the texts need no shuffle at all, while a join of every word of the corpus with a table of word paths would
-move more than the texts themselves (figures in the README).
+aggregate. ``with_ids`` takes its ids from there: the distinct words of parts of the texts go to the lattice, and their
+paths come back to the parts. ``Lattice.encode`` (for ``encoding_digest``) does the same join and fold on the distinct
+words of each Arrow batch, in columns, without a shuffle (figures in the README).
 
 Scores: the public model is a merge-ranked vocabulary without probabilities, so a piece's log-probability is
 taken from its rank by Zipf's law; bytes, used where no piece fits, lie ten below the worst piece.
@@ -22,20 +22,23 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm import arrays as A
-from scoreloom.llm.columns import columns_of
+from scoreloom.llm.columns import columns_of, let
+from scoreloom.sources.scratch import settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORDS_AT_ONCE = 50_000
+PART, FINER, FRAGMENT, BLOCK = 16_000_000, 8, 64, 256
 
 
 @dataclass(frozen=True)
@@ -48,9 +51,11 @@ class Pieces:
     byte: np.ndarray
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score): as many rows as the model has pieces."""
-        rows = [(t.decode(), i, float(s)) for i, (t, s) in enumerate(zip(self.text, self.score, strict=True)) if np.isfinite(s) and i not in set(self.byte.tolist())]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """(piece, id, score), pieces as bytes: as many rows as the model has pieces. Bytes that are no piece stand for themselves."""
+        skip = set(self.byte.tolist())
+        rows = {t: (i, float(s)) for i, (t, s) in enumerate(zip(self.text, self.score, strict=True)) if np.isfinite(s) and i not in skip}
+        rows = {bytes([b]): (i, float(self.score[i])) for b, i in enumerate(self.byte.tolist())} | rows
+        return spark.createDataFrame([(bytearray(t), i, s) for t, (i, s) in rows.items()], "piece binary, id int, score double")
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -216,20 +221,91 @@ class Lattice:
                 yield own, bool(np.array_equal(self.decode(own), data[offs[r] : offs[r + 1]]))
 
 
+def tiles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with the word mark before each that is not empty (bytes, offsets), and starts and ends of their words."""
+    filled = np.diff(offs) > 0
+    data = np.insert(data, offs[:-1][filled], 32)
+    offs = offs + np.concatenate([[0], np.cumsum(filled)])
+    start = np.zeros(len(data) + 1, bool)
+    start[offs] = True
+    space, line = data == 32, data == 10
+    start[1:-1] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    begin = np.flatnonzero(start[:-1])
+    return data, offs, begin, np.append(begin[1:], len(data))[: len(begin)]
+
+
+def coded(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word among the distinct ones, and these. Words lie one after the other."""
+    ends = np.append(begin, len(data)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary.cast(pa.binary())
+
+
+def in_parts(rows: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """``rows`` with _part, about PART bytes of text each and dealt by content, and the number of parts."""
+    size = rows.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(1, math.ceil(size / PART), min(2 * cores, math.ceil(size / 1_000_000)))
+    plain = [f.name for f in rows.schema if isinstance(f.dataType, T.AtomicType)]
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(n)).cast("int")), n
+
+
+def part_words(parts: DataFrame, text: str) -> DataFrame:
+    """(_part, word): the distinct words of each part."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = [coded(data, begin)[1] for _, _, d, o in A.slices(rows.column(1)) for data, _, begin, _ in [tiles(d, o)]]
+        words = pc.unique(pa.chunked_array(own, pa.binary()))
+        return pa.table({"_part": pa.repeat(rows.column(0)[0], len(words)), "word": words})
+
+    return parts.select("_part", text).groupBy("_part").applyInArrow(run, "_part int, word binary")
+
+
+def encoded(rows: DataFrame, model: Pieces, made: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], schema: str | T.StructType) -> DataFrame:
+    """Columns c0, c1, ... of ``rows`` and, from the ids of their texts t, what ``made`` makes of them.
+
+    The words of each part of the texts are found, the paths of all distinct words come from the lattice, and go back
+    to the parts that hold the word; there a text's ids are read off its words. ``made`` gets ids, offsets of the texts
+    in them, and the texts' bytes with offsets.
+    """
+    spark = rows.sparkSession
+    parts, n = in_parts(rows, "t")
+    words = settle(part_words(parts, "t"))
+    paths = word_paths(words, model.table(spark), max(map(len, model.text)), n_parts=FINER * n).select("word", "ids")
+    lists = words.join(paths, "word", "left").select("_part", "word", "ids")
+    n_keep = len(rows.columns) - 1
+
+    def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
+        known = lists.column("word").combine_chunks()
+        ids = lists.column("ids").combine_chunks()
+        flat, size = ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        at = np.cumsum(size) - size
+        out = []
+        for _, _, d, o in A.slices(texts.column("t")):
+            data, offs, begin, _ = tiles(d, o)
+            code, some = coded(data, begin)
+            row = pc.index_in(some, value_set=known).to_numpy(zero_copy_only=False)[code]
+            count = size[row]
+            ends = np.cumsum(count)
+            own = flat[np.repeat(at[row] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            stop = np.concatenate([[0], ends])[np.searchsorted(begin, offs, "left")].astype(np.int64)
+            out.append(made(own, stop, data, offs))
+        more = [pa.chunked_array(c) for c in zip(*out, strict=True)]
+        return pa.Table.from_arrays([*(texts.column(i) for i in range(n_keep)), *more], names=[*texts.column_names[:n_keep], *(f"m{i}" for i in range(len(more)))])
+
+    return parts.groupBy("_part").cogroup(lists.groupBy("_part")).applyInArrow(run, schema)
+
+
 def with_ids(docs: DataFrame, text: str = "text", pieces: Pieces | None = None) -> DataFrame:
     """``docs`` with column ids (array<int>) in place of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(pieces or load())
     keep = [c for c in docs.columns if c not in (text, "ids")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
+    schema = T.StructType([*rows.drop("t").schema.fields, T.StructField("m0", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(sent.value)
-        for batch in batches:
-            made = pa.array([ids for ids, _ in lattice.encode(batch.column(len(keep)))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "ids"])
+    def made(ids: np.ndarray, stop: np.ndarray, data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids, pa.int32()))]
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
-    schema = rows.drop(text).schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(run, schema)
+    return encoded(rows, pieces or load(), made, schema).toDF(*keep, "ids")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", text: str = "text", pieces: Pieces | None = None) -> DataFrame:
@@ -264,28 +340,61 @@ def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return columns_of(docs, id_col, text).mapInArrow(run, f"`{id_col}` long, n_ids long, n_byte_ids long, ids_sha256 string, round_trip boolean")
 
 
-def word_paths(words: DataFrame, pieces: DataFrame, longest: int, word: str = "word") -> DataFrame:
-    """(word, score, ids) of each distinct word that pieces can cover: the lattice as a join.
+def word_paths(words: DataFrame, pieces: DataFrame, longest: int, word: str = "word", n_parts: int | None = None) -> DataFrame:
+    """(word, score, ids) of each distinct word: the lattice as a join.
 
-    Substrings of at most ``longest`` characters are exploded and equi-joined to ``pieces`` (piece, id, score);
-    a word's edges are grouped and, in order of their ends, folded: the state holds the best score and ids up
-    to every position. A word is written with a space for the word mark.
+    Substrings of at most ``longest`` bytes are exploded and equi-joined to ``pieces`` (piece, id, score), which holds
+    every single byte; a word's edges are grouped and, in order of their ends, folded: a cell for every position holds
+    the best score up to it and the edge that gives it, the shorter one among equals. A second fold follows these edges
+    back. A word is written with a space for the word mark. Long words are cut into overlapping fragments and named by
+    a digest, so that no row of a substring carries the word; both folds go block by block, as each step of a
+    higher-order aggregate copies its whole state.
     """
-    each = words.select(F.col(word).alias("w")).filter("w is not null and w <> ''").distinct()
-    start = each.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("s"))
-    sub = start.select("w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("s") + 1))).alias("k")).withColumn("piece", F.expr("substring(w, s, k)"))
-    edges = sub.join(pieces, "piece").groupBy("w").agg(F.array_sort(F.collect_list(F.struct((F.col("s") + F.col("k")).alias("e"), "s", "id", "score"))).alias("g"))
-    state = "array<struct<p:int,v:double,ids:array<int>>>"
-    first = F.array(F.struct(F.lit(1).alias("p"), F.lit(0.0).alias("v"), F.array().cast("array<int>").alias("ids"))).cast(state)
-
-    def step(a, x):
-        from_ = F.filter(a, lambda y: y["p"] == x["s"])
-        cand = F.transform(from_, lambda y: F.struct(x["e"].alias("p"), (y["v"] + x["score"]).alias("v"), F.concat(y["ids"], F.array(x["id"])).alias("ids")))
-        old = F.filter(a, lambda y: y["p"] == x["e"])
-        better = F.size(cand) > 0
-        wins = F.coalesce(F.get(cand, F.lit(0))["v"] > F.get(old, F.lit(0))["v"], F.size(old) == 0)
-        return F.when(better & wins, F.concat(F.filter(a, lambda y: y["p"] != x["e"]), cand)).otherwise(a)
-
-    ended = F.aggregate("g", first, step)
-    done = edges.select("w", F.get(F.filter(ended, lambda y: y["p"] == F.length("w") + 1), F.lit(0)).alias("b"))
-    return done.filter("b is not null").select(F.col("w").alias(word), F.col("b.v").alias("score"), F.col("b.ids").alias("ids"))
+    kind = words.schema[word].dataType
+    each = words.select(F.col(f"`{word}`").cast("binary").alias("w")).filter("length(w) > 0").distinct()
+    key = F.when(F.length("w") <= FRAGMENT, F.col("w")).otherwise(F.concat(F.lit(b"\xff"), F.unhex(F.sha2("w", 256))))
+    named = each.select("w", key.alias("key"))
+    dealt = named.repartition(n_parts, "key") if n_parts else named.repartition("key")
+    base = dealt.select("key", "w", F.explode(F.sequence(F.lit(0), F.length("w") - 1, F.lit(FRAGMENT))).alias("b"))
+    frag = base.select("key", "b", F.when(F.col("b") == 0, F.col("w")).alias("w"), F.substring("w", F.col("b") + 1, F.lit(FRAGMENT + longest - 1)).alias("f"))
+    start = frag.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(FRAGMENT), F.length("f")))).alias("s"))
+    sub = start.select("key", "b", F.when(F.col("s") == 1, F.col("w")).alias("w"), "s", "f", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("f") - F.col("s") + 1))).alias("k"))
+    sub = sub.select("key", F.when(F.col("k") == 1, F.col("w")).alias("w"), (F.col("b") + F.col("s") - 1 + F.col("k")).alias("e"), "k", F.substring("f", F.col("s"), F.col("k")).alias("piece"))
+    table = F.broadcast(pieces.select(F.col("piece").cast("binary").alias("piece"), "id", "score"))
+    edges = sub.join(table, "piece").groupBy("key").agg(F.max("w").alias("w"), F.sort_array(F.collect_list(F.struct("e", "k", "id", "score"))).alias("g"))
+
+    cell = "struct<v:double,k:int,id:int>"
+    width = longest + 1
+
+    def step(held):
+        def run(a, x):
+            v, n = F.get(a, x["e"] - x["k"] - held)["v"] + x["score"], F.size(a)
+            new = F.array(F.struct(v.alias("v"), x["k"].alias("k"), x["id"].alias("id")))
+            return F.when(x["e"] == held + n, F.concat(a, new)).when(v > F.get(a, n - 1)["v"], F.concat(F.slice(a, F.lit(1), n - 1), new)).otherwise(a)
+
+        return run
+
+    def block(a, edges):
+        def moved(c):
+            gone = F.greatest(F.size(c) - width, F.lit(0))
+            return F.struct((a["held"] + gone).alias("held"), F.concat(a["full"], F.array(F.slice(c, F.lit(1), gone))).alias("full"), F.slice(c, gone + 1, F.lit(width)).alias("last"))
+
+        return let(F.aggregate(edges, a["last"], step(a["held"])), moved)
+
+    zero = F.struct(F.lit(0).alias("held"), F.array().cast(f"array<array<{cell}>>").alias("full"), F.array(F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("k"), F.lit(-1).alias("id"))).alias("last"))
+    in_blocks = lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - 1, F.lit(BLOCK)), lambda i: F.slice(g, i + 1, F.lit(BLOCK)))
+    cells = F.aggregate(let(F.col("g"), in_blocks), zero, block, lambda a: F.flatten(F.concat(a["full"], F.array(a["last"]))))
+
+    def back(c):
+        def follow(a, i):
+            return F.when(a["p"] == i, F.struct((i - F.get(c, i)["k"]).alias("p"), F.concat(a["ids"], F.array(F.get(c, i)["id"])).alias("ids"))).otherwise(a)
+
+        def part(a, i):
+            own = F.aggregate(F.sequence(i, F.greatest(i - (BLOCK - 1), F.lit(1)), F.lit(-1)), F.struct(a["p"].alias("p"), F.array().cast("array<int>").alias("ids")), follow)
+            return let(own, lambda b: F.struct(b["p"].alias("p"), F.concat(a["ids"], F.array(b["ids"])).alias("ids")))
+
+        end = F.size(c) - 1
+        ids = F.aggregate(F.sequence(end, F.lit(1), F.lit(-BLOCK)), F.struct(end.alias("p"), F.array().cast("array<array<int>>").alias("ids")), part, lambda a: F.reverse(F.flatten(a["ids"])))
+        return F.struct(F.get(c, end)["v"].alias("v"), ids.alias("ids"))
+
+    return edges.select("w", let(cells, back).alias("b")).select(F.col("w").cast(kind).alias(word), F.col("b.v").alias("score"), F.col("b.ids").alias("ids"))

@@ -379,6 +379,29 @@ def test_piece_paths_are_best_and_decode(spark):
         at += n
 
 
+def test_word_paths_hold_words_that_no_piece_covers_and_long_ones(spark):
+    model = pieces.load()
+    lat = pieces.Lattice(model)
+    words = [" the", "\U0001f600", " \U0001f600日本\x00", "\n", " " + "x" * 700, " " + "ab日" * 100, " internationalisation", "q" * 64, "q" * 65]
+    raw = [w.encode() for w in words]
+    ids, count = lat.paths(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in raw])]))
+    ends = np.cumsum(count)
+    rel = pieces.word_paths(spark.createDataFrame([(w,) for w in [*words, "", words[0], None]], "word string"), model.table(spark), max(map(len, model.text)))
+    assert {r.word: r.ids for r in rel.collect()} == {w: ids[e - n : e].tolist() for w, n, e in zip(words, count, ends, strict=True)}
+
+
+def test_with_ids_takes_its_ids_from_the_lattice(docs, odd_texts, monkeypatch):
+    seen = []
+    whole = pieces.word_paths
+    monkeypatch.setattr(pieces, "word_paths", lambda words, *a, **k: seen.append(words) or whole(words, *a, **k))
+    rows = [r for r in odd_texts if r[0] != 8]
+    out = pieces.with_ids(docs(rows)).select("doc_id", "ids").collect()
+    assert len(seen) == 1 and seen[0].columns == ["_part", "word"]
+    want = [ids.tolist() for ids, _ in pieces.Lattice(pieces.load()).encode(pa.array([r[1] for r in rows], pa.string()))]
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == Counter((r[0], tuple(i)) for r, i in zip(rows, want, strict=True))
+    assert pieces.with_ids(docs([])).count() == 0 and pieces.with_ids(docs([(1, None), (2, "")])).filter("size(ids) = 0").count() == 2
+
+
 def test_pieces_round_trip(docs, odd_texts):
     rows = [*odd_texts, (50, "▁ literal ▁mark"), (51, "  two  spaces \n\n end "), (52, "\n")]
     out = pieces.encoding_digest(docs(rows)).collect()
