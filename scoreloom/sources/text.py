@@ -198,7 +198,9 @@ def crispr_arrays(docs: DataFrame, *, min_level: int = 2, min_spacer: int = 25,
     Low-evidence arrays are dropped; short spacers are dropped and the kept ones are
     renumbered inside their array, with array functions on the row they came in.
     """
-    seqs = docs.select(*keep, F.explode("Sequences").alias("s"))
+    # Outer generators: an inner one puts a filter on its array below itself, so that a document just parsed is parsed
+    # again for the filter. Rows of no array end at the next generator or at the filter behind it.
+    seqs = docs.select(*keep, F.explode_outer("Sequences").alias("s"))
     arr = seqs.select(*keep, F.col("s.Id").alias("contig_id"), F.posexplode("s.Crisprs").alias("i", "c"))
     arr = arr.withColumn("array_id", F.concat("contig_id", F.lit("_CRISPR_"), (F.col("i") + 1).cast("string")))
     arr = arr.filter(F.coalesce("c.Evidence_Level", F.lit(0)) >= min_level)
@@ -211,7 +213,7 @@ def crispr_arrays(docs: DataFrame, *, min_level: int = 2, min_spacer: int = 25,
         F.size("_kept").alias("n_spacers"), (F.size("_all") - F.size("_kept")).alias("n_spacers_skipped"),
         F.col("c.Evidence_Level").alias("evidence_level"),
     )
-    spacers = arr.select(*keep, "contig_id", "array_id", F.posexplode("_kept").alias("p", "r")).select(
+    spacers = arr.select(*keep, "contig_id", "array_id", F.posexplode_outer("_kept").alias("p", "r")).filter("p is not null").select(
         *keep,
         F.concat("array_id", F.lit("_spacer_"), (F.col("p") + 1).cast("string")).alias("spacer_id"),
         F.col("r.Sequence").alias("sequence"), "contig_id", "array_id",

@@ -292,3 +292,15 @@ def test_files_at_any_depth(spark, tmp_path):
     put("j/bad/2.json", '{\n "Sequences": [\n  {"Id": "c", ')
     docs = FI.read_documents(spark, root, TX.CRISPR_SCHEMA, glob="*.json", tags={"sample": r"/j/(\w+)/"}).select("sample", "Sequences", "_corrupt").collect()
     assert {(r["sample"], r["_corrupt"] is None) for r in docs} == {("good", True), ("bad", False)}
+
+
+def test_nested_documents_are_parsed_once_and_empty_ones_give_no_rows(spark):
+    level = lambda n: '{"Start": 1, "End": 9, "Evidence_Level": %s, "Regions": [{"Type": "Spacer", "Sequence": "%s"}, {"Type": "Spacer", "Sequence": "A"}, null]}' % n
+    good = '{"Sequences": [null, {"Id": "a", "Crisprs": [null, %s, %s]}, {"Id": "b"}, {"Id": "c", "Crisprs": []}]}' % (level(("3", "C" * 30)), level(("2", "G")))
+    rows = [(good,), ('{"Sequences": []}',), ('{"Sequences": null}',), ("{}",), ("not json",), (None,)]
+    docs = spark.createDataFrame(rows, "json string").selectExpr("concat(json, '') AS json").select(F.from_json("json", TX.CRISPR_SCHEMA).alias("j")).select("j.*")
+    arrays, spacers = TX.crispr_arrays(docs)
+    assert sorted((r.array_id, r.n_spacers, r.n_spacers_skipped) for r in arrays.collect()) == [("a_CRISPR_2", 1, 1), ("a_CRISPR_3", 0, 2)]
+    assert [(r.spacer_id, len(r.sequence)) for r in spacers.collect()] == [("a_CRISPR_2_spacer_1", 30)]
+    for out in (arrays, spacers):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
