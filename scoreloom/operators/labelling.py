@@ -281,14 +281,19 @@ def prefer_task(hits: DataFrame, keys: Sequence[str], *, species: str, largest:
     return hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_b")).select(*keys, "_b.*")
 
 
-def mixture_posterior(x: Column, params: Sequence[tuple]) -> list[Column]:
-    """Posterior of each (weight, mean, sd) component at x, in the order given. Parameters are numbers or columns."""
+def with_posterior(df: DataFrame, x: Column, params: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """Add the posterior of each (weight, mean, sd) component at x. Parameters are numbers or columns.
+
+    Every step is a column of its own: as one expression it repeats each logarithm for every place that needs it and
+    grows past what the JVM compiles, so that rows are interpreted.
+    """
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    logs = [F.log(lit(w) / lit(s)) - (x - lit(m)) * (x - lit(m)) / (lit(s) * lit(s) * 2.0) for w, m, s in params]
-    top = F.greatest(*logs)
-    exps = [F.exp(v - top) for v in logs]
-    total = sum(exps[1:], exps[0])
-    return [e / total for e in exps]
+    at, k = F.col("_x"), range(len(params))
+    logs = {f"_l{i}": F.log(lit(w) / lit(s)) - (at - lit(m)) * (at - lit(m)) / (lit(s) * lit(s) * 2.0) for i, (w, m, s) in enumerate(params)}
+    out = df.withColumn("_x", x).withColumns(logs).withColumn("_top", F.greatest(*logs))
+    out = out.withColumns({f"_e{i}": F.exp(F.col(f"_l{i}") - F.col("_top")) for i in k})
+    out = out.withColumn("_sum", sum((F.col(f"_e{i}") for i in k[1:]), F.col("_e0")))
+    return out.withColumns({n: F.col(f"_e{i}") / F.col("_sum") for i, n in enumerate(names)}).drop("_x", "_top", "_sum", *logs, *[f"_e{i}" for i in k])
 
 
 def mixture_label(df: DataFrame, params, *, ratio: str = "ratio", p_high: float = 0.95, p_middle: float = 0.95,
@@ -297,12 +302,13 @@ def mixture_label(df: DataFrame, params, *, ratio: str = "ratio", p_high: float
     certainly high, 0 as certainly low."""
     r = F.col(ratio)
     ok = is_finite(ratio) & (r > 0)
-    post = mixture_posterior(F.log10(F.when(ok, r).otherwise(1.0)), params)
-    hi = F.when(r == 0, 0.0).when(r == INF, 1.0).when(ok, post[-1])
-    mid = F.when(r == 0, 0.0).when(r == INF, 0.0).when(ok, post[1])
+    post = [f"_p{i}" for i in range(len(params))]
+    fitted = with_posterior(df, F.log10(F.when(ok, r).otherwise(1.0)), params, post)
+    hi = F.when(r == 0, 0.0).when(r == INF, 1.0).when(ok, F.col(post[-1]))
+    mid = F.when(r == 0, 0.0).when(r == INF, 0.0).when(ok, F.col(post[1]))
     viral = R.quality_signal("quality", "viral_genes", "provirus") != "no_viral_signal"
     unknown = (F.col("viral_genes") == 0) & (F.col("host_genes") == 0) & ~F.col("classified")
-    out = df.withColumn("p_high", hi).withColumn("p_middle", mid)
+    out = fitted.withColumn("p_high", hi).withColumn("p_middle", mid).drop(*post)
     label = (
         F.when((F.col("p_high") > p_high) & viral, "TP")
         .when((F.col("p_high") > p_high) & unknown, "dark_matter")
