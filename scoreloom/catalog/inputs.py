@@ -488,6 +488,9 @@ def run_selection(spark, d):
     return TX.select_run(files, pick)
 
 
+FOLDER_PARTS = 4
+
+
 def array_files(spark, d):
     """One JSON document per 50 suppliers of a nation, written over many lines below the sample's folder; every seventh
     is cut off, as by a run that stopped."""
@@ -497,11 +500,14 @@ def array_files(spark, d):
     arr = lambda level, one, two: F.struct(F.col("s_suppkey").alias("Start"), (F.col("s_suppkey") + 100).alias("End"), level.cast("int").alias("Evidence_Level"), F.array(region("DR", "GTT", F.lit(3)), region("Spacer", "A", one), region("Spacer", "C", two)).alias("Regions"))
     k = F.col("s_suppkey").cast("int")
     arrays = F.array(arr(k % 5, 20 + k % 11, 30 + k % 3), arr(4 - k % 5, 10 + k % 40, 24 + k % 2))
-    docs = sup.groupBy(sample.alias("sample"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("s"), F.lpad(s("s_suppkey"), 10, "0")).alias("Id"), arrays.alias("Crisprs")))).alias("Sequences"))
+    # A folder of a few parts is written by one task, so that it is committed as a whole, and listed by one task. Small
+    # files cost by their number: partitions go by folders, not by bytes, which would leave them to few tasks.
+    rows = sup.withColumn("batch", F.floor(part / FOLDER_PARTS)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch")
+    docs = rows.groupBy("batch", sample.alias("sample"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("s"), F.lpad(s("s_suppkey"), 10, "0")).alias("Id"), arrays.alias("Crisprs")))).alias("Sequences"))
     text = F.to_json(F.struct("Sequences"), {"pretty": "true"})
     cut = F.when((F.col("sample") + F.col("part")) % 7 == 3, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text)
     path = scratch_dir(spark) + "/arrays"
-    docs.select("sample", "part", cut.alias("value")).repartition("sample", "part").write.partitionBy("sample", "part").text(path)
+    docs.select("batch", "sample", "part", cut.alias("value")).write.partitionBy("batch", "sample", "part").text(path)
     return FI.read_documents(spark, path, TX.CRISPR_SCHEMA, glob="*.txt", tags={"sample": r"/sample=(\d+)/", "part": r"/part=(\d+)/"})
 
 
