@@ -607,7 +607,8 @@ _MIX = LIBRARY_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", vals AS (SELECT l
 
 def mixture_labelled(spark, d):
     """Entities with their label by thresholds and by the mixture fitted to their own ratios."""
-    t = settle(labelled(spark, d))
+    read = ("entity_id", "ratio", "quality", "viral_genes", "host_genes", "provirus", "classified", "domain", "label")
+    t = settle(labelled(spark, d).select(*read))  # texts of reasons are not derived for nothing
     logs = t.select(F.when(F.col("ratio") > 0, F.log10("ratio")).alias("x"))
     fit = X.best_mixture(logs, "x", starts=_EM_STARTS, seed=_EM_SEED)
     t = t.withColumn("_fit", fit.select(F.struct("weight", "mean", "sd")).scalar())
